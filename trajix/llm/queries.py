@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from trajix.llm import line_dedup, quality_rules, token_rollup, warc
 from trajix.llm.packing import pack_documents
+from trajix.llm.scratch import new_path, written
+from trajix.llm.sqltext import BLANK_RUN, hash_128, strip
 from trajix.llm.token_files import write_and_index
 
 WORD_BPE = "word_bpe_49k.json"
@@ -15,6 +19,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted, their counts revised to those of the text with plain blanks, and
+    exact copies of an earlier document deleted; two batches come in twice. Totals by source,
+    language and tokenizer version, after the batches were summed up."""
+    text = F.coalesce("text", F.lit(""))
+    plain = F.regexp_replace(strip(text), BLANK_RUN, " ")
+    h1, h2 = hash_128(text)
+    raw, new = token_rollup.count_columns(text), token_rollup.count_columns(plain)
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer_version"), raw[v].alias("n"), new[v].alias("m")) for v in raw]))
+    counted = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", h1.alias("h1"), h2.alias("h2"), each.alias("x"))
+    counted = written(counted.select("doc_id", "source", "lang", "h1", "h2", "x.*"), "token-counts")
+    firsts = counted.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    keys = ["source", "lang", "tokenizer_version"]
+    null = F.lit(None).cast("bigint")
+    batches = {
+        "insert": counted.select(F.lit("insert").alias("change"), *keys, F.col("n").alias("n_tokens"), null.alias("old_n_tokens")),
+        "revise": counted.where("n != m").select(F.lit("revise").alias("change"), *keys, F.col("m").alias("n_tokens"), F.col("n").alias("old_n_tokens")),
+        "copies": counted.where("doc_id is not null").join(firsts, "doc_id", "left_anti").select(F.lit("delete").alias("change"), *keys, null.alias("n_tokens"), F.col("m").alias("old_n_tokens")),
+    }
+    rollup = token_rollup.TokenRollup(spark, new_path(spark, "token-rollup"))
+    for name in ("insert", "revise", "revise", "copies", "insert"):
+        rollup.commit(name, batches[name])
+    rollup.compact("summary")
+    return rollup.totals()
+
+
+SQL_1 = r"""
+WITH d AS (
+  SELECT *, regexp_replace(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+', ' ', 'g') AS p,
+         row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) AS k
+  FROM documents
+), n AS (
+  SELECT source, lang, 'words-1' AS tokenizer_version, CAST(len(list_filter(string_split(p, ' '), lambda x: x <> '')) AS BIGINT) AS n FROM d WHERE k = 1
+  UNION ALL
+  SELECT source, lang, 'utf8-bytes-1', CAST(strlen(p) AS BIGINT) FROM d WHERE k = 1
+)
+SELECT source, lang, tokenizer_version, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM n GROUP BY ALL
+"""
+
+
+def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    found = warc.read_warc(spark, path, with_payload=False).where("reason is null")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL_2 = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), h AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS head FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN head <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN head <> page_id THEN head END AS refers_to
+FROM h
+"""
+
+
 def op3_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -23,5 +86,31 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_index(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE)).drop("part")
 
 
-QUERIES = {f.__name__: f for f in (op3_pack_documents, op4_token_files)}
-ORACLE_SQL: dict[str, str] = {}
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+SQL_5 = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
+), k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), m AS (
+  SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING min(doc_id) < max(doc_id)
+), t AS (
+  SELECT k.doc_id, pos, line, m.first IS NOT NULL AND m.first <> k.doc_id AS gone FROM k LEFT JOIN m ON k.key = m.key
+)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM t GROUP BY doc_id
+"""
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdict, _ = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return verdict.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_rollup, op2_warc_salvage, op3_pack_documents, op4_token_files, op5_line_dedup, op6_quality_rules)}
+ORACLE_SQL: dict[str, str] = {"op1_token_rollup": SQL_1, "op2_warc_salvage": SQL_2, "op5_line_dedup": SQL_5}
