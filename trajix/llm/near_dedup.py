@@ -4,8 +4,10 @@ A document's set of word shingles is sketched by registers floor(1 - log_b(h)),
 smallest of exponentially distributed hashes of the shingles, held between 0 and q + 1. Registers of
 a union are the larger ones of its parts, and registers of similar sets are often equal, so runs of
 registers serve as bands of a locality-sensitive index. Texts with the same words are one node from
-the start. Within a band's bucket each node is compared with one hub, which takes a row for each
-member; only nodes that hubs have left in different components are then compared with each other.
+the start. Shingles that one node has alone bound what it can reach; nodes that can reach nothing
+drop out here. Within a band's bucket each node is compared with one hub, the node with the smallest
+share of shingles of its own, which takes a row for each member. Nodes that hubs have left in
+different components are then compared with each other where what each lacks of the hub allows it.
 Pairs whose registers make the asked similarity very unlikely, by the joint likelihood of larger,
 smaller and equal registers, are left out, and the rest are confirmed on their full sets.
 """
@@ -18,7 +20,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajix.llm import word_hash
@@ -184,12 +186,47 @@ def _likely(pairs: DataFrame, nodes: DataFrame, sketch: SetSketch, percent: int)
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach the similarity."""
+    both = _with_sets(pairs, sets).select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("i"))
+    return both.where(_reaches(F.col("i"), F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     x, y = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("i"))
-    return both.where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b").distinct()
+    return pairs.join(x, "a").join(y, "b")
+
+
+def _reaches(common: Column, na: Column, nb: Column, percent: int) -> Column:
+    return 100 * common >= percent * (na + nb - common)
+
+
+def _signature(values: Column, half: int) -> Column:
+    """64 bits, one of which each value whose bit 6 is ``half`` sets."""
+    bit = lambda v: F.call_function("shiftleft", F.lit(1).cast("bigint"), v.bitwiseAND(F.lit(63)).cast("int"))
+    own = F.filter(values, lambda v: v.bitwiseAND(F.lit(64)) == 64 * half)
+    return F.aggregate(own, F.lit(0).cast("bigint"), lambda acc, v: acc.bitwiseOR(bit(v)))
+
 
+def _against_hub(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """For pairs (node, hub): their sizes and common shingles, and a signature of what the hub has beyond the node."""
+    both = _with_sets(pairs.select(F.col("node").alias("a"), F.col("hub").alias("b")), sets).withColumn("lacks", F.array_except("sb", "sa"))
+    sizes = F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("i")
+    return both.select(F.col("a").alias("node"), F.col("b").alias("hub"), *sizes, F.size("lacks").alias("lacks"), _signature(F.col("lacks"), 0).alias("s0"), _signature(F.col("lacks"), 1).alias("s1"))
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, sketch: SetSketch | None = None, compare_all: int = 48) -> DataFrame:
+
+def _most_common(hub: Column, x: dict[str, Column], y: dict[str, Column]) -> Column:
+    """An upper bound of the shingles that two nodes of a bucket have in common.
+
+    Within the hub they have what neither lacks, and what both lack sets the same signature bits;
+    beyond the hub only shingles count that no node has alone. Null where one was not compared with
+    the hub.
+    """
+    same = F.bit_count(x["s0"].bitwiseAND(y["s0"])) + F.bit_count(x["s1"].bitwiseAND(y["s1"]))
+    folded = F.least(*[n["lacks"] - F.bit_count(n["s0"]) - F.bit_count(n["s1"]) for n in (x, y)])
+    beyond = F.least(*[n["n"] - n["i"] - n["alone"] for n in (x, y)])
+    return hub - x["lacks"] - y["lacks"] + same + folded + beyond
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, sketch: SetSketch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, a row for each row of ``docs`` (doc_id, text).
 
     Documents are linked where 100 times their shingles in common are at least ``percent`` times
@@ -197,9 +234,6 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     row's own. Texts without words have no shingles and no links. Rows that share a doc_id are one
     document with the links of each. Rows with a null doc_id have no component and are kept. An empty
     table gives no rows; other columns are not looked at.
-
-    Buckets of up to ``compare_all`` nodes in several components compare all of these across
-    components. In larger ones two nodes must also share one of the next four bands.
     """
     sketch = sketch or SetSketch()
     found = written(sketches(docs, shingle_words, sketch), "sketches")
@@ -209,25 +243,35 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     bands = _bands(nodes, sketch)
     shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     members = written(bands.join(shared, "key"), "band-members")
-    sets = written(shingle_sets(_own(docs).join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle_words), "shingle-sets")
-
-    hubs = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node")).node.alias("hub"), F.count("*").alias("size"))
-    by_hub = members.join(hubs.select("key", "hub"), "key").where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    links = written(_linked(_likely(by_hub, nodes, sketch, percent), sets, percent), "hub-links")
+    in_buckets = members.select("node").distinct()
+    sets = written(shingle_sets(_own(docs).join(in_buckets.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), shingle_words), "shingle-sets")
+
+    # What a node has alone is in no intersection: it bounds what the node can reach, and tells hubs from fringes.
+    alone = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("hi")).where("node = hi")
+    sizes = sets.groupBy(F.col("doc_id").alias("node")).agg(F.max(F.size("shingles")).alias("size_"))
+    alone = sizes.join(alone.groupBy("node").agg(F.count("*").alias("alone")), "node", "left").select("node", F.col("size_").alias("n"), F.coalesce("alone", F.lit(0)).alias("alone"))
+    members = written(members.join(alone.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")), "node"), "linkable-members")
+
+    central = F.struct((F.col("alone") / F.col("n")).alias("share"), F.xxhash64("key", "node").alias("h"), "node")
+    hubs = members.groupBy("key").agg(F.min(central).node.alias("hub"), F.count("*").alias("size")).where("size > 1")
+    starred = written(members.join(hubs, "key").where("node != hub").select("key", "node", "n", "alone", "hub", "size"), "starred")
+    by_hub = starred.select("node", "hub").distinct()
+    likely = _likely(by_hub.select(F.col("node").alias("a"), F.col("hub").alias("b")), nodes, sketch, percent)
+    compared = written(_against_hub(likely.select(F.col("a").alias("node"), F.col("b").alias("hub")), sets), "hub-pairs")
+    links = compared.where(_reaches(F.col("i"), F.col("na"), F.col("nb"), percent)).select(F.col("node").alias("a"), F.col("hub").alias("b"))
     roots = written(components(links), "hub-roots")
 
-    placed = members.join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2").select("key", "size")
-    left = written(placed.join(open_keys, "key"), "open-buckets")
-    small = left.where(F.col("size") <= compare_all).select("key", "node", "root")
-    large = left.where(F.col("size") > compare_all)
-    near = F.explode(F.array(*[F.struct(F.pmod(F.col("band") + k, F.lit(sketch.bands)).alias("to")) for k in range(1, 5)])).alias("x")
-    twice = large.select("key", "band", "node", "root", near).select(F.col("key").alias("key1"), "node", "root", F.col("x.to").alias("band"))
-    twice = twice.join(placed.select("band", "node", "key"), ["band", "node"]).select(F.xxhash64("key1", "key").alias("key"), "node", "root")
-    twice = twice.join(twice.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "key")
-    across = small.union(twice)
-    x, y = (across.select("key", F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-    rest = x.join(y, "key").where("ra != rb and a < b").select("a", "b").distinct().join(by_hub, ["a", "b"], "left_anti")
+    placed = starred.where("size > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    hub_facts = compared.select("node", "hub", "i", "lacks", "s0", "s1", "nb")
+    left = written(placed.join(open_keys, "key").join(hub_facts, ["node", "hub"], "left"), "open-buckets")
+    facts = ["node", "root", "n", "alone", "i", "lacks", "s0", "s1"]
+    x, y = (left.select("key", F.col("nb").alias(f"hub_{c}"), *[F.col(k).alias(f"{k}_{c}") for k in facts]) for c in "xy")
+    of_x, of_y = ({k: F.col(f"{k}_{c}") for k in facts} for c in "xy")
+    bounds = [F.least(of_x["n"] - of_x["alone"], of_y["n"] - of_y["alone"]), _most_common(F.col("hub_x"), of_x, of_y)]
+    can = [F.coalesce(_reaches(common, of_x["n"], of_y["n"], percent), F.lit(True)) for common in bounds]
+    rest = x.join(y.withColumnRenamed("key", "key_y"), (F.col("key") == F.col("key_y")) & (of_x["root"] != of_y["root"]) & (of_x["node"] < of_y["node"]) & can[0] & can[1])
+    rest = rest.select(of_x["node"].alias("a"), of_y["node"].alias("b")).distinct()
     more = written(_linked(_likely(rest, nodes, sketch, percent), sets, percent), "other-links")
     if not more.isEmpty():
         forest = roots.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))

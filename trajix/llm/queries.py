@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajix.llm import line_dedup, quality_rules, token_rollup, warc
+from trajix.llm.near_dedup import near_duplicates
 from trajix.llm.packing import pack_documents
 from trajix.llm.scratch import new_path, written
 from trajix.llm.sqltext import BLANK_RUN, hash_128, strip
@@ -112,5 +113,9 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdict.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_rollup, op2_warc_salvage, op3_pack_documents, op4_token_files, op5_line_dedup, op6_quality_rules)}
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_rollup, op2_warc_salvage, op3_pack_documents, op4_token_files, op5_line_dedup, op6_quality_rules, op8_minhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {"op1_token_rollup": SQL_1, "op2_warc_salvage": SQL_2, "op5_line_dedup": SQL_5}
