@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 VERSION = b"WARC/1.1"
 GZIP = b"\x1f\x8b\x08"
 VERSION_LINE = re.compile(rb"WARC/\d\.\d\r\n")
+PIECE = 1 << 13
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A gzip member ends with its size modulo 2^32, little endian: below this many bytes the last byte is zero.
 MEMBER_BYTES = 1 << 24
@@ -98,14 +99,16 @@ def _parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | str:
 
 def _member(raw: bytes, at: int) -> tuple[bytes, int] | str:
     """What the gzip member at ``at`` holds and its end, or why it can't be read; zlib checks crc and size."""
-    reader = zlib.decompressobj(31)
+    reader, view, parts = zlib.decompressobj(31), memoryview(raw), []
     try:
-        out = reader.decompress(raw[at:] if at else raw)
+        while not reader.eof:
+            if at >= len(raw):
+                return "member cut short"
+            parts.append(reader.decompress(view[at : at + PIECE]))
+            at += PIECE
     except zlib.error as e:
         return f"member: {e}"
-    if not reader.eof:
-        return "member cut short"
-    return out, len(raw) - len(reader.unused_data)
+    return b"".join(parts), min(at, len(raw)) - len(reader.unused_data)
 
 
 def _zipped(raw: bytes, at: int) -> tuple[Found, int] | str:
