@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajix.llm import line_dedup, quality_rules, token_rollup, warc
+from trajix.llm import byte_net, line_dedup, quality_rules, token_rollup, warc
+from trajix.llm.multi_index import nearest_neighbours
 from trajix.llm.near_dedup import near_duplicates
 from trajix.llm.packing import pack_documents
 from trajix.llm.scratch import new_path, written
@@ -113,9 +114,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdict.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
+def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(rows, rows.where("vec_id % 100 = 0"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_rollup, op2_warc_salvage, op3_pack_documents, op4_token_files, op5_line_dedup, op6_quality_rules, op8_minhash_near_dedup)}
+def op10_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return byte_net.score_documents(docs, byte_net.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_rollup, op2_warc_salvage, op3_pack_documents, op4_token_files, op5_line_dedup, op6_quality_rules, op7_multi_index, op8_minhash_near_dedup, op10_quality_net)}
 ORACLE_SQL: dict[str, str] = {"op1_token_rollup": SQL_1, "op2_warc_salvage": SQL_2, "op5_line_dedup": SQL_5}
