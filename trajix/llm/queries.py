@@ -13,6 +13,7 @@ from trajix.llm.packing import pack_documents
 from trajix.llm.scratch import new_path, written
 from trajix.llm.sqltext import BLANK_RUN, hash_128, strip
 from trajix.llm.token_files import write_and_index
+from trajix.llm.unigram import round_trips
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -123,10 +124,14 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_net.score_documents(docs, byte_net.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_rollup, op2_warc_salvage, op3_pack_documents, op4_token_files, op5_line_dedup, op6_quality_rules, op7_multi_index, op8_minhash_near_dedup, op10_quality_net)}
+QUERIES = {f.__name__: f for f in (op1_token_rollup, op2_warc_salvage, op3_pack_documents, op4_token_files, op5_line_dedup, op6_quality_rules, op7_multi_index, op8_minhash_near_dedup, op9_sentencepiece, op10_quality_net)}
 ORACLE_SQL: dict[str, str] = {"op1_token_rollup": SQL_1, "op2_warc_salvage": SQL_2, "op5_line_dedup": SQL_5}
