@@ -29,7 +29,8 @@ def distance(a: Vector, b: Vector) -> Column:
 
 
 def clamp(c: Column) -> Column:
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
+    """Between -1 and 1; null stays null."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
 
 
 def angle(a: Vector, b: Vector, c: Vector) -> Column:
