@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajix.model import to_long
+from trajix.model import listed, to_long
 
 MOST_DIMENSIONS = 30_000
 
@@ -74,15 +74,17 @@ def covariance(frames: DataFrame, atoms: list[int] | None = None) -> DataFrame:
                 values = np.append(total, n) if i < 0 else square[i, i:]
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([values])], names=["i", "v"])
 
+    def added(table: pa.Table) -> pa.Table:  # a row from each task that had frames
+        rows = [v.values.to_numpy(zero_copy_only=False) for v in table["v"]]
+        return pa.table({"i": table["i"][:1], "v": pa.array([np.sum(rows, axis=0)], pa.list_(pa.float64()))})
+
     parts = frames.select(*"xyz").mapInArrow(products, "i bigint, v array<double>")
-    each = parts.select("i", F.posexplode("v").alias("k", "v")).groupBy("i", "k").agg(F.sum("v").alias("v"))
-    sums = each.where("i = -1").select("k", "v")
-    count = sums.where(F.col("k") == dim).select(F.col("v").alias("n"))
-    n = count.first()["n"]
-    means = sums.where(F.col("k") < dim)
-    a, b = (means.select(F.col("k").cast("bigint").alias(c), F.col("v").alias(f"t{c}")) for c in "ij")
-    rows = each.where("i >= 0").select("i", (F.col("i") + F.col("k")).alias("j"), "v").join(a, "i").join(b, "j")
-    return rows.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), ((F.col("v") - F.col("ti") * F.col("tj") / n) / (n - 1)).alias("value"))
+    whole = parts.groupBy("i").applyInArrow(added, "i bigint, v array<double>")
+    head = whole.where("i = -1").first()["v"]
+    total, n = listed(head[:-1], "array<double>"), head[-1]
+    each = whole.where("i >= 0").select("i", F.posexplode("v").alias("k", "v")).select("i", (F.col("i") + F.col("k")).alias("j"), "v")
+    value = (F.col("v") - F.get(total, F.col("i").cast("int")) * F.get(total, F.col("j").cast("int")) / n) / (n - 1)
+    return each.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), value.alias("value"))
 
 
 def pca(frames: DataFrame, atoms: list[int] | None = None, n_components: int | None = None) -> tuple[DataFrame, DataFrame]:
