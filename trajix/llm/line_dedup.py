@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trajix.llm.scratch import written
 from trajix.llm.sqltext import ascii_lower, hash_128, let, strip
 
 
@@ -42,8 +43,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     lines = own.select("d", "t", F.posexplode("lines").alias("pos", "line")).select("d", "t", "pos", line_key(F.col("line")).alias("key"))
     h1, h2 = hash_128(F.col("key"))
     lines = lines.where(F.char_length("key") >= min_chars).select("d", "t", "pos", h1.alias("h1"), h2.alias("h2"))
+    shared = written(repeated_keys(lines, min_docs), "shared-lines")  # as a table of its own, the join can split a hot line
     lost = (
-        lines.join(repeated_keys(lines, min_docs), ["h1", "h2"])
+        lines.join(shared, ["h1", "h2"])
         .where("d != first")
         .groupBy("d", "t")
         .agg(F.collect_set("pos").alias("lost"))

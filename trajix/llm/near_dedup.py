@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from trajix.llm import word_hash
 from trajix.llm.bpe_ids import steps
 from trajix.llm.components import components
-from trajix.llm.scratch import written
+from trajix.llm.scratch import only_ids, written
 
 BLOCK = 1 << 16
 
@@ -243,8 +243,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     bands = _bands(nodes, sketch)
     shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     members = written(bands.join(shared, "key"), "band-members")
-    in_buckets = members.select("node").distinct()
-    sets = written(shingle_sets(_own(docs).join(in_buckets.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), shingle_words), "shingle-sets")
+    sets = written(shingle_sets(only_ids(_own(docs), "doc_id", members.select("node"), keep=True), shingle_words), "shingle-sets")
 
     # What a node has alone is in no intersection: it bounds what the node can reach, and tells hubs from fringes.
     alone = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("hi")).where("node = hi")
@@ -285,5 +284,4 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each component does: its smallest doc_id's."""
-    gone = near_duplicates(docs, **how).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return only_ids(docs, "doc_id", near_duplicates(docs, **how).where("not kept").select("doc_id"), keep=False)

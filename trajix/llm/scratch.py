@@ -31,3 +31,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Ids that are sent to every task: one column of eight bytes, so about ten megabytes at most.
+MOST_SENT_IDS = 1_000_000
+
+
+def only_ids(rows: DataFrame, column: str, ids: DataFrame, keep: bool) -> DataFrame:
+    """``rows`` whose ``column`` is among the one column of ``ids``, or is not; nulls match nulls.
+
+    Ids are written and counted first: up to MOST_SENT_IDS they are broadcast, so that wide rows
+    stay where they are; beyond that both sides are shuffled.
+    """
+    from pyspark.sql import functions as F
+
+    name = "__only_ids"
+    ids = written(ids.toDF(name).distinct(), "ids")
+    if ids.limit(MOST_SENT_IDS + 1).count() <= MOST_SENT_IDS:
+        ids = F.broadcast(ids)
+    return rows.join(ids, F.col(column).eqNullSafe(F.col(name)), "left_semi" if keep else "left_anti")
