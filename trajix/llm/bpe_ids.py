@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one step works on; a longer text makes a step of its own.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 2 << 20
 #: Runs that a worker keeps; the cache starts anew beyond it, which changes no id.
 MOST_RUNS = 700_000
 
