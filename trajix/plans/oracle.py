@@ -247,4 +247,6 @@ ORACLE_SQL["analyze_all"] = f"""{_about}, g AS (SELECT frame, sqrt(sum(mass * (x
   SELECT frame, {r('rmsd', 'rmsd')}, {r('rg', 'rg')}, {', '.join(r(f'm{c}', f'c{c}') for c in 'xyz').replace('mx', 'm.mx').replace('my', 'm.my').replace('mz', 'm.mz')},
     (SELECT count(*) FROM hb WHERE hb.frame = m.frame AND angle >= 120) AS n_hbonds, (SELECT count(*) FROM kc WHERE kc.frame = m.frame) AS n_contacts
   FROM m JOIN g USING (frame) JOIN rmsds USING (frame)"""
+ORACLE_SQL["analyze_all_frames"] = f"SELECT f.*, s.area AS sasa FROM ({ORACLE_SQL['analyze_all']}) f JOIN ({ORACLE_SQL['sasa_total']}) s USING (frame)"
+ORACLE_SQL["analyze_all_atoms"] = ORACLE_SQL["rmsf"]
 ORACLE_SQL["lineitem_center"] = f"SELECT l_orderkey, {r('sum(l_quantity * l_extendedprice) / sum(l_quantity)', 'center')}, round(stddev_pop(l_extendedprice), 3) + 0.0 AS spread, count(*) AS n FROM lineitem GROUP BY 1"

@@ -298,9 +298,20 @@ def metric_summary(spark, sf_dir):
 
 @query()
 def analyze_all(spark, sf_dir):
+    """The columns of its SQL, which has no surface areas; the whole analysis is in the next two queries."""
     return derived.analyze_all(sample.frames(spark, sf_dir), sample.topology(spark), with_sasa=False)
 
 
+@query()
+def analyze_all_frames(spark, sf_dir):
+    return derived.analyze_all(sample.frames(spark, sf_dir), sample.topology(spark))
+
+
+@query()
+def analyze_all_atoms(spark, sf_dir):
+    return derived.rmsf_of_all(sample.frames(spark, sf_dir))
+
+
 @query()
 def lineitem_center(spark, sf_dir):
     """Weighted centers and spread of rows grouped by order: the same sums at another shape."""
