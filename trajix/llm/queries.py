@@ -25,14 +25,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are inserted, their counts revised to those of the text with plain blanks, and
     exact copies of an earlier document deleted; two batches come in twice. Totals by source,
-    language and tokenizer version, after the batches were summed up."""
+    language and tokenizer version, after the batches were summed up. Its SQL has the two versions
+    that Spark counts itself; op1_token_rollup_bpe adds a vocabulary's tokens."""
+    return _rolled_up(spark, sf_dir, None)
+
+
+def op1_token_rollup_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same changes with the tokens of a vocabulary file as a third tokenizer version."""
+    return _rolled_up(spark, sf_dir, WORD_BPE)
+
+
+def _rolled_up(spark: SparkSession, sf_dir: str, tokenizer: str | None) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     plain = F.regexp_replace(strip(text), BLANK_RUN, " ")
     h1, h2 = hash_128(text)
     raw, new = token_rollup.count_columns(text), token_rollup.count_columns(plain)
-    each = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer_version"), raw[v].alias("n"), new[v].alias("m")) for v in raw]))
-    counted = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", h1.alias("h1"), h2.alias("h2"), each.alias("x"))
-    counted = written(counted.select("doc_id", "source", "lang", "h1", "h2", "x.*"), "token-counts")
+    own = [F.struct(F.lit(v).alias("tokenizer_version"), raw[v].alias("n"), new[v].alias("m")) for v in raw]
+    counted = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", h1.alias("h1"), h2.alias("h2"), F.array(*own).alias("own"), text.alias("n"), F.nullif(plain, text).alias("m"), (plain == text).alias("kept"))
+    if tokenizer:
+        counted = token_rollup.with_bpe_counts(counted, public_tokenizers.path(tokenizer), ["n", "m"])
+        bpe = F.struct(F.lit(tokenizer.removesuffix(".json")).alias("tokenizer_version"), F.col("n"), F.when(F.col("kept"), F.col("n")).otherwise(F.col("m")).alias("m"))
+        counted = counted.withColumn("own", F.array_append("own", bpe))
+    counted = written(counted.select("doc_id", "source", "lang", "h1", "h2", F.explode("own").alias("x")).select("doc_id", "source", "lang", "h1", "h2", "x.*"), "token-counts")
     firsts = counted.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     keys = ["source", "lang", "tokenizer_version"]
     null = F.lit(None).cast("bigint")
@@ -134,4 +148,6 @@ def op10_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_rollup, op2_warc_salvage, op3_pack_documents, op4_token_files, op5_line_dedup, op6_quality_rules, op7_multi_index, op8_minhash_near_dedup, op9_sentencepiece, op10_quality_net)}
+#: Registered beside the ten: whole jobs of which a query's SQL has a part.
+MORE_QUERIES = {f.__name__: f for f in (op1_token_rollup_bpe,)}
 ORACLE_SQL: dict[str, str] = {"op1_token_rollup": SQL_1, "op2_warc_salvage": SQL_2, "op5_line_dedup": SQL_5}

@@ -90,8 +90,8 @@ def count_columns(text: Column) -> dict[str, Column]:
     return {"words-1": F.regexp_count(text, F.lit(WORD)).cast("bigint"), "utf8-bytes-1": F.octet_length(text).cast("bigint")}
 
 
-def bpe_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """``docs`` (doc_id, source, lang, text) with n_tokens by a vocabulary file in place of the text; a null text has 0."""
+def with_bpe_counts(rows: DataFrame, tokenizer: str, texts: list[str]) -> DataFrame:
+    """``rows`` with token counts by a vocabulary file in place of the string columns ``texts``; a null text has 0."""
     from collections.abc import Iterator
 
     import numpy as np
@@ -102,10 +102,16 @@ def bpe_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = RunBpe.of(tokenizer)
         for batch in batches:
-            sizes = [np.diff(bpe.encode(texts)[1]) for _, texts in steps(batch["text"])]
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["source"], batch["lang"], pa.array(np.concatenate([np.zeros(0, np.int64), *sizes]))], names=["doc_id", "source", "lang", "n_tokens"]
-            )
+            columns = {c: batch[c] for c in batch.schema.names}
+            for c in texts:
+                sizes = [np.diff(bpe.encode(part)[1]) for _, part in steps(batch[c])]
+                columns[c] = pa.array(np.concatenate([np.zeros(0, np.int64), *sizes]))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return rows.mapInArrow(count, ", ".join(f"`{c}` {'bigint' if c in texts else t}" for c, t in rows.dtypes))
 
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("source", "lang", "text")])
-    return chosen.mapInArrow(count, "doc_id bigint, source string, lang string, n_tokens bigint")
+
+def bpe_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """``docs`` (doc_id, source, lang, text) with n_tokens by a vocabulary file in place of the text; a null text has 0."""
+    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("source", "lang")], F.col("text").cast("string").alias("n_tokens"))
+    return with_bpe_counts(chosen, tokenizer, ["n_tokens"])
