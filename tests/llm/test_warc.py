@@ -67,3 +67,24 @@ def test_salvage(compress):
     assert gaps == [(0, 4), (at, at + len(parts[2])), (at + len(parts[2]) + len(parts[3]), len(raw) - len(parts[5]))]
     assert [b for f in found for b in (f.begin, f.end)] == sorted(b for f in found for b in (f.begin, f.end))
     assert [(f.begin, f.end) for f in warc.salvage(b"nothing here")] == [(0, 12)] and list(warc.salvage(b"")) == []
+
+
+def test_several_records_in_a_member():
+    parts = [record(i, f"payload {i} ".encode() * 30, False) for i in range(4)]
+    alone = record(9, b"alone")
+    ids = lambda found: [f.headers["warc-record-id"] for f in found if f.reason is None]
+    sound = gzip.compress(b"".join(parts))
+    found = list(warc.salvage(sound + alone))
+    assert ids(found) == [f"<urn:page:{i}>" for i in (0, 1, 2, 3, 9)] and not any(f.reason for f in found)
+    assert {(f.begin, f.end) for f in found} == {(0, len(sound)), (len(sound), len(sound) + len(alone))}
+    for k in range(4):
+        bad = bytearray(parts[k])
+        bad[-20] ^= 0xFF
+        member = gzip.compress(b"".join([*parts[:k], bytes(bad), *parts[k + 1 :]]))
+        found = list(warc.salvage(member + alone))
+        assert ids(found) == [f"<urn:page:{i}>" for i in (0, 1, 2, 3, 9) if i != k]
+        at = sum(map(len, parts[:k]))
+        [gap] = [f for f in found if f.reason]
+        assert (gap.begin, gap.end) == (0, len(member)) and f"bytes {at} to {at + len(bad)} within" in gap.reason
+    found = list(warc.salvage(gzip.compress(b"junk" + parts[0] + b"rest")))
+    assert [bool(f.reason) for f in found] == [True, False, True]

@@ -111,22 +111,51 @@ def _member(raw: bytes, at: int) -> tuple[bytes, int] | str:
     return b"".join(parts), min(at, len(raw)) - len(reader.unused_data)
 
 
-def _zipped(raw: bytes, at: int) -> tuple[Found, int] | str:
-    """The record at a member; members that don't begin with a version line go on with the one before."""
+def _plain(data: bytes) -> Iterator[Found]:
+    """The records of a member that holds several, and the gaps between them, at bytes of what the member holds."""
+    at, gap, why = 0, None, ""
+    while at < len(data):
+        parsed = _parse(data, at)
+        if isinstance(parsed, str):
+            gap, why = (at, parsed) if gap is None else (gap, why)
+            line = VERSION_LINE.search(data, at + 1)
+            at = line.start() if line else len(data)
+        else:
+            if gap is not None:
+                yield Found(gap, at, reason=why)
+                gap = None
+            yield Found(at, parsed[2], parsed[0], parsed[1])
+            at = parsed[2]
+    if gap is not None:
+        yield Found(gap, len(data), reason=why)
+
+
+def _zipped(raw: bytes, at: int) -> tuple[list[Found], int] | str:
+    """The records and gaps of a member; members that don't begin with a version line go on with the one before.
+
+    All of them lie at the member's bytes of the file; a gap's reason has its bytes within the member.
+    """
     got = _member(raw, at)
     if isinstance(got, str):
         return got
-    data, end = got
-    if not VERSION_LINE.match(data):
-        return "no version line"
-    parsed = _parse(data)
-    while isinstance(parsed, str) and len(data) % (MEMBER_BYTES - 1) == 0 and raw.startswith(GZIP, end):
-        got = _member(raw, end)
-        if isinstance(got, str) or VERSION_LINE.match(got[0]):
-            break
-        data, end = data + got[0], got[1]
+    first, stop = data, end = got
+    if VERSION_LINE.match(data):
         parsed = _parse(data)
-    return parsed if isinstance(parsed, str) else (Found(at, end, parsed[0], parsed[1]), end)
+        while isinstance(parsed, str) and len(data) % (MEMBER_BYTES - 1) == 0 and raw.startswith(GZIP, end):
+            got = _member(raw, end)
+            if isinstance(got, str) or VERSION_LINE.match(got[0]):
+                break
+            data, end = data + got[0], got[1]
+            parsed = _parse(data)
+        if isinstance(parsed, str):  # what follows is not the rest of this record
+            data, end = first, stop
+    found = list(_plain(data))
+    if all(x.reason for x in found):
+        return found[0].reason if found else "no version line"
+    for x in found:
+        x.reason = x.reason and f"{x.reason}, at bytes {x.begin} to {x.end} within the member"
+        x.begin, x.end = at, end
+    return found, end
 
 
 def _next_start(raw: bytes, at: int) -> int:
@@ -143,7 +172,7 @@ def salvage(raw: bytes) -> Iterator[Found]:
             got = _zipped(raw, at)
         else:
             parsed = _parse(raw, at)
-            got = parsed if isinstance(parsed, str) else (Found(at, parsed[2], parsed[0], parsed[1]), parsed[2])
+            got = parsed if isinstance(parsed, str) else ([Found(at, parsed[2], parsed[0], parsed[1])], parsed[2])
         if isinstance(got, str):
             gap, why = (at, got) if gap is None else (gap, why)
             at = _next_start(raw, at + 1)
@@ -151,7 +180,7 @@ def salvage(raw: bytes) -> Iterator[Found]:
             if gap is not None:
                 yield Found(gap, at, reason=why)
                 gap = None
-            yield got[0]
+            yield from got[0]
             at = got[1]
     if gap is not None:
         yield Found(gap, len(raw), reason=why)
@@ -199,7 +228,8 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
     A record's row has page_id, url, record_type, refers_to, payload_bytes and payload_digest (of
     the full payload, which a revisit states but does not hold), payload (null for revisits or
     without ``with_payload``), path, begin and end. A gap's row has path, begin, end and reason, and
-    nulls. A task holds one archive at a time.
+    nulls. Records and gaps of a gzip member that holds several have the member's begin and end. A
+    task holds one archive at a time.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
