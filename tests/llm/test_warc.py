@@ -1,5 +1,6 @@
 """WARC archives written, read back, damaged and salvaged."""
 
+import base64
 import gzip
 import hashlib
 
@@ -88,3 +89,26 @@ def test_several_records_in_a_member():
         assert (gap.begin, gap.end) == (0, len(member)) and f"bytes {at} to {at + len(bad)} within" in gap.reason
     found = list(warc.salvage(gzip.compress(b"junk" + parts[0] + b"rest")))
     assert [bool(f.reason) for f in found] == [True, False, True]
+
+
+def crawl_record(page, payload, label, digest):
+    """A record as crawlers write it, with the block and payload digests that ``digest`` gives."""
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + payload
+    head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{page}>\r\nWARC-Payload-Digest: {label}:{digest(payload)}\r\nWARC-Block-Digest: {label}:{digest(block)}\r\n"
+    return f"{head}Content-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_digests_by_their_algorithm(spark, tmp_path):
+    base32 = lambda name: lambda b: base64.b32encode(hashlib.new(name, b).digest()).decode()
+    hexed = lambda name: lambda b: hashlib.new(name, b).hexdigest().upper()
+    kinds = [("sha1", base32("sha1")), ("sha1", hexed("sha1")), ("sha256", base32("sha256")), ("SHA-256", hexed("sha256")), ("xxh3", lambda b: "0" * 16)]
+    records = [crawl_record(i, b"<html>%d</html>" % i, *k) for i, k in enumerate(kinds)]
+    (tmp_path / "sound.warc").write_bytes(b"".join(records))
+    rows = warc.read_warc(spark, f"file://{tmp_path}").orderBy("begin").collect()
+    assert [(r["page_id"], r["reason"]) for r in rows] == [(i, None) for i in range(len(kinds))]
+    for i in range(4):
+        broken = records[i].replace(b"<html>", b"<HTML>")
+        assert [f.reason for f in warc.salvage(broken)] == ["block digest differs"]
+        (tmp_path / f"{i}.warc").write_bytes(broken.replace(b"WARC-Block-Digest", b"X-Block-Digest"))
+        [row] = warc.read_warc(spark, f"file://{tmp_path}/{i}.warc").collect()
+        assert row["reason"] == "payload digest differs"

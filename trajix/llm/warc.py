@@ -11,6 +11,7 @@ bytes between as a quarantined gap.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -28,6 +29,8 @@ PIECE = 1 << 13
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A gzip member ends with its size modulo 2^32, little endian: below this many bytes the last byte is zero.
 MEMBER_BYTES = 1 << 24
+#: Digests that are checked.
+ALGORITHMS = ("md5", "sha1", "sha256", "sha384", "sha512")
 FIELDS = (
     "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, "
     "payload binary, path string, begin bigint, end bigint, reason string"
@@ -72,6 +75,16 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, digest: s
     return b"".join(members)[:-1]
 
 
+def _differs(stated: str, content: bytes) -> bool:
+    """Whether a stated digest, in hex or base32, is not that of the content; one of another algorithm is not checked."""
+    name, _, value = stated.rpartition(":")
+    name = name.strip().lower().replace("-", "") or ("sha256" if re.fullmatch(r"[0-9a-fA-F]{64}", value) else "")
+    if name not in ALGORITHMS:
+        return False
+    own, value = hashlib.new(name, content).digest(), value.strip()
+    return value.lower() != own.hex() and value.upper().rstrip("=") != base64.b32encode(own).decode().rstrip("=")
+
+
 def _parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | str:
     """Headers, block and end of the record at ``at``, or why there is none."""
     line = VERSION_LINE.match(raw, at)
@@ -91,8 +104,7 @@ def _parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | str:
     if raw[end : end + 4] != b"\r\n\r\n":
         return "block cut short or of another length"
     block = raw[stop + 4 : end]
-    stated = headers.get("warc-block-digest", "")
-    if stated.startswith("sha256:") and hashlib.sha256(block).hexdigest() != stated[7:]:
+    if _differs(headers.get("warc-block-digest", ""), block):
         return "block digest differs"
     return headers, block, end + 4
 
@@ -227,7 +239,8 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 
     A record's row has page_id, url, record_type, refers_to, payload_bytes and payload_digest (of
     the full payload, which a revisit states but does not hold), payload (null for revisits or
-    without ``with_payload``), path, begin and end. A gap's row has path, begin, end and reason, and
+    without ``with_payload``), path, begin and end. A digest keeps the name of its algorithm unless
+    that is sha256; digests of algorithms that are not in ``ALGORITHMS`` are not checked. A gap's row has path, begin, end and reason, and
     nulls. Records and gaps of a gzip member that holds several have the member's begin and end. A
     task holds one archive at a time.
     """
@@ -245,12 +258,15 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                     if x.reason is None:
                         h = x.headers
                         http, _, payload = x.block.partition(b"\r\n\r\n")
-                        kind, digest = h.get("warc-type"), h.get("warc-payload-digest", "").removeprefix("sha256:") or None
+                        kind, stated_digest = h.get("warc-type"), h.get("warc-payload-digest", "")
+                        digest = stated_digest.removeprefix("sha256:") or None
+                        if kind != "revisit" and not h.get("content-type", "application/http").lower().startswith("application/http"):
+                            payload = x.block
                         n = len(payload)
                         if kind == "revisit":
                             stated = re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)
                             n, payload = int(stated[1]) if stated else None, None
-                        elif digest and hashlib.sha256(payload).hexdigest() != digest:
+                        elif _differs(stated_digest, payload):
                             row["reason"] = "payload digest differs"
                         row |= {"page_id": _page(h.get("warc-record-id")), "url": h.get("warc-target-uri"), "record_type": kind, "refers_to": _page(h.get("warc-refers-to")),
                                 "payload_bytes": n, "payload_digest": digest, "payload": payload if with_payload else None}
