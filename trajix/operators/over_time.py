@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajix.model import listed, to_long
 
 MOST_DIMENSIONS = 30_000
+PAIRS_A_TASK = 8
 
 
 def rmsf(frames: DataFrame, atoms: list[int] | None = None) -> DataFrame:
@@ -22,29 +23,56 @@ def rmsf(frames: DataFrame, atoms: list[int] | None = None) -> DataFrame:
     return to_long(frames, atoms).groupBy("atom_index").agg(F.sqrt(spread).alias("value"))
 
 
-def msd(frames: DataFrame, atoms: list[int] | None = None) -> DataFrame:
+def _in_order(frames: DataFrame, n: int, block: int) -> DataFrame:
+    """The ``n`` frames with their place in the order of frames as the frame, numbered in parts that quantiles cut."""
+    parts = min(128, n // block + 1)
+    cuts = frames.approxQuantile("frame", [k / parts for k in range(1, parts)], 0.002) if parts > 1 else []
+    part = F.size(F.filter(listed(cuts, "array<double>"), lambda c: c <= F.col("frame"))) if cuts else F.lit(0)
+    rows = frames.withColumn("part", part)
+    sizes = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
+    before = [sum(v for k, v in sizes.items() if k < i) for i in range(len(cuts) + 1)]
+    place = F.row_number().over(Window.partitionBy("part").orderBy("frame")) - 1
+    return rows.withColumn("place", F.get(listed(before, "array<bigint>"), F.col("part")) + place).select(F.col("place").alias("frame"), *"xyz")
+
+
+def msd(frames: DataFrame, atoms: list[int] | None = None, block: int = 8192) -> DataFrame:
     """lag, value: mean square displacement over all atoms and all starts, by the order of frames.
 
-    Each atom's track is one group; autocorrelations come from a Fourier transform, so a track of T
-    frames takes T log T steps. Coordinates are not unwrapped.
+    Tracks are cut into blocks of ``block`` frames. A task correlates up to PAIRS_A_TASK pairs of an
+    atom's blocks that lie equally far apart, by Fourier transforms, so that its memory does not grow
+    with the frames; the pairs grow with the square of a track's blocks. Coordinates are not unwrapped.
     """
-
-    def track(table: pa.Table) -> pa.Table:
-        table = table.sort_by("frame")
-        r = np.stack([table[c].to_numpy() for c in "xyz"], axis=1)
-        r = r - r.mean(0)
-        n = len(r)
-        size = 1 << (2 * n - 1).bit_length()
-        spectrum = np.fft.rfft(r, size, axis=0)
-        together = np.fft.irfft(spectrum * spectrum.conj(), size, axis=0)[:n].sum(1)
-        square = (r * r).sum(1)
-        total = np.cumsum(square)
-        both = total[::-1] + total[-1] - np.concatenate([[0.0], total[:-1]])
-        sums = np.maximum(both - 2 * together, 0)
-        sums[0] = 0.0
-        return pa.table({"lag": np.arange(n), "total": sums, "n": n - np.arange(n)})
-
-    parts = to_long(frames, atoms).groupBy("atom_index").applyInArrow(track, "lag bigint, total double, n bigint")
+    n_frames = frames.count()
+    last = max(0, n_frames - 1) // block
+    size = 1 << (2 * block - 1).bit_length()
+
+    def correlate(table: pa.Table) -> pa.Table:
+        apart, sides = table["apart"][0].as_py(), ({}, {})
+        for k in range(table.num_rows):
+            row = dict(zip("txyz", table["r"][k].values.flatten()))
+            sides[table["side"][k].as_py()][table["i"][k].as_py()] = np.stack([row[c].to_numpy(zero_copy_only=False) for c in "xyz"], axis=1)
+        middle = np.mean([r.mean(0) for side in sides for r in side.values()], axis=0)
+        total, n = np.zeros(2 * block - 1), np.zeros(2 * block - 1, np.int64)
+        for i in sides[0].keys() & sides[1].keys():
+            p, q = sides[0][i] - middle, sides[1][i] - middle
+            m = np.arange(1 - len(p), len(q))  # the place in q less the place in p
+            begin, end = np.maximum(0, -m), np.minimum(len(p), len(q) - m)
+            together = np.fft.irfft(np.fft.rfft(p, size, axis=0).conj() * np.fft.rfft(q, size, axis=0), size, axis=0).sum(1)[m]
+            own, other = (np.concatenate([[0.0], np.cumsum((v * v).sum(1))]) for v in (p, q))
+            sums = own[end] - own[begin] + other[end + m] - other[begin + m] - 2 * together
+            total[m + block - 1] += np.maximum(sums, 0)
+            n[m + block - 1] += end - begin
+        lag = np.arange(1 - block, block) + apart * block
+        total[lag == 0] = 0.0
+        kept = (lag >= 0) & (n > 0)
+        return pa.table({"lag": lag[kept], "total": total[kept], "n": n[kept]})
+
+    long = to_long(_in_order(frames, n_frames, block), atoms)
+    blocks = long.groupBy("atom_index", F.floor(F.col("frame") / block).cast("int").alias("b")).agg(F.sort_array(F.collect_list(F.struct("frame", *"xyz"))).alias("r"))
+    first = F.transform(F.sequence(F.lit(0), last - F.col("b")), lambda d: F.struct(d.alias("apart"), F.col("b").alias("i"), F.lit(0).alias("side")))
+    second = F.transform(F.sequence(F.lit(0), F.col("b")), lambda d: F.struct(d.alias("apart"), (F.col("b") - d).alias("i"), F.lit(1).alias("side")))
+    pairs = blocks.select("atom_index", "r", F.explode(F.concat(first, second)).alias("p")).select("atom_index", "r", "p.*").withColumn("some", F.floor(F.col("i") / PAIRS_A_TASK))
+    parts = pairs.groupBy("atom_index", "apart", "some").applyInArrow(correlate, "lag bigint, total double, n bigint")
     return parts.groupBy("lag").agg((F.sum("total") / F.sum("n")).alias("value"))
 
 

@@ -158,6 +158,7 @@ ORACLE_SQL["native_q_soft"] = _native_sql(f"1 / (1 + exp(2.0::DOUBLE * (sqrt({D2
 ORACLE_SQL["rmsf"] = f"WITH {COORDS} SELECT atom_index, {r('sqrt(var_pop(x) + var_pop(y) + var_pop(z))', 'value')} FROM c GROUP BY 1"
 ORACLE_SQL["msd"] = f"""WITH {COORDS}, o AS (SELECT *, row_number() OVER (PARTITION BY atom_index ORDER BY frame) AS t FROM c WHERE atom_index IN {_ids(q.BACKBONE)})
   SELECT q.t - p.t AS lag, {r(f'avg({D2})', 'value')} FROM o p JOIN o q ON p.atom_index = q.atom_index AND q.t >= p.t GROUP BY 1"""
+ORACLE_SQL["msd_all"] = ORACLE_SQL["msd"].replace(f" WHERE atom_index IN {_ids(q.BACKBONE)}", "")
 ORACLE_SQL["covariance"] = f"""WITH {COORDS}, o AS (SELECT frame, CAST(list_position({q.PROTEIN}, atom_index) - 1 AS INTEGER) AS k, x, y, z FROM c WHERE atom_index IN {_ids(q.PROTEIN)}),
   u AS (SELECT frame, 3 * k + s AS d, [x, y, z][s + 1] AS v FROM o, range(3) t(s))
   SELECT CAST(p.d AS INTEGER) AS i, CAST(q.d AS INTEGER) AS j, {r('covar_samp(p.v, q.v)', 'value')} FROM u p JOIN u q ON p.frame = q.frame AND p.d <= q.d GROUP BY 1, 2"""

@@ -160,6 +160,11 @@ def msd(spark, sf_dir):
     return over_time.msd(sample.frames(spark, sf_dir), BACKBONE)
 
 
+@query()
+def msd_all(spark, sf_dir):
+    return over_time.msd(sample.frames(spark, sf_dir))
+
+
 @query()
 def covariance(spark, sf_dir):
     return over_time.covariance(sample.frames(spark, sf_dir), PROTEIN)
