@@ -98,6 +98,61 @@ def test_rollup(spark):
     assert rollup.compact("s2") and ("b", "en") not in totals()
 
 
+@pytest.mark.parametrize("cut", ["in the delta", "before the record", "in the record"])
+def test_rollup_cut_off(spark, tmp_path, cut):
+    """A driver that dies at any point of a commit leaves a batch that can be committed anew, and counts once."""
+    rollup = token_rollup.TokenRollup(spark, f"file://{tmp_path}/rollup")
+    change = lambda *rows: spark.createDataFrame([(c, s, l, "v1", n, o, "clash") for c, s, l, n, o in rows], CHANGE)
+    batch = change(("insert", "a", "en", 10, None))
+
+    class Dies(Exception):
+        pass
+
+    class Dying(token_rollup.TokenRollup):
+        def _write_delta(self, attempt, delta):
+            if cut == "in the delta":
+                half_written("deltas", attempt)
+            super()._write_delta(attempt, delta)
+
+        def _write_record(self, batch_id, attempt, covers):
+            if cut == "in the record":
+                half_written("commits", attempt)
+            raise Dies
+
+    def half_written(name, attempt):
+        left = tmp_path / "rollup" / name / attempt / "_temporary" / "0" / "task"
+        left.mkdir(parents=True)
+        (left / "part-0.parquet").write_bytes(b"PAR1 cut")
+        raise Dies
+
+    for _ in range(2):
+        with pytest.raises(Dies):
+            Dying(spark, rollup.path).commit("b1", batch)
+        assert rollup.totals().count() == 0
+    assert rollup.commit("b1", batch) and not rollup.commit("b1", batch)
+    with pytest.raises(Dies):
+        Dying(spark, rollup.path).compact("s1")
+    assert rollup.compact("s1")
+    assert [(r["n_docs"], r["n_tokens"]) for r in rollup.totals().collect()] == [(1, 10)]
+
+
+def test_rollup_two_writers_of_a_batch(spark):
+    rollup = token_rollup.TokenRollup(spark, new_path(spark, "test-rollup"))
+    delta = spark.createDataFrame([("a", "en", "v1", 1, 10)], "source string, lang string, tokenizer_version string, d_docs bigint, d_tokens bigint")
+    total = lambda: [(r["n_docs"], r["n_tokens"]) for r in rollup.totals().collect()]
+    for attempt in ("b", "c", "a"):  # the smallest attempt comes last and takes over
+        rollup._write_delta(attempt, delta)
+        rollup._write_record("b1", attempt, [])
+        assert total() == [(1, 10)]
+    assert rollup.compact("s1") and total() == [(1, 10)]
+    rollup._write_delta("0", delta)
+    rollup._write_record("b1", "0", [])  # a late attempt of a batch that a summary covers
+    assert total() == [(1, 10)] and not rollup.commit("b1", delta)
+    for nameless in (None, ""):
+        with pytest.raises(ValueError, match="needs an id"):
+            rollup.commit(nameless, delta)
+
+
 def test_bpe_counts(odd_docs, vocabulary):
     from tokenizers import Tokenizer
 

@@ -1,8 +1,10 @@
 """Totals of tokens by source, language and tokenizer version, kept up to date by signed changes.
 
-A batch of changes is reduced to one signed row per key and appended; totals are the sum over the
-batches that were committed. A batch counts once its commit record is there, so a batch that is
-committed again, or was cut off before its record, changes nothing.
+A batch of changes is reduced to one signed row per key and appended under a name of its attempt;
+totals are the sum over the batches that were committed. A batch counts once a commit record of one
+of its attempts is there: readers take one record per batch and the delta of that attempt alone. So
+a batch that is committed again, or was cut off anywhere before or within its record, changes
+nothing, and can be committed anew.
 """
 
 from __future__ import annotations
@@ -25,14 +27,17 @@ def signed(changes: DataFrame) -> tuple[Column, Column]:
 
 
 class TokenRollup:
-    """A rollup in a folder that all executors share; one writer at a time.
+    """A rollup in a folder that all executors share.
 
     Changes have the columns change ('insert', 'delete' or 'revise'), source, lang,
     tokenizer_version, n_tokens (of inserts and revisions) and old_n_tokens (of deletes and
     revisions). A document that moves to another key is a delete and an insert. Null counts are 0,
     null keys are a key of their own, further columns are not looked at, and an empty batch is
-    committed like any other. Repeated rows of a batch are repeated changes. Any other change is
-    refused before anything is written.
+    committed like any other. Repeated rows of a batch are repeated changes. Any other change, and
+    a batch_id that is null or empty, is refused before anything is written.
+
+    Writers may commit at once, also the same batch: of its attempts, all of the same changes, the
+    one with the smallest name counts. Only one may call ``compact`` at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -40,15 +45,19 @@ class TokenRollup:
         for name, schema in (("commits", COMMIT), ("deltas", DELTA)):  # so that both can be read from the start
             spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.path}/{name}/none")
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/{name}")
-
     def commits(self) -> DataFrame:
-        return self._read("commits", COMMIT)
+        """batch_id, attempt and covers (the batches that a summary has summed up), a row per batch."""
+        records = self.spark.read.schema(COMMIT).option("recursiveFileLookup", "true").parquet(f"{self.path}/commits")
+        return records.groupBy("batch_id").agg(F.min(F.struct("attempt", "covers")).alias("r")).select("batch_id", "r.*")
+
+    def _is_committed(self, batch_id: str) -> bool:
+        if not batch_id:
+            raise ValueError("a batch needs an id")
+        return not self.commits().where(F.col("batch_id") == batch_id).isEmpty()
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Add a batch; False, with nothing changed, if ``batch_id`` was committed before."""
-        if not self.commits().where(F.col("batch_id") == batch_id).isEmpty():
+        if self._is_committed(batch_id):
             return False
         docs, tokens = signed(changes)
         known = F.coalesce(F.col("change").isin("insert", "delete", "revise"), F.lit(False))
@@ -59,27 +68,40 @@ class TokenRollup:
 
     def _append(self, batch_id: str, delta: DataFrame, covers: list[str]) -> None:
         attempt = uuid.uuid4().hex
+        self._write_delta(attempt, delta)
+        self._write_record(batch_id, attempt, covers)
+
+    def _write_delta(self, attempt: str, delta: DataFrame) -> None:
         delta.select(*KEYS, "d_docs", "d_tokens", F.lit(attempt).alias("attempt")).write.parquet(f"{self.path}/deltas/{attempt}")
+
+    def _write_record(self, batch_id: str, attempt: str, covers: list[str]) -> None:
+        """One row in one file, which the sink's commit makes visible as a whole."""
         record = self.spark.createDataFrame([(batch_id, attempt, covers)], COMMIT).coalesce(1)
-        record.write.mode("errorifexists").parquet(f"{self.path}/commits/{uuid.uuid5(uuid.NAMESPACE_URL, batch_id).hex}")
+        record.write.parquet(f"{self.path}/commits/{attempt}")
+
+    def _live(self) -> list[tuple[str, str]]:
+        """Batches and attempts that count and that no summary covers: one for each batch since the last summary."""
+        commits = self.commits()
+        covered = commits.select(F.explode("covers").alias("batch_id"))
+        return [(r[0], r[1]) for r in commits.join(covered, "batch_id", "left_anti").select("batch_id", "attempt").collect()]
 
-    def _live(self) -> DataFrame:
-        """The deltas that count: committed, and not covered by a summary."""
-        covered = self.commits().select(F.explode("covers").alias("attempt"))
-        return self._read("deltas", DELTA).join(self.commits().select("attempt"), "attempt", "left_semi").join(covered, "attempt", "left_anti")
+    def _summed(self, attempts: list[str]) -> DataFrame:
+        """The deltas of some attempts, added up; those of others are not read."""
+        paths = [f"{self.path}/deltas/{a}" for a in attempts] or [f"{self.path}/deltas/none"]
+        deltas = self.spark.read.schema(DELTA).parquet(*paths)
+        return deltas.groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, n_docs, n_tokens; keys without documents or tokens are left out."""
-        summed = self._live().groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
+        summed = self._summed([attempt for _, attempt in self._live()]).withColumnsRenamed({"d_docs": "n_docs", "d_tokens": "n_tokens"})
         return summed.where("n_docs != 0 or n_tokens != 0")
 
     def compact(self, batch_id: str) -> bool:
         """Sum up all batches so far in one, so that totals read less; totals stay as they are."""
-        if not self.commits().where(F.col("batch_id") == batch_id).isEmpty():
+        if self._is_committed(batch_id):
             return False
         live = self._live()
-        covers = [r[0] for r in live.select("attempt").distinct().collect()]  # one for each batch since the last summary
-        self._append(batch_id, live.groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens")), covers)
+        self._append(batch_id, self._summed([attempt for _, attempt in live]), [batch for batch, _ in live])
         return True
 
 
