@@ -112,3 +112,52 @@ def test_digests_by_their_algorithm(spark, tmp_path):
         (tmp_path / f"{i}.warc").write_bytes(broken.replace(b"WARC-Block-Digest", b"X-Block-Digest"))
         [row] = warc.read_warc(spark, f"file://{tmp_path}/{i}.warc").collect()
         assert row["reason"] == "payload digest differs"
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_cuts_at_every_byte(spark, tmp_path, compress):
+    """A record that is cut at any byte is a gap up to the next one, which is kept with its own bytes."""
+    first, second = record(1, b"first " * 9, compress), record(2, b"second " * 9, compress)
+    for cut in range(1, len(first)):
+        gap, found = warc.salvage(first[:cut] + second)
+        assert (gap.begin, gap.end) == (0, cut) and gap.reason
+        assert (found.begin, found.end) == (cut, cut + len(second)) and found.reason is None
+        assert found.headers["warc-record-id"] == "<urn:page:2>"
+    cuts = range(5, len(first), 37)
+    for cut in cuts:
+        (tmp_path / f"{cut}.warc").write_bytes(first[:cut] + second + first[:cut])
+    rows = warc.read_warc(spark, f"file://{tmp_path}").collect()
+    for cut in cuts:
+        own = sorted((r["begin"], r["end"], r["page_id"], r["reason"] is None) for r in rows if r["path"].endswith(f"/{cut}.warc"))
+        end = cut + len(second)
+        assert own == [(0, cut, None, False), (cut, end, 2, True), (end, end + cut, None, False)]
+
+
+def test_headers_as_others_write_them():
+    block = b"text"
+    head = lambda *more: b"\r\n".join([b"WARC/1.0", b"WARC-Type: resource", *more, b"WARC-Record-ID: <urn:page:4>", b"Content-Length: 4"]) + b"\r\n\r\n" + block + b"\r\n\r\n"
+    for raw in (head(b"WARC-Target-URI: http://x/WARC/1.0"), head(b"X-Long: a", b"\tb", b" c"), head(b"WARC-Concurrent-To: <a>", b"WARC-Concurrent-To: <b>")):
+        [found] = warc.salvage(raw)
+        assert found.reason is None and found.block == block
+    [found] = warc.salvage(head(b"X-Long: a", b"\tb"))
+    assert found.headers["x-long"] == "a b"
+    assert [f.reason for f in warc.salvage(head(b"no colon"))] == ["headers cut short"]
+
+
+def test_equal_pages_stay_where_they_are(spark):
+    """20,000 equal pages: payloads meet no shuffle by digest, and archives keep to the asked size."""
+    pages = spark.range(24_000, numPartitions=6).selectExpr("id as page_id", "'u' as url", "if(id % 6 = 0, concat('own ', id, repeat('y', 200)), repeat('popular ', 40)) as html")
+    rows = warc.with_heads(pages)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    got = {r["page_id"]: r["refers_to"] for r in rows.select("page_id", "refers_to").collect()}
+    assert got == {i: None if i % 6 == 0 or i == 1 else 1 for i in range(24_000)}
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "400k")
+    try:
+        path = new_path(spark, "test-warc")
+        warc.write_warc(pages, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    sizes = [r["length"] for r in spark.read.format("binaryFile").load(path).select("length").collect()]
+    assert len(sizes) > 8 and max(sizes) < 3 * 400 * 1024
+    assert warc.read_warc(spark, path, with_payload=False).where("reason is null").count() == 24_000

@@ -79,8 +79,9 @@ SELECT source, lang, tokenizer_version, count(*) AS n_docs, CAST(sum(n) AS BIGIN
 def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
-    found = warc.read_warc(spark, path, with_payload=False).where("reason is null")
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = warc.read_warc(spark, path, with_payload=False)
+    fresh = F.when(F.col("reason").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("gap in a fresh archive: "), F.col("reason"))).cast("boolean"))
+    return found.where(fresh).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL_2 = """

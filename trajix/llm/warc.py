@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajix.llm.scratch import written
+
 VERSION = b"WARC/1.1"
 GZIP = b"\x1f\x8b\x08"
 VERSION_LINE = re.compile(rb"WARC/\d\.\d\r\n")
@@ -31,6 +33,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 MEMBER_BYTES = 1 << 24
 #: Digests that are checked.
 ALGORITHMS = ("md5", "sha1", "sha256", "sha384", "sha512")
+#: Headers that every record has, and has once.
+ONCE = ("warc-type", "warc-record-id", "warc-date", "content-length")
 FIELDS = (
     "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, "
     "payload binary, path string, begin bigint, end bigint, reason string"
@@ -93,10 +97,16 @@ def _parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | str:
     stop = raw.find(b"\r\n\r\n", line.end())
     if stop < 0:
         return "headers cut short"
-    headers = {}
+    headers, last = {}, ""
     for row in raw[line.end() : stop].decode("utf-8", "replace").split("\r\n"):
-        name, _, value = row.partition(":")
-        headers[name.strip().lower()] = value.strip()
+        name, colon, value = row.partition(":")
+        name = name.strip().lower()
+        if last and row[:1] in (" ", "\t"):  # a folded header goes on
+            headers[last] += " " + row.strip()
+        elif not colon or name in ONCE and name in headers:  # another record's headers follow a cut
+            return "headers cut short"
+        else:
+            headers[name], last = value.strip(), name
     size = headers.get("content-length", "")
     if not size.isascii() or not size.isdigit():
         return "no content length"
@@ -203,15 +213,36 @@ def _page(value: str) -> int | None:
     return int(found[1]) if found else None
 
 
-def with_heads(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
-    """page_id, url, payload, payload_digest and refers_to, the smallest page_id with an equal payload of ``min_bytes`` or more."""
+#: Revisits that are sent to every task that writes records, so that payloads stay where they are: about 150 bytes each.
+MOST_SENT_REVISITS = 500_000
+
+
+def _payloads(pages: DataFrame) -> DataFrame:
     rows = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload")
-    ).withColumn("payload_digest", F.sha2("payload", 256))
-    large = rows.where(F.octet_length("payload") >= min_bytes)
-    heads = large.groupBy("payload_digest").agg(F.min("page_id").alias("head"), F.max("page_id").alias("last")).where("head < last").drop("last")
-    revisit = (F.octet_length("payload") >= min_bytes) & (F.col("page_id") != F.col("head"))
-    return rows.join(heads, "payload_digest", "left").select("page_id", "url", "payload", "payload_digest", F.when(revisit, F.col("head")).alias("refers_to"))
+    )
+    return rows.withColumn("payload_digest", F.sha2("payload", 256))
+
+
+def revisits(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
+    """page_id, payload_digest and refers_to of the pages whose payload, of ``min_bytes`` or more, a smaller page_id has too.
+
+    Ids and digests alone move; digests combine before they do, and meet their heads in a join
+    whose hot digests Spark can split, as both sides are tables of their own.
+    """
+    slim = _payloads(pages).where((F.octet_length("payload") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", F.unhex("payload_digest").alias("digest"))
+    slim = written(slim, "page-digests")
+    heads = slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").drop("last")
+    joined = slim.join(written(heads, "page-heads"), "digest").where("page_id != refers_to")
+    return joined.select("page_id", F.lower(F.hex("digest")).alias("payload_digest"), "refers_to").distinct()
+
+
+def with_heads(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
+    """page_id, url, payload, payload_digest and refers_to, the smallest page_id with an equal payload of ``min_bytes`` or more."""
+    found = written(revisits(pages, min_bytes), "page-revisits")
+    if found.limit(MOST_SENT_REVISITS + 1).count() <= MOST_SENT_REVISITS:
+        found = F.broadcast(found)
+    return _payloads(pages).join(found, ["page_id", "payload_digest"], "left").select("page_id", "url", "payload", "payload_digest", "refers_to")
 
 
 def write_warc(pages: DataFrame, path: str, min_bytes: int = 100, compress: bool = True) -> None:
@@ -220,17 +251,19 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 100, compress: bool
     Of pages with equal payloads of at least ``min_bytes``, the smallest page_id is a response and
     the others are revisits of it. A null html is an empty payload, a null url a urn of the page.
     Rows with a null page_id are responses. Repeated rows with the smallest page_id are responses
-    each. An empty table gives archives without records; other columns are not looked at. An
-    archive holds what one task writes, so partitions bound its size.
+    each. An empty table gives archives without records; other columns are not looked at.
+
+    Records are made where the pages lie. Spark then balances their bytes, so that an archive has
+    about spark.sql.adaptive.advisoryPartitionSizeInBytes, however many records there are.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for page, url, payload, digest, head in zip(*(batch[c] for c in ("page_id", "url", "payload", "payload_digest", "refers_to"))):
                 raw = build_record(page.as_py(), url.as_py(), payload.as_py(), digest.as_py(), head.as_py(), compress)
-                yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["value"])
+                yield pa.RecordBatch.from_arrays([pa.array([page.as_py()], pa.int64()), pa.array([raw], pa.binary())], names=["page_id", "value"])
 
-    made = with_heads(pages, min_bytes).mapInArrow(build, "value binary")
+    made = with_heads(pages, min_bytes).mapInArrow(build, "page_id bigint, value binary").hint("rebalance", "page_id")
     made.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\x00" if compress else "\n").option("maxRecordsPerFile", 0).text(path)
 
 
@@ -242,7 +275,8 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
     without ``with_payload``), path, begin and end. A digest keeps the name of its algorithm unless
     that is sha256; digests of algorithms that are not in ``ALGORITHMS`` are not checked. A gap's row has path, begin, end and reason, and
     nulls. Records and gaps of a gzip member that holds several have the member's begin and end. A
-    task holds one archive at a time.
+    task holds one archive at a time; Spark refuses files above
+    spark.sql.sources.binaryFile.maxLength (2 GiB), which are to be split first.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
