@@ -1,5 +1,6 @@
 """Token ids, packing and token files against the tokenizers library alone."""
 
+import json
 import zlib
 
 import numpy as np
@@ -89,7 +90,7 @@ def test_token_files(spark, odd_docs, no_docs, vocabulary):
         path = new_path(spark, "test-tokens")
         write_token_files(odd_docs, path, vocabulary, chunk_ids=1000, planes=planes)
         got = read_token_files(spark, path, with_ids=True).orderBy("part", "local_start").collect()
-        rows = sorted(odd_docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or ""))
+        rows = sorted(odd_docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
         assert [r["doc_id"] for r in got] == [r["doc_id"] for r in rows]
         assert [r["token_ids"] for r in got] == [[*ids_of(r["text"]), 1] for r in rows]
         index = chunk_index(spark, path).collect()
@@ -99,3 +100,40 @@ def test_token_files(spark, odd_docs, no_docs, vocabulary):
         assert r["start"] == start
         start += r["n_tokens"]
     assert write_and_index(no_docs, vocabulary).count() == 0
+
+
+def test_files_of_bounded_size(spark, vocabulary):
+    """Many ranges, also within one doc_id that holds most rows, and the same ids as from one file."""
+    rows = [(i if i % 3 else 4, f"text {i} " * 40) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    path = new_path(spark, "test-tokens")
+    write_token_files(docs, path, vocabulary, file_bytes=60_000)
+    found = read_token_files(spark, path, with_ids=True).collect()
+    sizes = {}
+    for r in found:
+        sizes[r["part"]] = sizes.get(r["part"], 0) + r["n_tokens"]
+    assert len(sizes) > 12 and max(sizes.values()) < 4 * sum(sizes.values()) / len(sizes)
+    assert sorted((r["doc_id"], r["token_ids"]) for r in found) == sorted((d, [*ids_of(t), 1]) for d, t in rows)
+    in_order = sorted(found, key=lambda r: (r["part"], r["local_start"]))
+    assert [r["doc_id"] for r in in_order] == sorted(d for d, _ in rows)
+
+
+def test_other_vocabularies_go_through_the_library(tmp_path):
+    """Run cuts fit one normaliser and pre-tokenizer; any other vocabulary encodes whole texts."""
+    spec = json.load(open(PATH))
+    spec["normalizer"]["normalizers"] = spec["normalizer"]["normalizers"][:2]  # without lower case
+    (tmp_path / "cased.json").write_text(json.dumps(spec))
+    texts = ["It's A Test", "", "Ünï 42<|endoftext|>", "plain"]
+    for path in (str(tmp_path / "cased.json"), public_tokenizers.path("byte_bpe_50k.json")):
+        other = Tokenizer.from_file(path)
+        ids, first = RunBpe.of(path).encode(pa.array(texts, pa.large_string()))
+        assert [ids[i:j].tolist() for i, j in zip(first, first[1:])] == [other.encode(t, add_special_tokens=False).ids for t in texts]
+    assert RunBpe.of(PATH).by_runs
+
+
+def test_packing_spreads_equal_rows(spark, vocabulary):
+    docs = spark.createDataFrame([(None, "the same words")] * 900 + [(i, f"text {i}") for i in range(100)], "doc_id bigint, text string")
+    rows = pack_documents(docs, vocabulary, capacity=64, docs_per_group=50).toPandas()
+    per_group = rows.groupby(rows["sequence_id"] // 2**32).size()
+    assert len(rows) == 1000 and len(per_group) == 20 and per_group.max() < 100
+    assert rows.groupby("sequence_id")["length"].sum().max() <= 64

@@ -5,11 +5,13 @@ other signs and a few contractions; no token crosses a cut. NumPy finds the cuts
 of texts at once, Arrow names the distinct runs, the tokenizers library encodes each run that the
 process has not met yet, and NumPy gathers the ids of all texts. Texts with characters beyond
 ASCII and the letters of Latin-1, whose normal form needs more than lower case, go through the
-tokenizers library whole, as do those that spell a special token.
+tokenizers library whole, as do those that spell a special token, and all texts where the vocabulary
+file asks for other normalisation, cuts or added tokens than those.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,23 @@ KIND[[*range(ord("a"), ord("z") + 1), *range(128, 256)]] = LETTER
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 LEAD = 0xC3  # of U+00C0 to U+00FF in UTF-8
+#: What a vocabulary file says where its texts can be cut into runs as here.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _cuts_into_runs(spec: dict) -> bool:
+    """Whether a vocabulary's file has the normaliser, cuts, word ends and added tokens that runs rest on."""
+    normalizer, cuts, model = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    first, *rest = cuts.get("pretokenizers") or [{}]
+    return (
+        normalizer.get("normalizers") == NORMALIZERS
+        and (first.get("type"), first.get("pattern"), first.get("behavior"), first.get("invert")) == ("Split", {"Regex": CUTS}, "Removed", True)
+        and [(r.get("type"), r.get("add_prefix_space"), r.get("use_regex")) for r in rest] == [("ByteLevel", False, False)]
+        and (model.get("type"), model.get("end_of_word_suffix"), model.get("dropout")) == ("BPE", "</w>", None)
+        and not spec.get("truncation")
+        and all(t["content"].startswith("<|") and not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) for t in spec.get("added_tokens") or [])
+    )
 
 
 class RunBpe:
@@ -46,6 +65,8 @@ class RunBpe:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_runs = _cuts_into_runs(json.load(f))
         self.by_run = Tokenizer.from_file(path)
         self.by_run.normalizer = normalizers.Sequence([])
         self.by_run.pre_tokenizer = pre_tokenizers.Sequence(
@@ -79,6 +100,9 @@ class RunBpe:
         first = np.frombuffer(offsets, np.int64, len(texts) + 1, texts.offset * 8)
         raw = np.frombuffer(data, np.uint8)[first[0] : first[-1]] if data else np.zeros(0, np.uint8)
         first = first - first[0]
+        if not self.by_runs:
+            empty = np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+            return self._replaced(texts, np.arange(len(texts)), *empty) if len(texts) else empty
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         low = LOWER[raw]

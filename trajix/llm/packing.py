@@ -1,9 +1,10 @@
 """Packing of documents into training sequences of a fixed capacity.
 
 Each document's ids are made where its text lies and cut into pieces: as many full sequences as
-they fill, and one remainder. Only the pieces' keys and lengths move. They are dealt into groups by
-a seeded hash, and each group is packed on its own by first-fit decreasing, with a tournament tree
-over the bins' free capacity that finds the leftmost bin with room in a logarithm of their number.
+they fill, and one remainder. Only the pieces' keys and lengths move. They are written, dealt into
+groups by a seeded hash of their place in that table, so that equal rows spread like any others, and
+each group is packed on its own by first-fit decreasing, with a tournament tree over the bins' free
+capacity that finds the leftmost bin with room in a logarithm of their number.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajix.llm.bpe_ids import RunBpe, steps
+from trajix.llm.scratch import written
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
@@ -105,9 +107,11 @@ def pack_documents(
 
     A null or empty text is a document of the end id alone. A null doc_id stays null and packs like
     any other; repeated rows are documents of their own. An empty table gives no rows; columns
-    other than doc_id and text are not looked at. Ties in length go by doc_id, start and crc.
+    other than doc_id and text are not looked at. Ties in length go by doc_id, start and crc. A group
+    has about ``docs_per_group`` pieces.
     """
-    groups = max(1, -(-docs.count() // docs_per_group))
+    cut = written(pieces(docs, tokenizer, end_id, capacity, with_ids), "pieces")
+    groups = max(1, -(-cut.count() // docs_per_group))
     schema = PIECE + ", token_ids array<int>" * with_ids
     out = f"{schema}, sequence_id bigint, offset bigint, sequence_length bigint, padding bigint"
 
@@ -122,7 +126,5 @@ def pack_documents(
             table = table.append_column(name, pa.array(column, pa.int64()))
         return table.drop_columns(["pack_group"])
 
-    dealt = pieces(docs, tokenizer, end_id, capacity, with_ids).withColumn(
-        "pack_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(groups))
-    )
+    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("pack_group").applyInArrow(pack, out)

@@ -101,14 +101,17 @@ class FileMaker:
 
 
 def write_token_files(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, chunk_ids: int = 1 << 16, planes: int = BIT, level: int = 3
+    docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, chunk_ids: int = 1 << 16, planes: int = BIT, level: int = 3, file_bytes: int = 128 << 20
 ) -> None:
     """Encode every whole text, add ``end_id`` to each and write the ids in ascending doc_id order.
 
-    Files come one per range of doc_id; their ``part`` numbers follow the ranges. Null texts are
-    empty, null doc_ids come first, and rows with the same doc_id follow each other by text. An
-    empty table gives no readable file. Other columns are not looked at. ``path`` must be new; the
-    write can run again after lost executors, as Spark's sink commits whole tasks only.
+    Files come one per range of doc_id and, within a doc_id, of a hash of the text; their ``part``
+    numbers follow the ranges. There are as many ranges as keep a file to about ``file_bytes`` of
+    text, so that readers, which take a file at a time, stay within bounds however much there is;
+    only a longer text, or equal rows, may make a larger file. Null texts are empty, null doc_ids
+    come first, and rows with the same doc_id follow each other by that hash. An empty table gives
+    empty files, which read back as no rows. Other columns are not looked at. ``path`` must be new;
+    the write can run again after lost executors, as Spark's sink commits whole tasks only.
     """
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,17 +131,25 @@ def write_token_files(
                 yield from rows(maker.add(names, with_end, sizes))
         yield from rows(maker.close())
 
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     (
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange(F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+        own.repartitionByRange(_ranges(own, file_bytes), *order)
+        .sortWithinPartitions(*order, "text")
         .mapInArrow(chunks, "value binary")
         .select(F.col("value").cast("string").alias("value"))
         .write.option("lineSep", "\n").option("maxRecordsPerFile", 0).text(path)
     )
 
 
-def _footer(raw: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+def _ranges(own: DataFrame, file_bytes: int) -> int:
+    """Ranges of at most about ``file_bytes`` of text and ids; more, down to a mebibyte each, while tasks are fewer than twice the cores."""
+    total = own.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(64).cast("bigint"))).first()[0] or 0
+    cores = own.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-total // file_bytes), min(2 * cores, -(-total // (1 << 20))))
+
+
+def _footer(raw: memoryview) -> tuple[int, np.ndarray, np.ndarray]:
     at, size, magic = TAIL.unpack_from(raw, len(raw) - TAIL.size - 1)
     if magic != FOOTER:
         raise ValueError("not a file of token planes, or cut short")
@@ -158,7 +169,7 @@ def chunk_index(spark: SparkSession, path: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, raw in zip(batch["path"].to_pylist(), batch["content"]):
-                part, index, _ = _footer(raw.as_py())
+                part, index, _ = _footer(memoryview(raw.as_buffer()))
                 k = len(index)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * k, pa.string()), pa.array([part] * k, pa.int64()), pa.array(np.arange(k)), *(pa.array(index[:, c]) for c in range(4))],
@@ -178,7 +189,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
         for batch in batches:
             for content in batch["content"]:
                 raw = memoryview(content.as_buffer())
-                part, index, docs = _footer(bytes(raw))
+                part, index, docs = _footer(raw)
                 held, begin, k = np.zeros(0, "<u4"), 0, 0
                 crcs, lists = np.zeros(docs.shape[1], np.int64), []
                 for i, (start, n) in enumerate(zip(docs[2].tolist(), docs[3].tolist())):
