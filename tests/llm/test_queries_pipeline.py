@@ -2,12 +2,12 @@
 
 import pytest
 
-from trajix.llm.queries import ORACLE_SQL, QUERIES
+from trajix.llm.queries import MORE_QUERIES, ORACLE_SQL, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, tables, duck, same, name):
-    same(QUERIES[name](spark, tables), duck, ORACLE_SQL[name])
+    same((QUERIES | MORE_QUERIES)[name](spark, tables), duck, ORACLE_SQL[name])
 
 
 def test_names():

@@ -181,12 +181,14 @@ def in_holdout(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 3000, most_bytes: int = 24 << 20, shape: Shape = Shape(), seed: int = 5, **how) -> ByteNet:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 3000, most_bytes: int = 24 << 20, most_text_bytes: int = 384 << 10, shape: Shape = Shape(), seed: int = 5, **how) -> ByteNet:
     """Train on a bounded sample of the labelled rows outside the holdout.
 
-    ``most_rows`` rows, half of each mark where there are enough, are the first by a seeded hash of
-    the doc_id; of these, whole texts are taken while they fit in ``most_bytes``. Only such rows
-    come to the driver. Null marks, null texts' rows and documents marked both ways are left out.
+    ``most_rows`` documents, half of each mark where there are enough, are the first by a seeded hash
+    of the doc_id; of these, whole texts of up to ``most_text_bytes`` are taken while they fit in
+    ``most_bytes``. Their sizes alone come to the driver first, so that it never gets more text than
+    that. Null marks, null texts' rows and documents marked both ways are left out; of rows that
+    share a doc_id, one takes part.
     """
     marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = hi")
     marks = marks.where(~in_holdout("doc_id")).select(F.col("doc_id").alias("l_id"), F.col("lo").cast("int").alias("mark"), F.xxhash64(F.lit(seed), "doc_id").alias("h"))
@@ -194,15 +196,18 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 3000, most_bytes:
     for side in (0, 1):
         part = marks.where(F.col("mark") == side).orderBy("h", "l_id").limit(most_rows // 2)
         chosen = part if chosen is None else chosen.union(part)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
-    sized = rows.select("doc_id", "text", "mark", "h", F.octet_length("text").alias("size"))
-    texts, ys, left = [], [], most_bytes
-    for r in sorted(sized.where(F.col("size") <= most_bytes // 64).collect(), key=lambda r: (r["h"], r["doc_id"])):
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").withColumn("size", F.octet_length("text"))
+    named = rows.where(F.col("size") <= most_text_bytes).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
+    sized = named.groupBy("doc_id", "mark", "h").agg(F.min(F.struct("size", F.xxhash64("text").alias("t"))).alias("first")).select("doc_id", "mark", "h", "first.*").collect()
+    fits, left = [], most_bytes
+    for r in sorted(sized, key=lambda r: (r["h"], r["doc_id"])):
         if r["size"] <= left:
-            texts.append(r["text"].encode())
-            ys.append(r["mark"])
+            fits.append((r["doc_id"], r["t"], r["mark"]))
             left -= r["size"]
-    return fit(texts, ys, shape, seed=seed, **how)
+    wanted = docs.sparkSession.createDataFrame(fits, "l_id bigint, t bigint, mark int")
+    taken = rows.join(F.broadcast(wanted), (F.col("doc_id") == F.col("l_id")) & (F.xxhash64("text") == F.col("t"))).groupBy("l_id").agg(F.min("text").alias("text")).collect()
+    texts = {r["l_id"]: r["text"].encode() for r in taken}
+    return fit([texts[i] for i, _, _ in fits], [mark for _, _, mark in fits], shape, seed=seed, **how)
 
 
 def score_documents(docs: DataFrame, net: ByteNet) -> DataFrame:

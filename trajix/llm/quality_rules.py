@@ -229,17 +229,20 @@ def _prune(left: DataFrame, rule: list[Condition]) -> tuple[list[Condition], flo
     return rule[:k], precision, row[f"a{k}"]
 
 
+def base_failed(min_words: int = 10, repeat_percent: int = 20) -> Column:
+    """Under ``min_words`` words, or more than ``repeat_percent`` of them in repeated windows."""
+    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, min_words: int = 10, repeat_percent: int = 20, **learning) -> tuple[DataFrame, DecisionList]:
     """Counts and verdict of each document, and the list that gave the verdicts.
 
-    Columns: doc_id, the counts, base_failed (under ``min_words`` words, or more than
-    ``repeat_percent`` of them in repeated windows), rule (the rule that rejects it, or null) and
+    Columns: doc_id, the counts, base_failed, rule (the rule that rejects it, or null) and
     kept. Null and empty texts have no words and fail the base; a null doc_id is judged like any
     other; repeated rows are judged each; an empty table gives no rows; other columns are not
     looked at.
     """
     counts = written(text_counts(docs), "text-counts")
     rules = learn_decision_list(counts, labels, **learning)
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    verdict = counts.withColumn("base_failed", failed).withColumn("rule", rules.rule())
+    verdict = counts.withColumn("base_failed", base_failed(min_words, repeat_percent)).withColumn("rule", rules.rule())
     return verdict.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()), rules

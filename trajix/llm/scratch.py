@@ -6,13 +6,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only where the session names no shared folder and has one machine, as in tests.
 LOCAL_DEFAULT = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; one machine's default only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT
+    """The cluster's spark.checkpoint.dir; where that is unset, a default on a local master and an error on any other."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = LOCAL_DEFAULT
     return f"{base.rstrip('/')}/trajix"
 
 

@@ -2,7 +2,8 @@
 
 Pieces and their log scores come from a model file. A double-array trie holds the pieces' bytes. The
 best segmentation of a text is the path of the largest sum of scores (Viterbi); a character that no
-piece covers alone costs the smallest score less ten and is spelled in byte pieces. No piece of such
+piece covers alone costs the smallest score less ten and is spelled in byte pieces. Pieces marked as
+unused are never chosen; a user-defined one has the largest score for each of its bytes. No piece of such
 models goes on across a space marker that follows other characters, so a text's best path is that of
 its words, each with the markers before it. Words are found and named by Arrow, and all new words of
 a batch go through the trie together, position by position, in NumPy.
@@ -24,7 +25,8 @@ from trajix.llm.bpe_ids import steps
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-PENALTY = 10.0
+#: What an unknown character costs beyond the smallest score, and what a user's piece costs beyond the largest score of each of its bytes.
+PENALTY, BONUS = 10.0, 0.1
 MOST_WORDS = 800_000
 WINDOW = 2048
 
@@ -155,11 +157,15 @@ class Unigram:
 
     def __init__(self, model: Model):
         self.model = model
-        usable = [i for i, t in enumerate(model.types) if t in (NORMAL, USER, UNUSED) and model.pieces[i]]
+        usable = [i for i, t in enumerate(model.types) if t in (NORMAL, USER) and model.pieces[i]]
         for i in usable:
             if MARK in model.pieces[i].lstrip(MARK):
                 raise ValueError("a piece goes on across a space marker")
         self.trie = DoubleArray({model.pieces[i].encode(): i for i in usable})
+        normal = model.scores[model.types == NORMAL]
+        top = normal.max() if len(normal) else 0.0
+        # a user's piece beats any split of its bytes into normal pieces but one into the best piece of each byte
+        self.scores = np.array([len(p.encode()) * top - BONUS if t == USER else s for p, s, t in zip(model.pieces, model.scores, model.types)])
         self.unknown_score = (model.scores[model.types == NORMAL].min() if (model.types == NORMAL).any() else 0.0) - PENALTY
         self.unknown_id = int(np.flatnonzero(model.types == UNKNOWN)[0]) if (model.types == UNKNOWN).any() else 0
         self.bytes_of = {int(p[1:-1], 16): i for i, p in enumerate(model.pieces) if model.types[i] == BYTE}
@@ -212,7 +218,7 @@ class Unigram:
                 if ends.any():
                     who, which = on[ends], ids[ends]
                     alone[who[width[who] == depth]] = True
-                    self._relax(best, came, piece, i, i + depth, live[who], which, self.model.scores[which])
+                    self._relax(best, came, piece, i, i + depth, live[who], which, self.scores[which])
             rest = np.flatnonzero(~alone)
             for w in np.unique(width[rest]):
                 who = live[rest[width[rest] == w]]
