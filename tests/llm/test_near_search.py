@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql.functions import spark_partition_id
 
 from trajix.llm.components import components
 from trajix.llm.multi_index import POPCOUNT, Shard, learn, nearest_neighbours
@@ -75,6 +76,47 @@ def test_drop_keeps_one_of_each(odd_docs):
     assert ids == [1, 2, 2, 3, 4, 5, 7, 9] and kept.where("doc_id is null").count() == 1
 
 
+def test_20000_near_copies(spark):
+    """One bucket with most rows in each band; and as many texts that share a passage but are not linked."""
+    base = [f"w{i}" for i in range(60)]
+    edited = [(7 * i + 3, " ".join(base[: i % 60] + [f"x{i}"] + base[i % 60 + 1 :])) for i in range(20_000)]
+    shared = " ".join(f"s{i}" for i in range(40))
+    apart = [(7 * i + 4, f"{shared} " + " ".join(f"own{i}_{k}" for k in range(12))) for i in range(3_000)]
+    docs = spark.createDataFrame(edited + apart + edited[:50], "doc_id bigint, text string").repartition(6)
+    rows = near_duplicates(docs, 3, 80).collect()
+    assert len(rows) == 23_050
+    for r in rows:
+        assert r["component_id"] == (3 if r["doc_id"] % 7 == 3 else r["doc_id"]) and r["kept"] == (r["component_id"] == r["doc_id"])
+
+
+def test_open_buckets_in_cells(spark, monkeypatch):
+    """Cells far smaller than buckets give the same components."""
+    from trajix.llm import near_dedup, scratch
+
+    monkeypatch.setattr(near_dedup, "CELL_NODES", 4)
+    monkeypatch.setattr(scratch, "LEAST_HOT_ROWS", 5)
+    test_large_groups_of_edited_copies(spark)
+
+
+def test_hot_keys_are_dealt_over_partitions(spark):
+    from trajix.llm.scratch import join_counted
+
+    rows = spark.range(21_000).selectExpr("if(id < 20000, 1, id) AS k", "id AS v", "'x' AS s")
+    facts = spark.range(30_000).selectExpr("id AS k", "-id AS f")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        joined = join_counted(rows, facts, "k", rows.groupBy("k").count())
+        per_task = [r["count"] for r in joined.groupBy(spark_partition_id()).count().collect()]
+        assert max(per_task) < 6_000 and sum(per_task) == 21_000  # 1,000 rows a part, parts hashed over 40 tasks
+        assert sorted(tuple(r) for r in joined.select("k", "v", "s", "f").collect()) == sorted((1 if i < 20_000 else i, i, "x", -(1 if i < 20_000 else i)) for i in range(21_000))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_registers():
     s, rng = SetSketch(), np.random.default_rng(0)
     values = rng.integers(0, 2**64, 3000, np.uint64)
@@ -108,6 +150,9 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
     assert {r["node"]: r["root"] for r in got} == {d: find(d) for d in root} and len(got) == len(root)
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    star = [(9_999, i) for i in range(5_000)] + [(20_000, i) for i in range(4_000, 7_000)]  # hubs that are not the smallest
+    got = components(spark.createDataFrame(star, "a bigint, b bigint").repartition(4)).collect()
+    assert len(got) == 7_002 and {r["root"] for r in got} == {0}
 
 
 def test_probing_meets_every_code_in_the_radius():

@@ -7,7 +7,8 @@ registers serve as bands of a locality-sensitive index. Texts with the same word
 the start. Shingles that one node has alone bound what it can reach; nodes that can reach nothing
 drop out here. Within a band's bucket each node is compared with one hub, the node with the smallest
 share of shingles of its own, which takes a row for each member. Nodes that hubs have left in
-different components are then compared with each other where what each lacks of the hub allows it.
+different components are then compared with each other where what each lacks of the hub allows it,
+in cells of a bounded number of nodes on either side.
 Pairs whose registers make the asked similarity very unlikely, by the joint likelihood of larger,
 smaller and equal registers, are left out, and the rest are confirmed on their full sets.
 """
@@ -26,9 +27,11 @@ from pyspark.sql import functions as F
 from trajix.llm import word_hash
 from trajix.llm.bpe_ids import steps
 from trajix.llm.components import components
-from trajix.llm.scratch import only_ids, written
+from trajix.llm.scratch import join_counted, only_ids, written
 
 BLOCK = 1 << 16
+#: Nodes of an open bucket that meet as many others in one join key.
+CELL_NODES, CELL = 1_000, ("cell_row", "cell_column")
 
 
 @dataclass(frozen=True)
@@ -172,7 +175,8 @@ def _likely(pairs: DataFrame, nodes: DataFrame, sketch: SetSketch, percent: int)
     """Pairs (a, b) that their sizes and registers allow to reach the similarity."""
     x = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
     y = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
-    sized = pairs.join(x, "a").join(y, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    pairs = written(pairs, "pairs")
+    sized = join_counted(join_counted(pairs, x, "a", _count(pairs, "a")), y, "b", _count(pairs, "b")).where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +196,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     x, y = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    return pairs.join(x, "a").join(y, "b")
+    pairs = written(pairs, "pairs")
+    return join_counted(join_counted(pairs, x, "a", _count(pairs, "a")), y, "b", _count(pairs, "b"))
+
+
+def _count(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count("*").alias("rows"))
 
 
 def _reaches(common: Column, na: Column, nb: Column, percent: int) -> Column:
@@ -226,6 +235,17 @@ def _most_common(hub: Column, x: dict[str, Column], y: dict[str, Column]) -> Col
     return hub - x["lacks"] - y["lacks"] + same + folded + beyond
 
 
+def _dealt(left: DataFrame, side: str) -> DataFrame:
+    """Nodes of open buckets dealt over cells of CELL_NODES times as many nodes: x by rows, y by columns.
+
+    Each x meets each y of its bucket in just one cell.
+    """
+    blocks = F.ceil(F.col("members") / CELL_NODES).cast("int")
+    own, every = F.pmod(F.xxhash64("node"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+    row, column = (own, every) if side == "x" else (every, own)
+    return left.select("*", row.alias("cell_row"), column.alias("cell_column"))
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, sketch: SetSketch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, a row for each row of ``docs`` (doc_id, text).
 
@@ -241,8 +261,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     nodes = written(nodes, "sketch-nodes")
 
     bands = _bands(nodes, sketch)
-    shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    members = written(bands.join(shared, "key"), "band-members")
+    shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("key", "members")
+    shared = written(shared, "shared-bands")
+    members = written(join_counted(bands, shared.select("key"), "key", shared), "band-members")
     sets = written(shingle_sets(only_ids(_own(docs), "doc_id", members.select("node"), keep=True), shingle_words), "shingle-sets")
 
     # What a node has alone is in no intersection: it bounds what the node can reach, and tells hubs from fringes.
@@ -253,7 +274,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     central = F.struct((F.col("alone") / F.col("n")).alias("share"), F.xxhash64("key", "node").alias("h"), "node")
     hubs = members.groupBy("key").agg(F.min(central).node.alias("hub"), F.count("*").alias("size")).where("size > 1")
-    starred = written(members.join(hubs, "key").where("node != hub").select("key", "node", "n", "alone", "hub", "size"), "starred")
+    hubs = written(hubs, "band-hubs")
+    starred = written(join_counted(members, hubs, "key", hubs.select("key", "size")).where("node != hub").select("key", "node", "n", "alone", "hub", "size"), "starred")
     by_hub = starred.select("node", "hub").distinct()
     likely = _likely(by_hub.select(F.col("node").alias("a"), F.col("hub").alias("b")), nodes, sketch, percent)
     compared = written(_against_hub(likely.select(F.col("a").alias("node"), F.col("b").alias("hub")), sets), "hub-pairs")
@@ -261,24 +283,32 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     roots = written(components(links), "hub-roots")
 
     placed = starred.where("size > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    placed = written(placed, "placed")
+    open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("key", "members")
     hub_facts = compared.select("node", "hub", "i", "lacks", "s0", "s1", "nb")
-    left = written(placed.join(open_keys, "key").join(hub_facts, ["node", "hub"], "left"), "open-buckets")
+    open_keys = written(open_keys, "open-keys")
+    left = written(join_counted(placed, open_keys, "key", open_keys).join(hub_facts, ["node", "hub"], "left"), "open-buckets")
     facts = ["node", "root", "n", "alone", "i", "lacks", "s0", "s1"]
-    x, y = (left.select("key", F.col("nb").alias(f"hub_{c}"), *[F.col(k).alias(f"{k}_{c}") for k in facts]) for c in "xy")
+    x, y = (_dealt(left, c).select("key", *[F.col(k).alias(f"{k}_{c}") for k in CELL], F.col("nb").alias(f"hub_{c}"), *[F.col(k).alias(f"{k}_{c}") for k in facts]) for c in "xy")
     of_x, of_y = ({k: F.col(f"{k}_{c}") for k in facts} for c in "xy")
     bounds = [F.least(of_x["n"] - of_x["alone"], of_y["n"] - of_y["alone"]), _most_common(F.col("hub_x"), of_x, of_y)]
     can = [F.coalesce(_reaches(common, of_x["n"], of_y["n"], percent), F.lit(True)) for common in bounds]
-    rest = x.join(y.withColumnRenamed("key", "key_y"), (F.col("key") == F.col("key_y")) & (of_x["root"] != of_y["root"]) & (of_x["node"] < of_y["node"]) & can[0] & can[1])
+    in_cell = F.col("key") == F.col("key_y")
+    for c in CELL:
+        in_cell &= F.col(f"{c}_x") == F.col(f"{c}_y")
+    rest = x.join(y.withColumnRenamed("key", "key_y"), in_cell & (of_x["root"] != of_y["root"]) & (of_x["node"] < of_y["node"]) & can[0] & can[1])
     rest = rest.select(of_x["node"].alias("a"), of_y["node"].alias("b")).distinct()
     more = written(_linked(_likely(rest, nodes, sketch, percent), sets, percent), "other-links")
     if not more.isEmpty():
         forest = roots.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
         roots = written(components(forest.union(more)), "all-roots")
 
-    of_words = nodes.join(roots, "node", "left").select(F.col("words_key").alias("k"), F.coalesce("root", "node").alias("root"))
-    joined = found.join(of_words, (F.col("words_key") == F.col("k")) & (F.col("n") > 0), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
+    of_words = nodes.join(roots, "node", "left").select("words_key", F.coalesce("root", "node").alias("root"))
+    linkable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    slim = found.select("doc_id", "n", "words_key")
+    in_nodes = join_counted(slim.where(linkable), of_words, "words_key", _count(slim.where(linkable), "words_key"))
+    joined = in_nodes.unionByName(slim.where(~linkable).withColumn("root", F.col("doc_id")))
+    component = F.col("root")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

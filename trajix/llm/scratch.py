@@ -54,3 +54,30 @@ def only_ids(rows: DataFrame, column: str, ids: DataFrame, keep: bool) -> DataFr
     if ids.limit(MOST_SENT_IDS + 1).count() <= MOST_SENT_IDS:
         ids = F.broadcast(ids)
     return rows.join(ids, F.col(column).eqNullSafe(F.col(name)), "left_semi" if keep else "left_anti")
+
+
+#: A key is hot from this many rows on, or from its share of all hot rows, so that there are at most MOST_HOT_KEYS hot keys.
+LEAST_HOT_ROWS, MOST_HOT_KEYS = 1_000, 10_000
+
+
+def join_counted(rows: DataFrame, facts: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """``rows`` joined with ``facts``, which has one row per key; ``counts`` has keys and how many of ``rows`` carry them.
+
+    Rows of a hot key are dealt over as many parts as keep each to a bounded number of rows, and the
+    key's facts are repeated for each part; the part goes by the bigint columns of ``rows``. The hot keys, MOST_HOT_KEYS at most, and their numbers
+    of parts are broadcast. ``counts`` should be cheap to compute; it is reduced to hot keys first.
+    """
+    from pyspark.sql import functions as F
+
+    n = F.col("__n")
+    hot = written(counts.toDF(key, "__n").where(n > LEAST_HOT_ROWS), "hot-keys")
+    total = hot.agg(F.sum(n)).first()[0]
+    if total is None:
+        return rows.join(facts, key)
+    share = max(LEAST_HOT_ROWS, -(-total // MOST_HOT_KEYS))
+    parts = F.broadcast(hot.where(n > share).select(key, F.ceil(n / share).cast("int").alias("__parts")))
+    many = F.coalesce("__parts", F.lit(1))
+    ids = [c for c, t in rows.dtypes if t == "bigint" and c != key]
+    dealt = rows.join(parts, key, "left").withColumn("__part", F.pmod(F.xxhash64(*ids), many).cast("int")).drop("__parts")
+    spread = facts.join(parts, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), many - 1))).drop("__parts")
+    return dealt.join(spread, [key, "__part"]).drop("__part")
