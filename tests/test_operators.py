@@ -3,6 +3,7 @@
 from math import cos, pi, sin, sqrt
 
 import pytest
+from pyspark.sql import functions as F
 
 from trajix.elements import RADII, element_of
 from trajix.model import ATOMS, BONDS, CHAINS, RESIDUES, Topology, check_atom_count, to_long, to_wide
@@ -200,6 +201,100 @@ def test_layouts_and_guards(spark):
     assert derived.trajectory_info(f.selectExpr("*", "2.5D AS time")).first()["first_time"] == 2.5
 
 
+def test_trajectories_stay_apart(spark):
+    """Two trajectories in one table, with the same frame numbers, one of them without a name."""
+    rows = [(t, k, [float(k * v)], [0.0], [0.0]) for t, v, n in (("a", 1, 4), ("b", 10, 3), (None, 2, 2)) for k in range(n)]
+    f = spark.createDataFrame(rows, "traj string, " + FRAME)
+    got = {(r["traj"], r["lag"]): r["value"] for r in over_time.msd(f).collect()}
+    assert got == pytest.approx({**{("a", k): float(k * k) for k in range(4)}, **{("b", k): 100.0 * k * k for k in range(3)}, (None, 0): 0.0, (None, 1): 4.0})
+    spread = {r["traj"]: r["value"] for r in over_time.rmsf(f).collect()}
+    assert spread == pytest.approx({"a": sqrt(1.25), "b": 10 * sqrt(2 / 3), None: 1.0})
+    assert sorted(map(repr, to_wide(to_long(f)).collect())) == sorted(map(repr, f.collect()))
+    assert {(r["traj"], r["frame"]): r["cx"] for r in frame_sums.center(f, [2.0]).collect()}["b", 2] == 20.0
+
+
+BOX_OF_ITS_OWN = FRAME + ", box array<double>"
+
+
+def test_boxes_of_their_own(spark):
+    cube = lambda v: [v, 0.0, 0.0, 0.0, v, 0.0, 0.0, 0.0, v]
+    xyz = [0.5, 9.5], [0.0, 0.0], [0.0, 0.0]
+    f = spark.createDataFrame([(0, *xyz, cube(10.0)), (1, *xyz, cube(6.0))], BOX_OF_ITS_OWN)
+    assert values(pbc.image_distances(f, [(0, 1)]), "frame") == pytest.approx([1, 3])
+    assert values(pbc.wrap(to_long(f, keep=("box",))).where("atom_index = 1"), "frame", "x") == pytest.approx([9.5, 3.5])
+    assert [r["x"] for r in pbc.make_whole(f, [(0, 1)], 2).orderBy("frame").collect()] == [pytest.approx([0.5, -0.5]), pytest.approx([0.5, -2.5])]
+    g = [r["g_r"] for r in spatial.rdf(f, [0], [0], None, 0.0, 1.0, 1).orderBy("frame").collect()]
+    assert g[0] / g[1] == pytest.approx(1000 / 216)
+    skewed = [10.0, 0.0, 0.0, 4.0, 9.0, 0.0, -3.0, 2.0, 8.0]
+    fixed, own = (pbc.make_whole(x, [(0, 1)], 2, b).first()["x"] for x, b in ((f.where("frame = 0"), skewed), (f.where("frame = 0").withColumn("box", F.lit(skewed)), None)))
+    assert fixed == pytest.approx(own)
+    for bad in (None, [0.0] * 9):
+        g = spark.createDataFrame([(0, *xyz, bad)], BOX_OF_ITS_OWN)
+        for run in (lambda: pbc.image_distances(g, [(0, 1)]), lambda: pbc.make_whole(g, [(0, 1)], 2), lambda: spatial.rdf(g, [0], [1]), lambda: pbc.wrap(to_long(g, keep=("box",)))):
+            with pytest.raises(Exception, match="InvalidBox|without volume"):
+                run().collect()
+
+
+def test_long_chain_is_made_whole(spark):
+    """Steps grow with the atoms, not with the square of a chain."""
+    n = 3000
+    f = frames(spark, [((3.0 * i) % 10, 0, 0) for i in range(n)])
+    bonds = [(i, i + 1) for i in range(n - 1)]
+    assert sum(len(a) for a, _ in pbc.spanning_steps(bonds, n)) == n - 1
+    assert pbc.make_whole(f, bonds, n, [10.0, 0, 0, 0, 10.0, 0, 0, 0, 10.0]).first()["x"] == pytest.approx([3.0 * i for i in range(n)])
+
+
+def test_close_pairs_against_all_pairs():
+    import numpy as np
+
+    from trajix.functions import points
+
+    rng = np.random.default_rng(2)
+    p, group = rng.uniform(-20, 20, (600, 3)), rng.integers(0, 3, 600)
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+    expected = {(i, j) for i, j in zip(*np.nonzero((d < 5) & (group[:, None] == group[None]))) if i != j}
+    step, points.STEP_PAIRS = points.STEP_PAIRS, 500
+    try:
+        found = list(points.close_pairs(p, group, 5.0))
+    finally:
+        points.STEP_PAIRS = step
+    got = [(i, j) for a, b, _ in found for i, j in zip(a, b)]
+    assert len(found) > 5 and len(got) == len(set(got)) and set(got) == expected
+
+
+def test_frame_values_need_no_shuffle(spark):
+    f = frames(spark, [(0, 0, 0), (1, 0, 0)], [(0, 0, 0), (2, 0, 0)])
+    ref = superposition.reference_of(f, 0)
+    for df in (frame_sums.center(f, [1.0, 1.0]), frame_sums.radius_of_gyration(f), frame_sums.inertia(f, [1.0, 1.0]), superposition.rmsd(f, ref), sasa.total_by_frame(f, [1.7, 1.7])):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_frames_of_different_sizes_and_none(spark):
+    f = frames(spark, [(0, 0, 0), (2, 0, 0)], [(1, 1, 1)], [(0, 0, 0), (0, 4, 0)])
+    assert values(frame_sums.radius_of_gyration(f), "frame") == pytest.approx([1, 0, 2])
+    assert frame_sums.radius_of_gyration(f.where("false")).count() == 0
+    bare = spark.createDataFrame([(0, [], [], [])], FRAME)
+    assert tuple(frame_sums.center(bare).first())[1:] == (0, 0, 0) and sasa.total_by_frame(bare, []).first()["area"] == 0
+    with pytest.raises(Exception, match="IndexError"):
+        frame_sums.center(f, None, [5]).collect()
+
+
+def test_every_residue_and_projections(spark):
+    import numpy as np
+
+    t = topology(spark, [("N", 7, 0), ("CA", 6, 0), ("C", 6, 0), ("O", 8, 0), ("N", 7, 1)], [("GLY", 0), ("ALA", 0)])
+    f = frames(spark, [(0, 0, 0), (1, 0, 0), (2, 0, 0), (2, 1, 0), (3, 0, 0)])
+    codes_of = dssp.every_residue(dssp.dssp(f, t.table()), t.table()).orderBy("residue_index").collect()
+    assert [r["code"] for r in codes_of] == [" ", " "] and dssp.dssp(f, t.table()).count() == 1
+    r = np.random.default_rng(3).normal(size=(12, 3, 3)) * [3, 1, 0.2]
+    f = frames(spark, *r.tolist())
+    head, loads = over_time.pca(f, None, 2)
+    found = over_time.projections(f, loads).groupBy("component").agg(F.var_samp("value").alias("v")).orderBy("component").collect()
+    assert [x["v"] for x in found] == pytest.approx(values(head, "component", "eigenvalue"))
+    with pytest.raises(ValueError, match="DimensionTooLarge"):
+        over_time.pca(f, None, 2, most_dimensions=8)
+
+
 def codes(n, bonds=(), pairs=(), segment=None, kappa=None, phi=None, psi=None, prefer_pi=True):
     blank = [None] * n
     return "".join(dssp.assign_codes([0] * n, segment or [0] * n, set(bonds), list(pairs), kappa or blank, phi or blank, psi or blank, prefer_pi)[0])

@@ -94,12 +94,9 @@ def analyse(a: argparse.Namespace, topology: Topology, frames: DataFrame) -> Dat
             return spatial.contacts(frames, table, a.scheme, a.cutoff)
         case "rdf":
             first, second = (selection.indices(table, s) or [i for i, _, _ in own] for s in (a.sel1, a.sel2))
-            volume = spatial.box_volume(frames).orderBy("frame").first()
-            if volume is None:
-                raise ValueError("no box")
-            return spatial.rdf_average(frames, first, second, volume["volume"], 0.0, a.rmax, a.bins)
+            return spatial.rdf_average(frames, first, second, None, 0.0, a.rmax, a.bins)
         case "sasa":
-            return sasa.total(sasa.sasa(frames, radii, atoms))
+            return sasa.total_by_frame(frames, radii, atoms)
         case "all":
             return derived.analyze_all(frames, topology, a.ref, atoms)
         case "dssp":

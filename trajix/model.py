@@ -62,9 +62,9 @@ def keys(frames: DataFrame) -> list[str]:
     return [c for c in ("traj", "frame") if c in frames.columns]
 
 
-def to_long(frames: DataFrame, atoms: list[int] | None = None) -> DataFrame:
-    """frame, atom_index, x, y, z in doubles: all atoms, or the given ones."""
-    extra = keys(frames)
+def to_long(frames: DataFrame, atoms: list[int] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """frame, atom_index, x, y, z in doubles, and columns to ``keep``: all atoms, or the given ones."""
+    extra = [*keys(frames), *keep]
     if atoms is None:
         zipped = F.posexplode(F.arrays_zip("x", "y", "z")).alias("atom_index", "r")
         return frames.select(*extra, zipped).select(*extra, "atom_index", *[F.col(f"r.{c}").cast("double").alias(c) for c in "xyz"])
@@ -73,9 +73,10 @@ def to_long(frames: DataFrame, atoms: list[int] | None = None) -> DataFrame:
 
 
 def to_wide(coords: DataFrame) -> DataFrame:
-    """Long rows to a row per frame; atom_index orders the arrays."""
-    rows = coords.groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("atom_index", "x", "y", "z"))).alias("r"))
-    return rows.select("frame", *[F.col(f"r.{c}").alias(c) for c in "xyz"])
+    """Long rows to a row per frame of each trajectory; atom_index orders the arrays."""
+    k = keys(coords)
+    rows = coords.groupBy(*k).agg(F.sort_array(F.collect_list(F.struct("atom_index", "x", "y", "z"))).alias("r"))
+    return rows.select(*k, *[F.col(f"r.{c}").alias(c) for c in "xyz"])
 
 
 def check_atom_count(frames: DataFrame, n: int) -> DataFrame:

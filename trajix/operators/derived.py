@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajix.elements import RADII
+from trajix.functions.points import per_frame
 from trajix.model import Topology, keys
 from trajix.operators import frame_sums, over_time, sasa, spatial, superposition
 
@@ -63,26 +65,28 @@ def residue_areas(areas: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def analyze_all(frames: DataFrame, topology: Topology, reference_frame: int = 0, atoms: list[int] | None = None, contact_cutoff: float = 4.5, with_sasa: bool = True) -> DataFrame:
-    """frame, rmsd, rg, cx, cy, cz, n_hbonds, n_contacts (closest heavy atoms) and, if asked, sasa."""
+    """frame, rmsd, rg, cx, cy, cz, n_hbonds, n_contacts (closest heavy atoms) and, if asked, sasa.
+
+    What needs one frame alone comes from one pass over it; the two counts join it.
+    """
     k = keys(frames)
     table = topology.table()
     rows = sorted(table.select("atom_index", "mass", "element").collect())
-    masses = [r["mass"] for r in rows]
+    masses, radii = [r["mass"] for r in rows], [RADII[r["element"]] for r in rows]
     reference = superposition.reference_of(frames, reference_frame)
-    parts = [
-        superposition.rmsd(frames, reference, atoms).withColumnRenamed("value", "rmsd"),
-        frame_sums.radius_of_gyration(frames, masses, atoms).withColumnRenamed("value", "rg"),
-        frame_sums.center(frames, masses, atoms),
-        spatial.counts_by_frame(frames, spatial.hydrogen_bonds(frames, topology), "n_hbonds"),
-        spatial.counts_by_frame(frames, spatial.contacts(frames, table, "closest_heavy", contact_cutoff), "n_contacts"),
-    ]
-    if with_sasa:
-        areas = sasa.total(sasa.sasa(frames, [RADII[r["element"]] for r in rows], atoms))
-        parts.append(areas.withColumnRenamed("area", "sasa"))
-    out = frames.select(*k)
-    for part in parts:
-        out = out.join(part, k, "left")
-    return out
+
+    def alone(points: np.ndarray) -> dict:
+        center = frame_sums.about_center(points, masses, atoms)[1]
+        out = {"rmsd": superposition.fitted(points, reference, atoms)[1], "rg": frame_sums.gyration(points, masses, atoms)}
+        out |= {f"c{c}": np.ascontiguousarray(center[:, i]) for i, c in enumerate("xyz")}
+        return out | ({"sasa": sasa.areas_of(points, radii, atoms, 1.4, 100).sum(1)} if with_sasa else {})
+
+    out = per_frame(frames, "rmsd double, rg double, cx double, cy double, cz double" + ", sasa double" * with_sasa, alone)
+    bonds = spatial.hydrogen_bonds(frames, topology).groupBy(*k).agg(F.count("*").alias("n_hbonds"))
+    contacts = spatial.contacts(frames, table, "closest_heavy", contact_cutoff).groupBy(*k).agg(F.count("*").alias("n_contacts"))
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_hbonds", "n_contacts")]
+    joined = out.join(bonds, k, "left").join(contacts, k, "left")
+    return joined.select(*k, "rmsd", "rg", "cx", "cy", "cz", *counts, *["sasa"] * with_sasa)
 
 
 def rmsf_of_all(frames: DataFrame, atoms: list[int] | None = None) -> DataFrame:

@@ -1,23 +1,22 @@
-"""Secondary structure from backbone hydrogen bonds.
+"""Secondary structure from backbone hydrogen bonds, in the task that reads a frame.
 
-Residues, hydrogens, breaks and torsions come from windows over a frame's residues, near residues
-from a distance join, energies from expressions, and each donor's two best acceptors from a window.
-What is left per frame, the assembly of ladders and the order in which codes overrule each other,
-works on a few short lists.
+Hydrogens, breaks, torsions, near residues, energies and each donor's two best acceptors come from
+arrays of many frames at once. What is left per frame, the assembly of ladders and the order in which
+codes overrule each other, works on a few short lists.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajix.functions import vectors as V
-from trajix.model import at, keys, listed
+from trajix.functions.points import close_pairs, per_frame
+from trajix.model import keys, listed
 from trajix.operators.geometry import _residue_atoms
-from trajix.operators.spatial import near_pairs
 
 # Fixed values of the method: energies in kcal/mol, lengths in Å, angles in degrees.
 COUPLING, LOWEST, BOND_BELOW, TOO_NEAR = -27.888, -9.9, -0.5, 0.5
@@ -39,77 +38,121 @@ def complete_residues(table: DataFrame) -> list[dict]:
     return [{"r": i, "residue": x["residue_index"], "chain": x["chain_index"], "pro": x["residue_name"] == "PRO", "n": x["N"], "a": x["CA"], "c": x["C"], "o": x["O"]} for i, x in enumerate(rows)]
 
 
-def _vector(name: str) -> V.Vector:
-    return tuple(F.col(f"{name}{c}") for c in "xyz")
+ANGLES = ("phi", "psi", "omega", "kappa", "alpha", "tco")
+RESIDUE = "array<struct<r:int,residue:int,chain:int,segment:int," + ",".join(f"{a}:double" for a in ANGLES) + ">>"
+BONDING = f"residues {RESIDUE}, energies array<struct<donor:int,acceptor:int,energy:double>>, best array<struct<donor:int,acceptor:int,energy:double,rank:int>>, pairs array<struct<i:int,j:int>>"
 
 
-def _torsion(a: V.Vector, b: V.Vector, c: V.Vector, d: V.Vector) -> Column:
-    return F.degrees(V.dihedral(a, b, c, d))
+def _norm(v: np.ndarray) -> np.ndarray:
+    return np.sqrt((v * v).sum(-1))
 
 
-def backbone(frames: DataFrame, residues: list[dict]) -> DataFrame:
-    """A row per frame and complete residue: positions n, a (CA), c, o, h, whether the chain breaks before it, and its angles."""
-    k = keys(frames)
-    schema = "array<struct<r:int,residue:int,chain:int,pro:boolean,n:int,a:int,c:int,o:int>>"
-    each = frames.select(*k, *"xyz", F.explode(listed(residues, schema)).alias("t"))
-    points = [at(c, F.col(f"t.{p}")).alias(f"{p}{c}") for p in "naco" for c in "xyz"]
-    rows = each.select(*k, "t.r", "t.residue", "t.chain", "t.pro", *points)
-    w = Window.partitionBy(*k).orderBy("r")
+def _cosine(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    size = _norm(u) * _norm(v)
+    return (u * v).sum(-1) / np.where(size > 0, size, np.nan)
 
-    def shifted(name: str, by: int) -> V.Vector:
-        return tuple(F.lag(f"{name}{c}", by).over(w) for c in "xyz")
 
-    gap = V.distance(shifted("c", 1), _vector("n")) > PEPTIDE_BOND
-    rows = rows.withColumn("breaks", F.coalesce((F.lag("chain").over(w) != F.col("chain")) | gap, F.lit(False)))
-    rows = rows.withColumn("segment", F.sum(F.col("breaks").cast("int")).over(w))
+def _torsion(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    axis = c - b
+    n1, n2 = np.cross(b - a, axis), np.cross(axis, d - c)
+    size = _norm(axis)
+    return np.degrees(np.arctan2((np.cross(axis, n1) * n2).sum(-1) / np.where(size > 0, size, np.nan), (n1 * n2).sum(-1)))
 
-    def joined(low: int, high: int) -> Column:
-        """Whether residues low to high from here are there without a break between."""
-        return F.coalesce(F.lag("segment", -low).over(w) == F.lag("segment", -high).over(w), F.lit(False))
-
-    co = V.minus(shifted("o", 1), shifted("c", 1))
-    length = V.norm(co)
-    has_h = joined(-1, 0) & ~F.col("pro")
-    h = [F.when(~has_h, 0.0).when(length < 1e-6, F.col(f"n{c}")).otherwise(F.col(f"n{c}") - co[i] / length).alias(f"h{c}") for i, c in enumerate("xyz")]
-    here = {p: _vector(p) for p in "nac"}
-    arm, leg = V.minus(here["a"], shifted("a", 2)), V.minus(shifted("a", -2), here["a"])
-    angles = {
-        "phi": F.when(joined(-1, 0), _torsion(shifted("c", 1), here["n"], here["a"], here["c"])),
-        "psi": F.when(joined(0, 1), _torsion(here["n"], here["a"], here["c"], shifted("n", -1))),
-        "omega": F.when(joined(0, 1), _torsion(here["a"], here["c"], shifted("n", -1), shifted("a", -1))),
-        "alpha": F.when(joined(-1, 2), _torsion(shifted("a", 1), here["a"], shifted("a", -1), shifted("a", -2))),
-        "kappa": F.when(joined(-2, 2), F.degrees(F.acos(V.clamp(V.dot(arm, leg) / F.nullif(V.norm(arm) * V.norm(leg), F.lit(0.0)))))),
-    }
-    c_o, before = V.minus(here["c"], _vector("o")), V.minus(shifted("c", 1), shifted("o", 1))
-    angles["tco"] = F.when(joined(-1, 0), V.dot(c_o, before) / F.nullif(V.norm(c_o) * V.norm(before), F.lit(0.0)))
-    return rows.select("*", *h, *[c.alias(n) for n, c in angles.items()])
 
+def _shifted(v: np.ndarray, by: int, fill) -> np.ndarray:
+    """What the residue ``by`` places on has, or ``fill`` beyond the ends."""
+    out = np.full_like(v, fill)
+    n = v.shape[1]
+    if abs(by) < n:
+        out[:, max(0, -by) : n - max(0, by)] = v[:, max(0, by) : n - max(0, -by)]
+    return out
 
-def near_residues(rows: DataFrame, cells: bool = True) -> DataFrame:
-    """frame, i, j of residues i + 2 <= j whose CA are nearer than 9 Å."""
-    k = keys(rows)
-    ca = rows.select(*k, "r", *[F.col(f"a{c}").alias(c) for c in "xyz"])
-    return near_pairs(ca, ca, NEAR_CA, cells, when=F.col("r") + 2 <= F.col("r_b")).select(*k, F.col("r").alias("i"), F.col("r_b").alias("j"))
 
+def _residue_values(n, ca, c, o, chain: np.ndarray, pro: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Segments between breaks, hydrogens and angles (NaN for none) of (frames, residues, 3) positions."""
+    next_of = lambda v, by: _shifted(v, by, np.nan)
+    gap = _norm(next_of(c, -1) - n) > PEPTIDE_BOND
+    breaks = gap | np.append(False, chain[1:] != chain[:-1])
+    breaks[:, :1] = False
+    segment = np.cumsum(breaks, axis=1)
 
-def energies(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    def joined(low: int, high: int) -> np.ndarray:
+        """Whether residues low to high from here are there without a break between."""
+        return (_shifted(segment, low, -1) == _shifted(segment, high, -2)) & (_shifted(segment, low, -1) >= 0)
+
+    co = next_of(o, -1) - next_of(c, -1)
+    length = _norm(co)[..., None]
+    has_h = (joined(-1, 0) & ~pro)[..., None]
+    h = np.where(~has_h, 0.0, np.where(length < 1e-6, n, n - co / np.where(length > 0, length, 1.0)))
+    keep = lambda v, low, high: np.where(joined(low, high), v, np.nan)
+    angles = {
+        "phi": keep(_torsion(next_of(c, -1), n, ca, c), -1, 0),
+        "psi": keep(_torsion(n, ca, c, next_of(n, 1)), 0, 1),
+        "omega": keep(_torsion(ca, c, next_of(n, 1), next_of(ca, 1)), 0, 1),
+        "kappa": keep(np.degrees(np.arccos(np.clip(_cosine(ca - next_of(ca, -2), next_of(ca, 2) - ca), -1, 1))), -2, 2),
+        "alpha": keep(_torsion(next_of(ca, -1), ca, next_of(ca, 1), next_of(ca, 2)), -1, 2),
+        "tco": keep(_cosine(c - o, next_of(c - o, -1)), -1, 0),
+    }
+    return segment, h, angles
+
+
+def _records(columns: dict[str, np.ndarray], frame: np.ndarray, n_frames: int) -> pa.ListArray:
+    """Rows in the order of frames as a list of structs per frame; NaN is null."""
+    arrays = [pa.array(v, mask=np.isnan(v)) if v.dtype.kind == "f" else pa.array(v.astype(np.int32)) for v in columns.values()]
+    first = np.searchsorted(frame, np.arange(n_frames + 1))
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.StructArray.from_arrays(arrays, names=list(columns)))
+
+
+def bonding(frames: DataFrame, residues: list[dict]) -> DataFrame:
+    """A frame's complete residues with their segments and angles, near pairs i + 2 <= j (CA nearer than
+    9 Å), energies of these both ways, and each donor's two acceptors of lowest energy below 0, ties to
+    the earlier residue. All of it comes from the frame alone; no row moves.
+    """
+    at = {p: np.array([x[p] for x in residues]) for p in "naco"}
+    number, chain, pro = (np.array([x[c] for x in residues]) for c in ("residue", "chain", "pro"))
+
+    def work(points: np.ndarray) -> dict:
+        n, ca, c, o = (points[:, at[p]] for p in "naco")
+        with np.errstate(invalid="ignore"):
+            segment, h, angles = _residue_values(n, ca, c, o, chain, pro)
+        f, m = segment.shape
+        own = {"r": np.tile(np.arange(m), f), "residue": np.tile(number, f), "chain": np.tile(chain, f), "segment": segment.ravel(), **{a: angles[a].ravel() for a in ANGLES}}
+        found = [(i, j) for i, j, _ in close_pairs(ca.reshape(-1, 3), np.repeat(np.arange(f), m), NEAR_CA)]
+        d, a = (np.concatenate([x[k] for x in found] or [np.zeros(0, int)]) for k in (0, 1))
+        far = abs(d - a) >= 2
+        order = np.lexsort((a[far], d[far]))
+        d, a = d[far][order], a[far][order]
+        nd, hd, ca_, oa = (v.reshape(-1, 3)[k] for v, k in ((n, d), (h, d), (c, a), (o, a)))
+        ho, hc, nc, no = (_norm(u - v) for u, v in ((hd, oa), (hd, ca_), (nd, ca_), (nd, oa)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            terms = 1000 * (COUPLING / ho - COUPLING / hc + COUPLING / nc - COUPLING / no)
+            rounded = np.copysign(np.floor(np.abs(terms) + 0.5), terms) / 1000
+        near = np.minimum.reduce([ho, hc, nc, no]) < TOO_NEAR if len(d) else np.zeros(0, bool)
+        energy = np.where(pro[d % m], 0.0, np.where(near, LOWEST, np.maximum(rounded, LOWEST)))
+        by = np.lexsort((a, energy, d))
+        by = by[energy[by] < 0]
+        fresh = np.append(True, d[by][1:] != d[by][:-1]) if len(by) else np.zeros(0, bool)
+        rank = np.arange(len(by)) - np.maximum.accumulate(np.where(fresh, np.arange(len(by)), 0)) + 1
+        by, rank = by[rank <= 2], rank[rank <= 2]
+        once = d < a
+        return {
+            "residues": _records(own, np.repeat(np.arange(f), m), f),
+            "energies": _records({"donor": d % m, "acceptor": a % m, "energy": energy}, d // m, f),
+            "best": _records({"donor": d[by] % m, "acceptor": a[by] % m, "energy": energy[by], "rank": rank}, d[by] // m, f),
+            "pairs": _records({"i": d[once] % m, "j": a[once] % m}, d[once] // m, f),
+        }
+
+    return per_frame(frames, BONDING, work)
+
+
+def energies(bonded: DataFrame) -> DataFrame:
     """frame, donor, acceptor, energy of near residues, both ways."""
-    k = keys(rows)
-    ways = pairs.select(*k, F.col("i").alias("donor"), F.col("j").alias("acceptor")).union(pairs.select(*k, "j", "i"))
-    d = rows.select(*k, F.col("r").alias("donor"), "pro", *[f"{p}{c}" for p in "hn" for c in "xyz"])
-    a = rows.select(*k, F.col("r").alias("acceptor"), *[f"{p}{c}" for p in "oc" for c in "xyz"])
-    both = ways.join(d, [*k, "donor"]).join(a, [*k, "acceptor"])
-    apart = {p: V.distance(_vector(p[0]), _vector(p[1])) for p in ("ho", "hc", "nc", "no")}
-    near = F.least(*apart.values()) < TOO_NEAR
-    terms = COUPLING / apart["ho"] - COUPLING / apart["hc"] + COUPLING / apart["nc"] - COUPLING / apart["no"]
-    energy = F.when(F.col("pro"), 0.0).when(near, LOWEST).otherwise(F.greatest(F.round(terms, 3), F.lit(LOWEST)))
-    return both.select(*k, "donor", "acceptor", energy.alias("energy"))
+    return bonded.select(*keys(bonded), F.explode("energies").alias("e")).select(*keys(bonded), "e.*")
 
 
-def best_two(found: DataFrame) -> DataFrame:
-    """Each donor's two acceptors of lowest energy below 0; ties to the earlier residue."""
-    w = Window.partitionBy(*keys(found), "donor").orderBy("energy", "acceptor")
-    return found.where("energy < 0").withColumn("rank", F.row_number().over(w)).where("rank <= 2")
+def best_two(bonded: DataFrame) -> DataFrame:
+    """frame, donor, acceptor, energy, rank (1 or 2)."""
+    return bonded.select(*keys(bonded), F.explode("best").alias("e")).select(*keys(bonded), "e.*")
 
 
 class _Ladder:
@@ -217,13 +260,8 @@ def assign_codes(
 def dssp(frames: DataFrame, table: DataFrame, prefer_pi: bool = True) -> DataFrame:
     """frame, residue_index, code, sheet, strand, phi, psi, omega, kappa, alpha, tco of every complete residue."""
     k = keys(frames)
-    residues = complete_residues(table)
-    rows = backbone(frames, residues)
-    pairs = near_residues(rows, len(residues) > 200)
-    bonds = best_two(energies(rows, pairs)).where(F.col("energy") < BOND_BELOW).groupBy(*k).agg(F.collect_list(F.struct("donor", "acceptor")).alias("bonds"))
-    near = pairs.groupBy(*k).agg(F.collect_list(F.struct("i", "j")).alias("pairs"))
-    own = ["r", "residue", "chain", "segment", "phi", "psi", "omega", "kappa", "alpha", "tco"]
-    whole = rows.groupBy(*k).agg(F.sort_array(F.collect_list(F.struct(*own))).alias("rows")).join(bonds, k, "left").join(near, k, "left")
+    bonded = bonding(frames, complete_residues(table)).drop("energies")
+    whole = bonded.select(*k, F.col("residues").alias("rows"), F.filter("best", lambda x: x.energy < BOND_BELOW).alias("bonds"), "pairs")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +279,7 @@ def dssp(frames: DataFrame, table: DataFrame, prefer_pi: bool = True) -> DataFra
     types = dict(whole.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in [*k, "rows"]) + ", code array<string>, sheet array<int>, strand array<int>"
     done = whole.mapInArrow(label, schema).select(*k, F.explode(F.arrays_zip("rows", "code", "sheet", "strand")).alias("t"))
-    angles = [F.col(f"t.rows.{c}").alias(c) for c in ("phi", "psi", "omega", "kappa", "alpha", "tco")]
+    angles = [F.col(f"t.rows.{c}").alias(c) for c in ANGLES]
     return done.select(*k, F.col("t.rows.residue").alias("residue_index"), "t.code", "t.sheet", "t.strand", *angles)
 
 

@@ -1,67 +1,56 @@
 """Values of a frame that sum over its atoms: centers, radius of gyration, inertia.
 
-Atoms are summed in the task that reads the frame; one row per frame moves. Coordinates are taken
-from the frame's first atom, so that one pass loses no digits.
+Atoms are summed in the task that reads the frame, for many frames at once, first to the center and
+then about it; nothing moves but the results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajix.model import keys, listed
+from trajix.functions.points import per_frame
+from trajix.model import keys
 
 
-def _weighted(frames: DataFrame, weights: list[float] | None, atoms: list[int] | None) -> DataFrame:
-    """frame, origin (ox, oy, oz) and per selected atom m, x, y, z from the origin."""
-    w = listed(weights, "array<double>") if weights is not None else None
-    index = F.explode(listed(atoms, "array<int>") if atoms is not None else F.sequence(F.lit(0), F.size("x") - 1)).alias("i")
-    origin = [F.get(c, F.lit(0)).cast("double").alias(f"o{c}") for c in "xyz"]
-    each = frames.where(F.size("x") > 0).select(*keys(frames), *origin, *"xyz", index)
-    m = F.get(w, F.col("i")) if w is not None else F.lit(1.0)
-    return each.select(*keys(frames), "ox", "oy", "oz", m.alias("m"), *[(F.get(c, F.col("i")).cast("double") - F.col(f"o{c}")).alias(c) for c in "xyz"])
-
-
-def _by_frame(frames: DataFrame, summed: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """One row per frame, also for frames without selected atoms, whose values are 0."""
-    k = keys(frames)
-    out = summed.select(*k, *[c.alias(n) for n, c in columns.items()])
-    return frames.select(*k).join(out, k, "left").select(*k, *[F.coalesce(n, F.lit(0.0)).alias(n) for n in columns])
-
-
-def _moments(frames: DataFrame, weights: list[float] | None, atoms: list[int] | None) -> DataFrame:
-    m, x, y, z = (F.col(c) for c in "mxyz")
-    sums = {"mass": m, "sx": m * x, "sy": m * y, "sz": m * z, "xx": m * x * x, "yy": m * y * y, "zz": m * z * z, "xy": m * x * y, "xz": m * x * z, "yz": m * y * z}
-    firsts = [F.first(f"o{c}").alias(f"o{c}") for c in "xyz"]
-    return _weighted(frames, weights, atoms).groupBy(*keys(frames)).agg(*firsts, *[F.sum(c).alias(n) for n, c in sums.items()])
-
-
-def _mean(name: str) -> Column:
-    return F.col(name) / F.nullif(F.col("mass"), F.lit(0.0))
+def about_center(points: np.ndarray, weights: list[float] | None, atoms: list[int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights and their sum's inverse (0 if there is none), centers, and the atoms from them, of some frames."""
+    own = np.arange(points.shape[1]) if atoms is None else np.array(atoms, int)
+    w = np.ones(len(own)) if weights is None else np.array(weights, float)[own]
+    w = w / w.sum() if w.sum() else np.zeros(len(own))
+    chosen = points[:, own]
+    first = chosen[:, :1] if len(own) else np.zeros((len(points), 1, 3))
+    center = first[:, 0] + np.einsum("a,fac->fc", w, chosen - first) if w.any() else np.zeros((len(points), 3))
+    return w, center, chosen - center[:, None]
 
 
 def center(frames: DataFrame, weights: list[float] | None = None, atoms: list[int] | None = None) -> DataFrame:
     """frame, cx, cy, cz: center of mass with weights, of geometry without; 0 where the weights are."""
-    found = _moments(frames, weights, atoms)
-    return _by_frame(frames, found, {f"c{c}": F.col(f"o{c}") + _mean(f"s{c}") for c in "xyz"})
+    return per_frame(frames, "cx double, cy double, cz double", lambda p: dict(zip(("cx", "cy", "cz"), np.ascontiguousarray(about_center(p, weights, atoms)[1].T))))
+
+
+def gyration(points: np.ndarray, weights: list[float] | None, atoms: list[int] | None) -> np.ndarray:
+    w, _, d = about_center(points, weights, atoms)
+    return np.sqrt(np.einsum("a,fac,fac->f", w, d, d))
 
 
 def radius_of_gyration(frames: DataFrame, weights: list[float] | None = None, atoms: list[int] | None = None) -> DataFrame:
     """frame, value: weighted root mean square distance from the center; 0 where the weights are."""
-    found = _moments(frames, weights, atoms)
-    square = _mean("xx") + _mean("yy") + _mean("zz") - _mean("sx") * _mean("sx") - _mean("sy") * _mean("sy") - _mean("sz") * _mean("sz")
-    return _by_frame(frames, found, {"value": F.sqrt(F.greatest(square, F.lit(0.0)))})
+    return per_frame(frames, "value double", lambda p: {"value": gyration(p, weights, atoms)})
 
 
 def inertia(frames: DataFrame, weights: list[float], atoms: list[int] | None = None) -> DataFrame:
     """frame and the tensor about the center of mass: ixx, iyy, izz, ixy, ixz, iyz."""
-    found = _moments(frames, weights, atoms)
+    mass = sum(weights if atoms is None else [weights[i] for i in atoms])
 
-    def about(pair: str) -> Column:
-        return F.col(pair) - F.col(f"s{pair[0]}") * _mean(f"s{pair[1]}")
+    def tensor(points: np.ndarray) -> dict:
+        w, _, d = about_center(points, weights, atoms)
+        m = mass * np.einsum("a,fai,faj->fij", w, d, d)
+        x, y, z = m[:, 0, 0], m[:, 1, 1], m[:, 2, 2]
+        return {"ixx": y + z, "iyy": x + z, "izz": x + y, "ixy": 0.0 - m[:, 0, 1], "ixz": 0.0 - m[:, 0, 2], "iyz": 0.0 - m[:, 1, 2]}
 
-    columns = {"ixx": about("yy") + about("zz"), "iyy": about("xx") + about("zz"), "izz": about("xx") + about("yy"), "ixy": -about("xy"), "ixz": -about("xz"), "iyz": -about("yz")}
-    return _by_frame(frames, found, columns)
+    return per_frame(frames, ", ".join(f"i{p} double" for p in ("xx", "yy", "zz", "xy", "xz", "yz")), tensor)
 
 
 def principal_moments(tensors: DataFrame) -> DataFrame:

@@ -9,41 +9,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajix.model import listed, to_long
+from trajix.functions.points import lists, per_frame, runs
+from trajix.model import keys, listed, to_long
 
-MOST_DIMENSIONS = 30_000
+#: Largest covariance matrix, and the largest that the driver solves.
+MOST_DIMENSIONS, MOST_SOLVED = 30_000, 3_000
 PAIRS_A_TASK = 8
 
 
+def _track(frames: DataFrame) -> list[str]:
+    """The column that tells trajectories apart, where frames have one."""
+    return [c for c in ("traj",) if c in frames.columns]
+
+
 def rmsf(frames: DataFrame, atoms: list[int] | None = None) -> DataFrame:
-    """atom_index, value: root mean square distance from the mean position, over all frames, as they are."""
+    """atom_index (of each traj, if frames name one), value: root mean square distance from the mean position, as frames are."""
     if frames.isEmpty():
         raise ValueError("NoFrames")
     spread = sum((F.var_pop(c) for c in "yz"), F.var_pop("x"))
-    return to_long(frames, atoms).groupBy("atom_index").agg(F.sqrt(spread).alias("value"))
+    return to_long(frames, atoms).groupBy(*_track(frames), "atom_index").agg(F.sqrt(spread).alias("value"))
 
 
-def _in_order(frames: DataFrame, n: int, block: int) -> DataFrame:
-    """The ``n`` frames with their place in the order of frames as the frame, numbered in parts that quantiles cut."""
-    parts = min(128, n // block + 1)
+def _in_order(frames: DataFrame, block: int) -> DataFrame:
+    """Frames with their place in their trajectory's order and the last block's number, numbered in parts that quantiles cut."""
+    t = _track(frames)
+    parts = min(128, frames.count() // block + 1)
     cuts = frames.approxQuantile("frame", [k / parts for k in range(1, parts)], 0.002) if parts > 1 else []
     part = F.size(F.filter(listed(cuts, "array<double>"), lambda c: c <= F.col("frame"))) if cuts else F.lit(0)
-    rows = frames.withColumn("part", part)
-    sizes = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
-    before = [sum(v for k, v in sizes.items() if k < i) for i in range(len(cuts) + 1)]
-    place = F.row_number().over(Window.partitionBy("part").orderBy("frame")) - 1
-    return rows.withColumn("place", F.get(listed(before, "array<bigint>"), F.col("part")) + place).select(F.col("place").alias("frame"), *"xyz")
+    rows = frames.select(*[F.coalesce(F.concat(F.lit("t"), c), F.lit("")).alias(c) for c in t], "frame", *"xyz", part.alias("part"))
+    whole = Window.partitionBy(*t)
+    sizes = rows.groupBy(*t, "part").agg(F.count("*").alias("n"))
+    sizes = sizes.select(*t, "part", (F.sum("n").over(whole.orderBy("part")) - F.col("n")).alias("before"), F.floor((F.sum("n").over(whole) - 1) / block).cast("int").alias("last"))
+    place = F.row_number().over(Window.partitionBy(*t, "part").orderBy("frame")) - 1
+    return rows.withColumn("place", place).join(sizes, [*t, "part"]).select(*t, "last", (F.col("before") + F.col("place")).alias("frame"), *"xyz")
 
 
 def msd(frames: DataFrame, atoms: list[int] | None = None, block: int = 8192) -> DataFrame:
-    """lag, value: mean square displacement over all atoms and all starts, by the order of frames.
+    """lag (of each traj, if frames name one), value: mean square displacement over all atoms and all starts, by the order of frames.
 
     Tracks are cut into blocks of ``block`` frames. A task correlates up to PAIRS_A_TASK pairs of an
     atom's blocks that lie equally far apart, by Fourier transforms, so that its memory does not grow
     with the frames; the pairs grow with the square of a track's blocks. Coordinates are not unwrapped.
     """
-    n_frames = frames.count()
-    last = max(0, n_frames - 1) // block
+    t = _track(frames)
     size = 1 << (2 * block - 1).bit_length()
 
     def correlate(table: pa.Table) -> pa.Table:
@@ -65,24 +73,30 @@ def msd(frames: DataFrame, atoms: list[int] | None = None, block: int = 8192) ->
         lag = np.arange(1 - block, block) + apart * block
         total[lag == 0] = 0.0
         kept = (lag >= 0) & (n > 0)
-        return pa.table({"lag": lag[kept], "total": total[kept], "n": n[kept]})
-
-    long = to_long(_in_order(frames, n_frames, block), atoms)
-    blocks = long.groupBy("atom_index", F.floor(F.col("frame") / block).cast("int").alias("b")).agg(F.sort_array(F.collect_list(F.struct("frame", *"xyz"))).alias("r"))
-    first = F.transform(F.sequence(F.lit(0), last - F.col("b")), lambda d: F.struct(d.alias("apart"), F.col("b").alias("i"), F.lit(0).alias("side")))
+        found = pa.table({"lag": lag[kept], "total": total[kept], "n": n[kept]})
+        for c in t:
+            found = found.append_column(c, pa.array([table[c][0].as_py()] * found.num_rows, pa.string()))
+        return found
+
+    long = to_long(_in_order(frames, block), atoms, ("last",))
+    blocks = long.groupBy(*t, "last", "atom_index", F.floor(F.col("frame") / block).cast("int").alias("b")).agg(F.sort_array(F.collect_list(F.struct("frame", *"xyz"))).alias("r"))
+    first = F.transform(F.sequence(F.lit(0), F.col("last") - F.col("b")), lambda d: F.struct(d.alias("apart"), F.col("b").alias("i"), F.lit(0).alias("side")))
     second = F.transform(F.sequence(F.lit(0), F.col("b")), lambda d: F.struct(d.alias("apart"), (F.col("b") - d).alias("i"), F.lit(1).alias("side")))
-    pairs = blocks.select("atom_index", "r", F.explode(F.concat(first, second)).alias("p")).select("atom_index", "r", "p.*").withColumn("some", F.floor(F.col("i") / PAIRS_A_TASK))
-    parts = pairs.groupBy("atom_index", "apart", "some").applyInArrow(correlate, "lag bigint, total double, n bigint")
-    return parts.groupBy("lag").agg((F.sum("total") / F.sum("n")).alias("value"))
+    pairs = blocks.select(*t, "atom_index", "r", F.explode(F.concat(first, second)).alias("p")).select(*t, "atom_index", "r", "p.*").withColumn("some", F.floor(F.col("i") / PAIRS_A_TASK))
+    parts = pairs.groupBy(*t, "atom_index", "apart", "some").applyInArrow(correlate, ", ".join(["lag bigint, total double, n bigint", *[f"{c} string" for c in t]]))
+    named = [F.when(F.col(c) != "", F.substring(c, 2, 1 << 30)).alias(c) for c in t]
+    return parts.groupBy(*t, "lag").agg((F.sum("total") / F.sum("n")).alias("value")).select(*named, "lag", "value")
 
 
 def covariance(frames: DataFrame, atoms: list[int] | None = None) -> DataFrame:
-    """i, j, value for i <= j: sample covariance of the coordinates x0, y0, z0, x1, ...
+    """i, j, value for i <= j: sample covariance of the coordinates x0, y0, z0, x1, ..., over the frames of all trajectories together.
 
-    Each task adds up its frames' products about the first frame; rows of matrices move, not frames.
+    A first pass finds the means; in the second each task adds up its frames' products about them,
+    and rows of matrices move, not frames. A task holds one matrix: 72 MB at 3,000 dimensions, 7.2 GB
+    at MOST_DIMENSIONS.
     """
     first = frames.orderBy("frame").limit(1).select(*"xyz").first()
-    if first is None or frames.limit(2).count() < 2:
+    if first is None:
         raise ValueError("TooFewFrames")
     own = np.arange(len(first["x"])) if atoms is None else np.array(atoms, int)
     if 3 * len(own) > MOST_DIMENSIONS:
@@ -90,37 +104,48 @@ def covariance(frames: DataFrame, atoms: list[int] | None = None) -> DataFrame:
     origin = np.array([first[c] for c in "xyz"], float).T[own].ravel()
     dim = len(origin)
 
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, np.zeros(dim)
+        for batch in batches:
+            for _, _, points in runs(batch):
+                n, total = n + len(points), total + (points[:, own].reshape(len(points), -1) - origin).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim + 1)), pa.array(np.append(total, float(n)))], names=["d", "v"])
+
+    found = {r["d"]: r["v"] for r in frames.select(*"xyz").mapInArrow(sums, "d bigint, v double").groupBy("d").agg(F.sum("v").alias("v")).collect()}
+    n = found[dim]
+    if n < 2:
+        raise ValueError("TooFewFrames")
+    mean = origin + np.array([found[d] for d in range(dim)]) / n
+
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total, square = 0, np.zeros(dim), np.zeros((dim, dim))
+        square = None
         for batch in batches:
-            if batch.num_rows:
-                axes = [np.stack([v.values.to_numpy(zero_copy_only=False) for v in batch[c]]).astype(float)[:, own] for c in "xyz"]
-                r = np.stack(axes, axis=2).reshape(batch.num_rows, -1) - origin
-                n, total, square = n + len(r), total + r.sum(0), square + r.T @ r
-        if n:
-            for i in range(-1, dim):  # row -1 has the sums and the count
-                values = np.append(total, n) if i < 0 else square[i, i:]
-                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([values])], names=["i", "v"])
+            for _, _, points in runs(batch):
+                r = points[:, own].reshape(len(points), -1) - mean
+                square = r.T @ r if square is None else square + r.T @ r
+        for i in range(dim if square is not None else 0):
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([square[i, i:]])], names=["i", "v"])
 
     def added(table: pa.Table) -> pa.Table:  # a row from each task that had frames
-        rows = [v.values.to_numpy(zero_copy_only=False) for v in table["v"]]
-        return pa.table({"i": table["i"][:1], "v": pa.array([np.sum(rows, axis=0)], pa.list_(pa.float64()))})
+        total = np.zeros(len(table["v"][0]))
+        for v in table["v"]:
+            total += v.values.to_numpy(zero_copy_only=False)
+        return pa.table({"i": table["i"][:1], "v": pa.array([total], pa.list_(pa.float64()))})
 
-    parts = frames.select(*"xyz").mapInArrow(products, "i bigint, v array<double>")
-    whole = parts.groupBy("i").applyInArrow(added, "i bigint, v array<double>")
-    head = whole.where("i = -1").first()["v"]
-    total, n = listed(head[:-1], "array<double>"), head[-1]
-    each = whole.where("i >= 0").select("i", F.posexplode("v").alias("k", "v")).select("i", (F.col("i") + F.col("k")).alias("j"), "v")
-    value = (F.col("v") - F.get(total, F.col("i").cast("int")) * F.get(total, F.col("j").cast("int")) / n) / (n - 1)
-    return each.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), value.alias("value"))
+    whole = frames.select(*"xyz").mapInArrow(products, "i bigint, v array<double>").groupBy("i").applyInArrow(added, "i bigint, v array<double>")
+    each = whole.select("i", F.posexplode("v").alias("k", "v"))
+    return each.select(F.col("i").cast("int").alias("i"), (F.col("i") + F.col("k")).cast("int").alias("j"), (F.col("v") / (n - 1)).alias("value"))
 
 
-def pca(frames: DataFrame, atoms: list[int] | None = None, n_components: int | None = None) -> tuple[DataFrame, DataFrame]:
+def pca(frames: DataFrame, atoms: list[int] | None = None, n_components: int | None = None, most_dimensions: int = MOST_SOLVED) -> tuple[DataFrame, DataFrame]:
     """(component, eigenvalue, variance_ratio) and (component, dim, loading), by falling eigenvalue.
 
-    The driver solves the matrix, whose size the number of selected atoms bounds. A component's
-    largest loading is positive.
+    The driver solves the matrix, which is refused beyond ``most_dimensions``: at 3,000 it gets 4.5
+    million rows. A component's largest loading is positive.
     """
+    n_atoms = frames.select(F.size("x")).first()[0] if atoms is None else len(atoms)
+    if 3 * n_atoms > most_dimensions:
+        raise ValueError("DimensionTooLarge")
     found = covariance(frames, atoms).toPandas()
     dim = int(found["j"].max()) + 1
     c = np.zeros((dim, dim))
@@ -134,3 +159,20 @@ def pca(frames: DataFrame, atoms: list[int] | None = None, n_components: int | N
     head = spark.createDataFrame([(i, float(values[i]), float(ratio[i])) for i in range(k)], "component int, eigenvalue double, variance_ratio double")
     loads = spark.createDataFrame([(i, d, float(vectors[d, i])) for i in range(k) for d in range(dim)], "component int, dim int, loading double")
     return head, loads
+
+
+def projections(frames: DataFrame, loadings: DataFrame, atoms: list[int] | None = None) -> DataFrame:
+    """frame, component, value: frames less the mean frame, along the components of ``pca`` with the same atoms."""
+    rows = loadings.orderBy("component", "dim").collect()  # bounded as pca is
+    axes = np.array([r["loading"] for r in rows]).reshape(len({r["component"] for r in rows}), -1)
+    own = None if atoms is None else np.array(atoms, int)
+    means = to_long(frames, atoms).groupBy("atom_index").agg(*[F.avg(c).alias(c) for c in "xyz"]).collect()
+    at = {r["atom_index"]: (r["x"], r["y"], r["z"]) for r in means}
+    mean = np.array([at[i] for i in (sorted(at) if own is None else own.tolist())]).ravel()
+
+    def along(points: np.ndarray) -> dict:
+        chosen = points if own is None else points[:, own]
+        return {"v": lists((chosen.reshape(len(points), -1) - mean) @ axes.T)}
+
+    found = per_frame(frames, "v array<double>", along)
+    return found.select(*keys(frames), F.posexplode("v").alias("component", "value"))

@@ -1,14 +1,18 @@
-"""Solvent-accessible surface by test points on each atom's sphere."""
+"""Solvent-accessible surface by test points on each atom's sphere, in the task that reads a frame."""
 
 from __future__ import annotations
 
 from math import pi, sqrt
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajix.model import keys, listed, to_long
-from trajix.operators.spatial import by_cells, near_pairs
+from trajix.functions.points import close_pairs, lists, per_frame
+from trajix.model import keys, listed
+
+#: Pairs of atoms whose test points are looked at together.
+STEP_HIDERS = 1 << 14
 
 
 def sphere_points(n: int) -> list[dict]:
@@ -23,30 +27,47 @@ def sphere_points(n: int) -> list[dict]:
     return out
 
 
-def sasa(frames: DataFrame, radii: list[float], atoms: list[int] | None = None, probe: float = 1.4, points: int = 100) -> DataFrame:
-    """frame, atom_index, area in Å^2 of the atoms (all, or a subset that also alone hides points).
+def areas_of(points: np.ndarray, radii: list[float], atoms: list[int] | None, probe: float, n: int) -> np.ndarray:
+    """Areas of some frames' atoms, a row per frame.
 
-    Each point on the sphere of an atom's radius and the probe is free unless it lies inside another
-    atom's sphere. Neighbours come from a distance join; a point is dropped in the row of its first
-    hiding neighbour, so that rows go by neighbours, not by atoms squared.
+    Each test point on the sphere of an atom's radius and the probe is free unless it lies inside the
+    sphere of a near atom, which a product of the direction to that atom and the points' tells.
     """
-    k = keys(frames)
-    reach = listed([r + probe for r in radii], "array<double>")
-    long = to_long(frames, atoms).withColumn("r", F.get(reach, F.col("atom_index")))
-    widest = 2 * (max(radii) + probe)
-    found = near_pairs(long, long, widest, by_cells(frames), when=(F.col("atom_index") != F.col("atom_index_b")))
-    hiding = found.where(F.col("d") < F.col("r") + F.col("r_b")).groupBy(*k, "atom_index").agg(F.collect_list(F.struct(*[F.col(f"{c}_b").alias(c) for c in "xyzr"])).alias("near"))
-    sphere = listed(sphere_points(points), "array<struct<p:int,x:double,y:double,z:double>>")
-    own = long.join(hiding, [*k, "atom_index"], "left")
+    own = np.arange(points.shape[1]) if atoms is None else np.array(atoms, int)
+    r = np.tile((np.array(radii, float) + probe)[own], len(points))
+    flat, frame = points[:, own].reshape(-1, 3), np.repeat(np.arange(len(points)), len(own))
+    sphere = np.array([[p["x"], p["y"], p["z"]] for p in sphere_points(n)])
+    free = np.full(len(flat), n)
+    for a, b, d in close_pairs(flat, frame, 2 * r.max(initial=0.1)):
+        near = d < r[a] + r[b]
+        a, b, d = a[near], b[near], d[near]
+        starts = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, int)
+        at = 0
+        while at < len(starts):  # whole atoms at a time
+            end = max(at + 1, int(np.searchsorted(starts, starts[at] + STEP_HIDERS, "right")) - 1)
+            if starts[-1] <= starts[at] + STEP_HIDERS:
+                end = len(starts)
+            part = slice(starts[at], starts[end] if end < len(starts) else len(a))
+            reach = (r[b[part]] ** 2 - r[a[part]] ** 2 - d[part] ** 2) / (2 * r[a[part]])
+            hidden = (flat[a[part]] - flat[b[part]]) @ sphere.T < reach[:, None]
+            free[a[starts[at:end]]] = n - np.logical_or.reduceat(hidden, starts[at:end] - starts[at]).sum(1)
+            at = end
+    return (free / n * 4 * pi * r * r).reshape(len(points), len(own))
 
-    def hidden(p, o):
-        return sum(((F.col(c) + F.col("r") * p[c] - o[c]) ** 2 for c in "yz"), (F.col("x") + F.col("r") * p["x"] - o["x"]) ** 2) < o["r"] * o["r"]
 
-    free = F.size(F.filter(sphere, lambda p: ~F.exists("near", lambda o: hidden(p, o))))
-    share = F.when(F.col("near").isNull(), F.lit(points)).otherwise(free) / points
-    return own.select(*k, "atom_index", (share * 4 * pi * F.col("r") * F.col("r")).alias("area"))
+def sasa(frames: DataFrame, radii: list[float], atoms: list[int] | None = None, probe: float = 1.4, points: int = 100) -> DataFrame:
+    """frame, atom_index, area in Å^2 of the atoms (all, or a subset that also alone hides points)."""
+    found = per_frame(frames, "area array<double>", lambda p: {"area": lists(areas_of(p, radii, atoms, probe, points))})
+    each = found.select(*keys(frames), F.posexplode("area").alias("k", "area"))
+    index = F.col("k") if atoms is None else F.get(listed(atoms, "array<int>"), F.col("k"))
+    return each.select(*keys(frames), index.alias("atom_index"), "area")
 
 
 def total(areas: DataFrame) -> DataFrame:
     """frame, area over all its atoms."""
     return areas.groupBy(*keys(areas)).agg(F.sum("area").alias("area"))
+
+
+def total_by_frame(frames: DataFrame, radii: list[float], atoms: list[int] | None = None, probe: float = 1.4, points: int = 100) -> DataFrame:
+    """frame, area over all its atoms, summed where the frame is read."""
+    return per_frame(frames, "area double", lambda p: {"area": areas_of(p, radii, atoms, probe, points).sum(1)})

@@ -130,31 +130,37 @@ def counts_by_frame(frames: DataFrame, found: DataFrame, name: str) -> DataFrame
     return frames.select(*k).join(found.groupBy(*k).agg(F.count("*").alias(name)), k, "left").select(*k, F.coalesce(name, F.lit(0)).alias(name))
 
 
-def box_volume(frames: DataFrame) -> DataFrame:
-    """frame, volume in Å^3 of frames with a box; a box without volume fails."""
+def _volume() -> Column:
+    """Of a frame's own box; one without volume, or no box at all, fails."""
     a, b, c = (tuple(F.get("box", F.lit(3 * i + j)).cast("double") for j in range(3)) for i in range(3))
     v = F.abs(V.dot(a, V.cross(b, c)))
-    checked = F.when(v > 0, v).otherwise(F.raise_error(F.lit("box without volume")).cast("double"))
-    return frames.where("box is not null").select(*keys(frames), checked.alias("volume"))
+    return F.when(v > 0, v).otherwise(F.raise_error(F.lit("box without volume")).cast("double"))
+
+
+def box_volume(frames: DataFrame) -> DataFrame:
+    """frame, volume in Å^3 of frames with a box; a box without volume fails."""
+    return frames.where("box is not null").select(*keys(frames), _volume().alias("volume"))
 
 
-def rdf(frames: DataFrame, first: list[int], second: list[int], volume: float, r_min: float = 0.0, r_max: float = 10.0, bins: int = 100) -> DataFrame:
+def rdf(frames: DataFrame, first: list[int], second: list[int], volume: float | None = None, r_min: float = 0.0, r_max: float = 10.0, bins: int = 100) -> DataFrame:
     """frame, bin, r, g_r: distances between the selections by shell, over what an even density gives.
 
-    Every pair counts, of an atom with itself as well; without minimum images.
+    The density is that of the frame's own box, which it must have, or of one ``volume``. Every pair
+    counts, of an atom with itself as well; without minimum images.
     """
     k = keys(frames)
     width = (r_max - r_min) / bins
     near = near_pairs(to_long(frames, first), to_long(frames, second), r_max, by_cells(frames)).where(F.col("d") >= r_min)
     counted = near.groupBy(*k, F.floor((F.col("d") - r_min) / width).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    grid = frames.select(*k, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    own = frames.select(*k, (_volume() if volume is None else F.lit(float(volume))).alias("volume"))
+    grid = own.select(*k, "volume", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     low = r_min + F.col("bin") * width
     shell = 4.0 / 3.0 * 3.141592653589793 * (F.pow(low + width, F.lit(3.0)) - F.pow(low, F.lit(3.0)))
-    norm = len(second) / volume * len(first) * shell
+    norm = len(second) / F.col("volume") * len(first) * shell
     return grid.join(counted, [*k, "bin"], "left").select(*k, "bin", (low + width / 2).alias("r"), (F.coalesce("n", F.lit(0)) / norm).alias("g_r"))
 
 
-def rdf_average(frames: DataFrame, first: list[int], second: list[int], volume: float, r_min: float = 0.0, r_max: float = 10.0, bins: int = 100) -> DataFrame:
+def rdf_average(frames: DataFrame, first: list[int], second: list[int], volume: float | None = None, r_min: float = 0.0, r_max: float = 10.0, bins: int = 100) -> DataFrame:
     """bin, r, g_r: the mean of the frames' g(r)."""
     return rdf(frames, first, second, volume, r_min, r_max, bins).groupBy("bin").agg(F.first("r").alias("r"), F.avg("g_r").alias("g_r"))
 

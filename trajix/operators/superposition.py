@@ -1,15 +1,12 @@
-"""Optimal superposition on a reference frame, by the quaternion characteristic polynomial."""
+"""Optimal superposition on a reference frame, in the task that reads a frame."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajix.model import keys, listed
+from trajix.functions.points import lists, per_frame
 
 Reference = tuple[list[float], list[float], list[float]]
 
@@ -23,85 +20,38 @@ def reference_of(frames: DataFrame, frame: int, traj: str | None = None) -> Refe
     return tuple([float(v) for v in row[c]] for c in "xyz")
 
 
-def _sums(frames: DataFrame, reference: Reference, atoms: list[int] | None) -> DataFrame:
-    """n, the inner products s_ij (frame's i by reference's j) about both centers, and both square sums."""
-    n = len(reference[0])
-    own = list(range(n)) if atoms is None else atoms
-    ref = np.array([[reference[c][i] for i in own] for c in range(3)]).reshape(3, -1)
-    ref = ref - (ref.mean(1, keepdims=True) if ref.size else 0)
-    rows = [{"i": i, "a": a, "b": b, "c": c} for i, a, b, c in zip(own, *ref.tolist())]
-    each = frames.select(*keys(frames), *"xyz", F.explode(listed(rows, "array<struct<i:int,a:double,b:double,c:double>>")).alias("t"))
-    moved = [(F.get(c, F.col("t.i")).cast("double") - F.get(c, F.lit(0)).cast("double")).alias(c) for c in "xyz"]
-    each = each.select(*keys(frames), *moved, "t.a", "t.b", "t.c")
-    sums = [F.count("*").alias("n"), *[F.sum(c).alias(f"m{c}") for c in "xyz"], F.sum(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2).alias("g")]
-    sums += [F.sum(F.col(c) * F.col(r)).alias(f"s{c}{r}") for c in "xyz" for r in "abc"]
-    found = each.groupBy(*keys(frames)).agg(*sums)
-    inner = F.col("g") - (F.col("mx") ** 2 + F.col("my") ** 2 + F.col("mz") ** 2) / F.col("n")
-    return found.withColumn("g", inner).withColumn("h", F.lit(float((ref**2).sum())))
-
-
-def _largest_root() -> Column:
-    """Largest eigenvalue of the quaternion matrix, by Newton's method from its upper bound.
+def fitted(points: np.ndarray, reference: Reference, atoms: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Frames moved onto the reference by the proper rotation that fits the atoms best, and their distances from it over these.
 
-    With M = S'S the polynomial is l^4 - 2 tr(M) l^2 - 8 det(S) l + 2 tr(M^2) - tr(M)^2.
+    The rotations come from the singular vectors of all frames' inner products at once.
     """
-    s = [[F.col(f"s{c}{r}") for r in "abc"] for c in "xyz"]
-    m = [[sum((s[k][i] * s[k][j] for k in range(3)), F.lit(0.0)) for j in range(3)] for i in range(3)]
-    trace = m[0][0] + m[1][1] + m[2][2]
-    squares = sum((m[i][j] * m[i][j] for i in range(3) for j in range(3)), F.lit(0.0))
-    det = (
-        s[0][0] * (s[1][1] * s[2][2] - s[1][2] * s[2][1]) - s[0][1] * (s[1][0] * s[2][2] - s[1][2] * s[2][0]) + s[0][2] * (s[1][0] * s[2][1] - s[1][1] * s[2][0])
-    )
-    start = (F.col("g") + F.col("h")) / 2
-
-    def solve(c: Column) -> Column:
-        def step(at: Column, _: Column) -> Column:
-            value = ((at * at + c.c2) * at + c.c1) * at + c.c0
-            slope = (4 * at * at + 2 * c.c2) * at + c.c1
-            return F.coalesce(at - value / F.nullif(slope, F.lit(0.0)), at)
-
-        return F.aggregate(F.sequence(F.lit(1), F.lit(50)), c.start, step)
-
-    held = F.struct((-2 * trace).alias("c2"), (-8 * det).alias("c1"), (2 * squares - trace * trace).alias("c0"), start.alias("start"))
-    return F.transform(F.array(held), solve)[0]
+    ref = np.array(reference, float).T.reshape(-1, 3)
+    own = np.arange(len(ref)) if atoms is None else np.array(atoms, int)
+    if not len(own):
+        return points, np.zeros(len(points))
+    to = ref[own] - ref[own].mean(0)
+    middle = points[:, own].mean(1, keepdims=True)
+    u, _, vt = np.linalg.svd(np.einsum("fai,aj->fij", points[:, own] - middle, to))
+    u[:, :, 2] *= np.where(np.linalg.det(u @ vt) < 0, -1.0, 1.0)[:, None]
+    moved = (points - middle) @ (u @ vt)
+    apart = np.sqrt(((moved[:, own] - to) ** 2).sum(2).mean(1))
+    return moved + ref[own].mean(0), apart
 
 
 def rmsd(frames: DataFrame, reference: Reference, atoms: list[int] | None = None) -> DataFrame:
     """frame, value: least root mean square distance from the reference over the atoms, unweighted; 0 without atoms."""
-    k = keys(frames)
-    found = _sums(frames, reference, atoms)
-    value = F.sqrt(F.greatest(F.lit(0.0), (F.col("g") + F.col("h") - 2 * _largest_root()) / F.col("n")))
-    return frames.select(*k).join(found.select(*k, value.alias("value")), k, "left").select(*k, F.coalesce("value", F.lit(0.0)).alias("value"))
+    return per_frame(frames, "value double", lambda p: {"value": fitted(p, reference, atoms)[1]})
 
 
 def superpose(frames: DataFrame, reference: Reference, atoms: list[int] | None = None) -> DataFrame:
     """The frames moved onto the reference, and rmsd over the fitted atoms; every atom moves with them.
 
-    Rotations are proper. Without atoms to fit, or with none that fix a rotation, frames keep their turn.
+    Rotations are proper. Without atoms to fit, frames keep their place; with none that fix a
+    rotation, one of the best.
     """
-    ref = np.array(reference, float).T
-    own = np.arange(len(ref)) if atoms is None else np.array(atoms, int)
-    k = keys(frames)
-    types = dict(frames.dtypes)
-
-    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to = ref[own]
-        middle = to.mean(0) if len(own) else np.zeros(3)
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for row in zip(*(batch[c] for c in "xyz")):
-                p = np.array([v.values.to_numpy(zero_copy_only=False) for v in row], float).T
-                value = 0.0
-                if len(own):
-                    center = p[own].mean(0)
-                    u, _, vt = np.linalg.svd((p[own] - center).T @ (to - middle))
-                    turn = u @ np.diag([1.0, 1.0, np.sign(np.linalg.det(u @ vt)) or 1.0]) @ vt
-                    p = (p - center) @ turn + middle
-                    value = float(np.sqrt(((p[own] - to) ** 2).sum(1).mean()))
-                for column, v in zip(out, (*p.T, value)):
-                    column.append(v)
-            arrays = [pa.array(c, pa.list_(pa.float64())) for c in out[:3]] + [pa.array(out[3], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*[batch[c] for c in k], *arrays], names=[*k, *"xyz", "rmsd"])
-
-    schema = ", ".join(f"{c} {types[c]}" for c in k) + ", x array<double>, y array<double>, z array<double>, rmsd double"
-    return frames.select(*k, *"xyz").mapInArrow(move, schema)
+
+    def move(points: np.ndarray) -> dict:
+        moved, apart = fitted(points, reference, atoms)
+        return {**{c: lists(np.ascontiguousarray(moved[:, :, i])) for i, c in enumerate("xyz")}, "rmsd": apart}
+
+    return per_frame(frames, "x array<double>, y array<double>, z array<double>, rmsd double", move)

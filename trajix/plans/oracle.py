@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-
-
 from trajix.elements import BIOLOGICAL, MASSES, RADII, SYMBOLS
-from trajix.operators import dssp, geometry, pbc, sasa
+from trajix.operators import geometry
 from trajix.operators.selection import parse_tuples
 from trajix.plans import queries as q
 from trajix.plans import sample
@@ -49,6 +47,7 @@ ORACLE_SQL["element_masses"] = f"WITH a AS {atoms_of()} SELECT atom_index, eleme
 ORACLE_SQL["topology_summary"] = f"WITH a AS {atoms_of()} SELECT chain_index, count(DISTINCT residue_index) AS n_residues, count(*) AS n_atoms, min(residue_index) AS first_residue, max(residue_index) AS last_residue FROM a GROUP BY 1"
 ORACLE_SQL["topology_composition"] = f"WITH a AS {atoms_of()} SELECT element, count(*) AS n_atoms FROM a GROUP BY 1"
 ORACLE_SQL["topology_problems"] = f"WITH a AS {atoms_of()} SELECT 'atom without residue' AS problem, CAST(residue_index AS BIGINT) AS id FROM a WHERE residue_index NOT BETWEEN 0 AND 4"
+ORACLE_SQL["topology_faults"] = "SELECT * FROM (VALUES ('atom without residue', 77::BIGINT), ('residue without chain', 9::BIGINT), ('bond without atom', 88::BIGINT), ('bond without atom', 89::BIGINT)) v(problem, id)"
 ORACLE_SQL["trajectory_info"] = f"SELECT count(*) AS n_frames, {r('min(vec_id) * 0.5::DOUBLE', 'first_time')}, {r('max(vec_id) * 0.5::DOUBLE', 'last_time')} FROM embeddings"
 
 
@@ -148,6 +147,24 @@ ORACLE_SQL["rmsd_backbone"] = f"WITH {COORDS}, {_rmsd_sql(q.BACKBONE)} SELECT fr
 ORACLE_SQL["superpose"] = ORACLE_SQL["rmsd"]
 
 
+def _superpose_sql(atoms: list[int]) -> str:
+    """The rotation's quaternion: cofactors of the first row of the quaternion matrix less its largest eigenvalue."""
+    key = ["sxx + syy + szz", "syz - szy", "szx - sxz", "sxy - syx", "sxx - syy - szz", "sxy + syx", "szx + sxz", "syy - sxx - szz", "syz + szy", "szz - sxx - syy"]
+    upper = [(i, j) for i in range(4) for j in range(i, 4)]
+    matrix = ", ".join(f"{e}{' - l' if i == j else ''} AS m{i}{j}" for (i, j), e in zip(upper, key))
+    m = lambda i, j: f"m{min(i, j)}{max(i, j)}"
+    det = lambda c: f"({m(1, c[0])}*({m(2, c[1])}*{m(3, c[2])} - {m(2, c[2])}*{m(3, c[1])}) - {m(1, c[1])}*({m(2, c[0])}*{m(3, c[2])} - {m(2, c[2])}*{m(3, c[0])}) + {m(1, c[2])}*({m(2, c[0])}*{m(3, c[1])} - {m(2, c[1])}*{m(3, c[0])}))"
+    signs = ["", "-", "", "-"]
+    quaternion = ", ".join(f"{signs[k]}{det([c for c in range(4) if c != k])} AS q{k}" for k in range(4))
+    turn = [["q0*q0+q1*q1-q2*q2-q3*q3", "2*(q1*q2-q0*q3)", "2*(q1*q3+q0*q2)"], ["2*(q1*q2+q0*q3)", "q0*q0-q1*q1+q2*q2-q3*q3", "2*(q2*q3-q0*q1)"], ["2*(q1*q3-q0*q2)", "2*(q2*q3+q0*q1)", "q0*q0-q1*q1-q2*q2+q3*q3"]]
+    to = ", ".join(r(f"nr{c} + ({' + '.join(f'({t}) * (c.{d} - m{d})' for t, d in zip(row, 'xyz'))}) / (q0*q0+q1*q1+q2*q2+q3*q3)", c) for c, row in zip("xyz", turn))
+    return f"""WITH {COORDS}, {_rmsd_sql(atoms)}, kk AS (SELECT frame, {matrix} FROM ss JOIN ll USING (frame)), qq AS (SELECT frame, {quaternion} FROM kk)
+  SELECT c.frame, c.atom_index, {to} FROM c JOIN qq USING (frame) JOIN mm USING (frame) CROSS JOIN rm"""
+
+
+ORACLE_SQL["superpose_coordinates"] = _superpose_sql(q.BACKBONE)
+
+
 def _native_sql(kept: str) -> str:
     return f"""WITH {COORDS}, np AS (SELECT p.atom_index AS i, q.atom_index AS j, sqrt({D2}) AS r0 FROM c p JOIN c q USING (frame) WHERE frame = 0 AND p.atom_index IN {_ids(q.BACKBONE)} AND {D2} <= 20.25)
   SELECT p.frame, {r(f'avg({kept})', 'value')} FROM np JOIN c p ON p.atom_index = i JOIN c q ON q.atom_index = j AND q.frame = p.frame GROUP BY p.frame"""
@@ -159,6 +176,10 @@ ORACLE_SQL["rmsf"] = f"WITH {COORDS} SELECT atom_index, {r('sqrt(var_pop(x) + va
 ORACLE_SQL["msd"] = f"""WITH {COORDS}, o AS (SELECT *, row_number() OVER (PARTITION BY atom_index ORDER BY frame) AS t FROM c WHERE atom_index IN {_ids(q.BACKBONE)})
   SELECT q.t - p.t AS lag, {r(f'avg({D2})', 'value')} FROM o p JOIN o q ON p.atom_index = q.atom_index AND q.t >= p.t GROUP BY 1"""
 ORACLE_SQL["msd_all"] = ORACLE_SQL["msd"].replace(f" WHERE atom_index IN {_ids(q.BACKBONE)}", "")
+_labelled = f"WITH {COORDS}, l AS (SELECT vec_id AS frame, 'label ' || label AS traj FROM embeddings)"
+ORACLE_SQL["rmsf_by_traj"] = f"{_labelled} SELECT traj, atom_index, {r('sqrt(var_pop(x) + var_pop(y) + var_pop(z))', 'value')} FROM c JOIN l USING (frame) GROUP BY 1, 2"
+ORACLE_SQL["msd_by_traj"] = f"""{_labelled}, o AS (SELECT *, row_number() OVER (PARTITION BY traj, atom_index ORDER BY frame) AS t FROM c JOIN l USING (frame))
+  SELECT p.traj, q.t - p.t AS lag, {r(f'avg({D2})', 'value')} FROM o p JOIN o q ON p.traj = q.traj AND p.atom_index = q.atom_index AND q.t >= p.t GROUP BY 1, 2"""
 ORACLE_SQL["covariance"] = f"""WITH {COORDS}, o AS (SELECT frame, CAST(list_position({q.PROTEIN}, atom_index) - 1 AS INTEGER) AS k, x, y, z FROM c WHERE atom_index IN {_ids(q.PROTEIN)}),
   u AS (SELECT frame, 3 * k + s AS d, [x, y, z][s + 1] AS v FROM o, range(3) t(s))
   SELECT CAST(p.d AS INTEGER) AS i, CAST(q.d AS INTEGER) AS j, {r('covar_samp(p.v, q.v)', 'value')} FROM u p JOIN u q ON p.frame = q.frame AND p.d <= q.d GROUP BY 1, 2"""
@@ -170,6 +191,8 @@ _rdf = f"""WITH {COORDS}, n AS (SELECT p.frame, CAST(floor(sqrt({D2}) / {_w!r}::
 ORACLE_SQL["rdf"] = f"{_rdf} SELECT frame, bin, {r('r', 'r')}, {r('g_r', 'g_r')} FROM g"
 ORACLE_SQL["rdf_average"] = f"{_rdf} SELECT bin, {r('min(r)', 'r')}, {r('avg(g_r)', 'g_r')} FROM g GROUP BY bin"
 _diag = [f"({SKEWED[i]}::DOUBLE + vec_id * 0.01::DOUBLE)" for i in (0, 4, 8)]
+_box_of = lambda k: f"({SKEWED[k]}::DOUBLE + frame * 0.01::DOUBLE)"
+ORACLE_SQL["rdf_by_frame"] = f"{_rdf} SELECT frame, bin, {r('r', 'r')}, {r(f'g_r * {_box_of(0)} * {_box_of(4)} * {_box_of(8)} / {q.VOLUME}::DOUBLE', 'g_r')} FROM g"
 ORACLE_SQL["box_volume"] = f"SELECT vec_id AS frame, {r('abs(' + ' * '.join(_diag) + ')', 'volume')} FROM embeddings"
 _hb = f"""{WITH}, b AS {values(sample.BONDED, 'i, j')}, dh AS (SELECT i AS donor, j AS hydrogen FROM (SELECT i, j FROM b UNION SELECT j, i FROM b) e
     JOIN a d ON d.atom_index = i JOIN a h ON h.atom_index = j WHERE d.element IN (7, 8) AND h.element = 1),
@@ -216,16 +239,45 @@ for _shape, _box in {"ortho": BOX, "triclinic": SKEWED}.items():
     _sql, _ = _turned({"from": _delta}, _box, "round")
     ORACLE_SQL[f"min_image_{_shape}"] = f"WITH {COORDS} SELECT frame, pair, {r('sqrt(x*x + y*y + z*z)', 'value')} FROM ({_sql})"
 
-_steps = [(p["atom"], n, i, j) for p in pbc.spanning_paths(sample.BONDED, sample.N_ATOMS) for n, (i, j) in enumerate(zip([p["path"][0], *p["path"]], p["path"]))]
-_near6 = lambda c: f"CASE WHEN n = 0 THEN q.{c} ELSE (q.{c} - p.{c}) - round((q.{c} - p.{c}) / 6) * 6 END"
-ORACLE_SQL["make_whole"] = f"WITH {COORDS} SELECT p.frame, atom AS atom_index, {', '.join(r(f'sum({_near6(c)})', c) for c in 'xyz')} FROM {values(_steps, 'atom, n, i, j')} t JOIN c p ON p.atom_index = i JOIN c q ON q.atom_index = j AND q.frame = p.frame GROUP BY 1, 2"
+_bond_rows = values(sample.BONDED, "i, j")
+_grow = lambda c, a: f"d{c} - round(d{c} / {a}) * {a}"
+_edges = f"SELECT frame, i, j, {', '.join(f'q.{c} - p.{c} AS d{c}' for c in 'xyz')} FROM bonds b JOIN c p ON p.atom_index = b.i JOIN c q USING (frame) WHERE q.atom_index = b.j"
+
+
+def _whole_sql(steps: str) -> str:
+    """The sample's molecules grow along bonds from atoms that no bond leads to; each atom has one smaller neighbour at most."""
+    return f"""WITH RECURSIVE {COORDS}, bonds AS {_bond_rows}, e AS ({_edges}), s AS ({steps}),
+  w AS (SELECT frame, atom_index, x, y, z FROM c WHERE atom_index NOT IN (SELECT j FROM bonds)
+        UNION ALL SELECT w.frame, s.j, w.x + s.dx, w.y + s.dy, w.z + s.dz FROM w JOIN s ON s.frame = w.frame AND s.i = w.atom_index)
+  SELECT frame, CAST(atom_index AS INTEGER) AS atom_index, {', '.join(r(c, c) for c in 'xyz')} FROM w"""
+
+
+ORACLE_SQL["make_whole"] = _whole_sql(f"SELECT frame, i, j, {', '.join(f'{_grow(c, 6)} AS d{c}' for c in 'xyz')} FROM e")
+
+
+def _turned_by_frame(source: str, how: str, scale: float = 1.0, names: str = "xyz") -> str:
+    """As _turned, with the skewed box that grows from frame to frame."""
+    sql = source
+    for row in (2, 1, 0):
+        side = lambda k: f"({SKEWED[k]}::DOUBLE + frame * {0.01 if k % 4 == 0 else 0.0}::DOUBLE) * {scale}::DOUBLE"
+        n = f"{how}({names[row]} / ({side(4 * row)}))"
+        sql = f"SELECT * REPLACE ({', '.join(f'{c} - {n} * ({side(3 * row + i)}) AS {c}' for i, c in enumerate(names) if SKEWED[3 * row + i])}) FROM ({sql})"
+    return sql
+
+
+ORACLE_SQL["wrap_by_frame"] = f"WITH {COORDS} SELECT frame, atom_index, {', '.join(r(c, c) for c in 'xyz')} FROM ({_turned_by_frame('SELECT frame, atom_index, 7 * x AS x, 7 * y AS y, 7 * z AS z FROM c', 'floor')})"
+ORACLE_SQL["min_image_by_frame"] = f"WITH {COORDS} SELECT frame, pair, {r('sqrt(x*x + y*y + z*z)', 'value')} FROM ({_turned_by_frame(_delta, 'round')})"
+_turned_edges = _turned_by_frame("SELECT frame, i, j, dx AS x, dy AS y, dz AS z FROM e", "round", 0.4)
+ORACLE_SQL["make_whole_by_frame"] = _whole_sql(f"SELECT frame, i, j, x AS dx, y AS dy, z AS dz FROM ({_turned_edges})")
 
-_points = values([(p["p"], p["x"], p["y"], p["z"]) for p in sasa.sphere_points(100)], "p, sx, sy, sz")
+# 100 points of a golden spiral: heights in equal steps, turned by the golden angle from one to the next
+_points = "(SELECT k, sqrt(1 - h * h) * cos(turn) AS sx, sqrt(1 - h * h) * sin(turn) AS sy, h AS sz FROM (SELECT k, 1 - (2 * k + 1) / 100.0::DOUBLE AS h, k * pi() * (3 - sqrt(5.0::DOUBLE)) AS turn FROM range(100) t(k)))"
 _sasa = f"""{WITH}, o AS (SELECT frame, atom_index, x, y, z, radius + 1.4::DOUBLE AS r FROM c JOIN a USING (atom_index)), s AS {_points},
   w AS (SELECT p.frame, p.atom_index, p.r, p.x + p.r * sx AS x, p.y + p.r * sy AS y, p.z + p.r * sz AS z FROM o p CROSS JOIN s),
   e AS (SELECT w.frame, w.atom_index, w.r, count(*) FILTER (NOT EXISTS (SELECT 1 FROM o q WHERE q.frame = w.frame AND q.atom_index <> w.atom_index
         AND (w.x - q.x) * (w.x - q.x) + (w.y - q.y) * (w.y - q.y) + (w.z - q.z) * (w.z - q.z) < q.r * q.r)) AS free FROM w GROUP BY 1, 2, 3)"""
 ORACLE_SQL["sasa_atoms"] = f"{_sasa} SELECT frame, atom_index, {r('free / 100 * 4 * pi() * r * r', 'area')} FROM e"
+ORACLE_SQL["sasa_residues"] = f"{_sasa} SELECT frame, residue_index, {r('sum(free / 100 * 4 * pi() * e.r * e.r)', 'area')} FROM e JOIN a USING (atom_index) GROUP BY 1, 2"
 ORACLE_SQL["sasa_total"] = f"{_sasa} SELECT frame, {r('sum(free / 100 * 4 * pi() * r * r)', 'area')} FROM e GROUP BY 1"
 
 _bb = f"""{WITH}, g AS (SELECT frame, residue_index AS r, chain_index, residue_name = 'PRO' AS pro, {', '.join(f"max({c}) FILTER (name = '{n}') AS {k}{c}" for k, n in {'n': 'N', 'a': 'CA', 'c': 'C', 'o': 'O'}.items() for c in 'xyz')}
@@ -236,8 +288,8 @@ _bb = f"""{WITH}, g AS (SELECT frame, residue_index AS r, chain_index, residue_n
   bb AS (SELECT *, {', '.join(f'CASE WHEN has THEN n{c} - (lo{c} - lc{c}) / co ELSE 0 END AS h{c}' for c in 'xyz')} FROM hh),
   ee AS (SELECT d.frame, d.r AS donor, k.r AS acceptor, d.pro, {', '.join(f'sqrt({" + ".join(f"(d.{u}{c} - k.{v}{c}) * (d.{u}{c} - k.{v}{c})" for c in "xyz")}) AS {u}{v}' for u, v in ('ho', 'hc', 'nc', 'no'))}
     FROM bb d JOIN bb k ON d.frame = k.frame AND abs(d.r - k.r) >= 2 WHERE (d.ax-k.ax)*(d.ax-k.ax) + (d.ay-k.ay)*(d.ay-k.ay) + (d.az-k.az)*(d.az-k.az) < 81),
-  en AS (SELECT frame, donor, acceptor, CASE WHEN pro THEN 0 WHEN least(ho, hc, nc, no) < 0.5 THEN {dssp.LOWEST}::DOUBLE
-    ELSE greatest({dssp.LOWEST}::DOUBLE, round({dssp.COUPLING}::DOUBLE / ho - {dssp.COUPLING}::DOUBLE / hc + {dssp.COUPLING}::DOUBLE / nc - {dssp.COUPLING}::DOUBLE / no, 3)) END AS energy FROM ee)"""
+  en AS (SELECT frame, donor, acceptor, CASE WHEN pro THEN 0 WHEN least(ho, hc, nc, no) < 0.5 THEN -9.9::DOUBLE
+    ELSE greatest(-9.9::DOUBLE, round(-27.888::DOUBLE / ho - -27.888::DOUBLE / hc + -27.888::DOUBLE / nc - -27.888::DOUBLE / no, 3)) END AS energy FROM ee)"""
 ORACLE_SQL["dssp_energy"] = f"{_bb} SELECT frame, donor, acceptor, {r('energy', 'energy')} FROM en"
 ORACLE_SQL["dssp_best2"] = f"{_bb} SELECT * FROM (SELECT frame, donor, acceptor, {r('energy', 'energy')}, CAST(row_number() OVER (PARTITION BY frame, donor ORDER BY energy, acceptor) AS INTEGER) AS rank FROM en WHERE energy < 0) WHERE rank <= 2"
 _rama = lambda k: ORACLE_SQL[k].replace(r(_dihedral(), "value"), f"{_dihedral()} AS value")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajix.elements import MASSES, RADII, elements
-from trajix.model import to_long, to_wide
+from trajix.model import Topology, to_long
 from trajix.operators import derived, dssp, frame_sums, geometry, over_time, pbc, sasa, selection, spatial, superposition
 from trajix.plans import sample
 
@@ -65,6 +65,16 @@ def topology_problems(spark, sf_dir):
     return sample.topology(spark).validate()
 
 
+@query()
+def topology_faults(spark, sf_dir):
+    """The sample's topology with an atom, a residue and two bonds that refer to nothing."""
+    t = sample.topology(spark)
+    atoms = t.atoms.union(spark.createDataFrame([(21, "X", 6, 77, None, None), (22, "Y", 6, 5, None, None)], t.atoms.schema))
+    residues = t.residues.union(spark.createDataFrame([(5, "GLY", 6, 9)], t.residues.schema))
+    bonds = t.bonds.union(spark.createDataFrame([(0, 88), (89, 1)], t.bonds.schema))
+    return Topology(atoms, residues, t.chains, bonds).validate()
+
+
 @query()
 def trajectory_info(spark, sf_dir):
     return derived.trajectory_info(sample.frames(spark, sf_dir).withColumn("time", F.col("frame") * 0.5))
@@ -138,6 +148,12 @@ def superpose(spark, sf_dir):
     return superposition.superpose(frames, superposition.reference_of(frames, 0)).select("frame", F.col("rmsd").alias("value"))
 
 
+@query()
+def superpose_coordinates(spark, sf_dir):
+    frames = sample.frames(spark, sf_dir)
+    return to_long(superposition.superpose(frames, superposition.reference_of(frames, 0), BACKBONE))
+
+
 def _native(**how):
     def run(spark, sf_dir):
         frames = sample.frames(spark, sf_dir)
@@ -165,6 +181,17 @@ def msd_all(spark, sf_dir):
     return over_time.msd(sample.frames(spark, sf_dir))
 
 
+@query()
+def msd_by_traj(spark, sf_dir):
+    """Each label of the embeddings is a trajectory of its own."""
+    return over_time.msd(sample.trajectories(spark, sf_dir))
+
+
+@query()
+def rmsf_by_traj(spark, sf_dir):
+    return over_time.rmsf(sample.trajectories(spark, sf_dir))
+
+
 @query()
 def covariance(spark, sf_dir):
     return over_time.covariance(sample.frames(spark, sf_dir), PROTEIN)
@@ -175,6 +202,42 @@ def pca_variance(spark, sf_dir):
     return over_time.pca(sample.frames(spark, sf_dir), PROTEIN, 10)[0]
 
 
+@query()
+def pca_loadings(spark, sf_dir):
+    return over_time.pca(sample.frames(spark, sf_dir), PROTEIN, 10)[1]
+
+
+@query()
+def pca_projections(spark, sf_dir):
+    """The squares, as a component's sign is free."""
+    frames = sample.frames(spark, sf_dir)
+    found = over_time.projections(frames, over_time.pca(frames, PROTEIN, 3)[1], PROTEIN)
+    return found.select("frame", "component", (F.col("value") * F.col("value")).alias("square"))
+
+
+@query()
+def rdf_by_frame(spark, sf_dir):
+    return spatial.rdf(sample.boxed(spark, sf_dir), BACKBONE, PROTEIN, None, 0.0, R_MAX, BINS)
+
+
+@query()
+def wrap_by_frame(spark, sf_dir):
+    long = to_long(sample.boxed(spark, sf_dir), keep=("box",)).withColumns({c: F.col(c) * 7 for c in "xyz"})
+    return pbc.wrap(long).drop("box")
+
+
+@query()
+def min_image_by_frame(spark, sf_dir):
+    far = sample.boxed(spark, sf_dir).withColumns({c: F.transform(c, lambda v: v * 7) for c in "xyz"})
+    return pbc.image_distances(far, selection.parse_tuples(PAIRS, 2))
+
+
+@query()
+def make_whole_by_frame(spark, sf_dir):
+    small = sample.boxed(spark, sf_dir).withColumn("box", F.transform("box", lambda v: v * 0.4))
+    return to_long(pbc.make_whole(small, sample.BONDED, sample.N_ATOMS))
+
+
 @query()
 def rdf(spark, sf_dir):
     return spatial.rdf(sample.frames(spark, sf_dir), BACKBONE, PROTEIN, VOLUME, 0.0, R_MAX, BINS)
@@ -187,8 +250,7 @@ def rdf_average(spark, sf_dir):
 
 @query()
 def box_volume(spark, sf_dir):
-    box = F.array(*[F.lit(v) + F.col("frame") * (0.01 if i % 4 == 0 else 0.0) for i, v in enumerate(sample.SKEWED)])
-    return spatial.box_volume(sample.frames(spark, sf_dir).withColumn("box", box))
+    return spatial.box_volume(sample.boxed(spark, sf_dir))
 
 
 @query()
@@ -238,8 +300,7 @@ def _wrapped(box):
 
 def _imaged(box):
     def run(spark, sf_dir):
-        far = sample.frames(spark, sf_dir)
-        far = to_wide(to_long(far).withColumns({c: F.col(c) * 7 for c in "xyz"}))
+        far = sample.frames(spark, sf_dir).withColumns({c: F.transform(c, lambda v: v * 7) for c in "xyz"})
         return pbc.image_distances(far, selection.parse_tuples(PAIRS, 2), box)
 
     return run
@@ -262,23 +323,32 @@ def sasa_atoms(spark, sf_dir):
 
 @query()
 def sasa_total(spark, sf_dir):
-    return sasa.total(sasa_atoms(spark, sf_dir))
+    return sasa.total_by_frame(sample.frames(spark, sf_dir), [RADII[a[2]] for a in sample.MAIN])
 
 
-def _backbone(spark, sf_dir):
-    return dssp.backbone(sample.frames(spark, sf_dir), dssp.complete_residues(sample.topology(spark).table()))
+@query()
+def sasa_residues(spark, sf_dir):
+    return derived.residue_areas(sasa_atoms(spark, sf_dir), sample.topology(spark).table())
+
+
+def _bonding(spark, sf_dir):
+    return dssp.bonding(sample.frames(spark, sf_dir), dssp.complete_residues(sample.topology(spark).table()))
 
 
 @query()
 def dssp_energy(spark, sf_dir):
-    rows = _backbone(spark, sf_dir)
-    return dssp.energies(rows, dssp.near_residues(rows))
+    return dssp.energies(_bonding(spark, sf_dir))
 
 
 @query()
 def dssp_best2(spark, sf_dir):
-    rows = _backbone(spark, sf_dir)
-    return dssp.best_two(dssp.energies(rows, dssp.near_residues(rows)))
+    return dssp.best_two(_bonding(spark, sf_dir))
+
+
+@query()
+def dssp_geometry(spark, sf_dir):
+    """Angles in whole and broken stretches of the chain; kappa, alpha and tco included."""
+    return dssp_codes(spark, sf_dir).select("frame", "residue_index", *dssp.ANGLES)
 
 
 @query("dssp")
@@ -288,7 +358,8 @@ def dssp_codes(spark, sf_dir):
 
 @query()
 def dssp_timeline(spark, sf_dir):
-    return dssp.dssp_strings(derived.every_nth(dssp_codes(spark, sf_dir), 5))
+    """All frames: a stride is the caller's choice."""
+    return dssp.dssp_strings(dssp_codes(spark, sf_dir))
 
 
 @query()

@@ -34,6 +34,18 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("frame"), *axes)
 
 
+def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames as a trajectory for each label: traj, frame, x, y, z."""
+    labels = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("frame"), F.concat(F.lit("label "), F.col("label")).alias("traj"))
+    return frames(spark, sf_dir).join(labels, "frame").select("traj", "frame", *"xyz")
+
+
+def boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames with a box of their own: the skewed one, longer by 0.01 Å in each direction from frame to frame."""
+    box = F.array(*[F.lit(v) + F.col("frame") * (0.01 if i % 4 == 0 else 0.0) for i, v in enumerate(SKEWED)])
+    return frames(spark, sf_dir).withColumn("box", box)
+
+
 def _axis(e, c: int):
     return F.array(*[20.0 * F.get(e, F.lit(3 * k + c)).cast("double") for k in range(N_ATOMS)])
 
