@@ -32,10 +32,25 @@ def test_commands(spark, files, tmp_path, command):
         [json.loads(line) for line in lines]
 
 
+def test_rows_on_the_screen(spark, files, capsys):
+    more = [str(files / "run.xtc"), "--top", f"file://{files}/top.pdb"]
+    main(["rg", *more], spark)
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[0] == "frame\tvalue" and [line.split("\t")[0] for line in lines[1:]] == list("0123")
+    main(["summary", *more], spark)
+    shown = [line.split("\t") for line in capsys.readouterr().out.splitlines()]
+    assert ["counts", "atoms", "18"] in shown and ["box", "kind", "orthorhombic"] in shown and ["element", "C", "9"] in shown and ["counts", "frames", "4"] in shown
+    main(["contacts", *more, "--cutoff", "8"], spark)
+    shown = capsys.readouterr().out.splitlines()
+    assert len(shown) == 5 and json.loads(shown[1].split("\t")[1])["contacts"][0]["residue_i"] == 0
+
+
 def test_convert_and_errors(spark, files, tmp_path):
     main(["convert", str(files / "run.xtc"), "--out", str(tmp_path / "o.trr")], spark)
     [path] = (tmp_path / "o.trr").glob("part-*.trr")
     assert trajectories.read_trajectory(spark, str(path)).count() == 4
+    main(["rg", str(tmp_path / "o.trr"), "--top", f"file://{files}/top.pdb", "--out", f"file://{tmp_path}/rg"], spark)  # the folder itself
+    assert sum(len(p.read_text().splitlines()) for p in (tmp_path / "rg").glob("part-*")) == 4
     with pytest.raises(ValueError):
         main(["distances", str(files / "run.xtc"), "--top", f"file://{files}/top.pdb"], spark)
     with pytest.raises(structures.StructureError):

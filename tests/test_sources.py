@@ -7,6 +7,8 @@ from hypothesis import strategies as st
 
 from trajix.sources import reports, structures, trajectories
 
+TABLES = "/root/testdata/sf0.001"
+
 PDB = """\
 CRYST1   50.000   50.000   50.000  90.00  90.00  90.00
 MODEL        1
@@ -110,7 +112,7 @@ def test_trajectories_round_trip(spark, tmp_path, kind, slack, n):
 
     frames = spark.createDataFrame(rows, FRAMES).coalesce(1)
     trajectories.write_trajectory(frames, str(tmp_path / "t"), kind)
-    [path] = [str(p) for p in (tmp_path / "t").iterdir()]
+    [path] = [str(p) for p in (tmp_path / "t").iterdir() if not p.name.startswith(".")]
     got = trajectories.read_trajectory(spark, path, 3).orderBy("frame").collect()
     assert len(got) == 7
     for a, b in zip(rows, got):
@@ -118,6 +120,39 @@ def test_trajectories_round_trip(spark, tmp_path, kind, slack, n):
         assert kind == "nc" or (b["time"], b["step"]) == (a[2], a[3])
 
 
+@pytest.mark.parametrize("kind,slack", [("xtc", 0.006), ("trr", 1e-4), ("nc", 1e-4)])
+def test_folders_and_patterns(spark, tmp_path, kind, slack):
+    """A folder of several parts reads back as one trajectory, a pattern as one for each match."""
+    from pyspark.sql import functions as F
+
+    from trajix.plans import sample
+
+    frames = sample.frames(spark, TABLES).repartitionByRange(4, "frame").sortWithinPartitions("frame")
+    for name in ("a", "b"):
+        trajectories.write_trajectory(frames, f"file://{tmp_path}/{name}", kind)
+    assert len(list((tmp_path / "a").iterdir())) == 4 and not [p for p in (tmp_path / "a").iterdir() if p.name.startswith(".")]
+    (tmp_path / "a" / f".part-lost.{kind}").write_bytes(b"cut")  # what an attempt without a commit leaves
+    got = trajectories.read_trajectory(spark, f"file://{tmp_path}/a", 100)
+    both = got.withColumnRenamed("frame", "k").join(frames.select(F.col("frame").alias("k"), *[F.col(c).alias(f"{c}_") for c in "xyz"]), "k")
+    apart = F.greatest(*[F.array_max(F.zip_with(c, f"{c}_", lambda p, q: F.abs(p - q))) for c in "xyz"])
+    n, worst = both.agg(F.count("*"), F.max(apart)).first()
+    assert n == got.count() == 500 and worst < slack
+    each = trajectories.read_trajectory(spark, f"{tmp_path}/?").groupBy("traj").agg(F.count("*"), F.max("frame")).collect()
+    assert sorted(tuple(r) for r in each) == [(f"{tmp_path}/{name}", 500, 499) for name in "ab"]
+    with pytest.raises(Exception, match="no such file"):
+        trajectories.read_trajectory(spark, f"{tmp_path}/none.{kind}").count()
+
+
+def test_xtc_blocks_cut_short():
+    rng = np.random.default_rng(3)
+    ints = np.rint(np.cumsum(rng.normal(size=(400, 3)), 0) * 50).astype(np.int64)
+    low, high, small, raw = trajectories.pack_coordinates(ints)
+    assert (trajectories.unpack_coordinates(raw, 400, low, high, small) == ints).all()
+    for cut in (0, 10, len(raw) // 2, len(raw) - 3):
+        with pytest.raises(trajectories.TrajectoryError):
+            trajectories.unpack_coordinates(raw[:cut], 400, low, high, small)
+
+
 def test_dcd(spark, tmp_path):
     import struct
 

@@ -25,8 +25,25 @@ def test_growing_trajectory(spark, tmp_path):
     path.write_bytes(b"".join(raw[:3]))
     reader = streaming.GrowingTrajectory({"path": str(path), "framespertask": "2"})
     first = reader.latestOffset()
-    assert first == {"frames": 3}
-    path.write_bytes(b"".join(raw))
+    assert first == {"frames": 3, "at": sum(map(len, raw[:3]))}
+    path.write_bytes(b"".join(raw) + raw[0][:50])  # the last frame is not whole yet
     then = reader.latestOffset()
-    rows = [r for p in reader.partitions(first, then) for r in reader.read(p)]
-    assert [r[1] for r in rows] == [3, 4] and rows[1][5] == [4.0, 4.0]
+    assert then["frames"] == 5 and reader.latestOffset() == then
+    rows = [r for p in reader.partitions(first, then) for b in reader.read(p) for r in b.to_pylist()]
+    assert [r["frame"] for r in rows] == [3, 4] and rows[1]["x"] == [4.0, 4.0]
+    again = streaming.GrowingTrajectory({"path": str(path), "framespertask": "2"})  # a restart knows offsets alone
+    assert [len(p.offsets) for p in again.partitions(again.initialOffset(), then)] == [2, 2, 1]
+
+
+def test_windowed_means(spark, tables, tmp_path):
+    from pyspark.sql import functions as F
+
+    points = spark.read.parquet(f"{tables}/events.parquet").select("ts", F.col("user_id").alias("atom"), "value")
+    points.repartition(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(points.schema).parquet(str(tmp_path / "in"))
+    q = streaming.windowed_means(stream, "10 minutes", "1 day").writeStream.format("memory").queryName("means").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(r["start"], r["atom"]): (r["n"], round(r["mean"], 6)) for r in spark.table("means").collect()}
+    expected = points.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 day").start.alias("start"), "atom").agg(F.count("value").alias("n"), F.avg("value").alias("mean")).collect()
+    assert got == {(r["start"], r["atom"]): (r["n"], round(r["mean"], 6)) for r in expected}

@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from trajix.elements import RADII
 from trajix.model import Topology, check_atom_count
@@ -106,8 +105,7 @@ def analyse(a: argparse.Namespace, topology: Topology, frames: DataFrame) -> Dat
         case "chi":
             return geometry.torsions(frames, table, a.level)
         case "summary":
-            info = derived.trajectory_info(frames).first()
-            return derived.chain_summary(topology).withColumns({k: F.lit(v) for k, v in info.asDict().items()})
+            return derived.summary(topology, frames)
     raise ValueError(a.command)
 
 
@@ -118,8 +116,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         reports.convert(spark, a.path, a.out, reports.read_topology(spark, a.top) if a.top else None)
         return
     rows = analyse(a, *load(spark, a.path, a.top))
-    if a.out is None:
-        rows.orderBy(*[c for c in ("frame", "lag", "bin", "atom_index") if c in rows.columns][:1] or [F.lit(1)]).show(50, truncate=False)
+    if a.command in ("hbonds", "contacts") and a.format == "json":
+        rows = reports.frame_records(rows, a.command)  # a text per frame with its records
+    order = [c for c in ("place", "frame", "lag", "bin", "component", "residue_index", "atom_index", "pair", "tuple", "donor", "residue_i", "hydrogen", "residue_j", "acceptor") if c in rows.columns]
+    if a.out is None:  # every row, in order, without a collect
+        print("\t".join(c for c in rows.columns if c != "place"))
+        for row in rows.orderBy(*order).toLocalIterator():
+            print("\t".join("" if v is None else f"{v:.6f}" if isinstance(v, float) else str(v) for c, v in row.asDict().items() if c != "place"))
+    elif "json" in rows.columns:
+        rows.select("json").write.mode("overwrite").text(a.out)
     elif a.format == "json":
         reports.write_json(rows, a.out)
     else:

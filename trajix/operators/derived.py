@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajix.elements import RADII
+from trajix.elements import RADII, SYMBOLS
 from trajix.functions.points import per_frame
 from trajix.model import Topology, keys
 from trajix.operators import frame_sums, over_time, sasa, spatial, superposition
@@ -30,6 +30,24 @@ def composition(topology: Topology) -> DataFrame:
     return topology.atoms.groupBy("element").agg(F.count("*").alias("n_atoms"))
 
 
+def summary(topology: Topology, frames: DataFrame) -> DataFrame:
+    """section, name, value, place: counts, times, the first frame's box, chains and elements, in the order of place."""
+    counts = [(n, t.count()) for n, t in (("atoms", topology.atoms), ("residues", topology.residues), ("chains", topology.chains), ("bonds", topology.bonds))]
+    info = trajectory_info(frames).first()
+    first = frames.orderBy("frame").first()
+    box = first["box"] if first is not None and "box" in frames.columns else None
+    rows = [("counts", n, str(v)) for n, v in [*counts, ("frames", info["n_frames"])]]
+    rows += [("time", n, str(info[n])) for n in ("first_time", "last_time") if info[n] is not None]
+    if box:
+        square = all(abs(v) < 1e-3 for i, v in enumerate(box) if i % 4)
+        rows += [("box", "kind", "orthorhombic" if square else "triclinic"), *[("box", c, " ".join(f"{v:.3f}" for v in box[3 * k : 3 * k + 3])) for k, c in enumerate("abc")]]
+    for r in chain_summary(topology).orderBy("chain_index").collect():
+        rows.append(("chain", str(r["chain_index"]), f"residues {r['first_residue']} to {r['last_residue']} ({r['n_residues']}), {r['n_atoms']} atoms"))
+    for r in composition(topology).orderBy(F.desc("n_atoms"), "element").collect():
+        rows.append(("element", SYMBOLS[r["element"]], str(r["n_atoms"])))
+    return frames.sparkSession.createDataFrame([(*r, k) for k, r in enumerate(rows)], "section string, name string, value string, place int")
+
+
 def contact_frequency(frames: DataFrame, found: DataFrame) -> DataFrame:
     """residue_i, residue_j and the share of all frames in which they touch."""
     total = frames.agg(F.count("*").alias("n_frames"))

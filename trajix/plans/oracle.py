@@ -303,3 +303,16 @@ ORACLE_SQL["analyze_all"] = f"""{_about}, g AS (SELECT frame, sqrt(sum(mass * (x
 ORACLE_SQL["analyze_all_frames"] = f"SELECT f.*, s.area AS sasa FROM ({ORACLE_SQL['analyze_all']}) f JOIN ({ORACLE_SQL['sasa_total']}) s USING (frame)"
 ORACLE_SQL["analyze_all_atoms"] = ORACLE_SQL["rmsf"]
 ORACLE_SQL["lineitem_center"] = f"SELECT l_orderkey, {r('sum(l_quantity * l_extendedprice) / sum(l_quantity)', 'center')}, round(stddev_pop(l_extendedprice), 3) + 0.0 AS spread, count(*) AS n FROM lineitem GROUP BY 1"
+
+
+def _read_sql(kept) -> str:
+    """The sample as a format keeps it; box vectors as lengths in right angles where ``kept`` is of a cell's sides."""
+    side = [f"({SKEWED[4 * k]}::DOUBLE + frame * 0.01::DOUBLE)" for k in range(3)]
+    return f"WITH {COORDS} SELECT frame, atom_index, {', '.join(f'round({kept(c)}, 3) + 0.0 AS {c}' for c in 'xyz')}, {', '.join(f'round({s}, 3) + 0.0 AS box_{c}' for s, c in zip(side, 'abc'))} FROM c"
+
+
+ORACLE_SQL["read_xtc"] = _read_sql(lambda c: f"round({c} * 100) / 100")
+ORACLE_SQL["read_trr"] = ORACLE_SQL["read_netcdf"] = _read_sql(lambda c: c)
+_first = lambda kept, element: f"{WITH} SELECT atom_index, name, {element} AS element, residue_index, residue_name, residue_index + 1 AS resid, {', '.join(r(kept(c), c) for c in 'xyz')} FROM c JOIN a USING (atom_index) WHERE frame = 0"
+ORACLE_SQL["read_pdb"] = _first(lambda c: f"round({c}, 3)", "element")
+ORACLE_SQL["read_gro"] = _first(lambda c: f"round({c} / 10, 3) * 10", "element")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from trajix.elements import MASSES, RADII, elements
 from trajix.model import Topology, to_long
 from trajix.operators import derived, dssp, frame_sums, geometry, over_time, pbc, sasa, selection, spatial, superposition
 from trajix.plans import sample
+from trajix.sources import structures, trajectories
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -394,3 +396,49 @@ def lineitem_center(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     m, x = F.col("l_quantity"), F.col("l_extendedprice")
     return rows.groupBy("l_orderkey").agg((F.sum(m * x) / F.sum(m)).alias("center"), F.round(F.stddev_pop(x), 3).alias("spread"), F.count("*").alias("n"))
+
+
+def _folder(spark, name: str) -> str:
+    """A new path in the folder that all executors share; on one machine without it, a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file:///tmp/checkpoints"
+    return f"{base.rstrip('/')}/trajix/{uuid.uuid4().hex}{name}"
+
+
+def _read_back(kind):
+    """The whole trajectory written by tasks as files of a kind, and read from there; to the digits that the format keeps."""
+
+    def run(spark, sf_dir):
+        path = _folder(spark, f".{kind}")
+        boxed = sample.boxed(spark, sf_dir).repartitionByRange("frame").sortWithinPartitions("frame")
+        trajectories.write_trajectory(boxed, path, kind)
+        found = to_long(trajectories.read_trajectory(spark, path).drop("traj"), keep=("box",))
+        sides = [F.get("box", F.lit(4 * k)).alias(f"box_{c}") for k, c in enumerate("abc")]
+        return found.select("frame", "atom_index", *[F.round(c, 3).alias(c) for c in "xyz"], *[F.round(c, 3).alias(n) for c, n in zip(sides, ("box_a", "box_b", "box_c"))])
+
+    return run
+
+
+for _name, _kind in {"xtc": "xtc", "trr": "trr", "netcdf": "nc"}.items():
+    query(f"read_{_name}")(_read_back(_kind))
+
+
+def _structure_back(kind):
+    """The sample's topology with its first frame, written and read as a structure file."""
+
+    def run(spark, sf_dir):
+        path = _folder(spark, f".{kind}")
+        first = sample.frames(spark, sf_dir).where("frame = 0").first()
+        structures.write_structure(spark, structures.structure_of(sample.topology(spark), first), path)
+        s = structures.read_structure(spark, path)
+        own = s.topology(spark).table().select("atom_index", "name", "element", "residue_index", "residue_name", "resid")
+        return own.join(to_long(s.frame(spark)).select("atom_index", *"xyz"), "atom_index")
+
+    return run
+
+
+for _kind in ("pdb", "gro"):
+    query(f"read_{_kind}")(_structure_back(_kind))

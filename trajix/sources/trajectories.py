@@ -7,14 +7,17 @@ are opened through pyarrow's file systems, so a path may name any store that the
 
 from __future__ import annotations
 
+import fnmatch
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from trajix.model import FRAMES
 
@@ -40,34 +43,33 @@ class Frame:
 
 
 def opened(path: str):
-    if "://" in path:
-        system, inner = fs.FileSystem.from_uri(path)
-    else:
-        system, inner = fs.LocalFileSystem(), path
+    system, inner, _ = _system(path)
     return system.open_input_file(inner)
 
 
-class _Bits:
-    """Big-endian bit fields, one after another."""
-
-    def __init__(self, raw: bytes):
-        self.raw, self.at = raw + b"\0" * 16, 0
-
-    def take(self, n: int) -> int:
-        byte, skip = divmod(self.at, 8)
-        self.at += n
-        span = (skip + n + 7) // 8
-        return int.from_bytes(self.raw[byte : byte + span], "big") >> (8 * span - skip - n) & ((1 << n) - 1)
-
-    def triple(self, n: int, sizes: list[int]) -> tuple[int, int, int]:
-        """Three values as one mixed-radix number, whose bytes come lowest first."""
-        value = shift = 0
-        while n > 8:
-            value |= self.take(8) << shift
-            shift, n = shift + 8, n - 8
-        value |= self.take(n) << shift
-        rest, c = divmod(value, sizes[2])
-        return (*divmod(rest, sizes[1]), c)
+def _fields(raw: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Big-endian fields of ``n`` bits, 32 at most, at some bit positions."""
+    byte, skip = at >> 3, at & 7
+    whole = np.zeros(len(at), np.int64)
+    for k in range(5):
+        whole = whole << 8 | raw[byte + k]
+    return whole >> (40 - n - skip) & ((1 << n) - 1)
+
+
+def _triples(raw: np.ndarray, at: np.ndarray, n: int, sizes: list[int]) -> np.ndarray:
+    """Three values each out of mixed-radix numbers of ``n`` bits, whose bytes come lowest first."""
+    parts = [_fields(raw, at + k, min(8, n - k)) for k in range(0, n, 8)] or [np.zeros(len(at), np.int64)]
+    out = np.empty((len(at), 3), np.int64)
+    for c in (2, 1):  # long division, from the highest byte down
+        rest = np.zeros(len(at), np.int64)
+        for k in range(len(parts) - 1, -1, -1):
+            rest = rest << 8 | parts[k]
+            parts[k], rest = rest // sizes[c], rest % sizes[c]
+        out[:, c] = rest
+    out[:, 0] = 0
+    for k in range(len(parts) - 1, -1, -1):
+        out[:, 0] = out[:, 0] << 8 | parts[k]
+    return out
 
 
 class _BitMaker:
@@ -94,38 +96,66 @@ class _BitMaker:
 
 
 def unpack_coordinates(raw: bytes, n: int, low: list[int], high: list[int], small: int) -> np.ndarray:
-    """Integer coordinates of a compressed XTC block."""
+    """Integer coordinates of a compressed XTC block.
+
+    A walk over the flags finds where each atom's bits lie; all numbers are then read together.
+    """
     sizes = [h - l + 1 for l, h in zip(low, high)]
     apart = max(sizes) > 0xFFFFFF
     bits = 0 if apart else (sizes[0] * sizes[1] * sizes[2]).bit_length()
-    src, out, run = _Bits(raw), np.zeros((n, 3), np.int64), 0
-    i = 0
+    width = sum(v.bit_length() for v in sizes) if apart else bits
+    data = raw + b"\0" * 16
+    end = 8 * len(raw)
+    at, i, run = 0, 0, 0
+    starts, owners, counts, kinds = [], [], [], []
     while i < n:
-        at = [src.take(s.bit_length()) for s in sizes] if apart else src.triple(bits, sizes)
-        full = [v + l for v, l in zip(at, low)]
+        starts.append(at)
+        owners.append(i)
+        at += width
+        if at >= end:
+            raise TrajectoryError("block cut short")
         change = 0
-        if src.take(1):
-            run = src.take(5)
+        byte, skip = at >> 3, at & 7
+        at += 1
+        if data[byte] >> (7 - skip) & 1:
+            run = (data[byte] << 8 | data[byte + 1]) >> (10 - skip) & 31
             change = run % 3 - 1
             run //= 3
-        else:
-            change = 0
-        if i + 1 + run > n:
-            raise TrajectoryError("run beyond the frame")
-        near, half = [SMALL[small]] * 3, SMALL[small] // 2
-        if run:
-            first = [d - half + v for d, v in zip(src.triple(small, near), full)]
-            out[i], out[i + 1] = first, full  # the second atom of a run comes first in the stream
-            before = first
-            for k in range(1, run):
-                before = [d - half + v for d, v in zip(src.triple(small, near), before)]
-                out[i + 1 + k] = before
-        else:
-            out[i] = full
+            at += 5
+        counts.append(run)
+        kinds.append(small)
+        at += run * small
         i += 1 + run
         small += change
         if not FIRST_SMALL <= small < len(SMALL):
             raise TrajectoryError("small size out of range")
+    if i > n:
+        raise TrajectoryError("run beyond the frame")
+    if at > end:
+        raise TrajectoryError("block cut short")
+    view = np.frombuffer(data, np.uint8).astype(np.int64)
+    begin, owner, count, kind = (np.array(v, np.int64) for v in (starts, owners, counts, kinds))
+    if apart:
+        lengths = [v.bit_length() for v in sizes]
+        full = np.stack([_fields(view, begin + sum(lengths[:c]), lengths[c]) for c in range(3)], axis=1)
+    else:
+        full = _triples(view, begin, bits, sizes)
+    full += np.array(low)
+    out = np.empty((n, 3), np.int64)
+    out[owner + (count > 0)] = full  # the second atom of a run comes first in the stream
+    if count.any():
+        # the small numbers of a record end where the next record begins
+        small_at = np.append(begin[1:], at) - count * kind
+        record = np.repeat(np.arange(len(count)), count)
+        place = np.arange(len(record)) - np.repeat(np.cumsum(count) - count, count)
+        where, delta = small_at[record] + place * kind[record], np.empty((len(record), 3), np.int64)
+        for k in np.unique(kind[record]).tolist():
+            own = kind[record] == k
+            delta[own] = _triples(view, where[own], k, [SMALL[k]] * 3) - SMALL[k] // 2
+        total = np.cumsum(delta, axis=0)
+        before = (np.cumsum(count) - count)[record]
+        reached = full[record] + total - np.where(before[:, None] > 0, total[before - 1], 0)
+        out[owner[record] + place + (place > 0)] = reached
     return out
 
 
@@ -172,16 +202,22 @@ class Xtc:
     """GROMACS compressed frames: big-endian, lengths in nm."""
 
     @staticmethod
-    def index(f) -> list[int]:
-        at, out, size = 0, [], f.size()
+    def index(f, at: int = 0) -> tuple[list[int], int]:
+        """Where whole frames begin, from byte ``at`` on, and where the next one will."""
+        out, size = [], f.size()
         while at + 56 <= size:
             head = f.read_at(92, at)
             magic, n = struct.unpack_from(">2i", head)
             if magic != 1995:
                 raise TrajectoryError("InvalidMagic")
+            if n > 9 and len(head) < 92:
+                break
+            end = at + (56 + 12 * n if n <= 9 else 92 + (struct.unpack_from(">i", head, 88)[0] + 3) // 4 * 4)
+            if end > size:
+                break
             out.append(at)
-            at += 56 + 12 * n if n <= 9 else 92 + (struct.unpack_from(">i", head, 88)[0] + 3) // 4 * 4
-        return out
+            at = end
+        return out, at
 
     @staticmethod
     def read(f, at: int, number: int) -> Frame:
@@ -225,14 +261,16 @@ class Trr:
         return ints, real, body, body + sum(ints[:10])
 
     @staticmethod
-    def index(f) -> list[int]:
-        at, out, size = 0, [], f.size()
-        while at + 12 <= size:
+    def index(f, at: int = 0) -> tuple[list[int], int]:
+        out, size = [], f.size()
+        while at + 84 <= size:
             ints, _, _, end = Trr._head(f, at)
+            if end > size:
+                break
             if ints[7]:
                 out.append(at)
             at = end
-        return out
+        return out, at
 
     @staticmethod
     def read(f, at: int, number: int) -> Frame:
@@ -277,10 +315,11 @@ class Dcd:
         return end, n, i[1], i[2], delta, cell, charmm and i[11] == 1, at + 12
 
     @staticmethod
-    def index(f) -> list[int]:
-        _, n, *_, cell, four, at = Dcd._head(f)
-        stride = (56 if cell else 0) + (4 if four else 3) * (4 * n + 8)
-        return list(range(at, f.size() - stride + 1, stride))
+    def index(f, at: int = 0) -> tuple[list[int], int]:
+        _, n, *_, cell, four, first = Dcd._head(f)
+        stride, at = (56 if cell else 0) + (4 if four else 3) * (4 * n + 8), at or first
+        out = list(range(at, f.size() - stride + 1, stride))
+        return out, at + stride * len(out)
 
     @staticmethod
     def read(f, at: int, number: int) -> Frame:
@@ -348,9 +387,10 @@ class NetCdf:
         return records, found, stride
 
     @staticmethod
-    def index(f) -> list[int]:
+    def index(f, at: int = 0) -> tuple[list[int], int]:
         records, _, stride = NetCdf._head(f)
-        return [k * stride for k in range(records)]
+        out = list(range(at, records * stride, stride))
+        return out, records * stride
 
     @staticmethod
     def read(f, at: int, number: int) -> Frame:
@@ -418,6 +458,45 @@ class _Range(InputPartition):
     path: str
     first: int
     offsets: list[int]
+    traj: str
+    before: int  # frames of the trajectory's earlier files, or none
+
+
+def _system(path: str) -> tuple[fs.FileSystem, str, str]:
+    """A path's file system, its name there, and what stands before such names."""
+    if "://" in path:
+        system, inner = fs.FileSystem.from_uri(path)
+        return system, inner, path[: len(path) - len(inner)] if path.endswith(inner) else ""
+    return fs.LocalFileSystem(), path, ""
+
+
+def files_of(path: str) -> list[tuple[str, list[str]]]:
+    """Trajectories of a path and the files of each, in order.
+
+    A file is a trajectory. A folder, as the writer leaves it, is one too: its files follow each other
+    by name. A pattern with * or ? in its last part stands for as many trajectories as it finds.
+    """
+    system, inner, before = _system(path)
+    folder, _, last = inner.rstrip("/").rpartition("/")
+    if any(c in last for c in "*?"):
+        found = system.get_file_info(fs.FileSelector(folder or "."))
+        names = sorted(f.path for f in found if fnmatch.fnmatchcase(f.base_name, last) and not f.base_name.startswith((".", "_")))
+        return [t for name in names for t in files_of(before + name)]
+    info = system.get_file_info(inner)
+    if info.type == fs.FileType.Directory:
+        found = system.get_file_info(fs.FileSelector(inner))
+        names = sorted(f.path for f in found if f.type == fs.FileType.File and f.extension.lower() in FORMATS and not f.base_name.startswith((".", "_")))
+        return [(path, [before + name for name in names])]
+    if info.type == fs.FileType.NotFound:
+        raise TrajectoryError(f"no such file: {path}")
+    return [(path, [path])]
+
+
+STRUCTURE = pa.schema([
+    ("traj", pa.string()), ("frame", pa.int64()), ("time", pa.float64()), ("step", pa.int32()), ("box", pa.list_(pa.float64())), *[(c, pa.list_(pa.float64())) for c in "xyz"]
+])
+#: Atoms in one Arrow batch of a reader, about.
+BATCH_ATOMS = 1 << 18
 
 
 class _Reader(DataSourceReader):
@@ -425,26 +504,49 @@ class _Reader(DataSourceReader):
         self.path, self.each = options["path"], int(options.get("framespertask", 256))
 
     def partitions(self) -> list[_Range]:
-        with opened(self.path) as f:
-            offsets = codec_of(self.path).index(f)
-        return [_Range(self.path, k, offsets[k : k + self.each]) for k in range(0, len(offsets), self.each)] or [_Range(self.path, 0, [])]
+        out = []
+        for name, files in files_of(self.path):
+            before = 0
+            for path in files:
+                with opened(path) as f:
+                    offsets, _ = codec_of(path).index(f)
+                out += [_Range(path, k, offsets[k : k + self.each], name, before) for k in range(0, len(offsets), self.each)]
+                before += len(offsets)
+        return out or [_Range(self.path, 0, [], self.path, 0)]
+
+    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
+        if not part.offsets:
+            return
+        codec, held, atoms = codec_of(part.path), [], 0
+
+        def batch() -> pa.RecordBatch:
+            numbers = [part.before + k for k, _ in held]
+            axes = [pa.array([np.ascontiguousarray(x.xyz[:, c], float) for _, x in held], pa.list_(pa.float64())) for c in range(3)]
+            rows = [x for _, x in held]
+            columns = [[part.traj] * len(held), numbers, [float(x.time) for x in rows], [int(x.step) for x in rows], [x.box for x in rows]]
+            return pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, STRUCTURE.types)], *axes], schema=STRUCTURE)
 
-    def read(self, part: _Range) -> Iterator[tuple]:
-        codec = codec_of(part.path)
         with opened(part.path) as f:
             for k, at in enumerate(part.offsets):
                 x = codec.read(f, at, part.first + k)
-                yield (part.path, part.first + k, float(x.time), int(x.step), x.box, *[x.xyz[:, c].astype(float).tolist() for c in range(3)])
+                held.append((part.first + k, x))
+                atoms += len(x.xyz)
+                if atoms >= BATCH_ATOMS:
+                    yield batch()
+                    held, atoms = [], 0
+        if held:
+            yield batch()
 
 
 @dataclass
 class _Written(WriterCommitMessage):
+    hidden: str | None
     path: str | None
-    n: int
 
 
-class _Writer(DataSourceWriter):
-    """Each task writes a file of its own beside the others; a failed attempt's file is removed."""
+class _Writer(DataSourceArrowWriter):
+    """Each task writes a file of its own, frame by frame, under a hidden name; the driver's commit names
+    the files of the attempts that count, so that a task that ran twice leaves one."""
 
     def __init__(self, options: dict, schema):
         self.path, self.names = options["path"], schema.fieldNames()
@@ -452,33 +554,50 @@ class _Writer(DataSourceWriter):
         if self.kind not in ("xtc", "trr", "nc", "ncdf"):
             raise TrajectoryError(f"no writer for {self.kind}")
 
-    def write(self, rows) -> _Written:
+    def write(self, batches) -> _Written:
         from pyspark import TaskContext
 
         codec, context = FORMATS[self.kind], TaskContext.get()
-        frames = []
-        for row in rows:
-            r = dict(zip(self.names, row))
-            frames.append(Frame(r.get("time") or 0.0, r.get("step") or 0, r.get("box"), np.stack([np.asarray(r[c], float) for c in "xyz"], 1)))
-        if not frames:
-            return _Written(None, 0)
-        system, inner = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
-        system.create_dir(inner, recursive=True)
-        name = f"{inner}/part-{context.partitionId():05d}-{context.taskAttemptId()}.{self.kind}"
-        with system.open_output_stream(name) as f:
-            f.write(codec.head(len(frames[0].xyz), len(frames)))
-            for x in frames:
-                f.write(codec.write(x))
-        return _Written(name, len(frames))
+        system, inner, _ = _system(self.path)
+        own = f"part-{context.partitionId():05d}-{uuid.uuid4().hex[:12]}.{self.kind}"
+        hidden, n, frames = f"{inner}/.{own}", 0, 0
+        out = None
+        for batch in batches:
+            columns = {c: batch.column(i) for i, c in enumerate(self.names)}
+            of = lambda c, k, default: (columns[c][k].as_py() if c in columns else None) or default  # noqa: B023, E731
+            for k in range(batch.num_rows):
+                xyz = np.stack([columns[c][k].values.to_numpy(zero_copy_only=False).astype(float) for c in "xyz"], axis=1)
+                if out is None:
+                    system.create_dir(inner, recursive=True)
+                    out, n = system.open_output_stream(hidden), len(xyz)
+                if len(xyz) != n:
+                    raise TrajectoryError("InvalidAtomCount")
+                out.write(codec.write(Frame(of("time", k, 0.0), of("step", k, 0), of("box", k, None), xyz)))
+                frames += 1
+        if out is None:
+            return _Written(None, None)
+        out.close()
+        head = codec.head(n, frames)
+        if head:  # it tells the number of frames, so it comes last, and is put before them
+            body, hidden = hidden, f"{inner}/.whole-{own}"
+            with system.open_output_stream(hidden) as f, system.open_input_stream(body) as g:
+                f.write(head)
+                while block := g.read(8 << 20):
+                    f.write(block)
+            system.delete_file(body)
+        return _Written(hidden, f"{inner}/{own}")
 
     def commit(self, messages) -> None:
-        pass
+        system, _, _ = _system(self.path)
+        for m in messages:
+            if m is not None and m.hidden:
+                system.move(m.hidden, m.path)
 
     def abort(self, messages) -> None:
-        system = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
+        system, _, _ = _system(self.path)
         for m in messages:
-            if m is not None and m.path:
-                system.delete_file(m.path)
+            if m is not None and m.hidden and system.get_file_info(m.hidden).type == fs.FileType.File:
+                system.delete_file(m.hidden)
 
 
 class TrajectorySource(DataSource):
@@ -502,7 +621,7 @@ class TrajectorySource(DataSource):
 
 
 def read_trajectory(spark: SparkSession, path: str, frames_per_task: int = 256) -> DataFrame:
-    """Wide frames of a trajectory file."""
+    """Wide frames of a trajectory's file or folder, or of each that a pattern finds; traj has its path."""
     spark.dataSource.register(TrajectorySource)
     return spark.read.format("trajectory").option("framesPerTask", frames_per_task).load(path)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSourceStreamReader
@@ -14,29 +15,36 @@ from trajix.sources.trajectories import _Range, codec_of, opened
 
 
 class GrowingTrajectory(DataSourceStreamReader):
-    """Frames of a file as it gains them; an offset is the number of whole frames."""
+    """Frames of a file as it gains them; an offset is the number of whole frames and the byte behind them.
+
+    A trigger reads on from the byte that it knows, so that its work goes by the new frames; only the
+    first one after a start reads all frame headers.
+    """
 
     def __init__(self, options: dict):
         self.path, self.each = options["path"], int(options.get("framespertask", 256))
-
-    def _offsets(self) -> list[int]:
-        with opened(self.path) as f:
-            return codec_of(self.path).index(f)
+        self.known = self.initialOffset()
 
     def initialOffset(self) -> dict:
-        return {"frames": 0}
+        return {"frames": 0, "at": 0}
 
     def latestOffset(self) -> dict:
-        return {"frames": len(self._offsets())}
+        with opened(self.path) as f:
+            new, at = codec_of(self.path).index(f, self.known["at"])
+        if new:
+            self.known = {"frames": self.known["frames"] + len(new), "at": at}
+        return self.known
 
     def partitions(self, start: dict, end: dict) -> list[_Range]:
-        at = self._offsets()[: end["frames"]]
-        return [_Range(self.path, k, at[k : min(k + self.each, end["frames"])]) for k in range(start["frames"], end["frames"], self.each)]
+        with opened(self.path) as f:
+            at, _ = codec_of(self.path).index(f, start["at"])
+        at, first = at[: end["frames"] - start["frames"]], start["frames"]
+        return [_Range(self.path, first + k, at[k : k + self.each], self.path, 0) for k in range(0, len(at), self.each)]
 
     def commit(self, end: dict) -> None:
         pass
 
-    def read(self, part: _Range) -> Iterator[tuple]:
+    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
         from trajix.sources.trajectories import _Reader
 
         return _Reader({"path": part.path}).read(part)
@@ -68,6 +76,6 @@ def running_moments(points: DataFrame) -> DataFrame:
 
 def windowed_means(points: DataFrame, watermark: str = "10 minutes", window: str = "1 hour") -> DataFrame:
     """window start, atom, n, mean of a stream of (ts, atom, value); later rows than the watermark are left out."""
-    kept = points.withWatermark("ts", watermark)
+    kept = points.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)  # watermarks need a time zone
     out = kept.groupBy(F.window("ts", window), "atom").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
     return out.select(F.col("window.start").alias("start"), "atom", "n", "mean")
