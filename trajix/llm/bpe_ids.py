@@ -11,17 +11,18 @@ file asks for other normalisation, cuts or added tokens than those.
 
 from __future__ import annotations
 
+import ctypes
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one step works on; a longer text makes a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 #: Runs that a worker keeps; the cache starts anew beyond it, which changes no id.
-MOST_RUNS = 700_000
+MOST_RUNS = 300_000
 
 SPACE, LETTER, DIGIT, SIGN = range(4)
 KIND = np.full(256, SIGN, np.uint8)
@@ -36,20 +37,39 @@ NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def _cuts_into_runs(spec: dict) -> bool:
-    """Whether a vocabulary's file has the normaliser, cuts, word ends and added tokens that runs rest on."""
-    normalizer, cuts, model = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}, spec.get("model") or {}
-    first, *rest = cuts.get("pretokenizers") or [{}]
+def _cuts_into_runs(whole) -> bool:
+    """Whether a tokenizer has the normaliser, cuts, word ends and added tokens that runs rest on; its large parts are not copied."""
+    shown = lambda part: json.loads(part.__getstate__()) if part is not None else {}
+    model, first, *rest = whole.model, *(shown(whole.pre_tokenizer).get("pretokenizers") or [{}])
     return (
-        normalizer.get("normalizers") == NORMALIZERS
+        shown(whole.normalizer).get("normalizers") == NORMALIZERS
         and (first.get("type"), first.get("pattern"), first.get("behavior"), first.get("invert")) == ("Split", {"Regex": CUTS}, "Removed", True)
         and [(r.get("type"), r.get("add_prefix_space"), r.get("use_regex")) for r in rest] == [("ByteLevel", False, False)]
-        and (model.get("type"), model.get("end_of_word_suffix"), model.get("dropout")) == ("BPE", "</w>", None)
-        and not spec.get("truncation")
-        and all(t["content"].startswith("<|") and not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) for t in spec.get("added_tokens") or [])
+        and (type(model).__name__, getattr(model, "end_of_word_suffix", None), getattr(model, "dropout", None)) == ("BPE", "</w>", None)
+        and not whole.truncation
+        and all(t.content.startswith("<|") and not (t.normalized or t.single_word or t.lstrip or t.rstrip) for t in whole.get_added_tokens_decoder().values())
     )
 
 
+def give_back() -> None:
+    """Return to the system what a worker's allocators hold without use, as a worker lives on for other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it has
+        pass
+
+
+def tidy(rows: Callable) -> Callable:
+    """A function for mapInArrow that gives memory back when its task is done."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(batches)
+        give_back()
+
+    return run
+
+
 class RunBpe:
     """Encoder of one process; ``of`` returns the process's encoder of a vocabulary file."""
 
@@ -65,14 +85,12 @@ class RunBpe:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            self.by_runs = _cuts_into_runs(json.load(f))
-        self.by_run = Tokenizer.from_file(path)
+        self.by_runs = _cuts_into_runs(self.whole)
+        self.by_run = Tokenizer(self.whole.model)  # the same model, without added tokens
         self.by_run.normalizer = normalizers.Sequence([])
         self.by_run.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-        self.by_run.encode_special_tokens = True
         vocab = self.whole.get_vocab()
         self.ends_run = np.zeros(max(vocab.values()) + 1, bool)
         for piece, i in vocab.items():

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajix.llm.bpe_ids import steps
+from trajix.llm.bpe_ids import steps, tidy
 
 
 @dataclass(frozen=True)
@@ -231,4 +231,4 @@ def score_documents(docs: DataFrame, net: ByteNet) -> DataFrame:
                 )
 
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(rows, "doc_id bigint, held_out boolean, score double, predicted int")
+    return chosen.mapInArrow(tidy(rows), "doc_id bigint, held_out boolean, score double, predicted int")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajix.llm import word_hash
-from trajix.llm.bpe_ids import steps
+from trajix.llm.bpe_ids import steps, tidy
 from trajix.llm.components import components
 from trajix.llm.scratch import join_counted, only_ids, written
 
@@ -138,7 +138,7 @@ def sketches(docs: DataFrame, size: int, sketch: SetSketch) -> DataFrame:
                     names=["doc_id", "n", "words_key", "registers"],
                 )
 
-    return _own(docs).mapInArrow(rows, "doc_id bigint, n bigint, words_key binary, registers binary")
+    return _own(docs).mapInArrow(tidy(rows), "doc_id bigint, n bigint, words_key binary, registers binary")
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -151,7 +151,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
                 sets = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, len(texts)), sets], names=["doc_id", "shingles"])
 
-    return _own(docs).mapInArrow(rows, "doc_id bigint, shingles array<bigint>")
+    return _own(docs).mapInArrow(tidy(rows), "doc_id bigint, shingles array<bigint>")
 
 
 def _bands(nodes: DataFrame, sketch: SetSketch) -> DataFrame:

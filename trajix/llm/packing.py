@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajix.llm.bpe_ids import RunBpe, steps
+from trajix.llm.bpe_ids import RunBpe, steps, tidy
 from trajix.llm.scratch import written
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -86,7 +86,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(cut, PIECE + ", token_ids array<int>" * with_ids)
+    return chosen.mapInArrow(tidy(cut), PIECE + ", token_ids array<int>" * with_ids)
 
 
 def pack_documents(

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trajix.llm.bpe_ids import RunBpe, steps
+from trajix.llm.bpe_ids import RunBpe, steps, tidy
 from trajix.llm.scratch import new_path, written
 
 CHUNK, FOOTER = b"TXPC", b"TXPF"
@@ -136,7 +136,7 @@ def write_token_files(
     (
         own.repartitionByRange(_ranges(own, file_bytes), *order)
         .sortWithinPartitions(*order, "text")
-        .mapInArrow(chunks, "value binary")
+        .mapInArrow(tidy(chunks), "value binary")
         .select(F.col("value").cast("string").alias("value"))
         .write.option("lineSep", "\n").option("maxRecordsPerFile", 0).text(path)
     )

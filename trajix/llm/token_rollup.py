@@ -119,7 +119,7 @@ def with_bpe_counts(rows: DataFrame, tokenizer: str, texts: list[str]) -> DataFr
     import numpy as np
     import pyarrow as pa
 
-    from trajix.llm.bpe_ids import RunBpe, steps
+    from trajix.llm.bpe_ids import RunBpe, steps, tidy
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = RunBpe.of(tokenizer)
@@ -130,7 +130,7 @@ def with_bpe_counts(rows: DataFrame, tokenizer: str, texts: list[str]) -> DataFr
                 columns[c] = pa.array(np.concatenate([np.zeros(0, np.int64), *sizes]))
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return rows.mapInArrow(count, ", ".join(f"`{c}` {'bigint' if c in texts else t}" for c, t in rows.dtypes))
+    return rows.mapInArrow(tidy(count), ", ".join(f"`{c}` {'bigint' if c in texts else t}" for c, t in rows.dtypes))
 
 
 def bpe_counts(docs: DataFrame, tokenizer: str) -> DataFrame:

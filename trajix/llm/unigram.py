@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajix.llm.bpe_ids import steps
+from trajix.llm.bpe_ids import steps, tidy
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -361,4 +361,4 @@ def _run(docs: DataFrame, model_path: str, with_ids: bool, decoded: bool) -> Dat
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     schema = "doc_id bigint, n_tokens bigint, n_bytes_spelled bigint, ids_crc32 bigint" + ", token_ids array<int>" * with_ids + ", decoded_sha256 string" * decoded
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, schema)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(rows), schema)
