@@ -12,7 +12,7 @@ import public_tokenizers
 
 from trajix.llm.bpe_ids import RunBpe, steps
 from trajix.llm.packing import BinTree, first_fit_decreasing, pack_documents
-from trajix.llm.scratch import new_path
+from trajix.llm.scratch import BATCH_BYTES, new_path, written
 from trajix.llm.token_files import BIT, BYTE, chunk_index, decode_chunk, encode_chunk, read_token_files, write_and_index, write_token_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -137,3 +137,23 @@ def test_packing_spreads_equal_rows(spark, vocabulary):
     per_group = rows.groupby(rows["sequence_id"] // 2**32).size()
     assert len(rows) == 1000 and len(per_group) == 20 and per_group.max() < 100
     assert rows.groupby("sequence_id")["length"].sum().max() <= 64
+
+
+def test_written_tables_use_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.range(0, 5000, 1, 1).selectExpr("id", "repeat('x', if(id = 7, 6000000, 3000)) t")
+    seen = written(rows.mapInArrow(sizes, "n long, size long"), "batches").collect()
+    assert sum(r.n for r in seen) == 5000 and len(seen) > 3
+    assert all(r.size < BATCH_BYTES + 6_100_000 for r in seen) and key not in spark.conf.getAll
+    spark.conf.set(key, "1m")
+    try:
+        assert max(r.size for r in written(rows.where("id != 7").mapInArrow(sizes, "n long, size long"), "batches").collect()) < 1_100_000
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
+    keyed = rows.groupBy((rows.id % 2).alias("k")).applyInArrow(lambda t: pa.table({"n": [t.num_rows]}), "n long")
+    assert sorted(r.n for r in written(keyed, "groups").collect()) == [2500, 2500]
