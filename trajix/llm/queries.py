@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajix.llm import byte_net, line_dedup, quality_rules, token_rollup, warc
+from trajix.llm.ball_clusters import cluster_vectors, with_inertia
+from trajix.llm.filter_audit import audit_filters
 from trajix.llm.multi_index import nearest_neighbours
 from trajix.llm.near_dedup import near_duplicates
 from trajix.llm.packing import pack_documents
 from trajix.llm.scratch import new_path, written
+from trajix.llm.sharding import shard_documents
 from trajix.llm.sqltext import BLANK_RUN, hash_128, strip
 from trajix.llm.token_files import write_and_index
 from trajix.llm.unigram import round_trips
@@ -180,7 +183,95 @@ def op10_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_net.score_documents(docs, byte_net.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_rollup, op2_warc_salvage, op3_pack_documents, op4_token_files, op5_line_dedup, op6_quality_rules, op7_multi_index, op8_minhash_near_dedup, op9_sentencepiece, op10_quality_net)}
-#: Registered beside the ten: a whole job of which a query's SQL has a part, and the part of a query that SQL can express.
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SQL_11 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), m AS (
+  SELECT doc_id, part,
+         CASE WHEN len(words) < 200 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN min(doc_id) OVER (PARTITION BY text) < doc_id THEN 16 ELSE 0 END AS mask
+  FROM w
+), l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), c AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask
+), f AS (
+  SELECT substr('ABCDE', CAST(k AS INTEGER) + 1, 1) AS f, CAST(1 << k AS INTEGER) AS bit FROM range(5) AS r(k)
+), p(filter_order, used, step, own, before) AS (
+  SELECT f, bit, 1, bit, 0 FROM f
+  UNION ALL
+  SELECT filter_order || f, used + bit, step + 1, bit, used FROM p, f WHERE used & bit = 0
+), o AS (
+  SELECT whole.filter_order, s.step, s.own, s.before
+  FROM p AS whole JOIN p AS s ON s.filter_order = substr(whole.filter_order, 1, s.step) WHERE whole.step = 5
+), a AS (
+  SELECT part, filter_order, step, own,
+         sum(CASE WHEN mask & (before + own) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & own > 0 AND mask & before > 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, o GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM a
+"""
+
+
+def op12_ball_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_inertia(cluster_vectors(table(spark, sf_dir, "embeddings")))
+
+
+def _sql_12(rounds: int = 3) -> str:
+    """Each round: the distances of all pairs, the nearest centroid, and the floor of the mean."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS (
+  SELECT row, c, CAST(sum((x - y) * (x - y)) AS BIGINT) AS d FROM e JOIN c{r} USING (i) GROUP BY row, c
+), a{r} AS (
+  SELECT row, c, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, c) = 1
+)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (
+  SELECT c, i, (sum(CAST(x AS HUGEINT)) - ((sum(CAST(x AS HUGEINT)) % count(*)) + count(*)) % count(*)) // count(*) AS y FROM e JOIN a{r} USING (row) GROUP BY c, i
+), c{r + 1} AS (
+  SELECT c, i, CAST(coalesce(m{r}.y, c{r}.y) AS BIGINT) AS y FROM c{r} LEFT JOIN m{r} USING (c, i)
+)""")
+    return f"""
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), e AS (
+  SELECT row, unnest(v) AS x, unnest(range(64)) AS i FROM v
+), s AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM v WHERE vec_id IS NOT NULL ORDER BY sha256('1:' || vec_id), v LIMIT 16
+), c0 AS (
+  SELECT c, unnest(v) AS y, unnest(range(64)) AS i FROM s
+), {", ".join(steps)}, h AS (
+  SELECT c, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c
+)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN h USING (c) JOIN v USING (row)
+"""
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, _ = shard_documents(table(spark, sf_dir, "documents"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_rollup, op2_warc_salvage, op3_pack_documents, op4_token_files, op5_line_dedup, op6_quality_rules, op7_multi_index, op8_minhash_near_dedup, op9_sentencepiece, op10_quality_net, op11_filter_audit, op12_ball_clusters, op13_shards)}
+#: Registered beside the thirteen: a whole job of which a query's SQL has a part, and the part of a query that SQL can express.
 MORE_QUERIES = {f.__name__: f for f in (op1_token_rollup_bpe, op6_quality_counts)}
-ORACLE_SQL: dict[str, str] = {"op1_token_rollup": SQL_1, "op2_warc_salvage": SQL_2, "op5_line_dedup": SQL_5, "op6_quality_counts": SQL_6_COUNTS}
+ORACLE_SQL: dict[str, str] = {"op1_token_rollup": SQL_1, "op2_warc_salvage": SQL_2, "op5_line_dedup": SQL_5, "op6_quality_counts": SQL_6_COUNTS, "op11_filter_audit": SQL_11, "op12_ball_clusters": _sql_12()}
