@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -118,6 +119,32 @@ def test_files_of_bounded_size(spark, vocabulary):
     assert [r["doc_id"] for r in in_order] == sorted(d for d, _ in rows)
 
 
+@pytest.mark.parametrize("order", ["in turn", "in blocks", "long first"])
+def test_no_file_outgrows_its_bound(spark, vocabulary, order):
+    """Empty texts and long ones in turn and in blocks: ranges of rows differ in bytes, files stay bounded."""
+    long = " ".join(f"w{i % 89}" for i in range(2500))
+    place = {"in turn": lambda i: i % 40 == 0, "in blocks": lambda i: i >= 1950, "long first": lambda i: i < 50}[order]
+    rows = [(i, long if place(i) else "") for i in range(2000)] + [(5000, long * 30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    path = new_path(spark, "test-tokens")
+    bound = 1 << 17
+    write_token_files(docs, path, vocabulary, file_bytes=bound, chunk_ids=1000)
+    found = sorted(read_token_files(spark, path, with_ids=True).collect(), key=lambda r: (r["part"], r["local_start"]))
+    assert [r["doc_id"] for r in found] == sorted(d for d, _ in rows)
+    expected = {t: [*ids_of(t), 1] for t in {t for _, t in rows}}
+    assert all(r["token_ids"] == expected[dict(rows)[r["doc_id"]]] for r in found)
+    raw = {}
+    for r in found:
+        raw.setdefault(r["part"], []).append(4 * r["n_tokens"])
+    assert len(raw) > 10 and all(sum(v) <= bound or len(v) == 1 for v in raw.values())
+    sizes = [r["length"] for r in spark.read.format("binaryFile").load(path).where("length > 0").select("length").collect()]
+    assert len(sizes) == len(raw) and max(sizes) <= 2 * bound + 4 * len(expected[long * 30])
+    start = 0
+    for r in sorted(write_and_index(docs, vocabulary, file_bytes=bound).collect(), key=lambda r: r["doc_id"]):
+        assert r["start"] == start
+        start += r["n_tokens"]
+
+
 def test_other_vocabularies_go_through_the_library(tmp_path):
     """Run cuts fit one normaliser and pre-tokenizer; any other vocabulary encodes whole texts."""
     spec = json.load(open(PATH))

@@ -1,7 +1,7 @@
 """Binary files of token ids in bit or byte planes.
 
 A file holds chunks and a footer. A chunk has a fixed number of ids (the last of a file may have
-fewer), transposed into planes: plane b has bit b (or byte b) of every id, and each plane is
+fewer, and empty records may follow it), transposed into planes: plane b has bit b (or byte b) of every id, and each plane is
 compressed with zstandard on its own. The footer has the chunk index (byte offset, byte length,
 first id, ids) and the documents (doc_id, first id, ids); the file's last bytes say where it begins.
 Every chunk and the footer end with a line feed, so that Spark's text sink, whose line separator
@@ -61,12 +61,22 @@ def decode_chunk(raw: bytes | memoryview) -> np.ndarray:
 
 
 class FileMaker:
-    """Turns one task's documents, in order, into the rows of its file."""
+    """Turns one task's documents, in order, into the records of its files.
 
-    def __init__(self, part: int, chunk_ids: int, width: int, level: int):
-        self.part, self.chunk_ids, self.width, self.level = part, chunk_ids, width, level
+    Each file has ``records`` records, so that a sink which begins a new file after as many divides them as
+    here: chunks, empty records where a file ends early, and the footer. A file ends before the document
+    that would not fit; a document larger than a file has one of its own, with larger chunks.
+    """
+
+    def __init__(self, task: int, chunk_ids: int, records: int, width: int, level: int):
+        self.task, self.chunk_ids, self.records, self.width, self.level = task, chunk_ids, records, width, level
+        self.files = 0
+        self._begin()
+
+    def _begin(self) -> None:
         self.waiting: list[np.ndarray] = []
         self.n_waiting = self.n = self.at = 0
+        self.each = self.chunk_ids
         self.index: list[tuple[int, int, int, int]] = []
         self.docs: list[np.ndarray] = []
 
@@ -77,27 +87,46 @@ class FileMaker:
         self.at += len(raw) + 1
         return raw
 
-    def add(self, doc_ids: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> Iterator[bytes]:
-        """doc_ids: a masked array. Yields the chunks that are full now."""
+    def _take(self, doc_ids: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> Iterator[bytes]:
         starts = self.n + np.cumsum(sizes) - sizes
         self.docs.append(np.stack([doc_ids.data, np.ma.getmaskarray(doc_ids).astype(np.int64), starts, sizes]))
         self.n += len(ids)
         self.waiting.append(ids)
         self.n_waiting += len(ids)
-        if self.n_waiting >= self.chunk_ids:
+        if self.n_waiting >= self.each:
             joined = np.concatenate(self.waiting)
-            full = len(joined) // self.chunk_ids * self.chunk_ids
-            for at in range(0, full, self.chunk_ids):
-                yield self._chunk(joined[at : at + self.chunk_ids])
+            full = len(joined) // self.each * self.each
+            for at in range(0, full, self.each):
+                yield self._chunk(joined[at : at + self.each])
             self.waiting, self.n_waiting = [joined[full:]], len(joined) - full
 
-    def close(self) -> Iterator[bytes]:
+    def add(self, doc_ids: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> Iterator[bytes]:
+        """doc_ids: a masked array. Yields the records that are ready now."""
+        most, ends, done = (self.records - 1) * self.chunk_ids, np.cumsum(sizes), 0
+        while done < len(sizes):
+            before = int(ends[done - 1]) if done else 0
+            upto = int(np.searchsorted(ends, before + most - self.n, "right"))
+            if upto <= done and self.n:
+                yield from self.end_file()
+                continue
+            if upto <= done:
+                upto = done + 1
+                self.each = max(self.chunk_ids, -(-int(sizes[done]) // (self.records - 1)))
+            yield from self._take(doc_ids[done:upto], ids[before : ends[upto - 1]], sizes[done:upto])
+            done = upto
+
+    def end_file(self, last: bool = False) -> Iterator[bytes]:
         if self.n_waiting:
             yield self._chunk(np.concatenate(self.waiting))
         if self.docs:
+            padding = 0 if last else self.records - 1 - len(self.index)
+            yield from [b""] * padding
+            self.at += padding
             index, docs = np.array(self.index, "<i8").tobytes(), np.concatenate(self.docs, axis=1).astype("<i8").tobytes()
-            body = zstandard.ZstdCompressor(level=self.level).compress(struct.pack("<QQQ", self.part, len(index), len(docs)) + index + docs)
+            body = zstandard.ZstdCompressor(level=self.level).compress(struct.pack("<QQQ", self.task << 32 | self.files, len(index), len(docs)) + index + docs)
             yield body + TAIL.pack(self.at, len(body), FOOTER)
+            self.files += 1
+        self._begin()
 
 
 def write_token_files(
@@ -105,17 +134,19 @@ def write_token_files(
 ) -> None:
     """Encode every whole text, add ``end_id`` to each and write the ids in ascending doc_id order.
 
-    Files come one per range of doc_id and, within a doc_id, of a hash of the text; their ``part``
-    numbers follow the ranges. There are as many ranges as keep a file to about ``file_bytes`` of
-    text, so that readers, which take a file at a time, stay within bounds however much there is;
-    only a longer text, or equal rows, may make a larger file. Null texts are empty, null doc_ids
-    come first, and rows with the same doc_id follow each other by that hash. An empty table gives
-    empty files, which read back as no rows. Other columns are not looked at. ``path`` must be new;
-    the write can run again after lost executors, as Spark's sink commits whole tasks only.
+    A task writes a range of doc_id and, within a doc_id, of a hash of the text, and begins a new file
+    when one holds as many ids as take ``file_bytes`` at four bytes each; ``part`` numbers follow that
+    order. So readers, which take a file at a time, stay within bounds whatever ranges hold; only a
+    text of more ids has a larger file, of its own. Null texts are empty, null doc_ids come first, and
+    rows with the same doc_id follow each other by that hash. An empty table gives empty files, which
+    read back as no rows. Other columns are not looked at. ``path`` must be new; the write can run
+    again after lost executors, as Spark's sink commits whole tasks only.
     """
+    chunk_ids = max(1, min(chunk_ids, file_bytes // 8))
+    records = max(2, 1 + file_bytes // (4 * chunk_ids))
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, maker = RunBpe.of(tokenizer), FileMaker(TaskContext.get().partitionId(), chunk_ids, planes, level)
+        bpe, maker = RunBpe.of(tokenizer), FileMaker(TaskContext.get().partitionId(), chunk_ids, records, planes, level)
 
         def rows(of: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
             for raw in of:
@@ -129,7 +160,7 @@ def write_token_files(
                 own = batch["doc_id"].slice(at, len(texts))
                 names = np.ma.masked_array(own.fill_null(0).to_numpy(), own.is_null().to_numpy(zero_copy_only=False))
                 yield from rows(maker.add(names, with_end, sizes))
-        yield from rows(maker.close())
+        yield from rows(maker.end_file(last=True))
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
@@ -138,12 +169,12 @@ def write_token_files(
         .sortWithinPartitions(*order, "text")
         .mapInArrow(tidy(chunks), "value binary")
         .select(F.col("value").cast("string").alias("value"))
-        .write.option("lineSep", "\n").option("maxRecordsPerFile", 0).text(path)
+        .write.option("lineSep", "\n").option("maxRecordsPerFile", records).text(path)
     )
 
 
 def _ranges(own: DataFrame, file_bytes: int) -> int:
-    """Ranges of at most about ``file_bytes`` of text and ids; more, down to a mebibyte each, while tasks are fewer than twice the cores."""
+    """Ranges of about ``file_bytes`` of text and ids; more, down to a mebibyte each, while tasks are fewer than twice the cores."""
     total = own.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(64).cast("bigint"))).first()[0] or 0
     cores = own.sparkSession.sparkContext.defaultParallelism
     return max(1, -(-total // file_bytes), min(2 * cores, -(-total // (1 << 20))))
