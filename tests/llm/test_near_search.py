@@ -54,6 +54,28 @@ def test_documents(spark, tables, odd_docs, no_docs, size, percent):
     assert near_duplicates(no_docs, size, percent).count() == 0
 
 
+def test_several_texts_under_one_id(spark, monkeypatch):
+    """A document has the links of each of its texts, and joins them."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = lambda t, k: " ".join(w if i != k else "changed" for i, w in enumerate(t.split()))
+    long = " ".join(f"z{i}" for i in range(300))
+    cases = [
+        [(0, b), (1, a), (1, b), (2, a)],
+        [(4, a), (4, b), (5, near(a, 59)), (3, near(b, 0)), (9, c), (9, ""), (8, c), (7, None), (7, long), (6, long)],
+        [(1, a), (1, long), (2, a), (2, c), (3, c), (3, None), (4, "x y"), (4, "y x"), (None, a), (None, b)],
+        [(-5, a), (-5, a), (-5, b), (10, b), (10, c), (11, near(c, 59)), (12, long)],
+    ]
+    for rows in cases:
+        check(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85)
+    from trajix.llm import near_dedup
+
+    found = spark.createDataFrame([(1,)], "doc_id bigint")
+    texts = spark.createDataFrame([(1, b"u", 5), (1, b"v", 6)], "doc_id bigint, words_key binary, t bigint")
+    first = near_dedup._names(texts, found).select("name").collect()
+    taken = spark.createDataFrame([(first[0]["name"],)], "doc_id bigint")  # a name that is an id: others are made
+    assert not {r["name"] for r in near_dedup._names(texts, taken).collect()} & {first[0]["name"]}
+
+
 def test_large_groups_of_edited_copies(spark):
     rng = random.Random(3)
     rows = []

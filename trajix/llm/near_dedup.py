@@ -120,7 +120,7 @@ def _own(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame, size: int, sketch: SetSketch) -> DataFrame:
-    """doc_id, n (its set's size), words_key and registers of each row of ``docs``."""
+    """doc_id, n (its set's size), words_key, registers and t (a hash of the text) of each row of ``docs``."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,11 +134,12 @@ def sketches(docs: DataFrame, size: int, sketch: SetSketch) -> DataFrame:
                         pa.array(np.diff(begin), pa.int64()),
                         pa.array(word_hash.sequence_keys(hashes, first), pa.binary()),
                         pa.array([r.tobytes() for r in registers], pa.binary()),
+                        batch["t"].slice(at, len(texts)),
                     ],
-                    names=["doc_id", "n", "words_key", "registers"],
+                    names=["doc_id", "n", "words_key", "registers", "t"],
                 )
 
-    return _own(docs).mapInArrow(tidy(rows), "doc_id bigint, n bigint, words_key binary, registers binary")
+    return _own(docs).withColumn("t", F.xxhash64("text")).mapInArrow(tidy(rows), "doc_id bigint, n bigint, words_key binary, registers binary, t bigint")
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -256,7 +257,42 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     table gives no rows; other columns are not looked at.
     """
     sketch = sketch or SetSketch()
-    found = written(sketches(docs, shingle_words, sketch), "sketches")
+    found, own = written(sketches(docs, shingle_words, sketch), "sketches"), _own(docs)
+    with_id = found.where("doc_id is not null")
+    several = with_id.groupBy("doc_id").agg(F.min("words_key").alias("lo"), F.max("words_key").alias("hi")).where("lo < hi").select("doc_id")
+    several = written(several, "ids-of-several-texts")
+    if several.isEmpty():
+        out = _grouped(found, own, shingle_words, percent, sketch)
+        return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # each text of such a document is grouped under a name of its own; then the groups of a document become one
+    names = _names(with_id.join(several, "doc_id", "left_semi").select("doc_id", "words_key", "t").distinct(), found)
+    named = lambda rows: rows.join(names.select("doc_id", "t", "name"), ["doc_id", "t"], "left").withColumn("doc_id", F.coalesce("name", "doc_id")).drop("name", "t")
+    parts = _grouped(named(found), named(own.withColumn("t", F.xxhash64("text"))), shingle_words, percent, sketch)
+    true = names.groupBy(F.col("name").alias("doc_id")).agg(F.any_value("doc_id").alias("true_id"))
+    parts = written(parts.join(true, "doc_id", "left").select(F.coalesce("true_id", "doc_id").alias("doc_id"), "n_shingles", F.col("component_id").alias("part"), F.col("true_id").isNotNull().alias("several")), "parts")
+    first = parts.where("several").groupBy("doc_id").agg(F.min("part").alias("first"))
+    joined = components(parts.where("several").join(first, "doc_id").select(F.col("first").alias("a"), F.col("part").alias("b")))
+    parts = parts.join(joined.select(F.col("node").alias("part"), "root"), "part", "left").withColumn("root", F.coalesce("root", "part"))
+    touched = parts.where("several").select("root").distinct()
+    least = parts.join(touched, "root", "left_semi").groupBy("root").agg(F.min("doc_id").alias("least"))
+    out = parts.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "root").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _names(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """``texts`` (doc_id, words_key, t) with a name for each doc_id and words_key, unlike all ids of ``found`` and other names."""
+    salt = 0
+    while True:
+        names = written(texts.withColumn("name", F.xxhash64(F.lit(salt), "doc_id", "words_key")), "names")
+        taken = names.join(found.select(F.col("doc_id").alias("name")), "name", "left_semi")
+        twice = names.select("doc_id", "words_key", "name").distinct().groupBy("name").count().where("count > 1")
+        if taken.isEmpty() and twice.isEmpty():
+            return names
+        salt += 1
+
+
+def _grouped(found: DataFrame, docs: DataFrame, shingle_words: int, percent: int, sketch: SetSketch) -> DataFrame:
+    """doc_id, n_shingles and component_id from the sketches and texts of documents with one sequence of words each."""
     nodes = found.where("n > 0 and doc_id is not null").groupBy("words_key").agg(F.min("doc_id").alias("node"), F.any_value("n").alias("n"), F.any_value("registers").alias("registers"))
     nodes = written(nodes, "sketch-nodes")
 
@@ -264,7 +300,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("key", "members")
     shared = written(shared, "shared-bands")
     members = written(join_counted(bands, shared.select("key"), "key", shared), "band-members")
-    sets = written(shingle_sets(only_ids(_own(docs), "doc_id", members.select("node"), keep=True), shingle_words), "shingle-sets")
+    sets = written(shingle_sets(only_ids(docs, "doc_id", members.select("node"), keep=True), shingle_words), "shingle-sets")
 
     # What a node has alone is in no intersection: it bounds what the node can reach, and tells hubs from fringes.
     alone = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("hi")).where("node = hi")
@@ -308,8 +344,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     slim = found.select("doc_id", "n", "words_key")
     in_nodes = join_counted(slim.where(linkable), of_words, "words_key", _count(slim.where(linkable), "words_key"))
     joined = in_nodes.unionByName(slim.where(~linkable).withColumn("root", F.col("doc_id")))
-    component = F.col("root")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
