@@ -1,7 +1,11 @@
 """The registered queries against SQL, and the pipeline stage by stage."""
 
+import collections
+
 import pytest
+from pyspark.sql import functions as F
 
+from trajix.llm import quality_rules
 from trajix.llm.queries import MORE_QUERIES, ORACLE_SQL, QUERIES
 
 
@@ -43,3 +47,36 @@ def test_pipeline(spark, tables):
     packed = written(stages["packing"](spark, docs, tables), "test-stage")
     assert {r["doc_id"] for r in packed.collect()} == before.keys()
     assert corpus_pipeline.ORACLE_SQL is None and corpus_pipeline.run(spark, tables).count() == packed.count()
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Rows without an id or of one id keep their own verdicts; empty tables and extra columns pass through all stages."""
+    import corpus_pipeline
+
+    tables = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("documents", "labels"))
+    sf = f"file://{tmp_path}/sf"
+    labels.write.parquet(f"{sf}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    good = [r["text"] for r in docs.join(labels.where("quality = 1"), "doc_id").where("length(text) between 2000 and 4000").orderBy("doc_id").limit(3).collect()]
+    odd = [(None, good[0]), (None, "short"), (None, None), (10**6, good[1]), (10**6, "word " * 300), (10**6 + 1, ""), (10**6 + 2, good[2]), (10**6 + 2, good[2])]
+    more = spark.createDataFrame([(d, t, None, None, None, "x", 1) for d, t in odd], "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, score int")
+    both = docs.withColumns({"n_words": F.lit("clash"), "score": F.lit(7)}).unionByName(more)
+    for name in ("quality_net", "quality_rules"):
+        out = stages[name](spark, both, sf)
+        assert out.columns == corpus_pipeline.COLUMNS
+        left = collections.Counter((r["doc_id"], r["text"]) for r in out.collect())
+        assert left[None, good[0]] == left[10**6, good[1]] == 1 and left[10**6 + 2, good[2]] == 2, name
+        assert name == "quality_net" or not left[None, "short"] + left[None, None] + left[10**6, "word " * 300] + left[10**6 + 1, ""]
+        plain = stages[name](spark, docs, sf)
+        assert {k: v for k, v in left.items() if k[0] is not None and k[0] < 10**6} == collections.Counter((r["doc_id"], r["text"]) for r in plain.collect())
+    judged, _ = quality_rules.judge(docs, labels)
+    assert {r["doc_id"] for r in judged.where("kept").collect()} == {r["doc_id"] for r in stages["quality_rules"](spark, docs, sf).collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, more.select(corpus_pipeline.COLUMNS), sf)
+        assert name == "packing" or rows.columns == corpus_pipeline.COLUMNS
+        if name in ("line_dedup", "packing"):
+            assert len({(r["doc_id"], r["n_chars"] if name == "line_dedup" else r["ids_crc32"]) for r in rows.collect()}) >= 6
+        assert stage(spark, docs.where("false"), sf).count() == 0
+    kept = stages["near_dedup"](spark, more.select(corpus_pipeline.COLUMNS), sf).collect()
+    assert collections.Counter(r["doc_id"] for r in kept) == {None: 3, 10**6: 2, 10**6 + 1: 1, 10**6 + 2: 2}

@@ -232,3 +232,22 @@ def score_documents(docs: DataFrame, net: ByteNet) -> DataFrame:
 
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return chosen.mapInArrow(tidy(rows), "doc_id bigint, held_out boolean, score double, predicted int")
+
+
+def keep_documents(docs: DataFrame, net: ByteNet) -> DataFrame:
+    """The rows of ``docs``, all columns, that score 0.5 or more.
+
+    The verdict never leaves its row, so rows without a doc_id, and rows that share one, are judged each
+    by their own text. A null text is an empty one; an empty table gives no rows.
+    """
+    shape, weights = net.shape, net.w
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = ByteNet(shape, weights)
+        for batch in batches:
+            for at, texts in steps(batch["text"]):
+                good = own.score_texts(texts.cast(pa.large_binary()).to_pylist()) >= 0.5
+                if good.any():
+                    yield batch.slice(at, len(texts)).filter(pa.array(good))
+
+    return docs.mapInArrow(tidy(rows), docs.schema)

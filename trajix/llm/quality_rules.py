@@ -43,9 +43,9 @@ def _repeated(w: Column) -> Column:
     return let(windows, lambda h: F.when(F.size(h) > F.size(F.array_distinct(h)), covered(h)).otherwise(F.lit(0)))
 
 
-def text_counts(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts of each whole text; a null text has none of anything."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+def _counted(text: Column) -> list[Column]:
+    """Structs w and l and further columns that hold the counts of a whole text; a null text has none of anything."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
 
     def counts(w: Column) -> Column:
         return F.struct(
@@ -57,14 +57,18 @@ def text_counts(docs: DataFrame) -> DataFrame:
 
     lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
     by_line = let(lines, lambda a: F.struct(F.size(a).cast("bigint").alias("n_lines"), (F.size(a) - F.size(F.array_distinct(a))).cast("bigint").alias("n_dup_lines")))
-    made = docs.select(
-        F.col("doc_id"),
+    return [
         let(words(text), counts).alias("w"),
         by_line.alias("l"),
         F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
         F.regexp_count(text, F.lit(r"\p{Lu}")).cast("bigint").alias("n_upper"),
         F.regexp_count(text, F.lit("[!?]")).cast("bigint").alias("n_marks"),
-    )
+    ]
+
+
+def text_counts(docs: DataFrame) -> DataFrame:
+    """doc_id and the counts of each whole text."""
+    made = docs.select("doc_id", *_counted(F.col("text")))
     return made.select("doc_id", "w.*", "l.*", "n_symbols", "n_upper", "n_marks").select("doc_id", *COUNTS, *MORE)
 
 
@@ -246,3 +250,18 @@ def judge(docs: DataFrame, labels: DataFrame, min_words: int = 10, repeat_percen
     rules = learn_decision_list(counts, labels, **learning)
     verdict = counts.withColumn("base_failed", base_failed(min_words, repeat_percent)).withColumn("rule", rules.rule())
     return verdict.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()), rules
+
+
+def keep_documents(docs: DataFrame, labels: DataFrame, min_words: int = 10, repeat_percent: int = 20, **learning) -> DataFrame:
+    """The rows of ``docs``, all columns, that pass the base rules and a list learned on the labelled ones.
+
+    The verdict never leaves its row, so rows without a doc_id, and rows that share one, are judged each
+    by their own text. The list is that of ``judge``. An empty table gives no rows.
+    """
+    named = labels.where("doc_id is not null").select(F.col("doc_id").alias("__labelled")).distinct()
+    counts = written(text_counts(docs.select("doc_id", "text").join(named, F.col("doc_id") == F.col("__labelled"), "left_semi")), "text-counts")
+    rules = learn_decision_list(counts, labels, **learning)
+    # a row of one array: filters don't pass through it, so each text is counted once
+    counted = docs.select(F.struct("*").alias("__row"), F.inline(F.array(F.struct(*_counted(F.col("text"))))))
+    counted = counted.select("__row", "w.*", "l.*", "n_symbols", "n_upper", "n_marks")
+    return counted.where(~base_failed(min_words, repeat_percent) & rules.rule().isNull()).select("__row.*")
