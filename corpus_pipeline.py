@@ -15,7 +15,7 @@ from trajix.llm import byte_net, quality_rules
 from trajix.llm.line_dedup import dedup_lines
 from trajix.llm.near_dedup import drop_near_duplicates
 from trajix.llm.packing import pack_documents
-from trajix.llm.scratch import only_ids, written
+from trajix.llm.scratch import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,14 +26,12 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the byte-level network, trained on labelled documents of the input, scores 0.5 or more."""
-    scores = byte_net.score_documents(docs, byte_net.train(docs, _labels(spark, sf_dir)))
-    return only_ids(docs, "doc_id", scores.where("predicted = 0").select("doc_id"), keep=False).select(COLUMNS)
+    return byte_net.keep_documents(docs.select(COLUMNS), byte_net.train(docs, _labels(spark, sf_dir)))
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the base rules and a decision list learned on the input's labelled documents keep."""
-    verdict, _ = quality_rules.judge(docs, _labels(spark, sf_dir))
-    return only_ids(docs, "doc_id", verdict.where("not kept").select("doc_id"), keep=False).select(COLUMNS)
+    return quality_rules.keep_documents(docs.select(COLUMNS), _labels(spark, sf_dir))
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
