@@ -305,14 +305,27 @@ ORACLE_SQL["analyze_all_atoms"] = ORACLE_SQL["rmsf"]
 ORACLE_SQL["lineitem_center"] = f"SELECT l_orderkey, {r('sum(l_quantity * l_extendedprice) / sum(l_quantity)', 'center')}, round(stddev_pop(l_extendedprice), 3) + 0.0 AS spread, count(*) AS n FROM lineitem GROUP BY 1"
 
 
-def _read_sql(kept) -> str:
-    """The sample as a format keeps it; box vectors as lengths in right angles where ``kept`` is of a cell's sides."""
-    side = [f"({SKEWED[4 * k]}::DOUBLE + frame * 0.01::DOUBLE)" for k in range(3)]
-    return f"WITH {COORDS} SELECT frame, atom_index, {', '.join(f'round({kept(c)}, 3) + 0.0 AS {c}' for c in 'xyz')}, {', '.join(f'round({s}, 3) + 0.0 AS box_{c}' for s, c in zip(side, 'abc'))} FROM c"
-
-
-ORACLE_SQL["read_xtc"] = _read_sql(lambda c: f"round({c} * 100) / 100")
-ORACLE_SQL["read_trr"] = ORACLE_SQL["read_netcdf"] = _read_sql(lambda c: c)
+def _read_sql(kept, kept_box) -> str:
+    """The sample as a format keeps it: ``kept`` says how a coordinate comes back, ``kept_box`` how a side of the box does."""
+    side = [kept_box(f"({SKEWED[4 * k]}::DOUBLE + frame * 0.01::DOUBLE)") for k in range(3)]
+    return f"WITH {COORDS} SELECT frame, atom_index, {', '.join(r(kept(c), c) for c in 'xyz')}, {', '.join(r(s, f'box_{c}') for s, c in zip(side, 'abc'))} FROM c"
+
+
+_float_nm = lambda c: f"CAST(CAST({c} / 10 AS FLOAT) AS DOUBLE) * 10"
+_float = lambda c: f"CAST(CAST({c} AS FLOAT) AS DOUBLE)"
+_xtc = lambda c: f"CAST(CAST(round_even({c} / 10 * 1000, 0) AS FLOAT) * CAST(0.001 AS FLOAT) AS DOUBLE) * 10"
+_whole = lambda c: c
+ORACLE_SQL["read_xtc"] = _read_sql(_xtc, _float_nm)
+_trr = lambda c: f"CAST(CAST({c} / 10 AS FLOAT) * CAST(10 AS FLOAT) AS DOUBLE)"
+ORACLE_SQL["read_trr"] = _read_sql(_trr, _trr)
+ORACLE_SQL["read_netcdf"] = _read_sql(_float, _whole)
+ORACLE_SQL["read_dcd"] = _read_sql(_float, _whole)
+_label = "(SELECT vec_id AS frame, 'label ' || label AS traj FROM embeddings)"
+ORACLE_SQL["append_xtc"] = f"""WITH {COORDS}, n AS (SELECT *, row_number() OVER (PARTITION BY traj ORDER BY frame % 2, frame) - 1 AS k FROM {_label} l)
+  SELECT traj, k AS frame, atom_index, {', '.join(r(_xtc(c), c) for c in 'xyz')} FROM c JOIN n USING (frame)"""
+_sections = {"": 1, "v": -0.1, "f": 3.0}
+ORACLE_SQL["read_trr_sections"] = f"WITH {COORDS} SELECT frame, atom_index, {', '.join(r(f'{c} * {m}::DOUBLE', s + c) for s, m in _sections.items() for c in 'xyz')} FROM c"
+ORACLE_SQL["trajectory_times"] = f"""SELECT traj, count(*) AS n_frames, min(frame) * 0.5::DOUBLE AS first_time, max(frame) * 0.5::DOUBLE AS last_time FROM {_label} l GROUP BY traj"""
 _first = lambda kept, element: f"{WITH} SELECT atom_index, name, {element} AS element, residue_index, residue_name, residue_index + 1 AS resid, {', '.join(r(kept(c), c) for c in 'xyz')} FROM c JOIN a USING (atom_index) WHERE frame = 0"
 ORACLE_SQL["read_pdb"] = _first(lambda c: f"round({c}, 3)", "element")
 ORACLE_SQL["read_gro"] = _first(lambda c: f"round({c} / 10, 3) * 10", "element")

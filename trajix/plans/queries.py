@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from trajix.model import Topology, to_long
 from trajix.operators import derived, dssp, frame_sums, geometry, over_time, pbc, sasa, selection, spatial, superposition
 from trajix.plans import sample
 from trajix.sources import structures, trajectories
+from trajix.sources.shared import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -398,39 +398,63 @@ def lineitem_center(spark, sf_dir):
     return rows.groupBy("l_orderkey").agg((F.sum(m * x) / F.sum(m)).alias("center"), F.round(F.stddev_pop(x), 3).alias("spread"), F.count("*").alias("n"))
 
 
-def _folder(spark, name: str) -> str:
-    """A new path in the folder that all executors share; on one machine without it, a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/trajix/{uuid.uuid4().hex}{name}"
+def _written(frames, path, kind, **how):
+    by = [c for c in ("traj", "frame") if c in frames.columns]
+    trajectories.write_trajectory(frames.repartitionByRange(*by).sortWithinPartitions(*by), path, kind, **how)
 
 
 def _read_back(kind):
-    """The whole trajectory written by tasks as files of a kind, and read from there; to the digits that the format keeps."""
+    """The whole trajectory written by tasks as files of a kind, and read from there."""
 
     def run(spark, sf_dir):
-        path = _folder(spark, f".{kind}")
-        boxed = sample.boxed(spark, sf_dir).repartitionByRange("frame").sortWithinPartitions("frame")
-        trajectories.write_trajectory(boxed, path, kind)
+        path = shared_path(spark, f".{kind}")
+        _written(sample.boxed(spark, sf_dir), path, kind)
         found = to_long(trajectories.read_trajectory(spark, path).drop("traj"), keep=("box",))
         sides = [F.get("box", F.lit(4 * k)).alias(f"box_{c}") for k, c in enumerate("abc")]
-        return found.select("frame", "atom_index", *[F.round(c, 3).alias(c) for c in "xyz"], *[F.round(c, 3).alias(n) for c, n in zip(sides, ("box_a", "box_b", "box_c"))])
+        return found.select("frame", "atom_index", *"xyz", *sides)
 
     return run
 
 
-for _name, _kind in {"xtc": "xtc", "trr": "trr", "netcdf": "nc"}.items():
+for _name, _kind in {"xtc": "xtc", "trr": "trr", "netcdf": "nc", "dcd": "dcd"}.items():
     query(f"read_{_name}")(_read_back(_kind))
 
 
+@query()
+def append_xtc(spark, sf_dir):
+    """A trajectory for each label, the frames of even number written first and the odd ones behind them."""
+    path = shared_path(spark, ".xtc")
+    for rest in (0, 1):
+        _written(sample.trajectories(spark, sf_dir).where(F.col("frame") % 2 == rest), path, "xtc")
+    return to_long(trajectories.read_trajectory(spark, path))
+
+
+@query()
+def read_trr_sections(spark, sf_dir):
+    """Positions, velocities and forces in eight bytes each."""
+    path, made = shared_path(spark, ".trr"), {"v": -0.1, "f": 3.0}
+    times = lambda m: lambda x: x * m
+    more = {f"{s}{c}": F.transform(c, times(m)) for s, m in made.items() for c in "xyz"}
+    _written(sample.frames(spark, sf_dir).withColumns(more), path, "trr", double=True)
+    found = trajectories.read_trajectory(spark, path, sections=("velocities", "forces"))
+    names = [*"xyz", *more]
+    rows = found.select("frame", F.posexplode(F.arrays_zip(*names)).alias("atom_index", "r"))
+    return rows.select("frame", "atom_index", *[F.col(f"r.{c}").alias(c) for c in names])
+
+
+@query()
+def trajectory_times(spark, sf_dir):
+    """From the headers of files alone."""
+    path = shared_path(spark, ".trr")
+    _written(sample.trajectories(spark, sf_dir).withColumn("time", F.col("frame") * 0.5), path, "trr")
+    return trajectories.trajectory_times(spark, path)
+
+
 def _structure_back(kind):
     """The sample's topology with its first frame, written and read as a structure file."""
 
     def run(spark, sf_dir):
-        path = _folder(spark, f".{kind}")
+        path = shared_path(spark, f".{kind}")
         first = sample.frames(spark, sf_dir).where("frame = 0").first()
         structures.write_structure(spark, structures.structure_of(sample.topology(spark), first), path)
         s = structures.read_structure(spark, path)

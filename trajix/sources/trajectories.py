@@ -1,632 +1,311 @@
-"""Trajectory files as Spark data sources: XTC, TRR, DCD and AMBER NetCDF, read in ranges of frames and written by parts.
+"""Trajectory files as Spark data sources: XTC, TRR, DCD and AMBER NetCDF, read by stripes of frames and written by parts.
 
-``spark.read.format("trajectory").load(path)`` gives wide frames. Each partition reads its own byte
-range: fixed-size formats by arithmetic, XTC and TRR from a pass over their frame headers. Files
-are opened through pyarrow's file systems, so a path may name any store that these know.
+``spark.read.format("trajectory").load(path)`` gives wide frames. A partition is a stripe of a file (see
+frame_index). Bounds on frame and time leave out stripes, and within a stripe the frames that they
+exclude are passed over by their headers; columns that the schema doesn't name are not read either.
 """
 
 from __future__ import annotations
 
-import fnmatch
-import struct
+import math
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql import datasource as ds
+from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from trajix.model import FRAMES
+from trajix.sources import frame_index
+from trajix.sources.frame_codecs import BOX, FIXED, FORMATS, V, X, Dcd, Frame, NetCdf, TrajectoryError, Trr, Xtc, cell_vectors, codec_of, opened, pack_coordinates, system_of, unpack_coordinates  # noqa: F401
+from trajix.sources.frame_codecs import F as FORCES
+from trajix.sources.frame_index import Stripe
+from trajix.sources.shared import shared_path
+
+#: Columns of velocities and forces, which the option ``sections`` adds.
+SECTIONS = {"velocities": ("vx", "vy", "vz"), "forces": ("fx", "fy", "fz")}
+NUMBERS = {"traj": pa.string(), "frame": pa.int64(), "time": pa.float64(), "step": pa.int32(), BOX: pa.list_(pa.float64())}
+ARRAYS = {**{c: (X, k) for k, c in enumerate("xyz")}, **{c: (V, k) for k, c in enumerate(SECTIONS["velocities"])}, **{c: (FORCES, k) for k, c in enumerate(SECTIONS["forces"])}}
+#: Atoms in one Arrow batch of a reader, about.
+BATCH_ATOMS = 1 << 18
+#: Frames up to this size are read ahead, larger ones that are passed over are not.
+SMALL_FRAME = 1 << 14
+READ_AHEAD = 1 << 20
 
-# Fixed values of the XTC format: sizes that its small differences may have.
-SMALL = [int(v) for v in """
-0 0 0 0 0 0 0 0 0 8 10 12 16 20 25 32 40 50 64 80 101 128 161 203 256 322 406 512 645 812 1024 1290 1625 2048 2580 3250 4096
-5060 6501 8192 10321 13003 16384 20642 26007 32768 41285 52015 65536 82570 104031 131072 165140 208063 262144 330280 416127
-524287 660561 832255 1048576 1321122 1664510 2097152 2642245 3329021 4194304 5284491 6658042 8388607 10568983 13316085 16777216
-""".split()]
-FIRST_SMALL = 9
 
+def bounds_of(text: str) -> tuple[float, float]:
+    """An interval, both ends included, from "lo,hi"; an end may be left out."""
+    lo, _, hi = text.partition(",")
+    return float(lo or -math.inf), float(hi or math.inf)
 
-class TrajectoryError(ValueError):
-    pass
 
+class _Reader(ds.DataSourceReader):
+    """Stripes of an index that the option ``index`` names, of a folder's manifests, or found on planning.
 
-@dataclass
-class Frame:
-    time: float
-    step: int
-    box: list[float] | None
-    xyz: np.ndarray  # (n, 3), in Å
-
-
-def opened(path: str):
-    system, inner, _ = _system(path)
-    return system.open_input_file(inner)
-
-
-def _fields(raw: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Big-endian fields of ``n`` bits, 32 at most, at some bit positions."""
-    byte, skip = at >> 3, at & 7
-    whole = np.zeros(len(at), np.int64)
-    for k in range(5):
-        whole = whole << 8 | raw[byte + k]
-    return whole >> (40 - n - skip) & ((1 << n) - 1)
-
-
-def _triples(raw: np.ndarray, at: np.ndarray, n: int, sizes: list[int]) -> np.ndarray:
-    """Three values each out of mixed-radix numbers of ``n`` bits, whose bytes come lowest first."""
-    parts = [_fields(raw, at + k, min(8, n - k)) for k in range(0, n, 8)] or [np.zeros(len(at), np.int64)]
-    out = np.empty((len(at), 3), np.int64)
-    for c in (2, 1):  # long division, from the highest byte down
-        rest = np.zeros(len(at), np.int64)
-        for k in range(len(parts) - 1, -1, -1):
-            rest = rest << 8 | parts[k]
-            parts[k], rest = rest // sizes[c], rest % sizes[c]
-        out[:, c] = rest
-    out[:, 0] = 0
-    for k in range(len(parts) - 1, -1, -1):
-        out[:, 0] = out[:, 0] << 8 | parts[k]
-    return out
-
-
-class _BitMaker:
-    def __init__(self):
-        self.value = self.n = 0
-        self.done = bytearray()
-
-    def put(self, value: int, n: int) -> None:
-        self.value, self.n = self.value << n | value, self.n + n
-        while self.n >= 8:
-            self.n -= 8
-            self.done.append(self.value >> self.n & 255)
-        self.value &= (1 << self.n) - 1
-
-    def triple(self, values, n: int, sizes: list[int]) -> None:
-        whole = (values[0] * sizes[1] + values[1]) * sizes[2] + values[2]
-        while n > 8:
-            self.put(whole & 255, 8)
-            whole, n = whole >> 8, n - 8
-        self.put(whole, n)
-
-    def bytes(self) -> bytes:
-        return bytes(self.done) + (bytes([self.value << (8 - self.n)]) if self.n else b"")
-
-
-def unpack_coordinates(raw: bytes, n: int, low: list[int], high: list[int], small: int) -> np.ndarray:
-    """Integer coordinates of a compressed XTC block.
-
-    A walk over the flags finds where each atom's bits lie; all numbers are then read together.
+    The options ``frames`` and ``times`` bound what is read. Spark 4.1 keeps what a Python reader was once
+    told by pushFilters for later queries over the same DataFrame, which would then lack rows; so this
+    reader takes bounds when it is made, and no pushed filters.
     """
-    sizes = [h - l + 1 for l, h in zip(low, high)]
-    apart = max(sizes) > 0xFFFFFF
-    bits = 0 if apart else (sizes[0] * sizes[1] * sizes[2]).bit_length()
-    width = sum(v.bit_length() for v in sizes) if apart else bits
-    data = raw + b"\0" * 16
-    end = 8 * len(raw)
-    at, i, run = 0, 0, 0
-    starts, owners, counts, kinds = [], [], [], []
-    while i < n:
-        starts.append(at)
-        owners.append(i)
-        at += width
-        if at >= end:
-            raise TrajectoryError("block cut short")
-        change = 0
-        byte, skip = at >> 3, at & 7
-        at += 1
-        if data[byte] >> (7 - skip) & 1:
-            run = (data[byte] << 8 | data[byte + 1]) >> (10 - skip) & 31
-            change = run % 3 - 1
-            run //= 3
-            at += 5
-        counts.append(run)
-        kinds.append(small)
-        at += run * small
-        i += 1 + run
-        small += change
-        if not FIRST_SMALL <= small < len(SMALL):
-            raise TrajectoryError("small size out of range")
-    if i > n:
-        raise TrajectoryError("run beyond the frame")
-    if at > end:
-        raise TrajectoryError("block cut short")
-    view = np.frombuffer(data, np.uint8).astype(np.int64)
-    begin, owner, count, kind = (np.array(v, np.int64) for v in (starts, owners, counts, kinds))
-    if apart:
-        lengths = [v.bit_length() for v in sizes]
-        full = np.stack([_fields(view, begin + sum(lengths[:c]), lengths[c]) for c in range(3)], axis=1)
-    else:
-        full = _triples(view, begin, bits, sizes)
-    full += np.array(low)
-    out = np.empty((n, 3), np.int64)
-    out[owner + (count > 0)] = full  # the second atom of a run comes first in the stream
-    if count.any():
-        # the small numbers of a record end where the next record begins
-        small_at = np.append(begin[1:], at) - count * kind
-        record = np.repeat(np.arange(len(count)), count)
-        place = np.arange(len(record)) - np.repeat(np.cumsum(count) - count, count)
-        where, delta = small_at[record] + place * kind[record], np.empty((len(record), 3), np.int64)
-        for k in np.unique(kind[record]).tolist():
-            own = kind[record] == k
-            delta[own] = _triples(view, where[own], k, [SMALL[k]] * 3) - SMALL[k] // 2
-        total = np.cumsum(delta, axis=0)
-        before = (np.cumsum(count) - count)[record]
-        reached = full[record] + total - np.where(before[:, None] > 0, total[before - 1], 0)
-        out[owner[record] + place + (place > 0)] = reached
-    return out
-
-
-def pack_coordinates(ints: np.ndarray) -> tuple[list[int], list[int], int, bytes]:
-    """Bounds, small size and block of integer coordinates; runs of near atoms become differences."""
-    low, high = ints.min(0).tolist(), ints.max(0).tolist()
-    sizes = [h - l + 1 for l, h in zip(low, high)]
-    apart = max(sizes) > 0xFFFFFF
-    bits = 0 if apart else (sizes[0] * sizes[1] * sizes[2]).bit_length()
-    steps = np.abs(np.diff(ints, axis=0)).max(1) if len(ints) > 1 else np.zeros(1, int)
-    small = next((k for k in range(FIRST_SMALL, len(SMALL)) if SMALL[k] // 2 > np.median(steps)), FIRST_SMALL)
-    half, near, out, rows = SMALL[small] // 2, [SMALL[small]] * 3, _BitMaker(), ints.tolist()
-    fits = lambda a, b: all(-half <= x - y < SMALL[small] - half for x, y in zip(a, b))
-    i, run_before = 0, 0
-    while i < len(rows):
-        run = 0
-        if i + 1 < len(rows) and fits(rows[i], rows[i + 1]):
-            run, last = 1, rows[i]
-            while run < 8 and i + run + 1 < len(rows) and fits(rows[i + run + 1], last):
-                last = rows[i + run + 1]
-                run += 1
-        full = rows[i + 1] if run else rows[i]
-        at = [v - l for v, l in zip(full, low)]
-        if apart:
-            for v, s in zip(at, sizes):
-                out.put(v, s.bit_length())
-        else:
-            out.triple(at, bits, sizes)
-        out.put(int(run != run_before), 1)
-        if run != run_before:
-            out.put(3 * run + 1, 5)
-            run_before = run
-        if run:
-            out.triple([a - b + half for a, b in zip(rows[i], full)], small, near)
-            before = rows[i]
-            for k in range(1, run):
-                out.triple([a - b + half for a, b in zip(rows[i + 1 + k], before)], small, near)
-                before = rows[i + 1 + k]
-        i += 1 + run
-    return low, high, small, out.bytes()
-
-
-class Xtc:
-    """GROMACS compressed frames: big-endian, lengths in nm."""
-
-    @staticmethod
-    def index(f, at: int = 0) -> tuple[list[int], int]:
-        """Where whole frames begin, from byte ``at`` on, and where the next one will."""
-        out, size = [], f.size()
-        while at + 56 <= size:
-            head = f.read_at(92, at)
-            magic, n = struct.unpack_from(">2i", head)
-            if magic != 1995:
-                raise TrajectoryError("InvalidMagic")
-            if n > 9 and len(head) < 92:
-                break
-            end = at + (56 + 12 * n if n <= 9 else 92 + (struct.unpack_from(">i", head, 88)[0] + 3) // 4 * 4)
-            if end > size:
-                break
-            out.append(at)
-            at = end
-        return out, at
-
-    @staticmethod
-    def read(f, at: int, number: int) -> Frame:
-        head = f.read_at(92, at)
-        _, n, step, time, *box, _ = struct.unpack_from(">3if9fi", head)
-        box = [10 * v for v in box]
-        if n <= 9:
-            return Frame(time, step, box, np.frombuffer(f.read_at(12 * n, at + 56), ">f4").reshape(n, 3) * 10.0)
-        precision, *ints = struct.unpack_from(">f8i", head, 56)
-        raw = f.read_at(ints[7], at + 92)
-        xyz = unpack_coordinates(raw, n, ints[:3], ints[3:6], ints[6]).astype(np.float32) * np.float32(1 / precision)
-        return Frame(time, step, box, xyz.astype(np.float64) * 10)
-
-    @staticmethod
-    def head(n: int, frames: int) -> bytes:
-        return b""
-
-    @staticmethod
-    def write(x: Frame, precision: float = 1000.0) -> bytes:
-        n, nm = len(x.xyz), x.xyz / 10
-        box = [v / 10 for v in x.box or [0.0] * 9]
-        head = struct.pack(">3if9fi", 1995, n, x.step, x.time, *box, n)
-        if n <= 9:
-            return head + nm.astype(">f4").tobytes()
-        low, high, small, raw = pack_coordinates(np.rint(nm * precision).astype(np.int64))
-        return head + struct.pack(">f8i", precision, *low, *high, small, len(raw)) + raw + b"\0" * (-len(raw) % 4)
-
-
-class Trr:
-    """GROMACS full-precision frames; those without positions are passed over."""
-
-    @staticmethod
-    def _head(f, at: int):
-        magic, _, size = struct.unpack(">3i", f.read_at(12, at))
-        if magic != 1993:
-            raise TrajectoryError("InvalidMagic")
-        begin = at + 12 + (size + 3) // 4 * 4
-        ints = struct.unpack(">13i", f.read_at(52, begin))
-        real = 8 if (ints[2] == 72 or (ints[2] == 0 and ints[10] and max(ints[7:10]) == 24 * ints[10])) else 4
-        body = begin + 52 + 2 * real
-        return ints, real, body, body + sum(ints[:10])
-
-    @staticmethod
-    def index(f, at: int = 0) -> tuple[list[int], int]:
-        out, size = [], f.size()
-        while at + 84 <= size:
-            ints, _, _, end = Trr._head(f, at)
-            if end > size:
-                break
-            if ints[7]:
-                out.append(at)
-            at = end
-        return out, at
-
-    @staticmethod
-    def read(f, at: int, number: int) -> Frame:
-        ints, real, body, _ = Trr._head(f, at)
-        kind = f">f{real}"
-        time = float(np.frombuffer(f.read_at(real, body - 2 * real), kind)[0])
-        before = ints[0] + ints[1]
-        box = (np.frombuffer(f.read_at(ints[2], body + before), kind) * 10.0).tolist() if ints[2] else None
-        xyz = np.frombuffer(f.read_at(ints[7], body + sum(ints[:7])), kind).reshape(-1, 3) * 10.0
-        return Frame(time, ints[11], box, xyz.astype(np.float64))
-
-    @staticmethod
-    def head(n: int, frames: int) -> bytes:
-        return b""
-
-    @staticmethod
-    def write(x: Frame) -> bytes:
-        n = len(x.xyz)
-        sizes = [0, 0, 36 if x.box else 0, 0, 0, 0, 0, 12 * n, 0, 0, n, x.step, 0]
-        head = struct.pack(">3i", 1993, 13, 12) + b"GMX_trn_file" + struct.pack(">13i2f", *sizes, x.time, 0.0)
-        return head + (struct.pack(">9f", *[v / 10 for v in x.box]) if x.box else b"") + (x.xyz / 10).astype(">f4").tobytes()
-
-
-class Dcd:
-    """CHARMM and X-PLOR frames of a fixed size; unit cells give right-angled boxes."""
-
-    @staticmethod
-    def _head(f):
-        first = f.read_at(92, 0)
-        end = "<" if struct.unpack_from("<i", first)[0] == 84 else ">"
-        if struct.unpack_from(f"{end}i", first)[0] != 84 or first[4:8] != b"CORD":
-            raise TrajectoryError("InvalidMagic")
-        i = struct.unpack_from(f"{end}20i", first, 8)
-        charmm = i[19] != 0
-        if i[8]:
-            raise TrajectoryError("fixed atoms")
-        delta = struct.unpack_from(f"{end}f" if charmm else f"{end}d", first, 44)[0]
-        title = struct.unpack(f"{end}i", f.read_at(4, 92))[0]
-        at = 92 + 8 + title
-        n = struct.unpack(f"{end}3i", f.read_at(12, at))[1]
-        cell = charmm and i[10] != 0
-        return end, n, i[1], i[2], delta, cell, charmm and i[11] == 1, at + 12
-
-    @staticmethod
-    def index(f, at: int = 0) -> tuple[list[int], int]:
-        _, n, *_, cell, four, first = Dcd._head(f)
-        stride, at = (56 if cell else 0) + (4 if four else 3) * (4 * n + 8), at or first
-        out = list(range(at, f.size() - stride + 1, stride))
-        return out, at + stride * len(out)
-
-    @staticmethod
-    def read(f, at: int, number: int) -> Frame:
-        end, n, start, every, delta, cell, _, _ = Dcd._head(f)
-        box = None
-        if cell:
-            uc = struct.unpack(f"{end}6d", f.read_at(48, at + 4))
-            box = [uc[0], 0.0, 0.0, 0.0, uc[2], 0.0, 0.0, 0.0, uc[5]]
-            at += 56
-        axes = [np.frombuffer(f.read_at(4 * n, at + 4 + k * (4 * n + 8)), f"{end}f4") for k in range(3)]
-        return Frame(number * delta, start + number * every, box, np.stack(axes, 1).astype(np.float64))
-
-
-class NetCdf:
-    """AMBER frames in classic NetCDF (CDF-1 and CDF-2), a record each."""
-
-    SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 4, 6: 8}
-
-    @staticmethod
-    def _head(f):
-        raw = f.read_at(min(f.size(), 1 << 16), 0)
-        if raw[:3] != b"CDF" or raw[3] not in (1, 2):
-            raise TrajectoryError("InvalidMagic")
-        wide, at = raw[3] == 2, 4
-
-        def number() -> int:
-            nonlocal at
-            at += 4
-            return struct.unpack_from(">i", raw, at - 4)[0]
-
-        def text() -> str:
-            nonlocal at
-            n = number()
-            out = raw[at : at + n].decode()
-            at += (n + 3) // 4 * 4
-            return out
-
-        def attributes() -> dict:
-            nonlocal at
-            number()
-            out = {}
-            for _ in range(number()):
-                name, kind, n = text(), number(), number()
-                size = n * NetCdf.SIZES[kind]
-                out[name] = raw[at : at + size].decode("latin-1") if kind == 2 else np.frombuffer(raw[at : at + size], {5: ">f4", 6: ">f8"}.get(kind, ">i4"))
-                at += (size + 3) // 4 * 4
-            return out
-
-        records = number()
-        number()
-        dims = [(text(), number()) for _ in range(number())]
-        if "AMBER" not in str(attributes().get("Conventions", "")):
-            raise TrajectoryError("not an AMBER trajectory")
-        number()
-        found = {}
-        for _ in range(number()):
-            name = text()
-            own = [dims[number()] for _ in range(number())]
-            attributes()
-            kind, size = number(), number()
-            begin = struct.unpack_from(">q" if wide else ">i", raw, at)[0]
-            at += 8 if wide else 4
-            found[name] = (kind, own, size, begin)
-        stride = sum(v[2] for v in found.values() if v[1] and v[1][0][1] == 0)
-        return records, found, stride
-
-    @staticmethod
-    def index(f, at: int = 0) -> tuple[list[int], int]:
-        records, _, stride = NetCdf._head(f)
-        out = list(range(at, records * stride, stride))
-        return out, records * stride
-
-    @staticmethod
-    def read(f, at: int, number: int) -> Frame:
-        _, found, _ = NetCdf._head(f)
-
-        def values(name: str) -> np.ndarray | None:
-            if name not in found:
-                return None
-            kind, own, _, begin = found[name]
-            n = int(np.prod([d[1] for d in own[1:]], dtype=np.int64))
-            return np.frombuffer(f.read_at(n * NetCdf.SIZES[kind], begin + at), ">f8" if kind == 6 else ">f4").astype(np.float64)
-
-        time, lengths, angles = (values(v) for v in ("time", "cell_lengths", "cell_angles"))
-        box = cell_vectors(*lengths, *angles) if lengths is not None and angles is not None else None
-        return Frame(float(time[0]) if time is not None else 0.0, number, box, values("coordinates").reshape(-1, 3))
-
-    @staticmethod
-    def head(n: int, frames: int, cells: bool = True) -> bytes:
-        """Header for ``frames`` records of ``n`` atoms; with cells, three lengths and three angles each."""
-        text = lambda s: struct.pack(">i", len(s)) + s.encode() + b"\0" * (-len(s) % 4)
-        attribute = lambda k, v: text(k) + struct.pack(">2i", 2, len(v)) + v.encode() + b"\0" * (-len(v) % 4)
-        dims = [("frame", 0), ("spatial", 3), ("atom", n), *([("cell_spatial", 3), ("cell_angular", 3)] if cells else [])]
-        out = b"CDF\x02" + struct.pack(">3i", frames, 10, len(dims)) + b"".join(text(d) + struct.pack(">i", v) for d, v in dims)
-        out += struct.pack(">2i", 12, 2) + attribute("Conventions", "AMBER") + attribute("ConventionVersion", "1.0")
-        each = [("coordinates", [0, 2, 1], 5, 12 * n), *([("cell_lengths", [0, 3], 6, 24), ("cell_angles", [0, 4], 6, 24)] if cells else [])]
-        size = len(out) + 8 + sum(4 + (len(v) + 3) // 4 * 4 + 4 + 4 * len(d) + 8 + 16 for v, d, _, _ in each)
-        out += struct.pack(">2i", 11, len(each))
-        for name, own, kind, room in each:
-            out += text(name) + struct.pack(f">{1 + len(own)}i", len(own), *own) + struct.pack(">4iq", 0, 0, kind, room, size)
-            size += room
-        return out
-
-    @staticmethod
-    def write(x: Frame, cells: bool = True) -> bytes:
-        out = x.xyz.astype(">f4").tobytes()
-        if cells:
-            m = np.array(x.box or [0.0] * 9).reshape(3, 3)
-            size = np.linalg.norm(m, axis=1)
-            turn = lambda i, j: np.degrees(np.arccos(np.clip(m[i] @ m[j] / max(size[i] * size[j], 1e-300), -1, 1))) if size[i] * size[j] else 90.0
-            out += size.astype(">f8").tobytes() + np.array([turn(1, 2), turn(0, 2), turn(0, 1)], ">f8").tobytes()
-        return out
-
-
-def cell_vectors(a: float, b: float, c: float, alpha: float, beta: float, gamma: float) -> list[float] | None:
-    """Box vectors of a cell; none where gamma leaves no area, or lengths are zero."""
-    ca, cb, cg, sg = *np.cos(np.radians([alpha, beta, gamma])), np.sin(np.radians(gamma))
-    if abs(sg) < 1e-10 or a * b * c == 0:
-        return None
-    y = c * (ca - cb * cg) / sg
-    return [float(v) for v in (a, 0, 0, b * cg, b * sg, 0, c * cb, y, np.sqrt(max(0.0, c * c - (c * cb) ** 2 - y * y)))]
-
-
-FORMATS = {"xtc": Xtc, "trr": Trr, "dcd": Dcd, "nc": NetCdf, "ncdf": NetCdf}
-
-
-def codec_of(path: str):
-    kind = path.rsplit(".", 1)[-1].lower()
-    if kind not in FORMATS:
-        raise TrajectoryError(f"unknown format: {path}")
-    return FORMATS[kind]
-
-
-@dataclass
-class _Range(InputPartition):
-    path: str
-    first: int
-    offsets: list[int]
-    traj: str
-    before: int  # frames of the trajectory's earlier files, or none
-
 
-def _system(path: str) -> tuple[fs.FileSystem, str, str]:
-    """A path's file system, its name there, and what stands before such names."""
-    if "://" in path:
-        system, inner = fs.FileSystem.from_uri(path)
-        return system, inner, path[: len(path) - len(inner)] if path.endswith(inner) else ""
-    return fs.LocalFileSystem(), path, ""
+    def __init__(self, options: dict, names: list[str]):
+        self.path, self.index, self.names = options["path"], options.get("index"), names
+        self.frames, self.times = bounds_of(options.get("frames", "")), bounds_of(options.get("times", ""))
+        self.want = frozenset({ARRAYS[c][0] for c in names if c in ARRAYS} | {BOX} & set(names))
 
+    def partitions(self) -> list[Stripe]:
+        known = frame_index.numbered(frame_index.load(self.index)[0]) if self.index else frame_index.stripes_here(self.path)
+        (lo, hi), (early, late) = self.frames, self.times
+        fits = lambda s: s.first <= hi and s.first + s.n > lo and s.t_min <= late and s.t_max >= early
+        return [s for s in known if fits(s)] or [Stripe("", "", 0, 0, 0, 0)]
 
-def files_of(path: str) -> list[tuple[str, list[str]]]:
-    """Trajectories of a path and the files of each, in order.
+    def read(self, part: Stripe) -> Iterator[pa.RecordBatch]:
+        if not part.n:
+            return
+        codec, (lo, hi), (early, late) = codec_of(part.file), self.frames, self.times
+        begin, number, left = part.begin, part.number, part.n
+        skip = math.ceil(lo) - part.first if lo > part.first else 0
+        if codec in FIXED and skip:
+            begin, number, left = begin + skip * ((part.end - part.begin) // part.n), number + skip, left - skip
+        first = part.first + number - part.number
+        rows: list[tuple[int, Frame]] = []
+        atoms = 0
+        all_of_it = X in self.want and lo <= part.first and hi >= part.first + part.n - 1 and early <= part.t_min and late >= part.t_max
+        with opened(part.file, READ_AHEAD if all_of_it or part.end - part.begin < SMALL_FRAME * part.n else 128, part.end + (1 << 16 if codec in FIXED else 0)) as f:
+            for k, head in enumerate(codec.scan(f, begin, part.end, number), first):
+                if k > hi or k >= part.first + part.n:
+                    break
+                if k < lo or not early <= head.time <= late and self.times != (-math.inf, math.inf):
+                    continue
+                x = codec.read(f, head.at, number + k - first, self.want)
+                rows.append((k, x))
+                atoms += sum(len(a) for a in (x.xyz, x.v, x.f) if a is not None) + 1
+                if atoms >= BATCH_ATOMS:
+                    yield self.batch(part.traj, rows)
+                    rows, atoms = [], 0
+        if rows:
+            yield self.batch(part.traj, rows)
 
-    A file is a trajectory. A folder, as the writer leaves it, is one too: its files follow each other
-    by name. A pattern with * or ? in its last part stands for as many trajectories as it finds.
-    """
-    system, inner, before = _system(path)
-    folder, _, last = inner.rstrip("/").rpartition("/")
-    if any(c in last for c in "*?"):
-        found = system.get_file_info(fs.FileSelector(folder or "."))
-        names = sorted(f.path for f in found if fnmatch.fnmatchcase(f.base_name, last) and not f.base_name.startswith((".", "_")))
-        return [t for name in names for t in files_of(before + name)]
-    info = system.get_file_info(inner)
-    if info.type == fs.FileType.Directory:
-        found = system.get_file_info(fs.FileSelector(inner))
-        names = sorted(f.path for f in found if f.type == fs.FileType.File and f.extension.lower() in FORMATS and not f.base_name.startswith((".", "_")))
-        return [(path, [before + name for name in names])]
-    if info.type == fs.FileType.NotFound:
-        raise TrajectoryError(f"no such file: {path}")
-    return [(path, [path])]
-
-
-STRUCTURE = pa.schema([
-    ("traj", pa.string()), ("frame", pa.int64()), ("time", pa.float64()), ("step", pa.int32()), ("box", pa.list_(pa.float64())), *[(c, pa.list_(pa.float64())) for c in "xyz"]
-])
-#: Atoms in one Arrow batch of a reader, about.
-BATCH_ATOMS = 1 << 18
+    def batch(self, traj: str, rows: list[tuple[int, Frame]]) -> pa.RecordBatch:
+        def column(name: str) -> pa.Array:
+            if name in ARRAYS:
+                section, axis = ARRAYS[name]
+                own = [{X: x.xyz, V: x.v, FORCES: x.f}[section] for _, x in rows]
+                return pa.array([None if a is None else np.ascontiguousarray(a[:, axis], float) for a in own], pa.list_(pa.float64()))
+            values = {"traj": lambda k, x: traj, "frame": lambda k, x: k, "time": lambda k, x: float(x.time), "step": lambda k, x: int(x.step), BOX: lambda k, x: x.box}
+            return pa.array([values[name](k, x) for k, x in rows], NUMBERS[name])
 
+        return pa.RecordBatch.from_arrays([column(c) for c in self.names], names=self.names)
 
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path, self.each = options["path"], int(options.get("framespertask", 256))
 
-    def partitions(self) -> list[_Range]:
-        out = []
-        for name, files in files_of(self.path):
-            before = 0
-            for path in files:
-                with opened(path) as f:
-                    offsets, _ = codec_of(path).index(f)
-                out += [_Range(path, k, offsets[k : k + self.each], name, before) for k in range(0, len(offsets), self.each)]
-                before += len(offsets)
-        return out or [_Range(self.path, 0, [], self.path, 0)]
+@dataclass
+class _Part:
+    """A file that a task wrote, with the frame numbers of its rows."""
 
-    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
-        if not part.offsets:
-            return
-        codec, held, atoms = codec_of(part.path), [], 0
-
-        def batch() -> pa.RecordBatch:
-            numbers = [part.before + k for k, _ in held]
-            axes = [pa.array([np.ascontiguousarray(x.xyz[:, c], float) for _, x in held], pa.list_(pa.float64())) for c in range(3)]
-            rows = [x for _, x in held]
-            columns = [[part.traj] * len(held), numbers, [float(x.time) for x in rows], [int(x.step) for x in rows], [x.box for x in rows]]
-            return pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, STRUCTURE.types)], *axes], schema=STRUCTURE)
-
-        with opened(part.path) as f:
-            for k, at in enumerate(part.offsets):
-                x = codec.read(f, at, part.first + k)
-                held.append((part.first + k, x))
-                atoms += len(x.xyz)
-                if atoms >= BATCH_ATOMS:
-                    yield batch()
-                    held, atoms = [], 0
-        if held:
-            yield batch()
+    task: int
+    name: str
+    hidden: str
+    traj: str
+    first: int | None = None
+    last: int | None = None
+    stripes: list[Stripe] = field(default_factory=list)
 
 
 @dataclass
-class _Written(WriterCommitMessage):
-    hidden: str | None
-    path: str | None
+class _Written(ds.WriterCommitMessage):
+    parts: list[_Part]
 
 
-class _Writer(DataSourceArrowWriter):
-    """Each task writes a file of its own, frame by frame, under a hidden name; the driver's commit names
-    the files of the attempts that count, so that a task that ran twice leaves one."""
+class _Writer(ds.DataSourceArrowWriter):
+    """Each task writes a file for each trajectory in its rows, frame by frame, under hidden names; the driver's commit
+    names the files of the attempts that count and lists them in a new manifest. Frames must come in order."""
 
-    def __init__(self, options: dict, schema):
-        self.path, self.names = options["path"], schema.fieldNames()
-        self.kind = options.get("kind") or self.path.rsplit(".", 1)[-1].lower()
-        if self.kind not in ("xtc", "trr", "nc", "ncdf"):
+    def __init__(self, options: dict, schema, overwrite: bool):
+        self.path, self.names, self.overwrite = options["path"].rstrip("/"), schema.fieldNames(), overwrite
+        self.kind = (options.get("kind") or self.path.rsplit(".", 1)[-1]).lower()
+        self.how = {"double": options.get("double", "false").lower() == "true", "precision": float(options.get("precision", 1000))}
+        if self.kind not in FORMATS:
             raise TrajectoryError(f"no writer for {self.kind}")
 
     def write(self, batches) -> _Written:
+        made: list[str] = []
+        try:
+            return self._write(batches, made)
+        except BaseException:  # what a lost executor leaves is hidden, and listed nowhere
+            system, _, _ = system_of(self.path)
+            for name in made:
+                if system.get_file_info(name).type == fs.FileType.File:
+                    system.delete_file(name)
+            raise
+
+    def _write(self, batches, made: list[str]) -> _Written:
         from pyspark import TaskContext
 
-        codec, context = FORMATS[self.kind], TaskContext.get()
-        system, inner, _ = _system(self.path)
-        own = f"part-{context.partitionId():05d}-{uuid.uuid4().hex[:12]}.{self.kind}"
-        hidden, n, frames = f"{inner}/.{own}", 0, 0
-        out = None
+        codec, task = FORMATS[self.kind], TaskContext.get().partitionId()
+        system, inner, _ = system_of(self.path)
+        done: list[_Part] = []
+        out = part = None
+        n = frames = at = 0
+
+        def close() -> None:
+            out.close()
+            head = codec.head(n, frames)
+            if head:  # it tells the number of frames, so it comes last, and is put before them
+                body, part.hidden = part.hidden, f"{inner}/.whole-{part.name}"
+                with system.open_output_stream(part.hidden) as f, system.open_input_stream(body) as g:
+                    f.write(head)
+                    while block := g.read(8 << 20):
+                        f.write(block)
+                system.delete_file(body)
+            part.stripes = [s for s in part.stripes if s.n]
+            done.append(part)
+
         for batch in batches:
             columns = {c: batch.column(i) for i, c in enumerate(self.names)}
-            of = lambda c, k, default: (columns[c][k].as_py() if c in columns else None) or default  # noqa: B023, E731
+            of = lambda c, k, default: default if c not in columns or (v := columns[c][k].as_py()) is None else v  # noqa: B023, E731
+
+            def section(names, k) -> np.ndarray | None:
+                own = [columns[c][k] for c in names if c in columns and columns[c][k].is_valid]  # noqa: B023
+                return np.stack([a.values.to_numpy(zero_copy_only=False).astype(float) for a in own], axis=1) if len(own) == 3 else None
+
             for k in range(batch.num_rows):
-                xyz = np.stack([columns[c][k].values.to_numpy(zero_copy_only=False).astype(float) for c in "xyz"], axis=1)
-                if out is None:
+                xyz, traj, number = section("xyz", k), of("traj", k, ""), of("frame", k, None)
+                if xyz is None:
+                    raise TrajectoryError("a frame without coordinates")
+                if part is None or part.traj != traj:
+                    if part is not None:
+                        close()
+                    name = f"part-{task:05d}-{len(done):03d}-{uuid.uuid4().hex[:12]}.{self.kind}"
                     system.create_dir(inner, recursive=True)
-                    out, n = system.open_output_stream(hidden), len(xyz)
+                    part, n, frames, at = _Part(task, name, f"{inner}/.{name}", traj, number), len(xyz), 0, 0
+                    made += [part.hidden, f"{inner}/.whole-{name}"]
+                    out = system.open_output_stream(part.hidden)
                 if len(xyz) != n:
                     raise TrajectoryError("InvalidAtomCount")
-                out.write(codec.write(Frame(of("time", k, 0.0), of("step", k, 0), of("box", k, None), xyz)))
+                if number is not None and part.last is not None and number <= part.last:
+                    raise TrajectoryError("frames out of order: sort by traj and frame first")
+                part.last = number
+                if not part.stripes or part.stripes[-1].end - part.stripes[-1].begin >= frame_index.STRIPE_BYTES:
+                    part.stripes.append(Stripe(traj, part.name, at, at, frames, 0))
+                time = of("time", k, 0.0)
+                raw = codec.write(Frame(time, of("step", k, 0), of(BOX, k, None), xyz, section(SECTIONS["velocities"], k), section(SECTIONS["forces"], k)), **self.how)
+                at += len(raw)
+                part.stripes[-1].add(at, codec.kept_time(time, frames, **self.how))
                 frames += 1
-        if out is None:
-            return _Written(None, None)
-        out.close()
-        head = codec.head(n, frames)
-        if head:  # it tells the number of frames, so it comes last, and is put before them
-            body, hidden = hidden, f"{inner}/.whole-{own}"
-            with system.open_output_stream(hidden) as f, system.open_input_stream(body) as g:
-                f.write(head)
-                while block := g.read(8 << 20):
-                    f.write(block)
-            system.delete_file(body)
-        return _Written(hidden, f"{inner}/{own}")
+                out.write(raw)
+        if part is not None:
+            close()
+        return _Written(done)
+
+    def _in_order(self, messages) -> list[_Part]:
+        """Parts by trajectory and frame; parts that overlap can't be put in an order."""
+        parts = sorted((p for m in messages if m is not None for p in m.parts), key=lambda p: (p.traj, p.first if p.first is not None else -1, p.task, p.name))
+        for a, b in zip(parts, parts[1:]):
+            if a.traj == b.traj and a.last is not None and b.first is not None and b.first <= a.last:
+                raise TrajectoryError(f"parts of {a.traj!r} overlap at frame {b.first}: repartition by range of traj and frame first")
+        return parts
 
     def commit(self, messages) -> None:
-        system, _, _ = _system(self.path)
-        for m in messages:
-            if m is not None and m.hidden:
-                system.move(m.hidden, m.path)
+        system, inner, before = system_of(self.path)
+        known = frame_index.generations(self.path)
+        parts = self._in_order(messages)
+        here = system.get_file_info(inner).type
+        if here == fs.FileType.File or here == fs.FileType.Directory and not known and any(files for _, files in frame_index.files_of(self.path)):
+            raise TrajectoryError(f"{self.path} holds frames that no manifest lists")
+        for p in parts:
+            system.move(p.hidden, f"{inner}/{p.name}")
+        number = int(known[-1].rpartition("/")[2].split("-")[0]) + 1 if known else 0
+        name = f"{self.path}/{frame_index.MANIFEST}/{number:08d}-{uuid.uuid4().hex[:12]}.parquet"
+        old = frame_index.listed(self.path) or [] if self.overwrite else []
+        frame_index.save([s for p in parts for s in p.stripes], name, {"replace": "true"} if self.overwrite else None)
+        for path in {s.file for s in old}:
+            system.delete_file(system_of(path)[1])
 
     def abort(self, messages) -> None:
-        system, _, _ = _system(self.path)
-        for m in messages:
-            if m is not None and m.hidden and system.get_file_info(m.hidden).type == fs.FileType.File:
-                system.delete_file(m.hidden)
+        system, _, _ = system_of(self.path)
+        for p in (p for m in messages if m is not None for p in m.parts):
+            if system.get_file_info(p.hidden).type == fs.FileType.File:
+                system.delete_file(p.hidden)
 
 
-class TrajectorySource(DataSource):
+class TrajectorySource(ds.DataSource):
     @classmethod
     def name(cls) -> str:
         return "trajectory"
 
     def schema(self) -> str:
-        return FRAMES
+        """FRAMES, and the columns of the sections that the option names."""
+        asked = [s.strip() for s in self.options.get("sections", "").split(",") if s.strip()]
+        return ", ".join([FRAMES, *[f"{c} array<double>" for s in asked for c in SECTIONS[s]]])
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options)
+        return _Reader(self.options, schema.fieldNames())
 
     def writer(self, schema, overwrite: bool) -> _Writer:
-        return _Writer(self.options, schema)
+        return _Writer(self.options, schema, overwrite)
 
     def streamReader(self, schema):
-        from trajix.streaming.frames import GrowingTrajectory
+        from trajix.streaming.frames import GrowingTrajectories
 
-        return GrowingTrajectory(self.options)
+        return GrowingTrajectories(self.options, schema.fieldNames())
 
 
-def read_trajectory(spark: SparkSession, path: str, frames_per_task: int = 256) -> DataFrame:
-    """Wide frames of a trajectory's file or folder, or of each that a pattern finds; traj has its path."""
+def register(spark: SparkSession) -> None:
+    """Make the format known to a session."""
     spark.dataSource.register(TrajectorySource)
-    return spark.read.format("trajectory").option("framesPerTask", frames_per_task).load(path)
 
 
-def write_trajectory(frames: DataFrame, path: str, kind: str) -> None:
-    """Write frames as files of the kind under ``path``, one per task; sort and repartition first for an order."""
-    frames.sparkSession.dataSource.register(TrajectorySource)
-    frames.write.format("trajectory").option("kind", kind).mode("append").save(path)
+def index_trajectories(spark: SparkSession, path: str, to: str | None = None, stripe_bytes: int = frame_index.STRIPE_BYTES) -> str:
+    """Find the stripes of a path's files on the executors and keep them in a file, whose path is returned.
+
+    Files of folders that this library wrote are listed there already, and are not read.
+    """
+    stripes: list[Stripe] = []
+    for own in frame_index.matches(path):
+        known = frame_index.listed(own)
+        stripes += known if known is not None else frame_index.find_stripes(spark, [(traj, name) for traj, files in frame_index.files_of(own) for name in files], stripe_bytes)
+    to = to or shared_path(spark, "-frames.parquet")
+    frame_index.save(stripes, to)
+    return to
+
+
+def read_trajectory(
+    spark: SparkSession, path: str, columns: list[str] | None = None, sections: tuple[str, ...] = (), frames: tuple | None = None, times: tuple | None = None, index: str | None = None
+) -> DataFrame:
+    """Wide frames of a trajectory's file or folder, or of each that a pattern finds.
+
+    ``traj`` is what was written, or else the path. ``columns`` are those to read: without x, y and z no
+    coordinate is. ``sections`` adds velocities (vx, vy, vz, Å/ps) and forces (fx, fy, fz, kJ/mol/Å) of
+    TRR files, null where a frame has none. ``frames`` and ``times`` are (first, last), either of which may be
+    None: other stripes are not opened, and other frames passed over by their headers. An index from ``index_trajectories`` saves finding frames anew.
+    """
+    register(spark)
+    ends = lambda pair: ",".join("" if v is None else repr(v) for v in pair or (None, None))
+    reader = spark.read.format("trajectory").option("index", index or index_trajectories(spark, path)).option("sections", ",".join(sections))
+    reader = reader.option("frames", ends(frames)).option("times", ends(times))
+    if columns is not None:
+        whole = _parse_datatype_string(TrajectorySource({"sections": ",".join(sections)}).schema())
+        reader = reader.schema(type(whole)([whole[c] for c in columns]))
+    return reader.load(path)
+
+
+def trajectory_times(spark: SparkSession, path: str) -> DataFrame:
+    """traj, n_frames, first_time and last_time of each trajectory, from headers alone."""
+    heads = read_trajectory(spark, path, ["traj", "frame", "time"])
+    return heads.groupBy("traj").agg(F.count("*").alias("n_frames"), F.min_by("time", "frame").alias("first_time"), F.max_by("time", "frame").alias("last_time"))
+
+
+def write_trajectory(frames: DataFrame, path: str, kind: str, mode: str = "append", double: bool = False, precision: float = 1000.0) -> None:
+    """Write frames as files of the kind in the folder ``path``, one per task and trajectory, and list them in its manifest.
+
+    Rows of a task must be in order of traj and frame, and tasks' ranges must not overlap: use
+    repartitionByRange and sortWithinPartitions. A further write with mode "append" adds its frames behind those
+    that are there, and "overwrite" replaces them. TRR keeps vx, vy, vz and fx, fy, fz, in eight bytes if
+    ``double``; XTC rounds to 1 / ``precision`` nm.
+    """
+    register(frames.sparkSession)
+    frames.write.format("trajectory").option("kind", kind).option("double", double).option("precision", precision).mode(mode).save(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,43 +12,60 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSourceStreamReader
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from trajix.sources.trajectories import _Range, codec_of, opened
+from trajix.model import FRAMES
+from trajix.sources import frame_index
+from trajix.sources.frame_codecs import codec_of, opened
+from trajix.sources.frame_index import Stripe
+from trajix.sources.trajectories import _Reader
 
+#: What a file header that is not whole yet gives.
+EMPTY = (struct.error, IndexError)
 
-class GrowingTrajectory(DataSourceStreamReader):
-    """Frames of a file as it gains them; an offset is the number of whole frames and the byte behind them.
 
-    A trigger reads on from the byte that it knows, so that its work goes by the new frames; only the
-    first one after a start reads all frame headers.
+class GrowingTrajectories(DataSourceStreamReader):
+    """Frames of files as they gain them: of one file, or of all files of a folder or pattern, each its own trajectory.
+
+    An offset has the whole frames of each file and the byte behind them. A trigger looks for new files and
+    reads the headers of new frames alone; only the first one after a start reads them all. A frame that is
+    not whole yet waits for a later trigger.
     """
 
-    def __init__(self, options: dict):
-        self.path, self.each = options["path"], int(options.get("framespertask", 256))
-        self.known = self.initialOffset()
+    def __init__(self, options: dict, names: list[str] | None = None):
+        self.path, self.options = options["path"], dict(options)
+        self.names = names or [c.split()[0] for c in FRAMES.split(", ")]
+        self.known: dict = self.initialOffset()
 
     def initialOffset(self) -> dict:
-        return {"frames": 0, "at": 0}
+        return {"files": {}}
 
     def latestOffset(self) -> dict:
-        with opened(self.path) as f:
-            new, at = codec_of(self.path).index(f, self.known["at"])
-        if new:
-            self.known = {"frames": self.known["frames"] + len(new), "at": at}
+        files = dict(self.known["files"])
+        for path in sorted(name for own in frame_index.matches(self.path) for _, names in frame_index.files_of(own) for name in names):
+            frames, at = files.get(path, (0, 0))
+            try:
+                with opened(path) as f:
+                    for head in codec_of(path).scan(f, at, f.size(), frames):
+                        frames, at = frames + 1, head.end
+            except EMPTY:  # a file that has only begun
+                continue
+            if frames:
+                files[path] = [frames, at]
+        self.known = {"files": files}
         return self.known
 
-    def partitions(self, start: dict, end: dict) -> list[_Range]:
-        with opened(self.path) as f:
-            at, _ = codec_of(self.path).index(f, start["at"])
-        at, first = at[: end["frames"] - start["frames"]], start["frames"]
-        return [_Range(self.path, first + k, at[k : k + self.each], self.path, 0) for k in range(0, len(at), self.each)]
+    def partitions(self, start: dict, end: dict) -> list[Stripe]:
+        out = []
+        for path, (frames, at) in end["files"].items():
+            done, behind = start["files"].get(path, (0, 0))
+            if frames > done:
+                out += frame_index.cut(Stripe(path, path, behind, at, done, frames - done, first=done))
+        return out
 
     def commit(self, end: dict) -> None:
         pass
 
-    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
-        from trajix.sources.trajectories import _Reader
-
-        return _Reader({"path": part.path}).read(part)
+    def read(self, part: Stripe) -> Iterator[pa.RecordBatch]:
+        return _Reader(self.options, self.names).read(part)
 
 
 def running_moments(points: DataFrame) -> DataFrame:
