@@ -182,3 +182,55 @@ def test_reports_and_conversion(spark, tmp_path):
     assert reports.frame_records(rows, "r").orderBy("frame").first()["json"] == '{"frame":0,"r":[{"value":1.5}]}'
     with pytest.raises(structures.StructureError):
         structures.read_structure(spark, "x.unknown")
+
+
+@pytest.mark.parametrize("kind", ["pdb", "gro", "cif", "prmtop"])
+def test_many_structures(spark, tmp_path, kind):
+    """Files of a folder are read by tasks, each a structure with its atoms, residues, chains and bonds."""
+    from pyspark.sql import functions as F
+
+    from trajix.plans import sample
+
+    frames = sample.frames(spark, TABLES).where("frame < 30").withColumn("time", F.col("frame") * 0.5)
+    topology = sample.topology(spark)
+    assert structures.write_structures(frames, topology, f"file://{tmp_path}/s", kind) == 30
+    (tmp_path / "s" / f"bad.{kind}").write_text("nothing of use")
+    (tmp_path / "s" / "other.xyz").write_text("1")
+    found = structures.read_structures(spark, f"file://{tmp_path}/s")
+    problems = {structures.name_of(r["structure"]): r["problem"] for r in found.table.where("problem is not null").collect()}
+    assert set(problems) == {"bad", "other"} and problems["other"] == "unknown format: xyz"
+    good = structures.Structures(found.table.where("problem is null"))
+    assert sorted(int(structures.name_of(r["structure"])) for r in good.table.collect()) == list(range(30))
+    assert good.atoms().count() == 30 * 21 and good.residues().count() == 30 * 5 and good.validate().count() == 0
+    assert good.bonds().count() == (30 * len(sample.BONDED) if kind == "prmtop" else 0)
+    assert {r["n"] for r in good.chains().groupBy("structure").agg(F.count("*").alias("n")).collect()} == {1 if kind in ("gro", "prmtop") else 2}
+    if kind != "prmtop":
+        wide = {int(structures.name_of(r["traj"])): r for r in good.frames().collect()}
+        for r in frames.collect():
+            assert np.allclose([wide[r["frame"]][c] for c in "xyz"], [r[c] for c in "xyz"], atol=0.006)
+            assert kind != "gro" or wide[r["frame"]]["time"] == r["time"]
+    one = good.topology(next(r["structure"] for r in good.table.collect() if structures.name_of(r["structure"]) == "7"))
+    assert one.table().count() == 21 and [r["name"] for r in one.atoms.orderBy("atom_index").collect()] == [a[1] for a in sample.MAIN]
+    assert [r["element"] for r in one.atoms.orderBy("atom_index").collect()] == [a[2] for a in sample.MAIN]
+    again = structures.read_structure(spark, f"file://{tmp_path}/s/7.{kind}")
+    assert len(again.atoms) == 21 and len(again.residues) == 5
+    with pytest.raises(Exception, match="InvalidAtomCount"):
+        structures.write_structures(frames.withColumn("x", F.slice("x", 1, 3)).withColumn("y", F.slice("y", 1, 3)).withColumn("z", F.slice("z", 1, 3)), topology, f"file://{tmp_path}/t", kind)
+
+
+def test_faults_of_structures(spark, tmp_path):
+    s = structures.read_pdb(PDB)
+    (tmp_path / "a.pdb").write_text(structures.write_pdb(s))
+    found = structures.read_structures(spark, f"file://{tmp_path}/a.pdb")
+    broken = found.table.selectExpr("structure", "array_append(transform(residue_index, v -> v), 9) AS residue_index", "resid", "transform(chain_index, v -> -1) AS chain_index", "chain_name", "array(0, 77) AS atom_i", "array(1, 0) AS atom_j", "name")
+    rows = sorted((r["problem"], r["id"]) for r in structures.Structures(broken).validate().collect())
+    assert rows == [("atom without residue", 9), ("bond without atom", 77), ("residue without chain", -1)]
+
+
+def test_mmcif_names_are_quoted():
+    s = structures.Structure()
+    for name, residue, chain in (("C1'", "A B", "A"), ("O5*", "#X", ""), ('N"', "data_", "_q")):
+        s.add(name, 6, (residue,), residue, 1, chain, (1.0, -2.5, 3.25))
+    again = structures.read_mmcif(structures.write_mmcif(s))
+    assert [a[0] for a in again.atoms] == [a[0] for a in s.atoms] and [r[0] for r in again.residues] == [r[0] for r in s.residues]
+    assert again.chains == s.chains and again.coords == s.coords

@@ -10,6 +10,7 @@ from trajix.elements import RADII, SYMBOLS
 from trajix.functions.points import per_frame
 from trajix.model import Topology, keys
 from trajix.operators import frame_sums, over_time, sasa, spatial, superposition
+from trajix.sources.structures import Structures
 
 
 def trajectory_info(frames: DataFrame) -> DataFrame:
@@ -30,6 +31,18 @@ def composition(topology: Topology) -> DataFrame:
     return topology.atoms.groupBy("element").agg(F.count("*").alias("n_atoms"))
 
 
+def chain_summaries(structures: Structures) -> DataFrame:
+    """structure, and the columns of ``chain_summary``, of many structures."""
+    return structures.named_atoms().groupBy("structure", "chain_index").agg(
+        F.count_distinct("residue_index").alias("n_residues"), F.count("*").alias("n_atoms"), F.min("residue_index").alias("first_residue"), F.max("residue_index").alias("last_residue")
+    )
+
+
+def compositions(structures: Structures) -> DataFrame:
+    """structure, element, n_atoms."""
+    return structures.atoms().groupBy("structure", "element").agg(F.count("*").alias("n_atoms"))
+
+
 def summary(topology: Topology, frames: DataFrame) -> DataFrame:
     """section, name, value, place: counts, times, the first frame's box, chains and elements, in the order of place."""
     counts = [(n, t.count()) for n, t in (("atoms", topology.atoms), ("residues", topology.residues), ("chains", topology.chains), ("bonds", topology.bonds))]

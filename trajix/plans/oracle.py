@@ -7,7 +7,7 @@ from trajix.operators import geometry
 from trajix.operators.selection import parse_tuples
 from trajix.plans import queries as q
 from trajix.plans import sample
-from trajix.plans.sample import BOX, MAIN, SIDE, SKEWED
+from trajix.plans.sample import BONDED, BOX, MAIN, SIDE, SKEWED
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -43,11 +43,14 @@ for name, test in {
     ORACLE_SQL[f"select_{name}"] = f"{WITH} SELECT frame, c.atom_index, {XYZ}, name, residue_name FROM c JOIN a USING (atom_index) WHERE {test}"
 
 _elements = values([(z, SYMBOLS[z], RADII[z], SYMBOLS[z] in BIOLOGICAL) for z in range(119)], "z, symbol, vdw_radius, is_biological")
-ORACLE_SQL["element_masses"] = f"WITH a AS {atoms_of()} SELECT atom_index, element, mass, symbol, vdw_radius, is_biological FROM a JOIN {_elements} ON z = element"
-ORACLE_SQL["topology_summary"] = f"WITH a AS {atoms_of()} SELECT chain_index, count(DISTINCT residue_index) AS n_residues, count(*) AS n_atoms, min(residue_index) AS first_residue, max(residue_index) AS last_residue FROM a GROUP BY 1"
-ORACLE_SQL["topology_composition"] = f"WITH a AS {atoms_of()} SELECT element, count(*) AS n_atoms FROM a GROUP BY 1"
-ORACLE_SQL["topology_problems"] = f"WITH a AS {atoms_of()} SELECT 'atom without residue' AS problem, CAST(residue_index AS BIGINT) AS id FROM a WHERE residue_index NOT BETWEEN 0 AND 4"
-ORACLE_SQL["topology_faults"] = "SELECT * FROM (VALUES ('atom without residue', 77::BIGINT), ('residue without chain', 9::BIGINT), ('bond without atom', 88::BIGINT), ('bond without atom', 89::BIGINT)) v(problem, id)"
+_each_frame = lambda sql: f"SELECT * FROM (SELECT vec_id AS frame FROM embeddings), ({sql})"
+ORACLE_SQL["element_masses"] = _each_frame(f"WITH a AS {atoms_of()} SELECT atom_index, element, mass, symbol, vdw_radius, is_biological FROM a JOIN {_elements} ON z = element")
+ORACLE_SQL["topology_summary"] = _each_frame(f"WITH a AS {atoms_of()} SELECT chain_index, count(DISTINCT residue_index) AS n_residues, count(*) AS n_atoms, min(residue_index) AS first_residue, max(residue_index) AS last_residue FROM a GROUP BY 1")
+ORACLE_SQL["topology_composition"] = _each_frame(f"WITH a AS {atoms_of()} SELECT element, count(*) AS n_atoms FROM a GROUP BY 1")
+ORACLE_SQL["topology_problems"] = "SELECT vec_id AS frame, 'bond without atom' AS problem, vec_id % 40 AS id FROM embeddings WHERE vec_id % 40 > 20"
+ORACLE_SQL["topology_faults"] = """SELECT DISTINCT vec_id AS frame, problem, CAST(id AS BIGINT) AS id FROM embeddings,
+  (SELECT 'atom without residue' AS problem, r AS own, 5 AS n FROM range(5) t(r) UNION ALL SELECT 'residue without chain', c, 2 FROM range(2) t(c)),
+  LATERAL (SELECT own + vec_id % 4 AS id) WHERE id >= n"""
 ORACLE_SQL["trajectory_info"] = f"SELECT count(*) AS n_frames, {r('min(vec_id) * 0.5::DOUBLE', 'first_time')}, {r('max(vec_id) * 0.5::DOUBLE', 'last_time')} FROM embeddings"
 
 
@@ -326,6 +329,10 @@ ORACLE_SQL["append_xtc"] = f"""WITH {COORDS}, n AS (SELECT *, row_number() OVER
 _sections = {"": 1, "v": -0.1, "f": 3.0}
 ORACLE_SQL["read_trr_sections"] = f"WITH {COORDS} SELECT frame, atom_index, {', '.join(r(f'{c} * {m}::DOUBLE', s + c) for s, m in _sections.items() for c in 'xyz')} FROM c"
 ORACLE_SQL["trajectory_times"] = f"""SELECT traj, count(*) AS n_frames, min(frame) * 0.5::DOUBLE AS first_time, max(frame) * 0.5::DOUBLE AS last_time FROM {_label} l GROUP BY traj"""
-_first = lambda kept, element: f"{WITH} SELECT atom_index, name, {element} AS element, residue_index, residue_name, residue_index + 1 AS resid, {', '.join(r(kept(c), c) for c in 'xyz')} FROM c JOIN a USING (atom_index) WHERE frame = 0"
-ORACLE_SQL["read_pdb"] = _first(lambda c: f"round({c}, 3)", "element")
-ORACLE_SQL["read_gro"] = _first(lambda c: f"round({c} / 10, 3) * 10", "element")
+_files = lambda shown: f"{WITH} SELECT frame, atom_index, name, element, residue_index, residue_name, residue_index + 1 AS resid, {shown} FROM c JOIN a USING (atom_index)"
+ORACLE_SQL["read_pdb"] = _files(", ".join(r(f"round({c}, 3)", c) for c in "xyz"))
+ORACLE_SQL["read_gro"] = _files(", ".join(r(f"round({c} / 10, 3) * 10", c) for c in "xyz"))
+ORACLE_SQL["read_mmcif"] = _files(", ".join(r(c, c) for c in "xyz"))
+ORACLE_SQL["read_prmtop"] = _files(r("CAST(printf('%.8e', x * 18.2223::DOUBLE) AS DOUBLE) / 18.2223::DOUBLE", "charge"))
+_bonds = ", ".join(f"({i}, {j})" for i, j in BONDED)
+ORACLE_SQL["structure_bonds"] = f"SELECT * FROM (SELECT vec_id AS frame FROM embeddings), (VALUES {_bonds}) b(atom_i, atom_j)"

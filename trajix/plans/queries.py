@@ -46,37 +46,6 @@ for _name, _expression in {"backbone": "backbone", "protein": "protein", "water"
 query("select_element")(lambda spark, sf_dir: _select(selection.by_element(8))(spark, sf_dir))
 
 
-@query()
-def element_masses(spark, sf_dir):
-    atoms = sample.topology(spark).table().select("atom_index", "element", "mass")
-    return atoms.join(elements(spark).select(F.col("z").alias("element"), "symbol", "vdw_radius", "is_biological"), "element")
-
-
-@query()
-def topology_summary(spark, sf_dir):
-    return derived.chain_summary(sample.topology(spark))
-
-
-@query()
-def topology_composition(spark, sf_dir):
-    return derived.composition(sample.topology(spark))
-
-
-@query()
-def topology_problems(spark, sf_dir):
-    return sample.topology(spark).validate()
-
-
-@query()
-def topology_faults(spark, sf_dir):
-    """The sample's topology with an atom, a residue and two bonds that refer to nothing."""
-    t = sample.topology(spark)
-    atoms = t.atoms.union(spark.createDataFrame([(21, "X", 6, 77, None, None), (22, "Y", 6, 5, None, None)], t.atoms.schema))
-    residues = t.residues.union(spark.createDataFrame([(5, "GLY", 6, 9)], t.residues.schema))
-    bonds = t.bonds.union(spark.createDataFrame([(0, 88), (89, 1)], t.bonds.schema))
-    return Topology(atoms, residues, t.chains, bonds).validate()
-
-
 @query()
 def trajectory_info(spark, sf_dir):
     return derived.trajectory_info(sample.frames(spark, sf_dir).withColumn("time", F.col("frame") * 0.5))
@@ -450,19 +419,75 @@ def trajectory_times(spark, sf_dir):
     return trajectories.trajectory_times(spark, path)
 
 
-def _structure_back(kind):
-    """The sample's topology with its first frame, written and read as a structure file."""
+def _frame_of(column):
+    """The frame's number in the path of its structure file."""
+    return F.regexp_extract(column, r"([0-9-]+)\.[a-z]+$", 1).cast("bigint")
+
+
+def _structures_back(kind):
+    """Every frame written with the sample's topology as a structure file, and all files read; charges are the frame's x."""
 
     def run(spark, sf_dir):
-        path = shared_path(spark, f".{kind}")
-        first = sample.frames(spark, sf_dir).where("frame = 0").first()
-        structures.write_structure(spark, structures.structure_of(sample.topology(spark), first), path)
-        s = structures.read_structure(spark, path)
-        own = s.topology(spark).table().select("atom_index", "name", "element", "residue_index", "residue_name", "resid")
-        return own.join(to_long(s.frame(spark)).select("atom_index", *"xyz"), "atom_index")
+        path = shared_path(spark, f"-{kind}")
+        frames = sample.frames(spark, sf_dir).withColumn("charge", F.col("x"))
+        structures.write_structures(frames, sample.topology(spark), path, kind)
+        rows = structures.read_structures(spark, path, kind).named_atoms().withColumn("frame", _frame_of("structure"))
+        return rows.select("frame", "atom_index", "name", "element", "residue_index", "residue_name", "resid", *(["charge"] if kind == "prmtop" else "xyz"))
 
     return run
 
 
-for _kind in ("pdb", "gro"):
-    query(f"read_{_kind}")(_structure_back(_kind))
+for _name, _kind in {"pdb": "pdb", "gro": "gro", "mmcif": "cif", "prmtop": "prmtop"}.items():
+    query(f"read_{_name}")(_structures_back(_kind))
+
+
+def _sample_files(spark, sf_dir):
+    """The sample's frames as PDB files, all read."""
+    path = shared_path(spark, "-pdb")
+    structures.write_structures(sample.frames(spark, sf_dir), sample.topology(spark), path, "pdb")
+    return structures.read_structures(spark, path, "pdb")
+
+
+@query()
+def structure_bonds(spark, sf_dir):
+    """A PRMTOP file for each frame keeps the bonds."""
+    path = shared_path(spark, "-prmtop")
+    structures.write_structures(sample.frames(spark, sf_dir), sample.topology(spark), path, "prmtop")
+    return structures.read_structures(spark, path, "prmtop").bonds().select(_frame_of("structure").alias("frame"), "atom_i", "atom_j")
+
+
+@query()
+def element_masses(spark, sf_dir):
+    """Masses and radii of the atoms of every structure file."""
+    atoms = _sample_files(spark, sf_dir).atoms().select(_frame_of("structure").alias("frame"), "atom_index", "element")
+    return atoms.join(elements(spark).select(F.col("z").alias("element"), "symbol", "mass", "vdw_radius", "is_biological"), "element")
+
+
+@query()
+def topology_summary(spark, sf_dir):
+    """First and last residue and atom count of each chain of every structure file."""
+    return derived.chain_summaries(_sample_files(spark, sf_dir)).withColumn("frame", _frame_of("structure")).drop("structure")
+
+
+@query()
+def topology_composition(spark, sf_dir):
+    """Atoms by element of every structure file."""
+    return derived.compositions(_sample_files(spark, sf_dir)).withColumn("frame", _frame_of("structure")).drop("structure")
+
+
+@query()
+def topology_problems(spark, sf_dir):
+    """A bond more in each file's structure, by the frame's number: it may refer to nothing."""
+    found = _sample_files(spark, sf_dir)
+    end = (_frame_of("structure") % 40).cast("int")
+    bonded = structures.Structures(found.table.withColumns({"atom_i": F.array_append("atom_i", end), "atom_j": F.array_append("atom_j", F.lit(3))}))
+    return bonded.validate().withColumn("frame", _frame_of("structure")).drop("structure")
+
+
+@query()
+def topology_faults(spark, sf_dir):
+    """Residues and chains moved on by the frame's number."""
+    by = (_frame_of("structure") % 4).cast("int")
+    on = lambda c: F.transform(c, lambda v: v + by)
+    moved = structures.Structures(_sample_files(spark, sf_dir).table.withColumns({c: on(c) for c in ("residue_index", "chain_index")}))
+    return moved.validate().withColumn("frame", _frame_of("structure")).drop("structure")

@@ -1,18 +1,25 @@
-"""Structure files: PDB, GRO, mmCIF and PRMTOP, read into a topology (and one frame) and written from them.
+"""Structure files: PDB, GRO, mmCIF and PRMTOP, read into topologies and frames and written from them, many at once.
 
-A structure is one system at one time and fits on the driver, as its formats demand: it is parsed
-there from the file that Spark reads, and becomes tables. Trajectories never pass this way.
+Spark reads the files, and tasks parse them: a row per structure has arrays by atom, residue, chain and
+bond, and tables of those are its explosions, keyed by structure. Writing goes the other way: a task writes
+a file for each of its frames.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
+from urllib.parse import quote, unquote
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trajix.elements import BY_SYMBOL, SYMBOLS, element_of
 from trajix.model import ATOMS, BONDS, CHAINS, FRAMES, RESIDUES, Topology
+from trajix.sources.frame_codecs import system_of
 
 MOST_BYTES = 512 << 20
 # Residues that are ions, and two-letter elements that their atoms may name.
@@ -264,35 +271,222 @@ def read_prmtop(text: str) -> Structure:
     return out
 
 
+def write_mmcif(s: Structure) -> str:
+    """One _atom_site loop of model 1, with label_ names; names with blanks or quotes are quoted."""
+
+    def quoted(text: str) -> str:
+        if not text:
+            return "."
+        plain = re.fullmatch(r"[^\s'\"#_$\[\];?.]\S*", text) and not text.lower().startswith(("data_", "loop_", "save_"))
+        return text if plain else f'"{text}"' if '"' not in text else f"'{text}'"
+
+    names = "group_PDB id type_symbol label_atom_id label_comp_id label_asym_id label_seq_id Cartn_x Cartn_y Cartn_z pdbx_PDB_model_num".split()
+    lines = ["data_made", "loop_", *[f"_atom_site.{n}" for n in names]]
+    for i, ((name, element, r, *_), (x, y, z)) in enumerate(zip(s.atoms, s.coords), 1):
+        residue, resid, chain = s.residues[r]
+        shown = [SYMBOLS[element] if element else "?", quoted(name), quoted(residue), quoted(s.chains[chain])]
+        lines.append(f"ATOM {i} {' '.join(shown)} {resid} {x:.6f} {y:.6f} {z:.6f} 1")
+    return "\n".join([*lines, "#", ""])
+
+
+def write_prmtop(s: Structure) -> str:
+    """The sections of a topology that ``read_prmtop`` knows; charges and masses where all atoms have them."""
+
+    def section(flag: str, shape: str, cells: list[str], a_line: int) -> str:
+        rows = ["".join(cells[k : k + a_line]) for k in range(0, len(cells), a_line)] or [""]
+        return "\n".join([f"%FLAG {flag}", f"%FORMAT({shape})", *rows])
+
+    starts = [next(i for i, a in enumerate(s.atoms) if a[2] == r) + 1 for r in range(len(s.residues))]
+    ints = lambda values: [f"{v:>8}" for v in values]
+    parts = [
+        "%VERSION  VERSION_STAMP = V0001.000  DATE = 01/01/00  00:00:00",
+        section("POINTERS", "10I8", ints([len(s.atoms), *[0] * 10, len(s.residues), *[0] * 19]), 10),
+        section("ATOM_NAME", "20a4", [f"{a[0][:4]:<4}" for a in s.atoms], 20),
+        section("ATOMIC_NUMBER", "10I8", ints(a[1] for a in s.atoms), 10),
+        section("RESIDUE_LABEL", "20a4", [f"{r[0][:4]:<4}" for r in s.residues], 20),
+        section("RESIDUE_POINTER", "10I8", ints(starts), 10),
+        section("BONDS_WITHOUT_HYDROGEN", "10I8", ints(v for i, j in s.bonds for v in (3 * i, 3 * j, 1)), 10),
+    ]
+    for flag, k, scale in (("CHARGE", 3, 18.2223), ("MASS", 4, 1.0)):
+        if s.atoms and all(a[k] is not None for a in s.atoms):
+            parts.append(section(flag, "5E16.8", [f"{a[k] * scale:16.8E}" for a in s.atoms], 5))
+    return "\n".join([*parts, ""])
+
+
 READERS = {"pdb": read_pdb, "gro": read_gro, "cif": read_mmcif, "mmcif": read_mmcif, "prmtop": read_prmtop, "parm7": read_prmtop, "top": read_prmtop}
-WRITERS = {"pdb": write_pdb, "gro": write_gro}
+WRITERS = {"pdb": write_pdb, "gro": write_gro, "cif": write_mmcif, "mmcif": write_mmcif, "prmtop": write_prmtop}
 
 
 def extension(path: str) -> str:
     return path.rsplit(".", 1)[-1].lower()
 
 
+#: Columns of a row of structures: arrays by atom, residue, chain and bond.
+BY_ATOM = {"name": pa.string(), "element": pa.int32(), "residue_index": pa.int32(), "charge": pa.float64(), "explicit_mass": pa.float64()}
+BY_RESIDUE = {"residue_name": pa.string(), "resid": pa.int32(), "chain_index": pa.int32()}
+BY_BOND = {"atom_i": pa.int32(), "atom_j": pa.int32()}
+ARRAYS = {**BY_ATOM, **BY_RESIDUE, "chain_name": pa.string(), **BY_BOND, **{c: pa.float64() for c in "xyz"}}
+SHOWN = {pa.string(): "string", pa.int32(): "int", pa.float64(): "double"}
+ROW = "structure string, problem string, time double, box array<double>, " + ", ".join(f"{c} array<{SHOWN[t]}>" for c, t in ARRAYS.items())
+
+
+@dataclass(frozen=True)
+class Structures:
+    """Structures by name. ``table`` has a row for each, in the columns of ROW; ``problem`` says why a file could not be
+    read, and such a row has no atoms."""
+
+    table: DataFrame
+
+    def _exploded(self, index: str, names: dict[str, str]) -> DataFrame:
+        """A row for each element of some arrays, renamed."""
+        rows = self.table.select("structure", F.posexplode(F.arrays_zip(*[F.col(c).alias(n) for c, n in names.items()])).alias(index, "r"))
+        return rows.select("structure", index, *[F.col(f"r.{n}").alias(n) for n in names.values()])
+
+    def atoms(self) -> DataFrame:
+        """structure, and the columns of a topology's atoms."""
+        return self._exploded("atom_index", {c: c for c in BY_ATOM})
+
+    def residues(self) -> DataFrame:
+        return self._exploded("residue_index", {"residue_name": "name", "resid": "resid", "chain_index": "chain_index"})
+
+    def chains(self) -> DataFrame:
+        return self.table.select("structure", F.posexplode("chain_name").alias("chain_index", "name"))
+
+    def bonds(self) -> DataFrame:
+        return self._exploded("bond", {c: c for c in BY_BOND}).drop("bond")
+
+    def frames(self) -> DataFrame:
+        """A wide frame of each structure that has coordinates: traj is its name, frame 0."""
+        rows = self.table.where(F.size("x") > 0)
+        return rows.select(F.col("structure").alias("traj"), F.lit(0).cast("bigint").alias("frame"), "time", F.lit(0).alias("step"), "box", *"xyz")
+
+    def named_atoms(self) -> DataFrame:
+        """structure, the columns of atoms, those of their residues, and x, y, z where the structure has them; no row moves."""
+        at = lambda c: F.get(F.col(c), F.col("r.residue_index")).alias(c)
+        rows = self.table.select("structure", *BY_RESIDUE, F.posexplode(F.arrays_zip(*BY_ATOM, *"xyz")).alias("atom_index", "r"))
+        return rows.select("structure", "atom_index", *[F.col(f"r.{c}").alias(c) for c in (*BY_ATOM, *"xyz")], *[at(c) for c in BY_RESIDUE])
+
+    def validate(self) -> DataFrame:
+        """structure, problem, id: a row for each reference of an array to what the structure lacks."""
+
+        def lost(column: str, of: str, problem: str) -> Column:
+            outside = F.filter(F.array_distinct(column), lambda v: (v < 0) | (v >= F.size(of)))
+            return F.transform(outside, lambda v: F.struct(F.lit(problem).alias("problem"), v.cast("bigint").alias("id")))
+
+        found = F.concat(
+            lost("residue_index", "resid", "atom without residue"),
+            lost("chain_index", "chain_name", "residue without chain"),
+            lost("atom_i", "name", "bond without atom"),
+            lost("atom_j", "name", "bond without atom"),
+        )
+        return self.table.select("structure", F.inline(found))
+
+    def topology(self, structure: str | None = None) -> Topology:
+        """The topology of one structure, or of the only one."""
+        own = self if structure is None else Structures(self.table.where(F.col("structure") == structure))
+        return Topology(*[t.drop("structure") for t in (own.atoms(), own.residues(), own.chains(), own.bonds())])
+
+
+def _row(name: str, s: Structure, problem: str | None = None) -> dict:
+    atoms, residues = list(zip(*s.atoms)) or [[]] * 5, list(zip(*s.residues)) or [[]] * 3
+    bonds, axes = list(zip(*s.bonds)) or [[]] * 2, list(zip(*s.coords)) or [[]] * 3
+    values = [*atoms, *residues, s.chains, *bonds, *axes]
+    return {"structure": name, "problem": problem, "time": float(s.time), "box": s.box, **dict(zip(ARRAYS, values))}
+
+
+def read_structures(spark: SparkSession, path: str, kind: str | None = None) -> Structures:
+    """Structures of the files that Spark finds at a path: a file, a folder with all that it holds, or a pattern.
+
+    The kind goes by each file's extension where none is given. A structure is named by its file's path;
+    ``name_of`` gives the name in it. A file that can't be read, is of no known kind or is larger than MOST_BYTES
+    gives a row with its problem and without atoms.
+    """
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), pa.string(), pa.float64(), pa.list_(pa.float64()), *[pa.list_(t) for t in ARRAYS.values()]]
+        for batch in batches:
+            for file, content in zip(batch["path"].to_pylist(), batch["content"]):
+                own = kind or extension(file)
+                try:
+                    if own not in READERS:
+                        raise StructureError(f"unknown format: {own}")
+                    if not content.is_valid:
+                        raise StructureError(f"larger than {MOST_BYTES} bytes")
+                    row = _row(file, READERS[own](content.as_py().decode("utf-8", "replace")))
+                except (ValueError, IndexError, KeyError) as e:
+                    row = _row(file, Structure(), str(e) or type(e).__name__)
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types)], names=list(row))
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    small = files.where(F.col("length") <= MOST_BYTES).select("path", "content")
+    large = files.where(F.col("length") > MOST_BYTES).select("path", F.lit(None).cast("binary").alias("content"))
+    return Structures(small.unionAll(large).mapInArrow(parsed, ROW))
+
+
+def name_of(file: str) -> str:
+    """A file's name without its folder and extension, as ``write_structures`` was given it."""
+    return unquote(file.rstrip("/").rpartition("/")[2].rpartition(".")[0])
+
+
+def write_structures(frames: DataFrame, topology: Topology, path: str, kind: str, name: Column | None = None) -> int:
+    """Write each frame with a topology as a structure file of its own, ``path``/NAME.kind; the number of files.
+
+    NAME is the frame's number, behind its traj and a dash where frames name one, unless given as a column; two frames
+    of one name leave one file. An array ``charge`` of a frame stands for the topology's charges. Tasks write under hidden
+    names and rename, so a task that runs again leaves the same files. The topology, one system's, goes along with the tasks.
+    """
+    if kind not in WRITERS:
+        raise StructureError(f"no writer for {kind}")
+    own = structure_of(topology, None)
+    known = set(frames.columns)
+    if name is None:
+        name = F.concat_ws("-", *[F.col(c).cast("string") for c in ("traj", "frame") if c in known])
+    extra = [c for c in ("box", "time", "charge") if c in known]
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, inner, _ = system_of(path)
+        system.create_dir(inner, recursive=True)
+        for batch in batches:
+            for r in batch.to_pylist():
+                s = replace(own, coords=list(zip(r["x"], r["y"], r["z"])), box=r.get("box"), time=r.get("time") or 0.0)
+                if len(s.coords) != len(s.atoms):
+                    raise StructureError("InvalidAtomCount")
+                if r.get("charge"):
+                    s.atoms = [(*a[:3], c, a[4]) for a, c in zip(s.atoms, r["charge"])]
+                hidden = f"{inner}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(hidden) as out:
+                    out.write(WRITERS[kind](s).encode())
+                system.move(hidden, f"{inner}/{quote(r['structure'], safe=' ')}.{kind}")
+            yield pa.RecordBatch.from_arrays([batch["structure"]], names=["structure"])
+
+    return frames.select(name.alias("structure"), *"xyz", *extra).mapInArrow(files, "structure string").count()
+
+
 def read_structure(spark: SparkSession, path: str) -> Structure:
-    """Read a structure file by its extension, from wherever Spark reads."""
-    reader = READERS.get(extension(path))
-    if reader is None:
+    """One structure file, parsed by a task; the driver gets its arrays."""
+    if extension(path) not in READERS:
         raise StructureError(f"unknown format: {path}")
-    row = spark.read.format("binaryFile").load(path).where(f"length <= {MOST_BYTES}").select("content").first()
-    if row is None:
-        raise StructureError(f"larger than {MOST_BYTES} bytes: {path}")
-    return reader(bytes(row["content"]).decode("utf-8", "replace"))
+    row = read_structures(spark, path, extension(path)).table.first()
+    if row is None or row["problem"]:
+        raise StructureError(f"{path}: {row['problem'] if row else 'no such file'}")
+    out = Structure(time=row["time"], box=row["box"], chains=list(row["chain_name"]))
+    out.atoms, out.residues = list(zip(*[row[c] for c in BY_ATOM])), list(zip(*[row[c] for c in BY_RESIDUE]))
+    out.bonds, out.coords = list(zip(row["atom_i"], row["atom_j"])), list(zip(*[row[c] for c in "xyz"]))
+    return out
 
 
 def structure_of(topology: Topology, frame) -> Structure:
-    """Rows of a topology and of one frame (a Row with x, y, z and perhaps box and time), for the writers."""
+    """Rows of a topology and of one frame (a Row with x, y, z and perhaps box and time) or none, for the writers."""
     out = Structure()
     atoms = topology.atoms.orderBy("atom_index").collect()
     out.atoms = [(a["name"], a["element"], a["residue_index"], a["charge"], a["explicit_mass"]) for a in atoms]
     out.residues = [(r["name"], r["resid"], r["chain_index"]) for r in topology.residues.orderBy("residue_index").collect()]
     out.chains = [c["name"] for c in topology.chains.orderBy("chain_index").collect()]
-    out.coords = list(zip(frame["x"], frame["y"], frame["z"]))
-    known = frame.asDict()
-    out.box, out.time = known.get("box"), known.get("time") or 0.0
+    out.bonds = [(b["atom_i"], b["atom_j"]) for b in topology.bonds.orderBy("atom_i", "atom_j").collect()]
+    if frame is not None:
+        out.coords = list(zip(frame["x"], frame["y"], frame["z"]))
+        known = frame.asDict()
+        out.box, out.time = known.get("box"), known.get("time") or 0.0
     return out
 
 
