@@ -3,17 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajix.functions.points import lists, per_frame, runs
-from trajix.model import keys, listed, to_long
+from trajix.model import keys, to_long
+from trajix.sources.shared import shared_path
 
-#: Largest covariance matrix, and the largest that the driver solves.
+#: Dimensions of a covariance matrix at most, and of one that the driver solves.
 MOST_DIMENSIONS, MOST_SOLVED = 30_000, 3_000
+#: Dimensions of a tile's side, and bytes of tiles that a task holds.
+TILE, MOST_TILE_BYTES = 256, 256 << 20
+#: Arrays that a group adds up.
+FAN = 64
+#: Columns of the basis that the driver keeps: 58 MB each for it and its image at MOST_DIMENSIONS.
+MOST_BASIS = 240
+PARTS = "key bigint, task bigint, v array<double>"
 PAIRS_A_TASK = 8
 
 
@@ -31,17 +42,24 @@ def rmsf(frames: DataFrame, atoms: list[int] | None = None) -> DataFrame:
 
 
 def _in_order(frames: DataFrame, block: int) -> DataFrame:
-    """Frames with their place in their trajectory's order and the last block's number, numbered in parts that quantiles cut."""
+    """Frames with their place in their trajectory's order and the last block's number.
+
+    Trajectories of one block are numbered in a window each. Longer ones are sorted by ranges and written;
+    a row's place is then its number in the range, behind the rows of the ranges before.
+    """
     t = _track(frames)
-    parts = min(128, frames.count() // block + 1)
-    cuts = frames.approxQuantile("frame", [k / parts for k in range(1, parts)], 0.002) if parts > 1 else []
-    part = F.size(F.filter(listed(cuts, "array<double>"), lambda c: c <= F.col("frame"))) if cuts else F.lit(0)
-    rows = frames.select(*[F.coalesce(F.concat(F.lit("t"), c), F.lit("")).alias(c) for c in t], "frame", *"xyz", part.alias("part"))
+    rows = frames.select(*[F.coalesce(F.concat(F.lit("t"), c), F.lit("")).alias(c) for c in t], "frame", *"xyz")
+    longest = rows.groupBy(*t).count().agg(F.max("count")).first()[0] or 0
+    if longest <= block:
+        return rows.select(*t, F.lit(0).alias("last"), (F.row_number().over(Window.partitionBy(*t).orderBy("frame")) - 1).cast("bigint").alias("frame"), *"xyz")
+    path = shared_path(frames.sparkSession, "-frames")
+    ranged = rows.repartitionByRange(*t, "frame").sortWithinPartitions(*t, "frame")
+    ranged.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")).write.parquet(path)
+    rows = frames.sparkSession.read.parquet(path)
     whole = Window.partitionBy(*t)
-    sizes = rows.groupBy(*t, "part").agg(F.count("*").alias("n"))
-    sizes = sizes.select(*t, "part", (F.sum("n").over(whole.orderBy("part")) - F.col("n")).alias("before"), F.floor((F.sum("n").over(whole) - 1) / block).cast("int").alias("last"))
-    place = F.row_number().over(Window.partitionBy(*t, "part").orderBy("frame")) - 1
-    return rows.withColumn("place", place).join(sizes, [*t, "part"]).select(*t, "last", (F.col("before") + F.col("place")).alias("frame"), *"xyz")
+    sizes = rows.groupBy(*t, "part").agg(F.count("*").alias("n"), F.min("row").alias("low"))
+    sizes = sizes.select(*t, "part", "low", (F.sum("n").over(whole.orderBy("part")) - F.col("n")).alias("before"), F.floor((F.sum("n").over(whole) - 1) / block).cast("int").alias("last"))
+    return rows.join(sizes, [*t, "part"]).select(*t, "last", (F.col("before") + F.col("row") - F.col("low")).alias("frame"), *"xyz")
 
 
 def msd(frames: DataFrame, atoms: list[int] | None = None, block: int = 8192) -> DataFrame:
@@ -88,13 +106,52 @@ def msd(frames: DataFrame, atoms: list[int] | None = None, block: int = 8192) ->
     return parts.groupBy(*t, "lag").agg((F.sum("total") / F.sum("n")).alias("value")).select(*named, "lag", "value")
 
 
-def covariance(frames: DataFrame, atoms: list[int] | None = None) -> DataFrame:
-    """i, j, value for i <= j: sample covariance of the coordinates x0, y0, z0, x1, ..., over the frames of all trajectories together.
+@dataclass(frozen=True)
+class _Center:
+    """What a first pass over the frames finds: how many they are, the mean and the variance of each dimension, and the tasks."""
+
+    own: np.ndarray
+    n: int
+    mean: np.ndarray
+    variance: np.ndarray
+    tasks: int
+
+    def about(self, points: np.ndarray) -> np.ndarray:
+        """A row for each frame: its chosen coordinates less the mean."""
+        return points[:, self.own].reshape(len(points), -1) - self.mean
 
-    A first pass finds the means; in the second each task adds up its frames' products about them,
-    and rows of matrices move, not frames. A task holds one matrix: 72 MB at 3,000 dimensions, 7.2 GB
-    at MOST_DIMENSIONS.
+
+def _summed(parts: DataFrame, tasks: int) -> DataFrame:
+    """key and v, the sums of the arrays v of each key, from rows (key, task, v) of so many tasks.
+
+    Arrays are added up in levels, at most FAN of a key in a group.
     """
+
+    def added(table: pa.Table) -> pa.Table:
+        total = np.zeros(len(table["v"][0]))
+        for v in table["v"]:
+            total += v.values.to_numpy(zero_copy_only=False)
+        return pa.table({"key": table["key"][:1], "task": table["task"][:1], "v": pa.array([total], pa.list_(pa.float64()))})
+
+    while True:
+        tasks = -(-tasks // FAN)
+        group = F.lit(0) if tasks <= 1 else F.floor(F.col("task") / FAN)
+        parts = parts.withColumn("task", group.cast("bigint")).groupBy("key", "task").applyInArrow(added, PARTS)
+        if tasks <= 1:
+            return parts.drop("task")
+
+
+def _emitted(arrays: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    task = TaskContext.get().partitionId()
+    for key, v in arrays:
+        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([task], pa.int64()), pa.array([v.ravel()], pa.list_(pa.float64()))], names=["key", "task", "v"])
+
+
+def _collected(summed: DataFrame) -> np.ndarray:
+    return np.concatenate([np.array(r["v"]) for r in sorted(summed.collect(), key=lambda r: r["key"])])
+
+
+def _center(frames: DataFrame, atoms: list[int] | None) -> _Center:
     first = frames.orderBy("frame").limit(1).select(*"xyz").first()
     if first is None:
         raise ValueError("TooFewFrames")
@@ -105,59 +162,146 @@ def covariance(frames: DataFrame, atoms: list[int] | None = None) -> DataFrame:
     dim = len(origin)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0, np.zeros(dim)
+        n, total, square = 0, np.zeros(dim), np.zeros(dim)
         for batch in batches:
             for _, _, points in runs(batch):
-                n, total = n + len(points), total + (points[:, own].reshape(len(points), -1) - origin).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim + 1)), pa.array(np.append(total, float(n)))], names=["d", "v"])
+                r = points[:, own].reshape(len(points), -1) - origin
+                n, total, square = n + len(r), total + r.sum(0), square + (r * r).sum(0)
+        # n stands for a task with frames and 1 for any task, in an array of their own
+        yield from _emitted([(0, np.array([float(n), TaskContext.get().partitionId() + 1.0])), *((1 + k, np.stack([total, square])[:, a : a + TILE]) for k, a in enumerate(range(0, dim, TILE)))])
 
-    found = {r["d"]: r["v"] for r in frames.select(*"xyz").mapInArrow(sums, "d bigint, v double").groupBy("d").agg(F.sum("v").alias("v")).collect()}
-    n = found[dim]
+    parts = frames.select(*"xyz").mapInArrow(sums, PARTS)
+    # tasks are not known yet; dimensions are few, so plain sums of their numbers do
+    own_rows = parts.select("key", F.posexplode("v").alias("d", "v")).groupBy("key", "d").agg(F.sum("v").alias("v"), F.max("v").alias("most")).collect()
+    found = {(r["key"], r["d"]): r for r in own_rows}
+    n = int(found[0, 0]["v"])
     if n < 2:
         raise ValueError("TooFewFrames")
-    mean = origin + np.array([found[d] for d in range(dim)]) / n
+    widths = [min(TILE, dim - a) for a in range(0, dim, TILE)]
+    sums_, squares = (np.array([found[1 + k, side * w + d]["v"] for k, w in enumerate(widths) for d in range(w)]) for side in (0, 1))
+    return _Center(own, n, origin + sums_ / n, np.maximum(0, squares - sums_**2 / n) / (n - 1), int(found[0, 1]["most"]))
 
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        square = None
+
+def covariance(frames: DataFrame, atoms: list[int] | None = None, most_bytes: int = MOST_TILE_BYTES) -> DataFrame:
+    """i, j, value for i <= j: sample covariance of the coordinates x0, y0, z0, x1, ..., over the frames of all trajectories together.
+
+    A first pass finds the means. In the second, a task adds up its frames' products about them, in square
+    tiles of TILE dimensions: all tiles where these take ``most_bytes``, or else a share of them, each share
+    in a scan of its own. Tiles then add up in levels, so that neither a task nor a group grows with the
+    frames or the tasks.
+    """
+    center = _center(frames, atoms)
+    dim, n = len(center.mean), center.n
+    starts = list(range(0, dim, TILE))
+    pairs = [(a, b) for a in starts for b in starts if a <= b]
+    each = max(1, most_bytes // (8 * TILE * TILE))
+
+    def products(share: list[tuple[int, int]]):
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tiles: dict[tuple[int, int], np.ndarray] = {}
+            for batch in batches:
+                for _, _, points in runs(batch):
+                    r = center.about(points)
+                    for a, b in share:
+                        own = r[:, a : a + TILE].T @ r[:, b : b + TILE]
+                        if (a, b) in tiles:
+                            tiles[a, b] += own
+                        else:
+                            tiles[a, b] = own
+            yield from _emitted((a * MOST_DIMENSIONS + b, v) for (a, b), v in tiles.items())
+
+        return frames.select(*"xyz").mapInArrow(rows, PARTS)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, points in runs(batch):
-                r = points[:, own].reshape(len(points), -1) - mean
-                square = r.T @ r if square is None else square + r.T @ r
-        for i in range(dim if square is not None else 0):
-            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([square[i, i:]])], names=["i", "v"])
+            for key, v in zip(batch["key"].to_pylist(), batch["v"]):
+                a, b = divmod(key, MOST_DIMENSIONS)
+                tile = v.values.to_numpy().reshape(min(TILE, dim - a), min(TILE, dim - b)) / (n - 1)
+                i, j = np.nonzero(np.add.outer(np.arange(len(tile)) + a, -np.arange(tile.shape[1]) - b) <= 0)
+                yield pa.RecordBatch.from_arrays([pa.array((i + a).astype(np.int32)), pa.array((j + b).astype(np.int32)), pa.array(tile[i, j])], names=["i", "j", "value"])
+
+    shares = [products(pairs[k : k + each]) for k in range(0, len(pairs), each)]
+    summed = [_summed(share, center.tasks).mapInArrow(cells, "i int, j int, value double") for share in shares]
+    return reduce(DataFrame.unionAll, summed)
 
-    def added(table: pa.Table) -> pa.Table:  # a row from each task that had frames
-        total = np.zeros(len(table["v"][0]))
-        for v in table["v"]:
-            total += v.values.to_numpy(zero_copy_only=False)
-        return pa.table({"i": table["i"][:1], "v": pa.array([total], pa.list_(pa.float64()))})
 
-    whole = frames.select(*"xyz").mapInArrow(products, "i bigint, v array<double>").groupBy("i").applyInArrow(added, "i bigint, v array<double>")
-    each = whole.select("i", F.posexplode("v").alias("k", "v"))
-    return each.select(F.col("i").cast("int").alias("i"), (F.col("i") + F.col("k")).cast("int").alias("j"), (F.col("v") / (n - 1)).alias("value"))
+def _leading(frames: DataFrame, center: _Center, k: int, extra: int, tolerance: float, most_passes: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest eigenvalues of the covariance, and their vectors as columns, by iteration on a random block.
+
+    Each pass over the frames multiplies the covariance with a thin block: tasks add up r (r . block), and
+    these sums add up in levels. The driver keeps an orthonormal basis of all blocks so far, of at most
+    MOST_BASIS columns, solves the small problem in it, and stops when the residuals of the leading pairs
+    are below ``tolerance`` times the largest eigenvalue. The covariance itself is never made.
+    """
+    dim, b = len(center.mean), min(len(center.mean), k + extra)
 
+    def times(block: np.ndarray) -> np.ndarray:
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                for _, _, points in runs(batch):
+                    r = center.about(points)
+                    own = r.T @ (r @ block)
+                    total = own if total is None else total + own
+            step = max(1, TILE * TILE // block.shape[1])
+            yield from _emitted((at, total[at : at + step]) for at in range(0, dim if total is not None else 0, step))
 
-def pca(frames: DataFrame, atoms: list[int] | None = None, n_components: int | None = None, most_dimensions: int = MOST_SOLVED) -> tuple[DataFrame, DataFrame]:
+        return _collected(_summed(frames.select(*"xyz").mapInArrow(rows, PARTS), center.tasks)).reshape(dim, -1) / (center.n - 1)
+
+    rng = np.random.default_rng(seed)
+    block = np.linalg.qr(rng.normal(size=(dim, b)))[0]
+    basis, image = np.zeros((dim, 0)), np.zeros((dim, 0))
+    for _ in range(most_passes):
+        made = times(block)
+        basis, image = np.hstack([basis, block]), np.hstack([image, made])
+        small = basis.T @ image
+        values, s = np.linalg.eigh((small + small.T) / 2)
+        values, s = values[::-1], s[:, ::-1]
+        lead = s[:, :k]
+        residual = np.linalg.norm(image @ lead - basis @ lead * values[:k], axis=0).max(initial=0.0)
+        rest = made - basis @ (basis.T @ made)
+        rest -= basis @ (basis.T @ rest)
+        block, scale = np.linalg.qr(rest)
+        block = block[:, np.abs(np.diag(scale)) > 1e-13 * max(values[0], 1e-300)][:, : dim - basis.shape[1]]
+        if residual <= tolerance * max(values[0], 0.0) or not block.shape[1]:
+            return values[:k], basis @ lead
+        if basis.shape[1] + block.shape[1] > MOST_BASIS:
+            keep = s[:, : max(k + extra, MOST_BASIS // 3)]
+            basis, image = basis @ keep, image @ keep
+    raise ValueError(f"NotConverged: after {most_passes} passes the residual is {residual:.3g} of {values[0]:.3g}")
+
+
+def pca(
+    frames: DataFrame, atoms: list[int] | None = None, n_components: int | None = None, extra: int = 10, tolerance: float = 1e-9, most_passes: int = 100, seed: int = 7
+) -> tuple[DataFrame, DataFrame]:
     """(component, eigenvalue, variance_ratio) and (component, dim, loading), by falling eigenvalue.
 
-    The driver solves the matrix, which is refused beyond ``most_dimensions``: at 3,000 it gets 4.5
-    million rows. A component's largest loading is positive.
+    With ``n_components`` the leading ones come from passes over the frames, at up to MOST_DIMENSIONS;
+    shares are of the whole variance. Without it, all come from the covariance, which the driver solves at
+    up to MOST_SOLVED dimensions. A component's largest loading is positive.
     """
-    n_atoms = frames.select(F.size("x")).first()[0] if atoms is None else len(atoms)
-    if 3 * n_atoms > most_dimensions:
-        raise ValueError("DimensionTooLarge")
-    found = covariance(frames, atoms).toPandas()
-    dim = int(found["j"].max()) + 1
-    c = np.zeros((dim, dim))
-    c[found["i"], found["j"]] = c[found["j"], found["i"]] = found["value"]
-    values, vectors = np.linalg.eigh(c)
-    values, vectors = values[::-1], vectors[:, ::-1]
-    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(dim)])
-    ratio = np.maximum(values, 0) / max(np.maximum(values, 0).sum(), 1e-300)
-    k = dim if n_components is None else min(n_components, dim)
     spark = frames.sparkSession
+    if n_components is None:
+        n_atoms = frames.select(F.size("x")).first()[0] if atoms is None else len(atoms)
+        if 3 * n_atoms > MOST_SOLVED:
+            raise ValueError("DimensionTooLarge: name n_components")
+        found = covariance(frames, atoms).toPandas()
+        dim = int(found["j"].max()) + 1
+        c = np.zeros((dim, dim))
+        c[found["i"], found["j"]] = c[found["j"], found["i"]] = found["value"]
+        values, vectors = np.linalg.eigh(c)
+        values, vectors = values[::-1], vectors[:, ::-1]
+        whole = np.maximum(values, 0).sum()
+    else:
+        center = _center(frames, atoms)
+        dim, whole = len(center.mean), center.variance.sum()
+        values, vectors = _leading(frames, center, min(n_components, dim), extra, tolerance, most_passes, seed)
+    k = len(values)
+    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(k)])
+    ratio = np.maximum(values, 0) / max(whole, 1e-300)
     head = spark.createDataFrame([(i, float(values[i]), float(ratio[i])) for i in range(k)], "component int, eigenvalue double, variance_ratio double")
-    loads = spark.createDataFrame([(i, d, float(vectors[d, i])) for i in range(k) for d in range(dim)], "component int, dim int, loading double")
+    component, d = np.divmod(np.arange(k * dim, dtype=np.int32), np.int32(dim))
+    loads = spark.createDataFrame(pa.table({"component": component, "dim": d, "loading": np.ascontiguousarray(vectors.T).ravel()}))
     return head, loads
 
 
