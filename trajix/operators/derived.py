@@ -98,26 +98,24 @@ def residue_areas(areas: DataFrame, table: DataFrame) -> DataFrame:
 def analyze_all(frames: DataFrame, topology: Topology, reference_frame: int = 0, atoms: list[int] | None = None, contact_cutoff: float = 4.5, with_sasa: bool = True) -> DataFrame:
     """frame, rmsd, rg, cx, cy, cz, n_hbonds, n_contacts (closest heavy atoms) and, if asked, sasa.
 
-    What needs one frame alone comes from one pass over it; the two counts join it.
+    All of it comes from one pass over each frame, in the task that reads it.
     """
-    k = keys(frames)
     table = topology.table()
     rows = sorted(table.select("atom_index", "mass", "element").collect())
     masses, radii = [r["mass"] for r in rows], [RADII[r["element"]] for r in rows]
     reference = superposition.reference_of(frames, reference_frame)
 
+    bonds = spatial.HydrogenBonds(topology)
+    near, residues = spatial.contact_atoms(table, "closest_heavy")
+
     def alone(points: np.ndarray) -> dict:
         center = frame_sums.about_center(points, masses, atoms)[1]
         out = {"rmsd": superposition.fitted(points, reference, atoms)[1], "rg": frame_sums.gyration(points, masses, atoms)}
         out |= {f"c{c}": np.ascontiguousarray(center[:, i]) for i, c in enumerate("xyz")}
+        out |= {"n_hbonds": bonds.counts(points), "n_contacts": np.bincount(spatial.contacts_of(points, near, residues, contact_cutoff)[0], minlength=len(points))}
         return out | ({"sasa": sasa.areas_of(points, radii, atoms, 1.4, 100).sum(1)} if with_sasa else {})
 
-    out = per_frame(frames, "rmsd double, rg double, cx double, cy double, cz double" + ", sasa double" * with_sasa, alone)
-    bonds = spatial.hydrogen_bonds(frames, topology).groupBy(*k).agg(F.count("*").alias("n_hbonds"))
-    contacts = spatial.contacts(frames, table, "closest_heavy", contact_cutoff).groupBy(*k).agg(F.count("*").alias("n_contacts"))
-    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_hbonds", "n_contacts")]
-    joined = out.join(bonds, k, "left").join(contacts, k, "left")
-    return joined.select(*k, "rmsd", "rg", "cx", "cy", "cz", *counts, *["sasa"] * with_sasa)
+    return per_frame(frames, "rmsd double, rg double, cx double, cy double, cz double, n_hbonds bigint, n_contacts bigint" + ", sasa double" * with_sasa, alone)
 
 
 def rmsf_of_all(frames: DataFrame, atoms: list[int] | None = None) -> DataFrame:

@@ -222,6 +222,10 @@ for _scheme, _test in {"closest": "TRUE", "ca": "name = 'CA'", "closest_heavy":
 ORACLE_SQL["contact_frequency"] = f"{_contacts_sql('TRUE')} SELECT residue_i, residue_j, {r('count(*) / (SELECT count(*) FROM embeddings)', 'frequency')} FROM k GROUP BY 1, 2"
 _near = lambda test: f"{WITH} SELECT p.frame, p.atom_index AS i, q.atom_index AS j, {r(f'sqrt({D2})', 'd')} FROM c p JOIN c q ON p.frame = q.frame AND p.atom_index < q.atom_index JOIN a s ON s.atom_index = p.atom_index JOIN a t ON t.atom_index = q.atom_index WHERE {test}"
 ORACLE_SQL["neighbor_pairs"] = _near(f"{D2} < {q.CUTOFF ** 2}")
+ORACLE_SQL["neighbor_pairs_by_cells"] = ORACLE_SQL["neighbor_pairs"]
+ORACLE_SQL["neighbor_lists"] = f"""{WITH} SELECT p.frame, p.atom_index AS i, CAST(row_number() OVER (PARTITION BY p.frame, p.atom_index ORDER BY sqrt({D2}), q.atom_index) - 1 AS INTEGER) AS place,
+  q.atom_index AS j, {r(f'sqrt({D2})', 'd')} FROM c p JOIN c q ON p.frame = q.frame AND p.atom_index <> q.atom_index JOIN a s ON s.atom_index = p.atom_index JOIN a t ON t.atom_index = q.atom_index
+  WHERE p.atom_index IN {_ids(q.BACKBONE)} AND q.atom_index IN {_ids(q.PROTEIN)} AND sqrt({D2}) < s.radius + 1.1 * t.radius + 0.4"""
 ORACLE_SQL["neighbor_pairs_by_radius"] = _near(f"sqrt({D2}) < s.radius + t.radius + 0.4")
 
 

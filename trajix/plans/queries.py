@@ -231,8 +231,7 @@ def hbonds(spark, sf_dir):
 
 @query()
 def hbond_counts(spark, sf_dir):
-    frames = sample.frames(spark, sf_dir)
-    return spatial.counts_by_frame(frames, spatial.hydrogen_bonds(frames, sample.topology(spark), HBOND, 90.0), "n_hbonds")
+    return spatial.hydrogen_bond_counts(sample.frames(spark, sf_dir), sample.topology(spark), HBOND, 90.0)
 
 
 @query()
@@ -255,11 +254,27 @@ def contact_frequency(spark, sf_dir):
 
 @query()
 def neighbor_pairs(spark, sf_dir):
+    return spatial.neighbours(sample.frames(spark, sf_dir), CUTOFF)
+
+
+@query()
+def neighbor_pairs_by_cells(spark, sf_dir):
+    """The same pairs of atoms that are rows already."""
     long = to_long(sample.frames(spark, sf_dir))
     found = spatial.near_pairs(long, long, CUTOFF, True, when=F.col("atom_index") < F.col("atom_index_b"))
     return found.select("frame", F.col("atom_index").alias("i"), F.col("atom_index_b").alias("j"), "d")
 
 
+@query()
+def neighbor_lists(spark, sf_dir):
+    """The backbone's neighbours among the protein's atoms, in compressed rows that are opened again: a row per atom and place."""
+    radius = {a[0]: RADII[a[2]] for a in sample.MAIN}
+    found = spatial.neighbour_lists(sample.frames(spark, sf_dir), {i: radius[i] for i in BACKBONE}, {i: 1.1 * radius[i] for i in PROTEIN}, 0.2)
+    each = found.select("frame", "offsets", "members", "distances", F.posexplode("atoms").alias("k", "i"))
+    own = each.select("frame", "i", "members", "distances", F.explode(F.sequence(F.get("offsets", F.col("k")), F.get("offsets", F.col("k") + 1))).alias("m"), F.get("offsets", F.col("k") + 1).alias("end"), F.get("offsets", F.col("k")).alias("begin"))
+    return own.where("m < end").select("frame", "i", (F.col("m") - F.col("begin")).alias("place"), F.get("members", F.col("m")).alias("j"), F.get("distances", F.col("m")).alias("d"))
+
+
 @query()
 def neighbor_pairs_by_radius(spark, sf_dir):
     return spatial.neighbours_by_radius(sample.frames(spark, sf_dir), [RADII[a[2]] for a in sample.MAIN], 0.2)
