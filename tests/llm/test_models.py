@@ -78,6 +78,24 @@ def test_unused_and_user_defined_pieces(tmp_path):
     assert "xq" in pieces  # for all its poor score
 
 
+def test_long_words_are_walked_alone(monkeypatch):
+    """Both ways give the same paths; a megabyte without blanks takes seconds, and is not kept."""
+    import time
+
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("etaoinshr中é😀\x07"), 700)).encode() for _ in range(4)] + [b"a", "thethethe".encode(), ("▁" * 50 + "word").encode(), "é".encode() * 30]
+    expected = MODEL._viterbi(words)
+    for step in (7, 64, 1 << 16):
+        monkeypatch.setattr(unigram, "WALK_STEP", step)
+        assert [MODEL._walk(w) for w in words] == expected
+    text = "".join(rng.choice(list("etaoinshrdlucmfwypvbgkjqxz"), 1 << 20))
+    began = time.process_time()
+    ids, first = MODEL.encode(pa.array([text, "short words", text[:5000]], pa.large_string()))
+    assert time.process_time() - began < 40
+    assert MODEL.decode(ids[: first[1]]) == text and MODEL.decode(ids[first[1] : first[2]]) == "short words"
+    assert max(map(len, MODEL.words)) <= unigram.LONG_WORD
+
+
 def test_trie_finds_all_pieces():
     keys = {b"a": 0, b"ab": 1, b"abc": 2, b"\xff\x00": 3, b"b": 4}
     trie = unigram.DoubleArray(keys)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: What an unknown character costs beyond the smallest score, and what a user's piece costs beyond the largest score of each of its bytes.
 PENALTY, BONUS = 10.0, 0.1
 MOST_WORDS = 800_000
+#: Bytes from which on a word is walked alone, and is not kept; bytes of it whose pieces are found together.
+LONG_WORD, WALK_STEP = 4_096, 1 << 16
 WINDOW = 2048
 
 
@@ -175,6 +178,9 @@ class Unigram:
         """Ids, as little-endian 32-bit integers, of each word's best segmentation; ties go to the longer piece."""
         out: list[bytes] = [b""] * len(words)
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        while order and len(words[order[-1]]) > LONG_WORD:
+            i = order.pop()
+            out[i] = self._walk(words[i])
         at = 0
         while at < len(order):  # words of like length together
             longest = len(words[order[at]])
@@ -235,6 +241,39 @@ class Unigram:
             out[k] = self._trace(words[k], came[:, k], piece[:, k])
         return out
 
+    def _walk(self, word: bytes) -> bytes:
+        """The best segmentation of one long word: the pieces at many positions are found together, and tried one by one."""
+        size, text = len(word), np.frombuffer(word, np.uint8)
+        best, came, piece = array("d", [-np.inf]) * (size + 1), array("i", [0]) * (size + 1), array("i", [-1]) * (size + 1)
+        best[0] = 0.0
+        lead = np.ones(256, np.int64)
+        lead[0xC0:0xE0], lead[0xE0:0xF0], lead[0xF0:] = 2, 3, 4
+        for begin in range(0, size, WALK_STEP):
+            part = text[begin : begin + WALK_STEP]
+            start = np.flatnonzero(part & 0xC0 != 0x80) + begin
+            width = np.minimum(lead[text[start]], size - start)
+            alone, on, nodes, depth = np.zeros(len(start), bool), np.arange(len(start)), np.zeros(len(start), np.int32), 0
+            found = []
+            while len(on):
+                inside = start[on] + depth < size
+                on, nodes = on[inside], nodes[inside]
+                nodes = self.trie.child(nodes, text[start[on] + depth].astype(np.int32))
+                on, nodes = on[nodes >= 0], nodes[nodes >= 0]
+                depth += 1
+                ids = self.trie.value[nodes]
+                who = on[ids >= 0]
+                alone[who[width[who] == depth]] = True
+                found.append((start[who], start[who] + depth, ids[ids >= 0], self.scores[ids[ids >= 0]]))
+            rest = ~alone
+            found.append((start[rest], (start + width)[rest], np.full(rest.sum(), -2), np.full(rest.sum(), self.unknown_score)))
+            i, j, ids, scores = (np.concatenate(c) for c in zip(*found))
+            order = np.argsort(i, kind="stable")
+            for a, b, which, score in zip(i[order].tolist(), j[order].tolist(), ids[order].tolist(), scores[order].tolist()):
+                reached = best[a] + score
+                if reached > best[b]:
+                    best[b], came[b], piece[b] = reached, a, which
+        return self._trace(word, came, piece)
+
     @staticmethod
     def _relax(best, came, piece, begin: int, end: int, who, ids, scores) -> None:
         reached = best[begin, who] + scores
@@ -292,6 +331,9 @@ class Unigram:
         new = [w for w in names if w not in self.words]
         self.words.update(zip(new, self.best_paths(new)))
         parts = [self.words[w] for w in names]
+        for w in new:
+            if len(w) > LONG_WORD:
+                del self.words[w]
         size = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
         flat = np.frombuffer(b"".join(parts), "<u4")
         which = named.indices.to_numpy()
