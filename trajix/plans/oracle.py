@@ -340,3 +340,6 @@ ORACLE_SQL["read_mmcif"] = _files(", ".join(r(c, c) for c in "xyz"))
 ORACLE_SQL["read_prmtop"] = _files(r("CAST(printf('%.8e', x * 18.2223::DOUBLE) AS DOUBLE) / 18.2223::DOUBLE", "charge"))
 _bonds = ", ".join(f"({i}, {j})" for i, j in BONDED)
 ORACLE_SQL["structure_bonds"] = f"SELECT * FROM (SELECT vec_id AS frame FROM embeddings), (VALUES {_bonds}) b(atom_i, atom_j)"
+ORACLE_SQL["sql_rmsd"], ORACLE_SQL["sql_rg"], ORACLE_SQL["sql_neighbors"] = ORACLE_SQL["rmsd"], ORACLE_SQL["rg"], ORACLE_SQL["neighbor_pairs"]
+_pairs = ", ".join(f"({k}, {i}, {j})" for k, (i, j) in enumerate(parse_tuples(q.PAIRS, 2)))
+ORACLE_SQL["sql_distances"] = f"SELECT frame, i, j, value AS distance FROM ({ORACLE_SQL['distances']}) JOIN (VALUES {_pairs}) v(pair, i, j) USING (pair)"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajix.elements import MASSES, RADII, elements
+from trajix.functions import tables
 from trajix.model import Topology, to_long
 from trajix.operators import derived, dssp, frame_sums, geometry, over_time, pbc, sasa, selection, spatial, superposition
 from trajix.plans import sample
@@ -506,3 +507,20 @@ def topology_faults(spark, sf_dir):
     on = lambda c: F.transform(c, lambda v: v + by)
     moved = structures.Structures(_sample_files(spark, sf_dir).table.withColumns({c: on(c) for c in ("residue_index", "chain_index")}))
     return moved.validate().withColumn("frame", _frame_of("structure")).drop("structure")
+
+
+def _by_sql(call: str, columns: str):
+    """A table function's rows over the sample's frames as one trajectory."""
+
+    def run(spark, sf_dir):
+        tables.register(spark)
+        frames = sample.frames(spark, sf_dir).select(F.lit("a").alias("traj"), "frame", *"xyz")
+        return spark.sql(f"SELECT {columns} FROM {call}", frames=frames)
+
+    return run
+
+
+query("sql_rmsd")(_by_sql("frame_rmsd(TABLE(SELECT * FROM {frames}) PARTITION BY traj ORDER BY frame)", "frame, value"))
+query("sql_rg")(_by_sql(f"frame_gyration(TABLE(SELECT * FROM {{frames}}), array({', '.join(f'{w}D' for w in WEIGHTS)}))", "frame, value"))
+query("sql_distances")(_by_sql(f"frame_distances(TABLE(SELECT * FROM {{frames}}), '{PAIRS}')", "frame, i, j, distance"))
+query("sql_neighbors")(_by_sql(f"frame_neighbours(TABLE(SELECT * FROM {{frames}}), {CUTOFF}D)", "frame, i, j, distance AS d"))
