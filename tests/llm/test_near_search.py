@@ -153,6 +153,23 @@ def test_registers():
     assert (s.registers(np.zeros(0, np.uint64), np.array([0, 0])) == 0).all()
 
 
+def test_slack_of_the_likelihood(spark, tables):
+    """Of pairs at the asked similarity none of 2,000 is left out, also at less slack; without bound no pair is."""
+    rng = np.random.default_rng(9)
+    for similarity, n in ((0.85, 400), (0.8, 60)):
+        s = SetSketch()
+        common = int(round(2 * n * similarity / (1 + similarity)))
+        sets = [rng.integers(0, 2**64, 2 * n - common, np.uint64) for _ in range(2000)]
+        x, y = (s.registers(np.concatenate([v[:n] if k == 0 else v[n - common :] for v in sets]), np.arange(2001) * n) for k in (0, 1))
+        size = np.full(2000, n)
+        assert s.may_reach(x, y, size, size, similarity).all() and SetSketch(slack=8.0).may_reach(x, y, size, size, similarity).all()
+    other = s.registers(rng.integers(0, 2**64, 2000 * n, np.uint64), np.arange(2001) * n)
+    assert not s.may_reach(x, other, size, size, 0.8).any() and SetSketch(slack=np.inf).may_reach(x, other, size, size, 0.8).all()
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    key = lambda df: sorted((r["doc_id"], r["component_id"]) for r in df.collect())
+    assert key(near_duplicates(docs, 3, 85)) == key(near_duplicates(docs, 3, 85, SetSketch(slack=np.inf)))
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(None, 1), (5, 5)]

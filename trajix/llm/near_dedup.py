@@ -44,6 +44,8 @@ class SetSketch:
     a: float = 20.0
     q: int = 65533
     seed: int = 41
+    #: Candidates whose similarity is less likely than this, as the logarithm of a ratio, are left out; infinity leaves out none.
+    slack: float = 20.0
 
     @property
     def m(self) -> int:
@@ -108,11 +110,13 @@ class SetSketch:
             low, high = np.where(up, left, low), np.where(up, high, right)
         return (low + high) / 2, known
 
-    def may_reach(self, x, y, nx, ny, similarity: float, slack: float = 20.0) -> np.ndarray:
+    def may_reach(self, x, y, nx, ny, similarity: float) -> np.ndarray:
         """Pairs whose likelihood at ``similarity`` is not below exp(-slack) of its maximum, or that are estimated above it."""
+        if np.isinf(self.slack):
+            return np.ones(len(nx), bool)
         best, known = self.estimate(x, y, nx, ny)
         reach = np.minimum(similarity, np.minimum(known[0] / known[1], known[1] / known[0]))
-        return (best >= similarity) | (self.log_likelihood(best, *known) - self.log_likelihood(reach, *known) <= slack)
+        return (best >= similarity) | (self.log_likelihood(best, *known) - self.log_likelihood(reach, *known) <= self.slack)
 
 
 def _own(docs: DataFrame) -> DataFrame:
