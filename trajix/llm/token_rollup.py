@@ -105,6 +105,20 @@ class TokenRollup:
         return True
 
 
+    def vacuum(self) -> int:
+        """Delete the deltas that count and that a summary covers, and return how many went; commit records stay.
+
+        No reader may still be at work on totals from before the summary.
+        """
+        commits = self.commits()
+        covered = commits.join(commits.select(F.explode("covers").alias("batch_id")).distinct(), "batch_id", "left_semi")
+        jvm, gone = self.spark._jvm, 0
+        for r in covered.select("attempt").distinct().collect():
+            folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/deltas/{r['attempt']}")
+            gone += bool(folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True))
+        return gone
+
+
 def count_columns(text: Column) -> dict[str, Column]:
     """Token counts of a text that Spark computes itself, by tokenizer version."""
     from trajix.llm.sqltext import WORD
