@@ -242,6 +242,9 @@ def test_nearest_neighbours(spark):
     assert nearest_neighbours(df.where("false"), queries).count() == 0
     few = df.where("vec_id in (1, 2, 3)")
     assert nearest_neighbours(few, few).count() == 6
+    twice = spark.createDataFrame([(1, [0.0, 1.0]), (1, [5.0, 0.0]), (2, [5.0, 1.0]), (3, [0.0, 3.0])], "vec_id bigint, embedding array<double>")
+    found = {(r["query_id"], r["vec_id"]): r["score"] for r in nearest_neighbours(twice, twice).collect()}
+    assert found[1, 2] == found[2, 1] == 1.0 and found[1, 3] == found[3, 1] == 2.0  # the nearer of its two vectors
 
 
 def test_recall_on_embeddings(spark):
