@@ -46,6 +46,16 @@ def boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).withColumn("box", box)
 
 
+def large_frames(spark: SparkSession, sf_dir: str, atoms: int = 5_000) -> DataFrame:
+    """frame, x, y, z of frames of ``atoms`` rows of ``lineitem`` each, in a cube of 64 Å: as many frames as the table fills."""
+    key, line = F.col("l_orderkey"), F.col("l_linenumber")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(key, line, *[((F.pmod(F.xxhash64(F.lit(c), key, line), F.lit(64_000))) / 1000.0).alias(c) for c in "xyz"])
+    # a frame is a share of the keys' hashes, with a few more rows than it takes
+    parts = max(1, int(rows.count() / (1.05 * atoms)))
+    dealt = rows.groupBy(F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(parts)).alias("frame")).agg(F.slice(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", *"xyz"))), 1, atoms).alias("r"))
+    return dealt.where(F.size("r") == atoms).select("frame", *[F.col(f"r.{c}").alias(c) for c in "xyz"])
+
+
 def _axis(e, c: int):
     return F.array(*[20.0 * F.get(e, F.lit(3 * k + c)).cast("double") for k in range(N_ATOMS)])
 

@@ -131,27 +131,28 @@ def _triples(raw: np.ndarray, at: np.ndarray, n: int, sizes: list[int]) -> np.nd
     return out
 
 
-class _BitMaker:
-    def __init__(self):
-        self.value = self.n = 0
-        self.done = bytearray()
+def _low_first(values: np.ndarray, n: int, sizes: list[int]) -> np.ndarray:
+    """Mixed-radix numbers of ``n`` bits, 72 at most, from three values each: their bytes, lowest first, a row each."""
+    upper = values[:, 0] * sizes[1] + values[:, 1]
+    low = (upper & 0xFFFFFF) * sizes[2] + values[:, 2]
+    high = (low >> 24) + (upper >> 24) * sizes[2]  # the number without its lowest 24 bits
+    return np.stack([(low >> 8 * k if k < 3 else high >> 8 * (k - 3)) & 255 for k in range(-(-n // 8))], axis=1) if n else np.zeros((len(values), 0), np.int64)
 
-    def put(self, value: int, n: int) -> None:
-        self.value, self.n = self.value << n | value, self.n + n
-        while self.n >= 8:
-            self.n -= 8
-            self.done.append(self.value >> self.n & 255)
-        self.value &= (1 << self.n) - 1
 
-    def triple(self, values, n: int, sizes: list[int]) -> None:
-        whole = (values[0] * sizes[1] + values[1]) * sizes[2] + values[2]
-        while n > 8:
-            self.put(whole & 255, 8)
-            whole, n = whole >> 8, n - 8
-        self.put(whole, n)
+def _high_first(values: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of ``n`` bits in pieces of eight bits, the highest first; the first piece may have fewer."""
+    pieces = -(-n // 8)
+    return np.stack([values >> 8 * (pieces - 1 - k) & 255 for k in range(pieces)], axis=1)
 
-    def bytes(self) -> bytes:
-        return bytes(self.done) + (bytes([self.value << (8 - self.n)]) if self.n else b"")
+
+def _packed(values: np.ndarray, widths: np.ndarray) -> bytes:
+    """Fields of up to eight bits one after another."""
+    ends = np.cumsum(widths)
+    begin = ends - widths
+    window = values << (16 - widths - (begin & 7))
+    size = int(ends[-1] + 7) // 8 if len(ends) else 0
+    out = np.bincount(begin >> 3, window >> 8, size + 1) + np.bincount((begin >> 3) + 1, window & 255, size + 1)[: size + 1]
+    return out[:size].astype(np.uint8).tobytes()
 
 
 def unpack_coordinates(raw: bytes, n: int, low: list[int], high: list[int], small: int) -> np.ndarray:
@@ -226,35 +227,52 @@ def pack_coordinates(ints: np.ndarray) -> tuple[list[int], list[int], int, bytes
     bits = 0 if apart else (sizes[0] * sizes[1] * sizes[2]).bit_length()
     steps = np.abs(np.diff(ints, axis=0)).max(1) if len(ints) > 1 else np.zeros(1, int)
     small = next((k for k in range(FIRST_SMALL, len(SMALL)) if SMALL[k] // 2 > np.median(steps)), FIRST_SMALL)
-    half, near, out, rows = SMALL[small] // 2, [SMALL[small]] * 3, _BitMaker(), ints.tolist()
-    fits = lambda a, b: all(-half <= x - y < SMALL[small] - half for x, y in zip(a, b))
-    i, run_before = 0, 0
-    while i < len(rows):
+    half, n = SMALL[small] // 2, len(ints)
+
+    def fits(d: np.ndarray) -> list[bool]:
+        return ((d >= -half) & (d < SMALL[small] - half)).all(1).tolist() + [False] * 2
+
+    # a run's first atom is told from its second, its third from the first, and each further one from the one before
+    first, third, on = fits(ints[:-1] - ints[1:]), fits(ints[2:] - ints[:-2]), fits(ints[1:] - ints[:-1])
+    starts, runs, i = [], [], 0
+    while i < n:
         run = 0
-        if i + 1 < len(rows) and fits(rows[i], rows[i + 1]):
-            run, last = 1, rows[i]
-            while run < 8 and i + run + 1 < len(rows) and fits(rows[i + run + 1], last):
-                last = rows[i + run + 1]
-                run += 1
-        full = rows[i + 1] if run else rows[i]
-        at = [v - l for v, l in zip(full, low)]
-        if apart:
-            for v, s in zip(at, sizes):
-                out.put(v, s.bit_length())
-        else:
-            out.triple(at, bits, sizes)
-        out.put(int(run != run_before), 1)
-        if run != run_before:
-            out.put(3 * run + 1, 5)
-            run_before = run
-        if run:
-            out.triple([a - b + half for a, b in zip(rows[i], full)], small, near)
-            before = rows[i]
-            for k in range(1, run):
-                out.triple([a - b + half for a, b in zip(rows[i + 1 + k], before)], small, near)
-                before = rows[i + 1 + k]
+        if first[i] and i + 1 < n:
+            run = 1
+            if i + 2 < n and third[i]:
+                run = 2
+                while run < 8 and i + run + 1 < n and on[i + run]:
+                    run += 1
+        starts.append(i)
+        runs.append(run)
         i += 1 + run
-    return low, high, small, out.bytes()
+    start, run = np.array(starts, np.int64), np.array(runs, np.int64)
+    full = ints[start + (run > 0)]
+    if apart:
+        lengths = [v.bit_length() for v in sizes]
+        whole = np.concatenate([_high_first(full[:, c] - low[c], lengths[c]) for c in range(3)], axis=1)
+        widths = [w for v in lengths for w in ([v % 8 or 8] + [8] * (-(-v // 8) - 1))]
+    else:
+        whole, widths = _low_first(full - low, bits, sizes), [min(8, bits - 8 * k) for k in range(-(-bits // 8))]
+    changed = np.append(run[:1] != 0, run[1:] != run[:-1])
+    pieces = -(-small // 8)
+    at = np.cumsum(len(widths) + 1 + changed + run * pieces)
+    total, at = int(at[-1]), at - (len(widths) + 1 + changed + run * pieces)
+    values, bits_of = np.zeros(total, np.int64), np.zeros(total, np.int64)
+    for k, w in enumerate(widths):
+        values[at + k], bits_of[at + k] = whole[:, k], w
+    values[at + len(widths)], bits_of[at + len(widths)] = changed, 1
+    where = (at + len(widths) + 1)[changed]
+    values[where], bits_of[where] = 3 * run[changed] + 1, 5
+    record = np.repeat(np.arange(len(run)), run)
+    place = np.arange(len(record)) - np.repeat(np.cumsum(run) - run, run)
+    own = start[record] + place + (place > 0)
+    before = start[record] + np.where(place > 1, place, np.where(place == 1, 0, 1))
+    near = _low_first(ints[own] - ints[before] + half, small, [SMALL[small]] * 3)
+    where = (at + len(widths) + 1 + changed)[record] + place * pieces
+    for k in range(pieces):
+        values[where + k], bits_of[where + k] = near[:, k], min(8, small - 8 * k)
+    return low, high, small, _packed(values, bits_of)
 
 
 class Xtc:
