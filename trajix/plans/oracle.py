@@ -343,3 +343,25 @@ ORACLE_SQL["structure_bonds"] = f"SELECT * FROM (SELECT vec_id AS frame FROM emb
 ORACLE_SQL["sql_rmsd"], ORACLE_SQL["sql_rg"], ORACLE_SQL["sql_neighbors"] = ORACLE_SQL["rmsd"], ORACLE_SQL["rg"], ORACLE_SQL["neighbor_pairs"]
 _pairs = ", ".join(f"({k}, {i}, {j})" for k, (i, j) in enumerate(parse_tuples(q.PAIRS, 2)))
 ORACLE_SQL["sql_distances"] = f"SELECT frame, i, j, value AS distance FROM ({ORACLE_SQL['distances']}) JOIN (VALUES {_pairs}) v(pair, i, j) USING (pair)"
+
+
+def _geometry_sql() -> str:
+    """Angles of the chain by windows: a break between residues begins a new segment, and an angle needs all of its own in one."""
+    cosine = lambda u, v: f"{_dot(u, v)} / nullif(sqrt({_dot(u, u)}) * sqrt({_dot(v, v)}), 0)"
+    turned = f"acos(greatest(-1, least(1, {cosine(_minus('a', 'pa2'), _minus('na2', 'a'))})))"
+    angles = {
+        "phi": ("ps = seg", f"degrees({_dihedral(('pc', 'n', 'a', 'c'))})"), "psi": ("ns = seg", f"degrees({_dihedral(('n', 'a', 'c', 'nn'))})"),
+        "omega": ("ns = seg", f"degrees({_dihedral(('a', 'c', 'nn', 'na'))})"), "kappa": ("ps2 = ns2", f"degrees({turned})"),
+        "alpha": ("ps = ns2", f"degrees({_dihedral(('pa', 'a', 'na', 'na2'))})"), "tco": ("ps = seg", cosine(_minus("c", "o"), _minus("pc", "po"))),
+    }
+    gap = _minus("pc", "n")
+    return f"""{_bb[: _bb.index(',' + chr(10) + '  l AS')]},
+  q AS (SELECT frame, r, chain_index, {', '.join(f"struct_pack({', '.join(f'{c} := {p}{c}' for c in 'xyz')}) AS {p}" for p in 'naco')} FROM g),
+  k AS (SELECT *, lag(c) OVER w AS pc, lag(o) OVER w AS po, lead(n) OVER w AS nn, lead(a) OVER w AS na, lag(a) OVER w AS pa, lag(a, 2) OVER w AS pa2, lead(a, 2) OVER w AS na2, lag(chain_index) OVER w AS pchain
+    FROM q WINDOW w AS (PARTITION BY frame ORDER BY r)),
+  b AS (SELECT *, sum(CASE WHEN pchain <> chain_index OR sqrt({_dot(gap, gap)}) > 2.5 THEN 1 ELSE 0 END) OVER (PARTITION BY frame ORDER BY r) AS seg FROM k),
+  s AS (SELECT *, lag(seg) OVER w AS ps, lag(seg, 2) OVER w AS ps2, lead(seg) OVER w AS ns, lead(seg, 2) OVER w AS ns2 FROM b WINDOW w AS (PARTITION BY frame ORDER BY r))
+  SELECT frame, r AS residue_index, {', '.join(r(f'CASE WHEN {test} THEN {value} END', name) for name, (test, value) in angles.items())} FROM s"""
+
+
+ORACLE_SQL["dssp_geometry"] = _geometry_sql()
