@@ -345,8 +345,11 @@ _pairs = ", ".join(f"({k}, {i}, {j})" for k, (i, j) in enumerate(parse_tuples(q.
 ORACLE_SQL["sql_distances"] = f"SELECT frame, i, j, value AS distance FROM ({ORACLE_SQL['distances']}) JOIN (VALUES {_pairs}) v(pair, i, j) USING (pair)"
 
 
-def _geometry_sql() -> str:
-    """Angles of the chain by windows: a break between residues begins a new segment, and an angle needs all of its own in one."""
+_FIRST, _LAST = _bb.split(",\n  l AS", 1)
+
+
+def _chain_sql() -> tuple[str, dict[str, str]]:
+    """Residues (frame, residue, r in order) with segments by windows: a break begins a new segment. Angles need all of their residues in one."""
     cosine = lambda u, v: f"{_dot(u, v)} / nullif(sqrt({_dot(u, u)}) * sqrt({_dot(v, v)}), 0)"
     turned = f"acos(greatest(-1, least(1, {cosine(_minus('a', 'pa2'), _minus('na2', 'a'))})))"
     angles = {
@@ -355,13 +358,85 @@ def _geometry_sql() -> str:
         "alpha": ("ps = ns2", f"degrees({_dihedral(('pa', 'a', 'na', 'na2'))})"), "tco": ("ps = seg", cosine(_minus("c", "o"), _minus("pc", "po"))),
     }
     gap = _minus("pc", "n")
-    return f"""{_bb[: _bb.index(',' + chr(10) + '  l AS')]},
-  q AS (SELECT frame, r, chain_index, {', '.join(f"struct_pack({', '.join(f'{c} := {p}{c}' for c in 'xyz')}) AS {p}" for p in 'naco')} FROM g),
+    plan = f"""
+  q AS (SELECT frame, residue, r, chain_index, {', '.join(f"struct_pack({', '.join(f'{c} := {p}{c}' for c in 'xyz')}) AS {p}" for p in 'naco')} FROM g),
   k AS (SELECT *, lag(c) OVER w AS pc, lag(o) OVER w AS po, lead(n) OVER w AS nn, lead(a) OVER w AS na, lag(a) OVER w AS pa, lag(a, 2) OVER w AS pa2, lead(a, 2) OVER w AS na2, lag(chain_index) OVER w AS pchain
     FROM q WINDOW w AS (PARTITION BY frame ORDER BY r)),
   b AS (SELECT *, sum(CASE WHEN pchain <> chain_index OR sqrt({_dot(gap, gap)}) > 2.5 THEN 1 ELSE 0 END) OVER (PARTITION BY frame ORDER BY r) AS seg FROM k),
-  s AS (SELECT *, lag(seg) OVER w AS ps, lag(seg, 2) OVER w AS ps2, lead(seg) OVER w AS ns, lead(seg, 2) OVER w AS ns2 FROM b WINDOW w AS (PARTITION BY frame ORDER BY r))
-  SELECT frame, r AS residue_index, {', '.join(r(f'CASE WHEN {test} THEN {value} END', name) for name, (test, value) in angles.items())} FROM s"""
-
-
-ORACLE_SQL["dssp_geometry"] = _geometry_sql()
+  s AS (SELECT *, lag(seg) OVER w AS ps, lag(seg, 2) OVER w AS ps2, lead(seg) OVER w AS ns, lead(seg, 2) OVER w AS ns2 FROM b WINDOW w AS (PARTITION BY frame ORDER BY r)),
+  ang AS MATERIALIZED (SELECT frame, residue, r, chain_index, seg, ps = ns AS inner_, {', '.join(f'CASE WHEN {test} THEN {value} END AS {name}' for name, (test, value) in angles.items())} FROM s)"""
+    return plan, angles
+
+
+_CHAIN, _ANGLES = _chain_sql()
+_shown_angles = ", ".join(r(name, name) for name in _ANGLES)
+_complete = _FIRST[_FIRST.index(", g AS") :].replace("residue_index AS r", "residue_index AS residue") + ""
+_complete = f"{_complete[:-1]} HAVING count(*) FILTER (name IN ('N', 'CA', 'C', 'O')) = 4)"
+_complete = f"{_complete.replace(', g AS (', ', g AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY residue) - 1 AS r FROM (')})"
+ORACLE_SQL["dssp_geometry"] = f"{WITH}{_complete},{_CHAIN} SELECT frame, residue AS residue_index, {_shown_angles} FROM ang"
+
+
+def _codes_sql(head: str, over_alpha: bool = True) -> str:
+    """A frame's codes from coordinates: bridges by semi-joins on shifted indices, ladders as islands on diagonals, a recursion
+    that joins ladders across bulges in their order, one that spreads the least ladder over a sheet, and helices, turns and
+    stretches by starts and the residues they cover. ``head`` has the tables c and a."""
+    bond = lambda d, a: f"(frame, {d}, {a}) IN (SELECT frame, d, a FROM h)"
+    near = "cur.par = b.par AND cur.si = b.si AND cur.sj = b.sj AND b.i0 - cur.i1 < 6 AND NOT (cur.i1 >= b.i0 AND cur.i0 <= b.i1)"
+    gap = "(CASE WHEN cur.par THEN b.j0 - cur.j1 ELSE cur.j0 - b.j1 END)"
+    both = """{'par': cur.par, 'i0': cur.i0, 'i1': b.i1, 'j0': CASE WHEN cur.par THEN cur.j0 ELSE b.j0 END, 'j1': CASE WHEN cur.par THEN b.j1 ELSE cur.j1 END,
+      'si': cur.si, 'sj': cur.sj, 'n': cur.n + b.n, 'own': list_concat(cur.own, b.own)}"""
+    covered = lambda d, which: f"SELECT DISTINCT frame, i + k AS r FROM {which}, range({d}) t(k)"
+    free = lambda d, over, codes: f"SELECT two.frame, two.i FROM two JOIN {codes} x ON x.frame = two.frame AND x.r BETWEEN i AND i + {d - 1} WHERE d = {d} GROUP BY ALL HAVING bool_and(code IN ({over}))"
+    return f"""WITH RECURSIVE {head}{_complete},
+  l AS{_LAST},{_CHAIN},
+  h AS MATERIALIZED (SELECT frame, donor AS d, acceptor AS a FROM (SELECT *, row_number() OVER (PARTITION BY frame, donor ORDER BY energy, acceptor) AS rank FROM en WHERE energy < 0) WHERE rank <= 2 AND energy < -0.5),
+  pr AS (SELECT ee.frame, donor AS i, acceptor AS j, p.seg AS si, q.seg AS sj, p.chain_index FROM ee JOIN ang p ON p.frame = ee.frame AND p.r = donor JOIN ang q ON q.frame = ee.frame AND q.r = acceptor
+    WHERE donor < acceptor AND p.inner_ AND q.inner_),
+  br AS MATERIALIZED (SELECT * FROM (SELECT *, ({bond('i + 1', 'j')} AND {bond('j', 'i - 1')}) OR ({bond('j + 1', 'i')} AND {bond('i', 'j - 1')}) AS par,
+    ({bond('i + 1', 'j - 1')} AND {bond('j + 1', 'i - 1')}) OR ({bond('j', 'i')} AND {bond('i', 'j')}) AS opposed FROM pr) WHERE par OR opposed),
+  la AS (SELECT frame, par, min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1, min(si) AS si, min(sj) AS sj, arg_min(chain_index, i) AS chain, count(*) AS n, list_concat(list(i), list(j)) AS own
+    FROM (SELECT *, CASE WHEN par THEN j - i ELSE j + i END AS diagonal, i - row_number() OVER (PARTITION BY frame, par, CASE WHEN par THEN j - i ELSE j + i END ORDER BY i) AS run FROM br) GROUP BY frame, par, diagonal, run),
+  op AS (SELECT frame, list({{'par': par, 'i0': i0, 'i1': i1, 'j0': j0, 'j1': j1, 'si': si, 'sj': sj, 'n': n, 'own': own}} ORDER BY chain, i0, n DESC, j0) AS all_ FROM la GROUP BY frame),
+  mg AS (SELECT frame, all_[1:0] AS done, all_[1] AS cur, all_[1:0] AS kept, all_[2:] AS rest FROM op
+    UNION ALL SELECT frame, CASE WHEN len(rest) = 0 THEN list_append(done, cur) ELSE done END,
+      CASE WHEN len(rest) = 0 THEN kept[1] WHEN joined THEN {both} ELSE cur END,
+      CASE WHEN len(rest) = 0 THEN kept[1:0] WHEN joined THEN kept ELSE list_append(kept, b) END,
+      CASE WHEN len(rest) = 0 THEN kept[2:] ELSE rest[2:] END
+    FROM (SELECT *, {near} AND ({gap} BETWEEN 0 AND 2 OR ({gap} BETWEEN 0 AND 5 AND b.i0 - cur.i1 BETWEEN 1 AND 2)) AS joined FROM (SELECT *, rest[1] AS b FROM mg WHERE len(rest) + len(kept) > 0))),
+  lad AS MATERIALIZED (SELECT frame, k AS x, all_[k].i0 AS i0, all_[k].i1 AS i1, all_[k].j0 AS j0, all_[k].j1 AS j1, all_[k].n AS n, all_[k].own AS own
+    FROM (SELECT frame, all_, unnest(range(1, len(all_) + 1)) AS k FROM (SELECT frame, list_append(done, cur) AS all_ FROM mg WHERE len(rest) + len(kept) = 0))),
+  touch AS (SELECT p.frame, p.x, q.x AS y FROM lad p JOIN lad q ON p.frame = q.frame AND list_has_any(p.own, q.own)),
+  spread AS (SELECT frame, x, x AS y FROM lad UNION SELECT s.frame, s.x, t.y FROM spread s JOIN touch t ON t.frame = s.frame AND t.x = s.y),
+  sh AS (SELECT frame, x, dense_rank() OVER (PARTITION BY frame ORDER BY root) AS sheet FROM (SELECT frame, x, min(y) AS root FROM spread GROUP BY ALL)),
+  cov AS (SELECT frame, x, n, unnest(list_concat(range(i0, i1 + 1), range(j0, j1 + 1))) AS r FROM lad),
+  beta AS (SELECT frame, r, CASE WHEN max(n) > 1 THEN 'E' ELSE 'B' END AS code, arg_max(sheet, x) AS sheet FROM cov JOIN sh USING (frame, x) GROUP BY ALL),
+  isl AS (SELECT *, min(r) OVER (PARTITION BY frame, sheet, run) AS first_ FROM (SELECT *, r - row_number() OVER (PARTITION BY frame, sheet ORDER BY r) AS run FROM beta)),
+  c0 AS (SELECT ang.frame, ang.r, coalesce(code, ' ') AS code, coalesce(sheet, 0) AS sheet, coalesce(strand, 0) AS strand, ang.kappa FROM ang
+    LEFT JOIN (SELECT *, dense_rank() OVER (PARTITION BY frame ORDER BY sheet, first_) AS strand FROM isl) z USING (frame, r)),
+  st AS MATERIALIZED (SELECT h.frame, d - a AS d, a AS i FROM h JOIN ang p ON p.frame = h.frame AND p.r = a JOIN ang q ON q.frame = h.frame AND q.r = d AND q.seg = p.seg WHERE d - a IN (3, 4, 5)),
+  two AS MATERIALIZED (SELECT st.* FROM st WHERE (frame, d, i - 1) IN (SELECT frame, d, i FROM st)),
+  c1 AS (SELECT * REPLACE (CASE WHEN (frame, r) IN ({covered(4, '(SELECT * FROM two WHERE d = 4)')}) THEN 'H' ELSE code END AS code) FROM c0),
+  c2 AS MATERIALIZED (SELECT * REPLACE (CASE WHEN (frame, r) IN ({covered(3, '(' + free(3, "' '", 'c1') + ')')}) THEN 'G' ELSE code END AS code) FROM c1),
+  c3 AS (SELECT * REPLACE (CASE WHEN (frame, r) IN ({covered(5, '(' + free(5, "' ', 'H'" if over_alpha else "' '", 'c2') + ')')}) THEN 'I' ELSE code END AS code) FROM c2),
+  c4 AS (SELECT * REPLACE (CASE WHEN code <> ' ' OR r = 0 OR r = max(r) OVER (PARTITION BY frame) THEN code
+    WHEN (frame, r) IN (SELECT frame, i + k FROM st, range(1, 5) t(k) WHERE k < d) THEN 'T' WHEN kappa > 70 THEN 'S' ELSE ' ' END AS code) FROM c3),
+  pp AS (SELECT frame, r, count(*) FILTER (abs(phi + 75) <= 29 AND abs(psi - 145) <= 29) OVER w = 3 AND r > 0 AND count(*) OVER v >= 2 AS starts FROM ang
+    WINDOW w AS (PARTITION BY frame ORDER BY r ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), v AS (PARTITION BY frame ORDER BY r ROWS BETWEEN 2 FOLLOWING AND 3 FOLLOWING)),
+  c5 AS (SELECT * REPLACE (CASE WHEN code = ' ' AND (frame, r) IN (SELECT frame, r + k FROM pp, range(3) t(k) WHERE starts) THEN 'P' ELSE code END AS code) FROM c4)
+  SELECT frame, residue AS residue_index, code, CAST(sheet AS INTEGER) AS sheet, CAST(strand AS INTEGER) AS strand, {_shown_angles} FROM ang JOIN (SELECT frame, r, code, sheet, strand FROM c5) z USING (frame, r)"""
+
+
+_shaken = values(list(enumerate(sample.SHAKEN)), "k, scale")
+_moved = ", ".join(f"f.{c} + scale * CAST(embedding[(7 * atom_index + {21 * i}) % 64 + 1] AS DOUBLE) AS {c}" for i, c in enumerate("xyz"))
+_atoms = values([tuple(a) for a in sample.FOLDED], "atom_index, name, element, residue_index, residue_name, chain_index, x, y, z")
+_folded = f"a AS {_atoms}, c AS MATERIALIZED (SELECT vec_id AS frame, atom_index, {_moved} FROM embeddings JOIN {_shaken} w ON k = vec_id % 4 CROSS JOIN a f)"
+_folded = _folded.replace("a AS ", "f AS ", 1).replace("CROSS JOIN a f", "CROSS JOIN f") + ", a AS (SELECT * EXCLUDE (x, y, z) FROM f)"
+_strings = "SELECT frame, string_agg(code, '' ORDER BY residue_index) AS codes FROM ({}) GROUP BY frame"
+ORACLE_SQL["dssp"] = _codes_sql(WITH.removeprefix("WITH "))
+ORACLE_SQL["dssp_timeline"] = _strings.format(ORACLE_SQL["dssp"])
+ORACLE_SQL["dssp_folded"] = _codes_sql(_folded)
+ORACLE_SQL["dssp_folded_alpha_first"] = f"SELECT frame, residue_index, code, sheet, strand FROM ({_codes_sql(_folded, False)})"
+ORACLE_SQL["dssp_folded_timeline"] = _strings.format(ORACLE_SQL["dssp_folded"])
+ORACLE_SQL["dssp_folded_every_residue"] = f"""SELECT frame, residue_index, coalesce(code, ' ') AS code FROM (SELECT vec_id AS frame, residue_index FROM embeddings, (SELECT DISTINCT residue_index FROM {_atoms}))
+  LEFT JOIN ({ORACLE_SQL['dssp_folded']}) USING (frame, residue_index)"""
+ORACLE_SQL["dssp_folded_content"] = f"SELECT residue_index, code, count(*) AS n FROM ({ORACLE_SQL['dssp_folded']}) GROUP BY 1, 2"

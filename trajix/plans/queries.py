@@ -349,6 +349,39 @@ def dssp_timeline(spark, sf_dir):
     return dssp.dssp_strings(dssp_codes(spark, sf_dir))
 
 
+def _folded_codes(spark, sf_dir, **how):
+    return dssp.dssp(sample.folded_frames(spark, sf_dir), sample.folded_topology(spark).table(), **how)
+
+
+@query()
+def dssp_folded(spark, sf_dir):
+    """Helices, sheets, turns, bends and polyproline stretches of the folded chains."""
+    return _folded_codes(spark, sf_dir)
+
+
+@query()
+def dssp_folded_alpha_first(spark, sf_dir):
+    """Pi helices leave alpha helices as they are."""
+    return _folded_codes(spark, sf_dir, prefer_pi=False).select("frame", "residue_index", "code", "sheet", "strand")
+
+
+@query()
+def dssp_folded_timeline(spark, sf_dir):
+    return dssp.dssp_strings(_folded_codes(spark, sf_dir))
+
+
+@query()
+def dssp_folded_every_residue(spark, sf_dir):
+    """Residues that lack atoms are blank."""
+    return dssp.every_residue(_folded_codes(spark, sf_dir), sample.folded_topology(spark).table())
+
+
+@query()
+def dssp_folded_content(spark, sf_dir):
+    """How often each residue has each code, over all frames."""
+    return _folded_codes(spark, sf_dir).groupBy("residue_index", "code").agg(F.count("*").alias("n"))
+
+
 @query()
 def ramachandran_hist(spark, sf_dir):
     return derived.ramachandran(_torsions("phi")(spark, sf_dir), _torsions("psi")(spark, sf_dir))
