@@ -297,8 +297,11 @@ def test_every_residue_and_projections(spark):
 
 
 def codes(n, bonds=(), pairs=(), segment=None, kappa=None, phi=None, psi=None, prefer_pi=True):
-    blank = [None] * n
-    return "".join(dssp.assign_codes([0] * n, segment or [0] * n, set(bonds), list(pairs), kappa or blank, phi or blank, psi or blank, prefer_pi)[0])
+    import numpy as np
+
+    two = lambda rows: tuple(np.array(rows, int).reshape(-1, 2).T)
+    angle = lambda v: np.array([v or [None] * n], float)
+    return "".join(dssp.assign_frames(np.zeros(n, int), np.array([segment or [0] * n]), two(bonds), two(pairs), angle(kappa), angle(phi), angle(psi), prefer_pi)[0][0])
 
 
 def test_helices():

@@ -55,14 +55,15 @@ def rows_of_frames(frames: DataFrame, columns: str, work: Callable[..., Iterator
     given ones and an array for each column.
     """
     k, types = keys(frames), dict(frames.dtypes)
-    kinds = pa.schema([(c.split()[0], {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}[c.split()[1]]) for c in columns.split(", ")])
+    kinds = pa.schema([(c.split()[0], {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}[c.split()[1]]) for c in columns.split(", ")])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, points in runs(batch):
                 for owner, made in work(points, *[batch[c].slice(at, end - at) for c in extra]):
                     own = [batch[c].slice(at, end - at).take(pa.array(owner)) for c in k]
-                    yield pa.RecordBatch.from_arrays([*own, *[pa.array(made[c.name], c.type) for c in kinds]], names=[*k, *kinds.names])
+                    values = [v if isinstance(v, pa.Array) else pa.array(v, c.type) for c, v in ((c, made[c.name]) for c in kinds)]
+                    yield pa.RecordBatch.from_arrays([*own, *values], names=[*k, *kinds.names])
 
     return frames.select(*k, *"xyz", *extra).mapInArrow(rows, ", ".join([*[f"{c} {types[c]}" for c in k], columns]))
 

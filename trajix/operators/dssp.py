@@ -1,20 +1,20 @@
 """Secondary structure from backbone hydrogen bonds, in the task that reads a frame.
 
-Hydrogens, breaks, torsions, near residues, energies and each donor's two best acceptors come from
-arrays of many frames at once. What is left per frame, the assembly of ladders and the order in which
-codes overrule each other, works on a few short lists.
+Hydrogens, breaks, torsions, near residues, energies, each donor's two best acceptors, bridges, helices,
+turns, bends and stretches come from arrays of many frames at once. What is left per frame, the assembly
+of ladders and sheets, works on the few bridges of a frame.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajix.functions.points import close_pairs, per_frame
+from trajix.functions.points import close_pairs, per_frame, rows_of_frames
 from trajix.model import keys, listed
 from trajix.operators.geometry import _residue_atoms
 
@@ -103,42 +103,64 @@ def _records(columns: dict[str, np.ndarray], frame: np.ndarray, n_frames: int) -
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.StructArray.from_arrays(arrays, names=list(columns)))
 
 
+@dataclass(frozen=True)
+class _Bonding:
+    """Segments (frames, residues), angles, and pairs of residues counted through all frames (frame * residues + r)."""
+
+    segment: np.ndarray
+    angles: dict[str, np.ndarray]
+    donor: np.ndarray
+    acceptor: np.ndarray
+    energy: np.ndarray
+    best: np.ndarray
+    rank: np.ndarray
+
+
+def _bonding(points: np.ndarray, at: dict[str, np.ndarray], chain: np.ndarray, pro: np.ndarray) -> _Bonding:
+    n, ca, c, o = (points[:, at[p]] for p in "naco")
+    with np.errstate(invalid="ignore"):
+        segment, h, angles = _residue_values(n, ca, c, o, chain, pro)
+    f, m = segment.shape
+    found = [(i, j) for i, j, _ in close_pairs(ca.reshape(-1, 3), np.repeat(np.arange(f), m), NEAR_CA)]
+    d, a = (np.concatenate([x[k] for x in found] or [np.zeros(0, int)]) for k in (0, 1))
+    far = abs(d - a) >= 2
+    order = np.lexsort((a[far], d[far]))
+    d, a = d[far][order], a[far][order]
+    nd, hd, ca_, oa = (v.reshape(-1, 3)[k] for v, k in ((n, d), (h, d), (c, a), (o, a)))
+    ho, hc, nc, no = (_norm(u - v) for u, v in ((hd, oa), (hd, ca_), (nd, ca_), (nd, oa)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        terms = 1000 * (COUPLING / ho - COUPLING / hc + COUPLING / nc - COUPLING / no)
+        rounded = np.copysign(np.floor(np.abs(terms) + 0.5), terms) / 1000
+    near = np.minimum.reduce([ho, hc, nc, no]) < TOO_NEAR if len(d) else np.zeros(0, bool)
+    energy = np.where(pro[d % m], 0.0, np.where(near, LOWEST, np.maximum(rounded, LOWEST)))
+    by = np.lexsort((a, energy, d))
+    by = by[energy[by] < 0]
+    fresh = np.append(True, d[by][1:] != d[by][:-1]) if len(by) else np.zeros(0, bool)
+    rank = np.arange(len(by)) - np.maximum.accumulate(np.where(fresh, np.arange(len(by)), 0)) + 1
+    return _Bonding(segment, angles, d, a, energy, by[rank <= 2], rank[rank <= 2])
+
+
+def _of_residues(residues: list[dict]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Atoms by name, residue numbers, chains and whether a residue has no hydrogen."""
+    return {p: np.array([x[p] for x in residues]) for p in "naco"}, *(np.array([x[c] for x in residues]) for c in ("residue", "chain", "pro"))
+
+
 def bonding(frames: DataFrame, residues: list[dict]) -> DataFrame:
     """A frame's complete residues with their segments and angles, near pairs i + 2 <= j (CA nearer than
     9 Å), energies of these both ways, and each donor's two acceptors of lowest energy below 0, ties to
     the earlier residue. All of it comes from the frame alone; no row moves.
     """
-    at = {p: np.array([x[p] for x in residues]) for p in "naco"}
-    number, chain, pro = (np.array([x[c] for x in residues]) for c in ("residue", "chain", "pro"))
+    at, number, chain, pro = _of_residues(residues)
 
     def work(points: np.ndarray) -> dict:
-        n, ca, c, o = (points[:, at[p]] for p in "naco")
-        with np.errstate(invalid="ignore"):
-            segment, h, angles = _residue_values(n, ca, c, o, chain, pro)
-        f, m = segment.shape
-        own = {"r": np.tile(np.arange(m), f), "residue": np.tile(number, f), "chain": np.tile(chain, f), "segment": segment.ravel(), **{a: angles[a].ravel() for a in ANGLES}}
-        found = [(i, j) for i, j, _ in close_pairs(ca.reshape(-1, 3), np.repeat(np.arange(f), m), NEAR_CA)]
-        d, a = (np.concatenate([x[k] for x in found] or [np.zeros(0, int)]) for k in (0, 1))
-        far = abs(d - a) >= 2
-        order = np.lexsort((a[far], d[far]))
-        d, a = d[far][order], a[far][order]
-        nd, hd, ca_, oa = (v.reshape(-1, 3)[k] for v, k in ((n, d), (h, d), (c, a), (o, a)))
-        ho, hc, nc, no = (_norm(u - v) for u, v in ((hd, oa), (hd, ca_), (nd, ca_), (nd, oa)))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            terms = 1000 * (COUPLING / ho - COUPLING / hc + COUPLING / nc - COUPLING / no)
-            rounded = np.copysign(np.floor(np.abs(terms) + 0.5), terms) / 1000
-        near = np.minimum.reduce([ho, hc, nc, no]) < TOO_NEAR if len(d) else np.zeros(0, bool)
-        energy = np.where(pro[d % m], 0.0, np.where(near, LOWEST, np.maximum(rounded, LOWEST)))
-        by = np.lexsort((a, energy, d))
-        by = by[energy[by] < 0]
-        fresh = np.append(True, d[by][1:] != d[by][:-1]) if len(by) else np.zeros(0, bool)
-        rank = np.arange(len(by)) - np.maximum.accumulate(np.where(fresh, np.arange(len(by)), 0)) + 1
-        by, rank = by[rank <= 2], rank[rank <= 2]
-        once = d < a
+        x = _bonding(points, at, chain, pro)
+        f, m = x.segment.shape
+        own = {"r": np.tile(np.arange(m), f), "residue": np.tile(number, f), "chain": np.tile(chain, f), "segment": x.segment.ravel(), **{a: x.angles[a].ravel() for a in ANGLES}}
+        d, a, by, once = x.donor, x.acceptor, x.best, x.donor < x.acceptor
         return {
             "residues": _records(own, np.repeat(np.arange(f), m), f),
-            "energies": _records({"donor": d % m, "acceptor": a % m, "energy": energy}, d // m, f),
-            "best": _records({"donor": d[by] % m, "acceptor": a[by] % m, "energy": energy[by], "rank": rank}, d[by] // m, f),
+            "energies": _records({"donor": d % m, "acceptor": a % m, "energy": x.energy}, d // m, f),
+            "best": _records({"donor": d[by] % m, "acceptor": a[by] % m, "energy": x.energy[by], "rank": x.rank}, d[by] // m, f),
             "pairs": _records({"i": d[once] % m, "j": a[once] % m}, d[once] // m, f),
         }
 
@@ -167,30 +189,35 @@ class _Ladder:
         self.j = self.j + j if self.parallel else j + self.j
 
 
-def _ladders(pairs: list[tuple[int, int]], chains: list[int], segment: list[int], bonds: set[tuple[int, int]]) -> list[_Ladder]:
-    n = len(segment)
+def _bridges(segment: np.ndarray, bonds: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs that are bridges, in order, and whether they are parallel; residues are counted through all frames."""
+    f, m = segment.shape
+    key = np.unique(bonds[0] * (f * m) + bonds[1])
+    inner = np.zeros((f, m), bool)
+    inner[:, 1:-1] = segment[:, :-2] == segment[:, 2:]
+    i, j = pairs
+    both = inner.ravel()[i] & inner.ravel()[j]
+    i, j = i[both], j[both]
+    order = np.lexsort((j, i))
+    i, j = i[order], j[order]
+    has = lambda d, a: np.isin(d * (f * m) + a, key)
+    parallel = (has(i + 1, j) & has(j, i - 1)) | (has(j + 1, i) & has(i, j - 1))
+    other = (has(i + 1, j - 1) & has(j + 1, i - 1)) | (has(j, i) & has(i, j))
+    return i[parallel | other], j[parallel | other], parallel[parallel | other]
+
+
+def _ladders(bridges: list[tuple[int, int, bool]], chains: list[int], segment: list[int]) -> list[_Ladder]:
     whole = lambda i, j: segment[i] == segment[j]
-    has = lambda *all_: all(b in bonds for b in all_)
     out: list[_Ladder] = []
-    wanted: dict[tuple[bool, int, int], list[_Ladder]] = {}
-    for i, j in pairs:
-        if not (0 < i < n - 1 and 0 < j < n - 1 and whole(i - 1, i + 1) and whole(j - 1, j + 1)):
-            continue
-        if has((i + 1, j), (j, i - 1)) or has((j + 1, i), (i, j - 1)):
-            parallel = True
-        elif has((i + 1, j - 1), (j + 1, i - 1)) or has((j, i), (i, j)):
-            parallel = False
-        else:
-            continue
-        waiting = wanted.get((parallel, i, j))
-        if waiting:
-            ladder = min(waiting, key=out.index)
-            waiting.remove(ladder)
+    wanted: dict[tuple[bool, int, int], _Ladder] = {}
+    for i, j, parallel in bridges:
+        ladder = wanted.pop((parallel, i, j), None)
+        if ladder:
             ladder.take([i], [j])
         else:
             ladder = _Ladder(parallel, i, j)
             out.append(ladder)
-        wanted.setdefault(ladder.next(), []).append(ladder)
+        wanted[ladder.next()] = ladder
     out.sort(key=lambda x: (chains[x.i[0]], x.i[0], -len(x.i), x.j[0]))
     at_ = 0
     while at_ < len(out):  # ladders on both sides of a bulge become one
@@ -212,75 +239,96 @@ def _bulge(a: _Ladder, b: _Ladder, whole) -> bool:
     return 0 <= gap < 3 or (0 <= gap < 6 and 0 < b.i[0] - a.i[-1] < 3)
 
 
-def assign_codes(
-    chains: list[int], segment: list[int], bonds: set[tuple[int, int]], pairs: list[tuple[int, int]], kappa: list, phi: list, psi: list, prefer_pi: bool = True
-) -> tuple[list[str], list[int], list[int]]:
-    """Codes, sheets and strands (0 for none) of a frame's complete residues."""
-    n = len(segment)
-    code, sheet, strand = [" "] * n, [0] * n, [0] * n
-    ladders = _ladders(sorted(pairs), chains, segment, bonds)
+def _strands(bridges: list[tuple[int, int, bool]], chains: list[int], segment: list[int], code: np.ndarray, sheet: np.ndarray, strand: np.ndarray) -> None:
+    """Fill a frame's codes of bridges and ladders, sheets and strands."""
+    ladders = _ladders(bridges, chains, segment)
     group = list(range(len(ladders)))  # ladders that share a residue are one sheet, numbered by its first ladder
+    members = [{*x.i, *x.j} for x in ladders]
     for x in range(len(ladders)):
         for y in range(x):
-            if group[x] != group[y] and {*ladders[x].i, *ladders[x].j} & {*ladders[y].i, *ladders[y].j}:
+            if group[x] != group[y] and members[x] & members[y]:
                 low, high = sorted((group[x], group[y]))
                 group = [low if g == high else g for g in group]
     number = {g: s for s, g in enumerate(dict.fromkeys(sorted(group)), 1)}
     for ladder, g in zip(ladders, group):
         mark = "E" if len(ladder.i) > 1 else "B"
         for side in (ladder.i, ladder.j):
-            for r in range(min(side[0], side[-1]), max(side[0], side[-1]) + 1):
-                code[r] = "E" if code[r] == "E" else mark
-                sheet[r] = number[g]
+            own = slice(min(side[0], side[-1]), max(side[0], side[-1]) + 1)
+            code[own] = np.where(code[own] == "E", "E", mark)
+            sheet[own] = number[g]
     count = 0
-    for s in sorted(number.values()):
-        last = -2
-        for r in range(n):
-            if sheet[r] == s:
-                count += r != last + 1
-                strand[r], last = count, r
-    starts = {d: {i for i in range(n - d) if segment[i] == segment[i + d] and (i + d, i) in bonds} for d in (3, 4, 5)}
-    for d, mark, over in ((4, "H", None), (3, "G", " G"), (5, "I", " IH" if prefer_pi else " I")):
-        for i in range(1, n - d):
-            if i in starts[d] and i - 1 in starts[d] and (over is None or all(code[r] in over for r in range(i, i + d))):
-                code[i : i + d] = [mark] * d
-    for i in range(1, n - 1):
-        if code[i] == " ":
-            if any(i - k in starts[d] for d in (3, 4, 5) for k in range(1, d)):
-                code[i] = "T"
-            elif kappa[i] is not None and kappa[i] > BEND_ABOVE:
-                code[i] = "S"
-    inside = [p is not None and q is not None and abs(p - PP_PHI) <= PP_SLACK and abs(q - PP_PSI) <= PP_SLACK for p, q in zip(phi, psi)]
-    for i in range(1, n - PP_STRETCH):
-        if all(inside[i : i + PP_STRETCH]):
-            code[i : i + PP_STRETCH] = ["P" if c == " " else c for c in code[i : i + PP_STRETCH]]
-    return code, sheet, strand
+    for s in number.values():
+        at = np.flatnonzero(sheet == s)
+        strand[at] = count + 1 + np.cumsum(np.diff(at, prepend=at[:1]) > 1)
+        count = strand[at[-1]] if len(at) else count
+
+
+def _from(starts: np.ndarray, length: int, first: int = 0) -> np.ndarray:
+    """Residues ``first`` to ``length`` - 1 places after a start."""
+    out = np.zeros_like(starts)
+    for k in range(first, length):
+        out[:, k:] |= starts[:, : max(0, starts.shape[1] - k)]
+    return out
+
+
+def _all_of(fit: np.ndarray, length: int) -> np.ndarray:
+    """Whether this residue and the next ones, ``length`` together, are there and fit."""
+    out = fit.copy()
+    for k in range(1, length):
+        out &= _shifted(fit, k, False)
+    return out
+
+
+def assign_frames(
+    chains: np.ndarray, segment: np.ndarray, bonds: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], kappa: np.ndarray, phi: np.ndarray, psi: np.ndarray, prefer_pi: bool = True
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, sheets and strands (0 for none), each (frames, residues). Bonds (donor, acceptor) and near pairs count
+    residues through all frames; angles are NaN where there is none."""
+    f, m = segment.shape
+    code, sheet, strand = np.full((f, m), " "), np.zeros((f, m), np.int32), np.zeros((f, m), np.int32)
+    if not m:
+        return code, sheet, strand
+    i, j, parallel = _bridges(segment, bonds, pairs)
+    owner = i // m
+    for k in np.unique(owner):
+        own = slice(*np.searchsorted(owner, [k, k + 1]))
+        _strands(list(zip((i[own] % m).tolist(), (j[own] % m).tolist(), parallel[own].tolist())), chains, segment[k], code[k], sheet[k], strand[k])
+    starts = {}
+    for d in (3, 4, 5):
+        at = bonds[1][(bonds[0] - bonds[1] == d) & (bonds[0] // m == bonds[1] // m)]
+        starts[d] = np.zeros((f, m), bool)
+        starts[d].ravel()[at] = True
+        starts[d] &= segment == _shifted(segment, d, -1)
+    for d, mark, over in ((4, "H", None), (3, "G", " "), (5, "I", " H" if prefer_pi else " ")):
+        turns = starts[d] & _shifted(starts[d], -1, False)
+        if over is not None:
+            turns &= _all_of(np.isin(code, list(over)), d)
+        code[_from(turns, d)] = mark
+    ends = np.zeros((f, m), bool)
+    ends[:, [0, -1]] = True
+    turn = np.logical_or.reduce([_from(starts[d], d, 1) for d in starts])
+    with np.errstate(invalid="ignore"):
+        bend = kappa > BEND_ABOVE
+        inside = (abs(phi - PP_PHI) <= PP_SLACK) & (abs(psi - PP_PSI) <= PP_SLACK)
+    code = np.where((code == " ") & ~ends, np.where(turn, "T", np.where(bend, "S", " ")), code)
+    return np.where((code == " ") & _from(_all_of(inside & ~ends, PP_STRETCH), PP_STRETCH), "P", code), sheet, strand
 
 
 def dssp(frames: DataFrame, table: DataFrame, prefer_pi: bool = True) -> DataFrame:
     """frame, residue_index, code, sheet, strand, phi, psi, omega, kappa, alpha, tco of every complete residue."""
-    k = keys(frames)
-    bonded = bonding(frames, complete_residues(table)).drop("energies")
-    whole = bonded.select(*k, F.col("residues").alias("rows"), F.filter("best", lambda x: x.energy < BOND_BELOW).alias("bonds"), "pairs")
-
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], []]
-            for r, b, p in zip(*(batch[c].to_pylist() for c in ("rows", "bonds", "pairs"))):
-                col = lambda name: [x[name] for x in r]  # noqa: B023, E731
-                found = assign_codes(
-                    col("chain"), col("segment"), {(x["donor"], x["acceptor"]) for x in b or []}, [(x["i"], x["j"]) for x in p or []], col("kappa"), col("phi"), col("psi"), prefer_pi
-                )
-                for column, values in zip(out, found):
-                    column.append(values)
-            types = pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([*[batch[c] for c in k], batch["rows"], *[pa.array(c, t) for c, t in zip(out, types)]], names=[*k, "rows", "code", "sheet", "strand"])
-
-    types = dict(whole.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in [*k, "rows"]) + ", code array<string>, sheet array<int>, strand array<int>"
-    done = whole.mapInArrow(label, schema).select(*k, F.explode(F.arrays_zip("rows", "code", "sheet", "strand")).alias("t"))
-    angles = [F.col(f"t.rows.{c}").alias(c) for c in ANGLES]
-    return done.select(*k, F.col("t.rows.residue").alias("residue_index"), "t.code", "t.sheet", "t.strand", *angles)
+    at, number, chain, pro = _of_residues(complete_residues(table))
+
+    def work(points: np.ndarray):
+        x = _bonding(points, at, chain, pro)
+        f, m = x.segment.shape
+        strong, once = x.best[x.energy[x.best] < BOND_BELOW], x.donor < x.acceptor
+        found = assign_frames(chain, x.segment, (x.donor[strong], x.acceptor[strong]), (x.donor[once], x.acceptor[once]), *(x.angles[a] for a in ("kappa", "phi", "psi")), prefer_pi)
+        own = dict(zip(("code", "sheet", "strand"), (v.ravel() for v in found)))
+        angles = {a: pa.array(v.ravel(), mask=np.isnan(v.ravel())) for a, v in x.angles.items()}
+        yield np.repeat(np.arange(f), m), {"residue_index": np.tile(number, f), **own, **angles}
+
+    columns = "residue_index int, code string, sheet int, strand int, " + ", ".join(f"{a} double" for a in ANGLES)
+    return rows_of_frames(frames, columns, work)
 
 
 def dssp_strings(found: DataFrame) -> DataFrame:
