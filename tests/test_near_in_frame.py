@@ -108,3 +108,20 @@ def test_no_row_moves(spark, tables):
     for df in plans:
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Join" not in plan and plan.count("MapInArrow") == 1, plan
+
+
+def test_join_by_cells_sends_no_repeated_rows_to_the_driver(spark):
+    """Points on and beside edges of cells, far ones and none: the pairs of all pairs, by a plan without a broadcast, eight rows to a point at most."""
+    rng = np.random.default_rng(4)
+    r = np.concatenate([rng.normal(size=(60, 3)) * 5, rng.integers(-3, 4, size=(60, 3)) * 3.0, rng.integers(-3, 4, size=(20, 3)) * 6.000000012])
+    r = np.concatenate([r, [[1e300, 0, 0], [np.inf, 1, 1], [-np.inf, 1, 1], [np.nan, 0, 0]]])
+    rows = spark.createDataFrame([(0, i, *p) for i, p in enumerate(r.tolist())] + [(None, 0, 0.0, 0.0, 0.0), (0, 999, None, 0.0, 0.0)], "frame bigint, atom_index int, x double, y double, z double")
+    group = np.zeros(len(r), int)
+    for inclusive in (False, True):
+        found = spatial.near_pairs(rows, rows, 3.0, True, inclusive)
+        got = [(x["atom_index"], x["atom_index_b"]) for x in found.where("frame is not null").collect()]
+        with np.errstate(invalid="ignore"):
+            assert len(got) == len(set(got)) and set(got) == all_pairs(r, group, r, group, 3.0, inclusive)
+        assert found.where("frame is null").count() == 1
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan

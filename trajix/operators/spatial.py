@@ -2,13 +2,12 @@
 
 All atoms of a frame are in its row, so near pairs are found in the task that reads it, by cells of the
 cutoff's size, and only what an analysis makes of them becomes rows. ``near_pairs`` is for points that are
-rows already: an equi-join on such cells, one side repeated into the 27 around it.
+rows already: an equi-join on cells, one side repeated into those within the cutoff.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from trajix.functions import vectors as V
 from trajix.functions.points import lists, pairs_between, per_frame, rows_of_frames
-from trajix.model import Topology, keys, listed
+from trajix.model import Topology, keys
 
 Found = Iterator[tuple[np.ndarray, dict]]
 
@@ -32,10 +31,13 @@ def near_pairs(a: DataFrame, b: DataFrame, cutoff: float, cells: bool, inclusive
     on = [F.col(c).eqNullSafe(F.col(f"{c}_b")) for c in k]
     drop = [f"{c}_b" for c in k]
     if cells:
-        cell = lambda c: F.floor(F.col(c) / cutoff)
-        a = a.withColumns({f"c{c}": cell(c) for c in "xyz"})
-        around = listed([dict(zip("xyz", o)) for o in product((-1, 0, 1), repeat=3)], "array<struct<x:int,y:int,z:int>>")
-        b = b.withColumn("o", F.explode(around)).withColumns({f"c{c}_b": cell(f"{c}_b") + F.col(f"o.{c}") for c in "xyz"}).drop("o")
+        # cells twice as wide as the reach, so that a point is near two of them at most along each axis; a hair more, for rounding
+        reach = cutoff * (1 + 1e-9)
+        cell = lambda v: F.floor(v / (2 * reach))
+        a = a.withColumns({f"c{c}": cell(F.col(c)) for c in "xyz"})
+        for c in "xyz":
+            b = b.withColumn(f"c{c}_b", F.explode(F.sequence(cell(F.col(f"{c}_b") - reach), cell(F.col(f"{c}_b") + reach))))
+        b = b.hint("merge")  # rows repeated into cells are many more than their table's size tells: not to be broadcast
         on += [F.col(f"c{c}") == F.col(f"c{c}_b") for c in "xyz"]
         drop += [f"c{c}" for c in "xyz"] + [f"c{c}_b" for c in "xyz"]
     square = sum(((F.col(c) - F.col(f"{c}_b")) ** 2 for c in "yz"), (F.col("x") - F.col("x_b")) ** 2)
