@@ -341,5 +341,6 @@ def every_residue(found: DataFrame, table: DataFrame) -> DataFrame:
     """frame, residue_index, code of all residues of the topology, blank where incomplete."""
     k = keys(found)
     all_ = [r[0] for r in table.select("residue_index").distinct().orderBy("residue_index").collect()]
-    grid = found.select(*k).distinct().select(*k, F.explode(listed(all_, "array<int>")).alias("residue_index"))
-    return grid.join(found.select(*k, "residue_index", "code"), [*k, "residue_index"], "left").select(*k, "residue_index", F.coalesce("code", F.lit(" ")).alias("code"))
+    rows = found.groupBy(*k).agg(F.collect_list(F.struct("residue_index", F.coalesce("code", F.lit(" ")).alias("code"))).alias("r"))
+    lost = F.transform(F.array_except(listed(all_, "array<int>"), "r.residue_index"), lambda i: F.struct(i.alias("residue_index"), F.lit(" ").alias("code")))
+    return rows.select(*k, F.inline(F.concat("r", lost))).where(F.col("residue_index").isin(all_))
