@@ -14,7 +14,7 @@ from trajix.model import keys
 #: Points that one step works on; a larger frame makes a step of its own. Steps eight times as large are no faster, but a task holds all arrays of one.
 STEP_POINTS = 1 << 16
 #: Pairs that are looked at together.
-STEP_PAIRS = 1 << 21
+STEP_PAIRS = 1 << 18
 
 
 def runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
