@@ -234,3 +234,22 @@ def test_mmcif_names_are_quoted():
     again = structures.read_mmcif(structures.write_mmcif(s))
     assert [a[0] for a in again.atoms] == [a[0] for a in s.atoms] and [r[0] for r in again.residues] == [r[0] for r in s.residues]
     assert again.chains == s.chains and again.coords == s.coords
+
+
+def test_tokens_of_lines_at_once_are_those_of_the_grammar():
+    """Lines of plain values are split whole; what stands in quotes, text fields, comments and between tags is as the tokens' pattern says."""
+    text = "data_x\n#c\nloop_\n_atom_site.id\n_b\n1 . ?\n 2\t'a b' O5'\n;text ; of\nplain lines\n;\nx y\n\"q#\" #rest\nloop_\n3 LOOP_ a_b\n4"
+    got = list(structures.cif_tokens(text))
+    values = ["1", None, None, "2", "a b", "O5'", "text ; of\nplain lines", "x", "y", "q#"]
+    assert got == [("data", "x"), ("loop", "loop_"), ("tag", "_atom_site.id"), ("tag", "_b"), *[("value", v) for v in values], ("loop", "loop_"), ("value", "3"), ("loop", "LOOP_"), ("value", "a_b"), ("value", "4")]
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    """Spark packs some 30 small files to a partition; a task reads many of these, and hands over the rows of many files together."""
+    head = "data_x\nloop_\n" + "".join(f"_atom_site.{c}\n" for c in ("id", "type_symbol", "label_atom_id", "Cartn_x", "Cartn_y", "Cartn_z"))
+    for k in range(700):
+        (tmp_path / f"{k}.cif").write_text(head + f"1 C CA {k}.5 0 1\n#\n" if k % 7 else "broken")
+    table = structures.read_structures(spark, str(tmp_path)).table
+    assert table.rdd.getNumPartitions() <= 12
+    rows = {int(r["structure"].rsplit("/", 1)[1][:-4]): (r["problem"], r["x"]) for r in table.collect()}
+    assert rows == {k: (None, [k + 0.5]) if k % 7 else ("NoAtomsFound", []) for k in range(700)}
