@@ -100,7 +100,9 @@ def close_pairs(points: np.ndarray, group: np.ndarray, cutoff: float) -> Iterato
         b = order[begin + np.arange(len(begin))]
         d = np.sqrt(((points[a] - points[b]) ** 2).sum(1))
         near = (d < cutoff) & (a != b)
-        yield a[near], b[near], d[near]
+        a, b, d = a[near], b[near], d[near]
+        del begin, near  # not held while a step's pairs are worked on
+        yield a, b, d
         at = end
 
 

@@ -105,39 +105,53 @@ def _records(columns: dict[str, np.ndarray], frame: np.ndarray, n_frames: int) -
 
 @dataclass(frozen=True)
 class _Bonding:
-    """Segments (frames, residues), angles, and pairs of residues counted through all frames (frame * residues + r)."""
+    """Segments (frames, residues), angles, and pairs of residues counted through all frames (frame * residues + r):
+    near ones with their energies, unless left out, and each donor's two best."""
 
     segment: np.ndarray
     angles: dict[str, np.ndarray]
     donor: np.ndarray
     acceptor: np.ndarray
     energy: np.ndarray
-    best: np.ndarray
-    rank: np.ndarray
+    best: dict[str, np.ndarray]
 
 
-def _bonding(points: np.ndarray, at: dict[str, np.ndarray], chain: np.ndarray, pro: np.ndarray) -> _Bonding:
+def _energy(n: np.ndarray, h: np.ndarray, c: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """Of bonds from a donor's N and H to an acceptor's C and O, (pairs, 3) each."""
+    ho, hc, nc, no = (_norm(u - v) for u, v in ((h, o), (h, c), (n, c), (n, o)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        terms = 1000 * (COUPLING / ho - COUPLING / hc + COUPLING / nc - COUPLING / no)
+        rounded = np.copysign(np.floor(np.abs(terms) + 0.5), terms) / 1000
+    near = np.minimum.reduce([ho, hc, nc, no]) < TOO_NEAR
+    return np.where(near, LOWEST, np.maximum(rounded, LOWEST))
+
+
+def _bonding(points: np.ndarray, at: dict[str, np.ndarray], chain: np.ndarray, pro: np.ndarray, every: bool = True) -> _Bonding:
+    """Near pairs are weighed in steps, each with all pairs of its donors; without ``every`` only the best outlive a step."""
     n, ca, c, o = (points[:, at[p]] for p in "naco")
     with np.errstate(invalid="ignore"):
         segment, h, angles = _residue_values(n, ca, c, o, chain, pro)
     f, m = segment.shape
-    found = [(i, j) for i, j, _ in close_pairs(ca.reshape(-1, 3), np.repeat(np.arange(f), m), NEAR_CA)]
-    d, a = (np.concatenate([x[k] for x in found] or [np.zeros(0, int)]) for k in (0, 1))
-    far = abs(d - a) >= 2
-    order = np.lexsort((a[far], d[far]))
-    d, a = d[far][order], a[far][order]
-    nd, hd, ca_, oa = (v.reshape(-1, 3)[k] for v, k in ((n, d), (h, d), (c, a), (o, a)))
-    ho, hc, nc, no = (_norm(u - v) for u, v in ((hd, oa), (hd, ca_), (nd, ca_), (nd, oa)))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        terms = 1000 * (COUPLING / ho - COUPLING / hc + COUPLING / nc - COUPLING / no)
-        rounded = np.copysign(np.floor(np.abs(terms) + 0.5), terms) / 1000
-    near = np.minimum.reduce([ho, hc, nc, no]) < TOO_NEAR if len(d) else np.zeros(0, bool)
-    energy = np.where(pro[d % m], 0.0, np.where(near, LOWEST, np.maximum(rounded, LOWEST)))
-    by = np.lexsort((a, energy, d))
-    by = by[energy[by] < 0]
-    fresh = np.append(True, d[by][1:] != d[by][:-1]) if len(by) else np.zeros(0, bool)
-    rank = np.arange(len(by)) - np.maximum.accumulate(np.where(fresh, np.arange(len(by)), 0)) + 1
-    return _Bonding(segment, angles, d, a, energy, by[rank <= 2], rank[rank <= 2])
+    n, h, c, o = (v.reshape(-1, 3) for v in (n, h, c, o))
+    none = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    all_, best = [none], [(*none, np.zeros(0, int))]
+    for d, a, _ in close_pairs(ca.reshape(-1, 3), np.repeat(np.arange(f), m), NEAR_CA):
+        far = abs(d - a) >= 2
+        d, a = d[far], a[far]
+        energy = np.where(pro[d % m], 0.0, _energy(n[d], h[d], c[a], o[a]))
+        if every:
+            all_.append((d, a, energy))
+        by = np.lexsort((a, energy, d))
+        by = by[energy[by] < 0]
+        fresh = np.append(True, d[by][1:] != d[by][:-1]) if len(by) else np.zeros(0, bool)
+        rank = np.arange(len(by)) - np.maximum.accumulate(np.where(fresh, np.arange(len(by)), 0)) + 1
+        by, rank = by[rank <= 2], rank[rank <= 2]
+        best.append((d[by], a[by], energy[by], rank))
+    d, a, energy = (np.concatenate(v) for v in zip(*all_))
+    order = np.lexsort((a, d))
+    found = dict(zip(("donor", "acceptor", "energy", "rank"), (np.concatenate(v) for v in zip(*best))))
+    first = np.lexsort((found["rank"], found["donor"]))
+    return _Bonding(segment, angles, d[order], a[order], energy[order], {k: v[first] for k, v in found.items()})
 
 
 def _of_residues(residues: list[dict]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
@@ -156,11 +170,11 @@ def bonding(frames: DataFrame, residues: list[dict]) -> DataFrame:
         x = _bonding(points, at, chain, pro)
         f, m = x.segment.shape
         own = {"r": np.tile(np.arange(m), f), "residue": np.tile(number, f), "chain": np.tile(chain, f), "segment": x.segment.ravel(), **{a: x.angles[a].ravel() for a in ANGLES}}
-        d, a, by, once = x.donor, x.acceptor, x.best, x.donor < x.acceptor
+        d, a, b, once = x.donor, x.acceptor, x.best, x.donor < x.acceptor
         return {
             "residues": _records(own, np.repeat(np.arange(f), m), f),
             "energies": _records({"donor": d % m, "acceptor": a % m, "energy": x.energy}, d // m, f),
-            "best": _records({"donor": d[by] % m, "acceptor": a[by] % m, "energy": x.energy[by], "rank": x.rank}, d[by] // m, f),
+            "best": _records(b | {"donor": b["donor"] % m, "acceptor": b["acceptor"] % m}, b["donor"] // m, f),
             "pairs": _records({"i": d[once] % m, "j": a[once] % m}, d[once] // m, f),
         }
 
@@ -189,6 +203,17 @@ class _Ladder:
         self.j = self.j + j if self.parallel else j + self.j
 
 
+def _facing(bonds: tuple[np.ndarray, np.ndarray], ca: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Near pairs i + 2 <= j of which a bridge could be made of these bonds: each way to make one has a bond from i or i + 1 to j or j - 1."""
+    f, m = ca.shape[:2]
+    i, j = (np.concatenate(v) for v in zip(*[(bonds[0] - k, bonds[1] + l) for k in (0, 1) for l in (0, 1)]))
+    own = (i >= 0) & (j < f * m) & (i // m == j // m) & (j - i >= 2)
+    i, j = np.divmod(np.unique(i[own] * (f * m) + j[own]), f * m)
+    points = ca.reshape(-1, 3)
+    near = np.sqrt(((points[i] - points[j]) ** 2).sum(1)) < NEAR_CA
+    return i[near], j[near]
+
+
 def _bridges(segment: np.ndarray, bonds: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs that are bridges, in order, and whether they are parallel; residues are counted through all frames."""
     f, m = segment.shape
@@ -319,10 +344,11 @@ def dssp(frames: DataFrame, table: DataFrame, prefer_pi: bool = True) -> DataFra
     at, number, chain, pro = _of_residues(complete_residues(table))
 
     def work(points: np.ndarray):
-        x = _bonding(points, at, chain, pro)
+        x = _bonding(points, at, chain, pro, every=False)
         f, m = x.segment.shape
-        strong, once = x.best[x.energy[x.best] < BOND_BELOW], x.donor < x.acceptor
-        found = assign_frames(chain, x.segment, (x.donor[strong], x.acceptor[strong]), (x.donor[once], x.acceptor[once]), *(x.angles[a] for a in ("kappa", "phi", "psi")), prefer_pi)
+        strong = x.best["energy"] < BOND_BELOW
+        bonds = x.best["donor"][strong], x.best["acceptor"][strong]
+        found = assign_frames(chain, x.segment, bonds, _facing(bonds, points[:, at["a"]]), *(x.angles[a] for a in ("kappa", "phi", "psi")), prefer_pi)
         own = dict(zip(("code", "sheet", "strand"), (v.ravel() for v in found)))
         angles = {a: pa.array(v.ravel(), mask=np.isnan(v.ravel())) for a, v in x.angles.items()}
         yield np.repeat(np.arange(f), m), {"residue_index": np.tile(number, f), **own, **angles}
